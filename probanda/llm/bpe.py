@@ -30,18 +30,14 @@ def byte_alphabet() -> list[str]:
 class ByteBpe:
     """One tokenizer file, with what workers keep between batches."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("only byte-level BPE files without normalizer and prefix space are supported")
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        self.path = path
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        # the model alone: its input is one unsplit run in the byte alphabet
-        self.model = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "decoder": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}))
         self.alphabet = byte_alphabet()
         back = {c: b for b, c in enumerate(self.alphabet)}
         self.bytes_of = [b""] * (1 + max([*spec["model"]["vocab"].values(), *self.special.values()]))
@@ -51,6 +47,20 @@ class ByteBpe:
             self.bytes_of[i] = token.encode()
         self.encoded = _Encoded(self, cache)
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        found = Tokenizer.from_file(self.path)
+        found.no_padding()
+        found.no_truncation()
+        return found
+
+    @functools.cached_property
+    def model(self) -> Tokenizer:
+        """The model alone: its input is one unsplit run in the byte alphabet."""
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        return Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "decoder": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}))
+
     def segments(self, text: str) -> list[tuple[str, int | None]]:
         """The text cut at special strings: (text, None) or ("", id)."""
         if not self.special or not any(s in text for s in self.special):
@@ -127,6 +137,14 @@ class _Encoded(dict):
         return found
 
 
+def text_slices(batch, column: str, most: int = 1 << 20):
+    """Row slices of an Arrow batch with at most so many bytes in a string column; a longer text goes alone."""
+    sizes = batch.column(batch.schema.get_field_index(column)).nbytes
+    step = max(1, int(batch.num_rows * most / max(sizes, 1)))
+    for first in range(0, batch.num_rows, step):
+        yield batch.slice(first, step)
+
+
 def halves(raw: bytes, most: int) -> list[bytes]:
     """Cut into halves again and again until no part has more than ``most`` bytes."""
     if len(raw) <= most:

@@ -34,7 +34,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
     def whole(batches):
         model = bpe.load(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in bpe.text_slices(whole, "_text")):
             at = batch.schema.get_field_index("_text")
             parts = [model.ids_bytes(x) for x in batch.column(at).to_pylist()]
             offsets = np.zeros(len(parts) + 1, np.int32)
@@ -110,9 +110,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 
     def texts(batches):
         model = bpe.load(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in bpe.text_slices(whole, ids)):
             column = batch.column(batch.schema.get_field_index(ids))
-            found = [model.text_bytes(x or []).decode("utf-8", "replace") for x in column.to_pylist()]
+            found = [model.text_bytes([] if x is None else x).decode("utf-8", "replace") for x in column.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out])
 
     return encoded.mapInArrow(texts, _schema(encoded, (), f"`{out}` string"))

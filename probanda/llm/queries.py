@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, encoding, html_text, jaccard, mixing, token_counts, warc
+from . import common, encoding, html_text, jaccard, mixing, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary())
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -54,7 +60,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(written, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_mixing, op5_token_counts, op7_ngram_jaccard, op8_bpe, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_mixing, op4_toxicity, op5_token_counts, op7_ngram_jaccard, op8_bpe, op9_warc)}
 
 ORACLE = {
     "op3_mixing": r"""
