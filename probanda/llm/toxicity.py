@@ -141,8 +141,8 @@ def votes(x: np.ndarray, entries: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def label_model(v: np.ndarray, rounds: int = 30, prior: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of toxic, accuracy of each voter, its share of a vote) from votes alone, by EM.
+def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of toxic, accuracy of each voter, its share of a vote) from votes and the class balance, by EM.
 
     Given the class, voters are taken as independent but for those whose residuals correlate; each of these counts 1 / (1 +
     sum of squared correlations), so a block of voters that say the same thing counts about once. No vote is no evidence.
@@ -152,7 +152,6 @@ def label_model(v: np.ndarray, rounds: int = 30, prior: float = 0.1) -> tuple[np
     p = np.clip((v.sum(1) > 0).astype(float), 0.05, 0.9)
     onehot = np.stack([v == -1, v == 0, v == 1], 2).astype(float)
     for k in range(rounds):
-        prior = np.clip(p.mean(), 1e-3, 0.5)
         toxic = (np.einsum("n,nmk->mk", p, onehot) + 0.1) / (p.sum() + 0.3)
         clean = (np.einsum("n,nmk->mk", 1 - p, onehot) + 0.1) / ((1 - p).sum() + 0.3)
         if k in (4, 12):
@@ -209,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     x = np.zeros((len(got), len(entries) + 1 + len(PATTERNS)))
     for k, (at, values) in enumerate(zip(got["at"], got["x"], strict=True)):
         x[k, np.asarray(at, int)] = values
-    posterior, accuracy, _ = label_model(votes(x, len(entries)))
+    posterior, accuracy, _ = label_model(votes(x, len(entries)), share)
     weights, bias = logistic(x, posterior)
     return Model(entries, weights, bias, accuracy)
 
