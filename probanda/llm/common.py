@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at once; bounds the temporary arrays of a task to about 40 times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -133,7 +133,8 @@ def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, width: int) -> list[np.
         for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             n = last - first
             if n >= width:
-                out.append(np.unique(runs[first : last - width + 1]))
+                s = np.sort(runs[first : last - width + 1])
+                out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
             elif n:
                 h = hashes[first : first + 1]
                 for k in range(1, n):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, encoding, html_text, jaccard, mixing, token_counts, toxicity, warc
+from . import common, encoding, html_text, jaccard, lm, mixing, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(written, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_mixing, op4_toxicity, op5_token_counts, op7_ngram_jaccard, op8_bpe, op9_warc)}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_documents(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_mixing, op4_toxicity, op5_token_counts, op7_ngram_jaccard, op8_bpe, op9_warc, op10_lm)}
 
 ORACLE = {
     "op3_mixing": r"""
