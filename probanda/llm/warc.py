@@ -171,6 +171,6 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
         out = out.astype({"page_id": "Int64", "refers_to": "Int64"})
         return out if payloads else out.drop(columns="payload")
 
-    # few paths a task, so that many tasks read
-    spread = archives.select("path").repartition("path")
+    # an archive a task, as far as tasks go; a number given here is kept by adaptive execution
+    spread = archives.select("path").repartition(min(max(archives.count(), 1), 10_000), "path")
     return spread.mapInPandas(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads)
