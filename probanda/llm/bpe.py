@@ -7,10 +7,12 @@ pre-tokenizer cuts it instead, so that the result is always the library's.
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -30,7 +32,7 @@ def byte_alphabet() -> list[str]:
 class ByteBpe:
     """One tokenizer file, with what workers keep between batches."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
@@ -61,6 +63,10 @@ class ByteBpe:
             spec = json.load(f)
         return Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "decoder": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}))
 
+    @functools.cached_property
+    def token_bytes(self) -> pa.Array:
+        return pa.array(self.bytes_of, pa.large_binary())
+
     def segments(self, text: str) -> list[tuple[str, int | None]]:
         """The text cut at special strings: (text, None) or ("", id)."""
         if not self.special or not any(s in text for s in self.special):
@@ -129,7 +135,7 @@ class _Encoded(dict):
     def __missing__(self, pretoken: str) -> bytes:
         raw = pretoken.encode("utf-8")
         ids = self.bpe.run(raw) if len(raw) <= self.RUN_BYTES else self.bpe.long_run(raw, self.RUN_BYTES)
-        found = np.asarray(ids, np.int32).tobytes()
+        found = array.array("i", ids).tobytes()
         if len(pretoken) <= 256:
             if len(self) >= self.most:
                 self.clear()

@@ -112,7 +112,17 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
         model = bpe.load(path)
         for batch in (part for whole in batches for part in bpe.text_slices(whole, ids)):
             column = batch.column(batch.schema.get_field_index(ids))
-            found = [model.text_bytes([] if x is None else x).decode("utf-8", "replace") for x in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out])
+            if column.null_count:
+                column = pa.array([x or [] for x in column.to_pylist()], pa.list_(pa.int32()))
+            raw = model.token_bytes.take(column.flatten())
+            ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+            bounds = np.asarray(column.offsets)
+            data = raw.buffers()[2] if len(raw) else pa.py_buffer(b"")
+            found = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(np.ascontiguousarray(ends[bounds - bounds[0]])), data])
+            try:
+                found = found.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:  # not UTF-8 everywhere
+                found = pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
 
     return encoded.mapInArrow(texts, _schema(encoded, (), f"`{out}` string"))
