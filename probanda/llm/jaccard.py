@@ -2,13 +2,14 @@
 
 Two sets with a Jaccard similarity of at least t share a token among the first n - ceil(t n) + 1 of each, under any order
 of all tokens. The join uses several orders at once: each puts frequent tokens last and deals the others by its own hash.
-A document goes on only while another shares a prefix token with it under every order tried so far; a pair is a candidate
-only if it shares one under each. Then come the size bound, a bound on the symmetric difference from parity bitmaps, and
-the count over whole sets. Equal sets are one node from the start, so copies cost nothing but their row.
-
-Within the documents of one prefix token only a spanning forest of the candidate pairs is sent on, best pairs first; pairs
-that fail the count are noted, and what they leave undecided is tried again, so no link is lost and no group is expanded
-into all its pairs. Tokens in very many documents are dealt in pairs of blocks, which bounds a task's memory.
+Pairs are found by a shared prefix token under the first order, and stay candidates only if they share one under every
+other order too. Then come a bound on the symmetric difference from parity bitmaps and the count over whole sets. Equal
+sets are one node from the start, so copies cost nothing but their row.
+
+Tokens of a few documents give all their pairs. Among the documents of a token of many only a spanning forest of the
+candidate pairs is sent on, best pairs first; pairs that fail the count are noted, and what they leave undecided is tried
+again, so no link is lost and no large group is expanded into all its pairs. Tokens of very many documents are dealt in
+pairs of blocks, which bounds a task's memory.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ ORDERS = 3
 RANKED = 65_536
 #: Rows of one Arrow batch that a token must have to be reported as frequent.
 LEAST_ROWS = 8
+#: Documents of one prefix token up to which all its pairs are made, in the first round and in later ones.
+FEW, FEW_LATER = 24, 256
 #: Documents of one prefix token that are compared in one block.
 BLOCK = 2048
 _SEEDS = [np.uint64(0x5851F42D4C957F2D * (2 * k + 1) % (1 << 64)) for k in range(8)]
@@ -62,7 +65,7 @@ def frequent_tokens(docs: DataFrame, text: str, width: int, most: int = RANKED)
 
 
 def _prefix(tokens: np.ndarray, order: int, percent: int, ranked: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix tokens of a set under one order: the rare ones, and those with a rank."""
+    """Prefix tokens of a set under one order: those of few documents as far as is known, and those of many."""
     key = mix(tokens ^ _SEEDS[order]) >> np.uint64(1)
     hot = np.zeros(len(tokens), bool)
     if len(ranked):
@@ -71,7 +74,11 @@ def _prefix(tokens: np.ndarray, order: int, percent: int, ranked: np.ndarray, co
         key[hot] = (np.uint64(1) << np.uint64(63)) + (counts[at[hot]].astype(np.uint64) << np.uint64(16)) + at[hot].astype(np.uint64)
     p = prefix_length(len(tokens), percent)
     first = np.argpartition(key, p - 1)[:p]
-    return tokens[first[~hot[first]]], tokens[first[hot[first]]]
+    tokens = tokens[first]
+    if not hot[first].any():
+        return tokens, tokens[:0]
+    many = hot[first] & (counts[at[first]] > FEW)
+    return tokens[~many], tokens[many]
 
 
 def _longs(rows: list[np.ndarray]) -> pa.Array:
@@ -87,36 +94,55 @@ def parity_bits(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """(token, id) of the tokens that more than one row has; sorted by token in each partition and read as a stream."""
+def _few_and_many(postings: DataFrame, percent: int) -> DataFrame:
+    """From (token, id, n): pairs (token null, id, other) of the tokens of few rows, sizes apart no further than links allow; and
+    (token, id, other null) of those of many. Rows are sorted by token in each partition and read as a stream."""
+
+    def close(t, i, n):
+        """Of whole groups."""
+        start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        size = np.diff(np.append(start, len(t)))
+        each = np.repeat(size, size)
+        many = each > FEW
+        tokens, ids, others = [t[many]], [i[many]], [np.zeros(int(many.sum()), np.int64)]
+        left = np.flatnonzero(~many & (each > 1))
+        t, i, n = t[left], i[left], n[left]
+        for d in range(1, FEW):
+            at = np.flatnonzero(t[d:] == t[:-d]) if len(t) > d else np.empty(0, int)
+            if not len(at):
+                break
+            a, b = i[at], i[at + d]
+            low, high = np.minimum(n[at], n[at + d]), np.maximum(n[at], n[at + d])
+            fit = (100 * low >= percent * high) & (a != b)
+            tokens.append(np.zeros(int(fit.sum()), np.int64))
+            ids.append(np.minimum(a, b)[fit])
+            others.append(np.maximum(a, b)[fit])
+        kinds = np.concatenate([np.full(len(x), k > 0) for k, x in enumerate(ids)])
+        table = pa.table({"pair": kinds, "token": np.concatenate(tokens), "id": np.concatenate(ids), "other": np.concatenate(others)})
+        pairs = table.filter(table["pair"]).group_by(["pair", "token", "id", "other"]).aggregate([])  # once per batch
+        for x in (table.filter(pa.array(~kinds)), pairs):
+            yield from x.combine_chunks().to_batches()
 
     def run(batches):
-        token, ids, met = np.empty(0, np.int64), np.empty(0, np.int64), False  # the last row, not yet decided
+        held = [np.empty(0, np.int64)] * 3  # rows of the last token, of which more may come
         for batch in batches:
-            t = np.concatenate([token, batch.column(0).to_numpy()])
-            i = np.concatenate([ids, batch.column(1).to_numpy()])
+            t, i, n = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held))
             if not len(t):
                 continue
-            alike = t[1:] == t[:-1]
-            keep = np.zeros(len(t), bool)
-            keep[1:] |= alike
-            keep[:-1] |= alike
-            keep[0] |= met and len(token) > 0
-            met = bool(len(t) > 1 and alike[-1]) or bool(len(t) == 1 and met)
-            token, ids = t[-1:], i[-1:]
-            keep = keep[:-1]
-            yield pa.RecordBatch.from_pydict({"token": t[:-1][keep], "id": i[:-1][keep]})
-        if len(token) and met:
-            yield pa.RecordBatch.from_pydict({"token": token, "id": ids})
-
-    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, id long")
-
-
-def _survivors(table: DataFrame, order: int) -> DataFrame:
-    """(id, tokens): prefix tokens under one order that other rows of the table have too; ranked tokens count as shared."""
-    rare = _shared(table.select(F.explode(f"rare{order}").alias("token"), "id"))
-    hot = table.select(F.explode(f"hot{order}").alias("token"), "id")
-    return staged(rare.unionByName(hot).groupBy("id").agg(F.collect_set("token").alias(f"tokens{order}")), f"jaccard-order{order}")
+            cut = int(np.searchsorted(t, t[-1])) if t[0] != t[-1] else 0
+            if cut:
+                yield from close(t[:cut], i[:cut], n[:cut])
+            t, i, n = t[cut:], i[cut:], n[cut:]
+            if len(t) > 64 * FEW:  # surely of many: let all but FEW + 1 go on, the rest still counts as many
+                keep = len(t) - FEW - 1
+                yield pa.RecordBatch.from_pydict({"pair": np.zeros(keep, bool), "token": t[:keep], "id": i[:keep], "other": np.zeros(keep, np.int64)})
+                t, i, n = t[keep:], i[keep:], n[keep:]
+            held = [t, i, n]
+        if len(held[0]):
+            yield from close(*held)
+
+    sorted_ = postings.repartition("token").sortWithinPartitions("token")
+    return sorted_.mapInArrow(run, "pair boolean, token long, id long, other long")
 
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
@@ -126,8 +152,8 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def _forest(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the candidate pairs among the rows of one token that are in different components."""
+def _forest(group: pd.DataFrame, percent: int, all_pairs: bool = False) -> list[tuple[int, int]]:
+    """Candidate pairs among the rows of one token that are in different components: a spanning forest, or all."""
     group = group.sort_values(["n", "id"], kind="stable")
     ids, n, label = group["id"].to_numpy(np.int64), group["n"].to_numpy(np.int64), group["component"].to_numpy(np.int64).copy()
     if (label == label[0]).all():
@@ -166,6 +192,9 @@ def _forest(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
             j = js[0]
             if (i not in failed or int(ids[j]) not in failed[i]) and all(not s[i].isdisjoint(s[j]) for s in others):
                 out.append((int(ids[i]), int(ids[j])))
+                if all_pairs:
+                    js = js[1:]
+                    continue
                 label[label == label[j]] = label[i]
                 js = js[label[js] != label[i]]
             else:
@@ -173,28 +202,30 @@ def _forest(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(rows: DataFrame, counts: dict[int, int], percent: int) -> DataFrame:
-    """(a, b): candidate pairs to count, from the rows (id, n, bits, tokens0, short1.., component, failed)."""
-    hot = rows.sparkSession.sparkContext.broadcast({t: -(-c // BLOCK) for t, c in counts.items() if c > BLOCK})
+def _meet(x: bytes, y: bytes) -> bool:
+    return not frozenset(np.frombuffer(x, np.uint16).tolist()).isdisjoint(np.frombuffer(y, np.uint16).tolist())
+
 
-    def deal(batches):
+def _filtered(pairs: DataFrame, about: DataFrame, percent: int, orders: int) -> DataFrame:
+    """The pairs (a, b) that pass the bitmap bound and share a prefix token under every further order."""
+    names = ["n", "bits", *(f"short{k}" for k in range(1, orders))]
+    sides = [about.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "ab"]
+
+    def run(batches):
         for pdf in batches:
-            index, token, own, b1, b2 = [], [], [], [], []
-            for k, (i, tokens) in enumerate(zip(pdf["id"], pdf["tokens0"], strict=True)):
-                for t in map(int, tokens):
-                    g = hot.value.get(t, 1)
-                    mine = int(mix(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(g)) if g > 1 else 0
-                    for other in range(g):
-                        index.append(k)
-                        token.append(t)
-                        own.append(mine)
-                        b1.append(min(mine, other))
-                        b2.append(max(mine, other))
-            out = pdf.drop(columns="tokens0").iloc[index].reset_index(drop=True)
-            yield out.assign(token=np.array(token, np.int64), own=np.array(own, np.int32), b1=np.array(b1, np.int32), b2=np.array(b2, np.int32))
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "tokens0") + ", token long, own int, b1 int, b2 int"
-    dealt = rows.mapInPandas(deal, kinds).repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
+            keep = []
+            for r in pdf.itertuples(index=False):
+                x, y = np.frombuffer(r.bits_a, np.uint8), np.frombuffer(r.bits_b, np.uint8)
+                size = min(len(x), len(y))
+                gap = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum(dtype=np.int64))
+                keep.append((100 - percent) * (r.n_a + r.n_b) >= (100 + percent) * gap and all(_meet(getattr(r, f"short{k}_a"), getattr(r, f"short{k}_b")) for k in range(1, orders)))
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInPandas(run, "a long, b long")
+
+
+def _candidates(dealt: DataFrame, percent: int, later: bool) -> DataFrame:
+    """(a, b) from rows (token, b1, b2, own, id, n, bits, short1.., component, failed) of tokens of many documents."""
 
     def pair(batches):
         held = None
@@ -204,19 +235,19 @@ def _candidates(rows: DataFrame, counts: dict[int, int], percent: int) -> DataFr
             if not len(pdf):
                 continue
             key = pdf[["token", "b1", "b2"]].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             found, first = [], 0
-            for last in cuts:
+            for last in np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1:
                 if last - first > 1:
-                    found += _forest(pdf.iloc[first:last], percent)
+                    found += _forest(pdf.iloc[first:last], percent, later and last - first <= FEW_LATER)
                 first = last
             held = pdf.iloc[first:]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(sorted({(min(p), max(p)) for p in found}), columns=["a", "b"], dtype="int64")
         if held is not None and len(held) > 1:
-            yield pd.DataFrame(_forest(held, percent), columns=["a", "b"], dtype="int64")
+            found = _forest(held, percent, later and len(held) <= FEW_LATER)
+            yield pd.DataFrame(sorted({(min(p), max(p)) for p in found}), columns=["a", "b"], dtype="int64")
 
-    pairs = dealt.mapInPandas(pair, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    sorted_ = dealt.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
+    return sorted_.mapInPandas(pair, "a long, b long").where("a <> b").distinct()
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, orders: int = ORDERS) -> DataFrame:
@@ -246,63 +277,72 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     several = classes.where("_copies > 1")
     copies = staged(table.where("n > 0 and id is not null").select("id", *on).join(several, on).where("id <> rep").select("id"), "jaccard-copies")
     reps = table.where("n > 0 and id is not null").join(small_side(copies, copies.count()), "id", "left_anti")
-    tokens = [_survivors(reps.select("id", "rare0", "hot0"), 0)]
+    postings = reps.select(F.explode("rare0").alias("token"), "id", "n")
+    met = staged(_few_and_many(postings, percent), "jaccard-met")
+    few = staged(met.where("pair").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "jaccard-few")
+    many = met.where("not pair").select("token", "id").unionByName(reps.select(F.explode("hot0").alias("token"), "id"))
+
+    # bitmaps, the other orders' prefixes and the sets are made for those alone that met another
+    named = few.select(F.col("a").alias("id")).unionByName(few.select(F.col("b").alias("id"))).unionByName(many.select("id")).distinct()
+    named = staged(named, "jaccard-named")
 
-    # the next orders, bitmaps and sets are made for those alone that are left
     def more(batches):
+        short = lambda tokens: (mix(tokens) >> np.uint64(48)).astype(np.uint16).tobytes()
         for batch in batches:
             sets = [(k, s) for k, s in enumerate(_sets(batch, "text", width)) if len(s)]
             columns, names = [batch.column(0).take(pa.array([k for k, _ in sets], pa.int64())), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([parity_bits(s) for _, s in sets], pa.binary()), _longs([s for _, s in sets])], ["id", "n", "bits", "members"]
             for order in range(1, orders):
-                parts = [_prefix(s, order, percent, *shared.value) for _, s in sets]
-                columns += [_longs([p[0] for p in parts]), _longs([p[1] for p in parts])]
-                names += [f"rare{order}", f"hot{order}"]
+                columns.append(pa.array([short(np.concatenate(_prefix(s, order, percent, *shared.value))) for _, s in sets], pa.binary()))
+                names.append(f"short{order}")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kinds = "id long, n long, bits binary, members array<long>" + "".join(f", rare{k} array<long>, hot{k} array<long>" for k in range(1, orders))
-    left = tokens[0].select("id")
-    sets = staged(rows.join(small_side(left, left.count()), "id", "left_semi").mapInArrow(more, kinds), "jaccard-sets")
-    for order in range(1, orders):
-        held = sets.select("id", f"rare{order}", f"hot{order}")
-        if order > 1:
-            held = held.join(small_side(left, left.count()), "id", "left_semi")
-        tokens.append(_survivors(held, order))
-        left = tokens[-1].select("id")
-
-    @F.pandas_udf("binary")
-    def short(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: (mix(np.asarray(x, np.int64).view(np.uint64)) >> np.uint64(48)).astype(np.uint16).tobytes())
-
-    active = sets.select("id", "n", "bits")
-    for order, t in enumerate(tokens):
-        active = active.join(t if order == 0 else t.select("id", short(f"tokens{order}").alias(f"short{order}")), "id")
-    active = staged(active, "jaccard-active").withColumns({"component": F.col("id"), "failed": F.array().cast("array<long>")})
-    totals = {int(t): int(c) for t, c in zip(ranked.view(np.int64), counts, strict=True) if c > BLOCK}
+    kinds = "id long, n long, bits binary, members array<long>" + "".join(f", short{k} binary" for k in range(1, orders))
+    sets = staged(rows.join(small_side(named, named.count()), "id", "left_semi").mapInArrow(more, kinds), "jaccard-sets")
+    about = sets.drop("members")
+
+    # tokens of many documents, in pairs of blocks
+    dealt = many.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_g"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    dealt = many.join(dealt, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    dealt = dealt.select("token", F.least("own", "_other").alias("b1"), F.greatest("own", "_other").alias("b2"), "own", "id")
+    dealt = staged(dealt.join(about, "id"), "jaccard-dealt")
+    active = dealt.withColumns({"component": F.col("id"), "failed": F.array().cast("array<long>")})
+
+    def counted_pairs(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        whole = sets.select("id", "members").join(small_side(ids, pairs.count(), 500_000), "id", "left_semi")
+        a, b = whole.select(F.col("id").alias("a"), F.col("members").alias("x")), whole.select(F.col("id").alias("b"), F.col("members").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        fits = pairs.join(a, "a").join(b, "b").select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("fits"))
+        return staged(fits.groupBy("a", "b").agg(F.max("fits").alias("fits")), "jaccard-counted")
+
     links = failures = None
+    later = False
     while True:
-        pairs = staged(_candidates(active, totals, percent), "jaccard-pairs")
-        if not pairs.count():
+        pairs = _candidates(active, percent, later)
+        if not later:
+            pairs = _filtered(few, about, percent, orders).select("a", "b", F.lit(False).alias("many")).unionByName(pairs.select("a", "b", F.lit(True).alias("many"))).groupBy("a", "b").agg(F.max("many").alias("many"))
+        else:
+            pairs = pairs.withColumn("many", F.lit(True))
+        pairs = staged(pairs, "jaccard-pairs")
+        if not pairs.limit(1).count():
             break
-        named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        whole = sets.select("id", "members").join(small_side(named, named.count()), "id", "left_semi")
-        a, b = whole.select(F.col("id").alias("a"), F.col("members").alias("x")), whole.select(F.col("id").alias("b"), F.col("members").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        counted = pairs.join(a, "a").join(b, "b").select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("fits")).groupBy("a", "b").agg(F.max("fits").alias("fits"))
-        counted = staged(counted, "jaccard-counted")
-        links = counted.where("fits") if links is None else links.unionByName(counted.where("fits"))
-        failed = counted.where("not fits")
-        if not failed.count():
+        counted = counted_pairs(pairs.select("a", "b"))
+        links = counted.where("fits").select("a", "b") if links is None else links.unionByName(counted.where("fits").select("a", "b"))
+        failed = staged(counted.where("not fits").join(pairs.where("many"), ["a", "b"]).select("a", "b"), "jaccard-failed")
+        if not failed.limit(1).count():
             break
         failures = failed if failures is None else failures.unionByName(failed)
-        # undecided: what a failed pair held together, as far as links don't
+        # undecided: what failed pairs held together, as far as links don't
         found = staged(components(links), "jaccard-components")
-        tried = staged(components(links.unionByName(failures)), "jaccard-tried").withColumnRenamed("component", "_tried")
-        state = tried.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = state.groupBy("_tried").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("_tried")
-        state = state.join(open_, "_tried", "left_semi").select("id", "component")
+        label = lambda c: F.coalesce(F.col(f"{c}.component"), F.col(f"f.{c[1]}"))
+        bridges = failures.alias("f").join(found.alias("xa"), F.col("f.a") == F.col("xa.id"), "left").join(found.alias("yb"), F.col("f.b") == F.col("yb.id"), "left").select(label("xa").alias("a"), label("yb").alias("b")).where("a <> b")
+        bridges = staged(bridges, "jaccard-bridges")
+        tried = bridges.select(F.col("a").alias("_open")).unionByName(bridges.select(F.col("b").alias("_open"))).distinct()
         noted = failures.select(F.col("a").alias("id"), F.col("b").alias("x")).unionByName(failures.select(F.col("b").alias("id"), F.col("a").alias("x"))).groupBy("id").agg(F.collect_set("x").alias("failed"))
-        state = staged(state.join(noted, "id", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<long>"))), "jaccard-state")
-        active = active.drop("component", "failed").join(small_side(state, state.count()), "id")
+        ids = dealt.select("id").distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        state = ids.join(tried, F.col("component") == F.col("_open"), "left_semi").join(noted, "id", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<long>")))
+        state = staged(state.select("id", "component", "failed"), "jaccard-state")
+        active, later = dealt.join(small_side(state, state.count(), 200_000), "id"), True
     found = components(links) if links is not None else None
     belongs = classes.select(*on, "rep", F.col("rep").alias("component_id"))
     if found is not None:
