@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, encoding, html_text, jaccard, lm, mixing, token_counts, toxicity, warc
+from . import common, encoding, html_text, jaccard, lm, mixing, nndescent, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -65,7 +69,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_mixing, op4_toxicity, op5_token_counts, op7_ngram_jaccard, op8_bpe, op9_warc, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_mixing, op4_toxicity, op5_token_counts, op6_nn_descent, op7_ngram_jaccard, op8_bpe, op9_warc, op10_lm)}
 
 ORACLE = {
     "op3_mixing": r"""
