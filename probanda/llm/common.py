@@ -143,3 +143,20 @@ def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, width: int) -> list[np.
             else:
                 out.append(hashes[:0])
     return out
+
+
+def most_frequent(counts: DataFrame, most: int, n: str = "n"):
+    """The rows of a table of counts that are highest, about ``most`` and never more, as pandas; ties at the edge stay out.
+
+    A histogram of at most a few hundred bins finds the edge, so that neither tasks nor the driver hold more rows than asked for.
+    """
+    bin_ = F.floor(F.log2(F.col(n).cast("double")) * 8)
+    bins = sorted(((b, c) for b, c in counts.where(F.col(n) > 0).groupBy(bin_.alias("b")).count().collect()), reverse=True)
+    total, edge = 0, None
+    for b, c in bins:
+        if total + c > most:
+            break
+        total, edge = total + c, b
+    if edge is None:
+        return counts.limit(0).toPandas()
+    return counts.where(F.col(n) > 0).where(bin_ >= edge).toPandas()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_sets, slices, small_side, staged, text_buffers, word_hashes
+from .common import mix, most_frequent, shingle_sets, slices, small_side, staged, text_buffers, word_hashes
 from .components import components
 
 #: Token orders whose filters are intersected.
@@ -58,7 +58,7 @@ def frequent_tokens(docs: DataFrame, text: str, width: int, most: int = RANKED)
                 yield pa.RecordBatch.from_pydict({"token": tokens[held].view(np.int64), "n": n[held].astype(np.int64)})
 
     counted = docs.select(F.col(f"`{text}`").alias(text)).mapInArrow(count, "token long, n long")
-    top = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toPandas()
+    top = most_frequent(staged(counted.groupBy("token").agg(F.sum("n").alias("n")), "jaccard-frequent"), most)
     tokens, n = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     by = np.argsort(tokens)
     return tokens[by], n[by]

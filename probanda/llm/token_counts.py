@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import most_frequent, staged
 
 #: At most so many pre-tokens go into the broadcast table (under 2 MB).
 TABLE_ROWS = 32_768
@@ -54,9 +55,9 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text", rows: int =
         return {}
     share = min(1.0, warm / total)
     some = docs.where(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(1_000_000)) < round(share * 1_000_000)).select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    top = some.mapInPandas(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(rows)
+    counted = staged(some.mapInPandas(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")), "tokens-warm")
     model = bpe.load(path)
-    return {p: len(model.run(p.encode())) for (p,) in top.select("p").collect()}
+    return {p: len(model.run(p.encode())) for p in most_frequent(counted, rows)["p"]}
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), table: dict[str, int] | None = None) -> DataFrame:
