@@ -6,22 +6,46 @@ Every stage is written as Parquet and read again before the next, in ``run`` as
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from probanda.llm import common, encoding, mixing
+from probanda.llm import common, encoding, jaccard, mixing, toxicity
 from probanda.llm.queries import _vocabulary
 
 
-def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels of these documents, does not call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near copies: five-word shingles, Jaccard 0.8 or more.
+
+    Rows that repeat an id keep one of them; texts without words are no copies of one another, and rows without an id stay.
+    """
+    found = common.staged(jaccard.linked(docs, width=5, percent=80), "pipeline-linked")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(common.small_side(gone, gone.count()), "doc_id", "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = again.count()
+    if repeated:
+        again = common.small_side(again, repeated)
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks for."""
     return mixing.mix(docs).select(*docs.columns)
 
 
-def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of every document of the mix."""
     return encoding.encode(docs, _vocabulary(), keep=("doc_id", "lang", "source"))
 
 
-STAGES = [("mixing", mixing_to_weights), ("bpe", bpe_encoding)]
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
 
 #: SQL cannot express the classifier, the tokenizer or, at this size, the join; the tests compare each stage with a plain version.
 ORACLE_SQL = None
