@@ -29,8 +29,9 @@ ORDERS = 3
 RANKED = 65_536
 #: Rows of one Arrow batch that a token must have to be reported as frequent.
 LEAST_ROWS = 8
-#: Documents of one prefix token up to which all its pairs are made, in the first round and in later ones.
-FEW, FEW_LATER = 24, 256
+#: Documents of one prefix token up to which all its pairs are made at once; of larger ones a forest at first, and then so many
+#: pairs of a document in a round as join it to other components.
+FEW, EACH = 24, 128
 #: Documents of one prefix token that are compared in one block.
 BLOCK = 2048
 _SEEDS = [np.uint64(0x5851F42D4C957F2D * (2 * k + 1) % (1 << 64)) for k in range(8)]
@@ -53,9 +54,13 @@ def frequent_tokens(docs: DataFrame, text: str, width: int, most: int = RANKED)
         for batch in batches:
             found = [s for s in _sets(batch, text, width) if len(s)]
             if found:
-                tokens, n = np.unique(np.concatenate(found), return_counts=True)
+                tokens = np.concatenate(found)
+                del found
+                tokens.sort()
+                starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+                n = np.diff(np.append(starts, len(tokens)))
                 held = n >= LEAST_ROWS
-                yield pa.RecordBatch.from_pydict({"token": tokens[held].view(np.int64), "n": n[held].astype(np.int64)})
+                yield pa.RecordBatch.from_pydict({"token": tokens[starts[held]].view(np.int64), "n": n[held].astype(np.int64)})
 
     counted = docs.select(F.col(f"`{text}`").alias(text)).mapInArrow(count, "token long, n long")
     top = most_frequent(staged(counted.groupBy("token").agg(F.sum("n").alias("n")), "jaccard-frequent"), most)
@@ -89,7 +94,7 @@ def _longs(rows: list[np.ndarray]) -> pa.Array:
 
 def parity_bits(tokens: np.ndarray) -> bytes:
     """Per bit, whether an odd number of tokens falls on it. Two such maps differ in at most as many bits as the sets in tokens."""
-    size = max(256, 1 << int(2 * len(tokens) - 1).bit_length())
+    size = max(256, 1 << int(len(tokens) - 1).bit_length())
     odd = np.bincount((mix(tokens ^ _SEEDS[7]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -152,8 +157,9 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def _forest(group: pd.DataFrame, percent: int, all_pairs: bool = False) -> list[tuple[int, int]]:
-    """Candidate pairs among the rows of one token that are in different components: a spanning forest, or all."""
+def _forest(group: pd.DataFrame, percent: int, later: bool = False) -> list[tuple[int, int]]:
+    """Candidate pairs among the rows of one token that are in different components, best first: a spanning forest, or later up
+    to EACH of each row."""
     group = group.sort_values(["n", "id"], kind="stable")
     ids, n, label = group["id"].to_numpy(np.int64), group["n"].to_numpy(np.int64), group["component"].to_numpy(np.int64).copy()
     if (label == label[0]).all():
@@ -164,7 +170,6 @@ def _forest(group: pd.DataFrame, percent: int, all_pairs: bool = False) -> list[
     plain = {w: np.stack([bits[k] for k in np.flatnonzero(width == w)]) for w in np.unique(width)}
     folded = {w: np.stack([_fold(bits[k], w // 2) for k in np.flatnonzero(width == w)]) for w in plain if w // 2 in plain}
     place = {w: np.flatnonzero(width == w) for w in plain}
-    others = [[frozenset(np.frombuffer(x, np.uint16).tolist()) for x in group[c]] for c in group.columns if c.startswith("short")]
     failed = {k: frozenset(map(int, x)) for k, x in enumerate(group["failed"]) if x is not None and len(x)}
     out = []
     for i in range(len(ids) - 1):
@@ -188,17 +193,16 @@ def _forest(group: pd.DataFrame, percent: int, all_pairs: bool = False) -> list[
         if split:
             fit &= own[js] != own[i]
         js = js[fit][np.argsort(-slack[fit], kind="stable")]
+        if i in failed:
+            js = js[~np.isin(ids[js], list(failed[i]))]
+        if later:
+            out += [(int(ids[i]), int(ids[j])) for j in js[:EACH]]
+            continue
         while len(js):
             j = js[0]
-            if (i not in failed or int(ids[j]) not in failed[i]) and all(not s[i].isdisjoint(s[j]) for s in others):
-                out.append((int(ids[i]), int(ids[j])))
-                if all_pairs:
-                    js = js[1:]
-                    continue
-                label[label == label[j]] = label[i]
-                js = js[label[js] != label[i]]
-            else:
-                js = js[1:]
+            out.append((int(ids[i]), int(ids[j])))
+            label[label == label[j]] = label[i]
+            js = js[label[js] != label[i]]
     return out
 
 
@@ -225,7 +229,7 @@ def _filtered(pairs: DataFrame, about: DataFrame, percent: int, orders: int) ->
 
 
 def _candidates(dealt: DataFrame, percent: int, later: bool) -> DataFrame:
-    """(a, b) from rows (token, b1, b2, own, id, n, bits, short1.., component, failed) of tokens of many documents."""
+    """(a, b) from rows (token, b1, b2, own, id, n, bits, component, failed) of tokens of many documents."""
 
     def pair(batches):
         held = None
@@ -238,18 +242,36 @@ def _candidates(dealt: DataFrame, percent: int, later: bool) -> DataFrame:
             found, first = [], 0
             for last in np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1:
                 if last - first > 1:
-                    found += _forest(pdf.iloc[first:last], percent, later and last - first <= FEW_LATER)
+                    found += _forest(pdf.iloc[first:last], percent, later)
                 first = last
             held = pdf.iloc[first:]
             yield pd.DataFrame(sorted({(min(p), max(p)) for p in found}), columns=["a", "b"], dtype="int64")
         if held is not None and len(held) > 1:
-            found = _forest(held, percent, later and len(held) <= FEW_LATER)
+            found = _forest(held, percent, later)
             yield pd.DataFrame(sorted({(min(p), max(p)) for p in found}), columns=["a", "b"], dtype="int64")
 
     sorted_ = dealt.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
     return sorted_.mapInPandas(pair, "a long, b long").where("a <> b").distinct()
 
 
+def _between(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of components (a, b) that pairs of documents join."""
+    la, lb = labels.select(F.col("id").alias("a"), F.col("component").alias("_ca")), labels.select(F.col("id").alias("b"), F.col("component").alias("_cb"))
+    both = pairs.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b"))
+    return both.where("a <> b").distinct()
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after more links: only the components that the new links join are walked again."""
+    if labels is None:
+        return staged(components(links), "jaccard-labels")
+    moved = staged(components(_between(labels, links)), "jaccard-moved").select(F.col("id").alias("_old"), F.col("component").alias("_new"))
+    known = labels.select("id", F.col("component").alias("_at"))
+    alone = moved.select(F.col("_old").alias("id"), F.col("_old").alias("_at")).join(known.select("id"), "id", "left_anti")
+    out = known.unionByName(alone).join(moved, F.col("_at") == F.col("_old"), "left")
+    return staged(out.select("id", F.coalesce("_new", "_at").alias("component")), "jaccard-labels")
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, orders: int = ORDERS) -> DataFrame:
     """Per document: ``key``, n_shingles (size of its set of ``width``-word shingles) and component_id (smallest key reachable by links).
 
@@ -304,8 +326,11 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     dealt = many.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_g"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     dealt = many.join(dealt, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
     dealt = dealt.select("token", F.least("own", "_other").alias("b1"), F.greatest("own", "_other").alias("b2"), "own", "id")
-    dealt = staged(dealt.join(about, "id"), "jaccard-dealt")
-    active = dealt.withColumns({"component": F.col("id"), "failed": F.array().cast("array<long>")})
+    dealt = staged(dealt.join(about.select("id", "n", "bits"), "id"), "jaccard-dealt")
+    fresh = {"component": F.col("id"), "failed": F.array().cast("array<long>")}
+    # at first each document takes part in one token alone, so that a family of copies gives one forest and not one per token
+    once = dealt.groupBy(F.col("id").alias("_id")).agg(F.min("token").alias("_token"))
+    active = dealt.join(once, (F.col("id") == F.col("_id")) & (F.col("token") == F.col("_token"))).drop("_id", "_token").withColumns(fresh)
 
     def counted_pairs(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -315,35 +340,34 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         fits = pairs.join(a, "a").join(b, "b").select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("fits"))
         return staged(fits.groupBy("a", "b").agg(F.max("fits").alias("fits")), "jaccard-counted")
 
-    links = failures = None
-    later = False
+    labels = failures = None
+    turn = 0
     while True:
-        pairs = _candidates(active, percent, later)
-        if not later:
-            pairs = _filtered(few, about, percent, orders).select("a", "b", F.lit(False).alias("many")).unionByName(pairs.select("a", "b", F.lit(True).alias("many"))).groupBy("a", "b").agg(F.max("many").alias("many"))
-        else:
-            pairs = pairs.withColumn("many", F.lit(True))
+        pairs = _candidates(active, percent, turn > 1).withColumn("many", F.lit(True))
+        if not turn:
+            pairs = pairs.unionByName(few.withColumn("many", F.lit(False))).groupBy("a", "b").agg(F.max("many").alias("many"))
         pairs = staged(pairs, "jaccard-pairs")
-        if not pairs.limit(1).count():
-            break
-        counted = counted_pairs(pairs.select("a", "b"))
-        links = counted.where("fits").select("a", "b") if links is None else links.unionByName(counted.where("fits").select("a", "b"))
-        failed = staged(counted.where("not fits").join(pairs.where("many"), ["a", "b"]).select("a", "b"), "jaccard-failed")
-        if not failed.limit(1).count():
+        if turn > 1 and not pairs.limit(1).count():
             break
+        counted = counted_pairs(staged(_filtered(pairs.select("a", "b"), about, percent, orders), "jaccard-filtered"))
+        new = counted.where("fits").select("a", "b")
+        failed = staged(pairs.where("many").join(new, ["a", "b"], "left_anti").select("a", "b"), "jaccard-failed")
         failures = failed if failures is None else failures.unionByName(failed)
-        # undecided: what failed pairs held together, as far as links don't
-        found = staged(components(links), "jaccard-components")
-        label = lambda c: F.coalesce(F.col(f"{c}.component"), F.col(f"f.{c[1]}"))
-        bridges = failures.alias("f").join(found.alias("xa"), F.col("f.a") == F.col("xa.id"), "left").join(found.alias("yb"), F.col("f.b") == F.col("yb.id"), "left").select(label("xa").alias("a"), label("yb").alias("b")).where("a <> b")
-        bridges = staged(bridges, "jaccard-bridges")
-        tried = bridges.select(F.col("a").alias("_open")).unionByName(bridges.select(F.col("b").alias("_open"))).distinct()
+        labels = _relabelled(labels, new)
+        turn += 1
+        if turn == 2 and not failed.limit(1).count():
+            break
+        ids = dealt.select("id").distinct().join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if turn > 1:
+            # undecided: components that failed pairs would have held together
+            bridges = _between(labels, failures)
+            undecided = bridges.select(F.col("a").alias("_open")).unionByName(bridges.select(F.col("b").alias("_open"))).distinct()
+            ids = ids.join(undecided, F.col("component") == F.col("_open"), "left_semi")
         noted = failures.select(F.col("a").alias("id"), F.col("b").alias("x")).unionByName(failures.select(F.col("b").alias("id"), F.col("a").alias("x"))).groupBy("id").agg(F.collect_set("x").alias("failed"))
-        ids = dealt.select("id").distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        state = ids.join(tried, F.col("component") == F.col("_open"), "left_semi").join(noted, "id", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<long>")))
-        state = staged(state.select("id", "component", "failed"), "jaccard-state")
-        active, later = dealt.join(small_side(state, state.count(), 200_000), "id"), True
-    found = components(links) if links is not None else None
+        state = ids.join(noted, "id", "left").select("id", "component", F.coalesce("failed", F.array().cast("array<long>")).alias("failed"))
+        state = staged(state, "jaccard-state")
+        active = dealt.join(small_side(state, state.count(), 200_000), "id")
+    found = labels
     belongs = classes.select(*on, "rep", F.col("rep").alias("component_id"))
     if found is not None:
         belongs = classes.join(found, classes["rep"] == found["id"], "left").select(*on, "rep", F.coalesce("component", "rep").alias("component_id"))
