@@ -175,7 +175,7 @@ def stratified_spearman(spark, d):
     return _rounded(ranks.stratified_spearman(order_cells(spark, d), "source", "balance", ["env_name"]).select("rho", "strata", "n"), 7)
 
 
-@query(f"""WITH {CELLS}, e AS (SELECT seed, avg(source) FILTER (WHERE arm_key = 'treatment') - avg(source) FILTER (WHERE arm_key = 'baseline') AS x, avg(balance) FILTER (WHERE arm_key = 'treatment') - avg(balance) FILTER (WHERE arm_key = 'baseline') AS y FROM cells GROUP BY seed),
+@query(f"""WITH {CELLS}, e AS (SELECT seed, avg(source) FILTER (WHERE arm_key = 'treatment') - avg(source) FILTER (WHERE arm_key = 'baseline') AS x, avg(balance) FILTER (WHERE arm_key = 'treatment') - avg(balance) FILTER (WHERE arm_key = 'baseline') AS y FROM cells GROUP BY seed HAVING least(count(*) FILTER (WHERE arm_key = 'treatment'), count(*) FILTER (WHERE arm_key = 'baseline')) >= 3),
     r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS y FROM e) SELECT count(*) AS n, round(corr(x, y), 7) AS rho FROM r""")
 def cross_stratum_slope(spark, d):
     return _rounded(ranks.cross_stratum_slope(order_cells(spark, d), "source", "balance", ["seed"]), 7)
