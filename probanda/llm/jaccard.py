@@ -210,8 +210,14 @@ def _meet(x: bytes, y: bytes) -> bool:
     return not frozenset(np.frombuffer(x, np.uint16).tolist()).isdisjoint(np.frombuffer(y, np.uint16).tolist())
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
 def _filtered(pairs: DataFrame, about: DataFrame, percent: int, orders: int) -> DataFrame:
-    """The pairs (a, b) that pass the bitmap bound and share a prefix token under every further order."""
+    """The pairs (a, b) that pass the bitmap bound and share a prefix token under every further order. Only what belongs to their
+    documents is shuffled."""
+    about = about.join(small_side(_ends(pairs), pairs.count(), 500_000), "id", "left_semi")
     names = ["n", "bits", *(f"short{k}" for k in range(1, orders))]
     sides = [about.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "ab"]
 
@@ -305,7 +311,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     many = met.where("not pair").select("token", "id").unionByName(reps.select(F.explode("hot0").alias("token"), "id"))
 
     # bitmaps, the other orders' prefixes and the sets are made for those alone that met another
-    named = few.select(F.col("a").alias("id")).unionByName(few.select(F.col("b").alias("id"))).unionByName(many.select("id")).distinct()
+    named = _ends(few).unionByName(many.select("id")).distinct()
     named = staged(named, "jaccard-named")
 
     def more(batches):
@@ -324,17 +330,18 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
     # tokens of many documents, in pairs of blocks
     dealt = many.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_g"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    dealt = many.join(dealt, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
-    dealt = dealt.select("token", F.least("own", "_other").alias("b1"), F.greatest("own", "_other").alias("b2"), "own", "id")
+    # at first each document takes part in one token alone, so that a family of copies gives one forest and not one per token
+    many = many.join(dealt, "token")
+    once = many.groupBy(F.col("id").alias("_id")).agg(F.min("token").alias("_token"))
+    many = many.join(once, F.col("id") == F.col("_id")).withColumn("once", F.col("token") == F.col("_token"))
+    dealt = many.withColumn("own", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    dealt = dealt.select("token", F.least("own", "_other").alias("b1"), F.greatest("own", "_other").alias("b2"), "own", "id", "once")
     dealt = staged(dealt.join(about.select("id", "n", "bits"), "id"), "jaccard-dealt")
     fresh = {"component": F.col("id"), "failed": F.array().cast("array<long>")}
-    # at first each document takes part in one token alone, so that a family of copies gives one forest and not one per token
-    once = dealt.groupBy(F.col("id").alias("_id")).agg(F.min("token").alias("_token"))
-    active = dealt.join(once, (F.col("id") == F.col("_id")) & (F.col("token") == F.col("_token"))).drop("_id", "_token").withColumns(fresh)
+    active = dealt.where("once").withColumns(fresh)
 
     def counted_pairs(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        whole = sets.select("id", "members").join(small_side(ids, pairs.count(), 500_000), "id", "left_semi")
+        whole = sets.select("id", "members").join(small_side(_ends(pairs), pairs.count(), 500_000), "id", "left_semi")
         a, b = whole.select(F.col("id").alias("a"), F.col("members").alias("x")), whole.select(F.col("id").alias("b"), F.col("members").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         fits = pairs.join(a, "a").join(b, "b").select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("fits"))
