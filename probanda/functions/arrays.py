@@ -28,13 +28,13 @@ def total(x: Column) -> Column:
 
 
 def mean(x: Column) -> Column:
-    return F.when(F.size(x) > 0, total(x) / F.size(x))
+    return F.when(F.size(x) > 0, F.try_divide(total(x), F.size(x).cast("double")))
 
 
 def std(x: Column) -> Column:
     """Population standard deviation."""
     m = mean(x)
-    return F.when(F.size(x) > 0, F.sqrt(total(F.transform(x, lambda v: (v - m) * (v - m))) / F.size(x)))
+    return F.when(F.size(x) > 0, F.sqrt(F.try_divide(total(F.transform(x, lambda v: (v - m) * (v - m))), F.size(x).cast("double"))))
 
 
 def mean_window(x: Column, lo: float, hi: float) -> Column:
@@ -106,7 +106,7 @@ def time_to(x: Column, fraction: float = 0.5) -> Column:
     """First index at ``fraction`` of the peak, as a share of n - 1; null without a positive peak."""
     peak, n = F.array_max(x), F.size(x)
     first = F.array_position(F.transform(x, lambda v: v >= peak * fraction), True) - 1
-    return F.when((n >= 2) & (peak > 0), first / (n - 1).cast("double"))
+    return F.when((n >= 2) & (peak > 0), F.try_divide(first.cast("double"), (n - 1).cast("double")))
 
 
 def slope(x: Column) -> Column:
@@ -133,7 +133,7 @@ def autocorrelation(x: Column, lag: int) -> Column:
 def entropy(x: Column) -> Column:
     """Plug-in entropy in nats of the values of an array."""
     n = F.size(x)
-    parts = F.transform(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda u: u == v)) / n.cast("double"))
+    parts = F.transform(F.array_distinct(x), lambda v: F.try_divide(F.size(F.filter(x, lambda u: u == v)).cast("double"), n.cast("double")))
     return F.when(n > 0, -total(F.transform(parts, lambda p: p * F.ln(p))))
 
 
@@ -144,16 +144,17 @@ def distinct(x: Column) -> Column:
 def repeat_rate(x: Column, trailing: int) -> Column:
     """Share of elements that are among the ``trailing`` ones before; null where n <= trailing + 1."""
     n = F.size(x)
-    met = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(F.slice(x, F.greatest(i - trailing, F.lit(0)) + 1, F.least(i, F.lit(trailing))), F.get(x, i)))
-    return F.when(n > trailing + 1, F.size(met) / n.cast("double"))
+    met = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.array_contains(F.slice(x, F.greatest(i - trailing, F.lit(0)) + 1, F.least(i, F.lit(trailing))), F.get(x, i)))
+    return F.when(n > trailing + 1, F.try_divide(F.size(met).cast("double"), n.cast("double")))
 
 
 def by_burst(x: Column, bursts: int | Column, op=mean) -> Column:
     """The array cut at floor(n i / bursts) and each part reduced."""
     n = F.size(x)
     k = F.lit(bursts) if isinstance(bursts, int) else bursts
-    edge = lambda i: F.floor(n * i / k.cast("double")).cast("int")
-    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: op(F.slice(x, edge(i) + 1, F.greatest(edge(i + 1) - edge(i), F.lit(0)))))
+    edge = lambda i: F.floor(F.try_divide(n * i.cast("double"), k.cast("double"))).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), lambda i: op(F.slice(x, F.coalesce(edge(i), F.lit(0)) + 1, F.coalesce(F.greatest(edge(i + 1) - edge(i), F.lit(0)), F.lit(0)))))
+    return F.when(k > 0, parts)
 
 
 def jaccard(a: Column, b: Column) -> Column:
