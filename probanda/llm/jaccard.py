@@ -26,9 +26,11 @@ from .components import components
 #: Token orders whose filters are intersected.
 ORDERS = 3
 #: At most so many of the most frequent tokens have a rank of their own in the orders; others count as rare. Ranks change speed alone.
-RANKED = 65_536
+RANKED = 262_144
 #: Rows of one Arrow batch that a token must have to be reported as frequent.
-LEAST_ROWS = 8
+LEAST_ROWS = 3
+#: Rows that a task describes at once.
+ROWS = 2500
 #: Documents of one prefix token up to which all its pairs are made at once; of larger ones a forest at first, and then so many
 #: pairs of a document in a round as join it to other components.
 FEW, EACH = 24, 128
@@ -47,6 +49,13 @@ def _sets(batch: pa.RecordBatch, text: str, width: int):
         yield from shingle_sets(*word_hashes(data, offsets[first : last + 1]), width)
 
 
+def _parts(batches):
+    """Arrow batches in parts of ROWS rows, which bounds what a task holds."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
 def frequent_tokens(docs: DataFrame, text: str, width: int, most: int = RANKED) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles over all documents, sorted, and their counts. Counts are made in each batch and summed."""
 
@@ -293,7 +302,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     shared = spark.sparkContext.broadcast((ranked, counts))
 
     def describe(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             sets = list(_sets(batch, "text", width))
             rare, hot = zip(*[_prefix(s, 0, percent, *shared.value) if len(s) else (s, s) for s in sets], strict=True) if sets else ((), ())
             sums = [[int(mix(s ^ _SEEDS[k]).sum(dtype=np.uint64)) - (1 << 63) if len(s) else 0 for s in sets] for k in (5, 6)]
@@ -316,7 +325,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
     def more(batches):
         short = lambda tokens: (mix(tokens) >> np.uint64(48)).astype(np.uint16).tobytes()
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [(k, s) for k, s in enumerate(_sets(batch, "text", width)) if len(s)]
             columns, names = [batch.column(0).take(pa.array([k for k, _ in sets], pa.int64())), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([parity_bits(s) for _, s in sets], pa.binary()), _longs([s for _, s in sets])], ["id", "n", "bits", "members"]
             for order in range(1, orders):
