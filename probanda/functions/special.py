@@ -105,3 +105,18 @@ def binomial_p(k: int, n: int, direction: str = "either") -> float:
     if direction == "either":
         return min(1.0, 2 * binomial_tail(max(k, n - k), n))
     return binomial_tail(k if direction == "positive" else n - k, n)
+
+
+def sign_permutation_p(values: list[float], most: int = 16_384, draws: int = 10_000, seed: int = 42) -> float:
+    """Two-sided p of the mean of per-stratum values under flips of their signs: exact up to ``most`` flips, else seeded draws."""
+    import numpy as np
+
+    x = np.asarray([v for v in values if not math.isnan(v)], float)
+    k = len(x)
+    if not k:
+        return math.nan
+    if 2**k <= most:
+        signs = 1 - 2 * ((np.arange(2**k)[:, None] >> np.arange(k)) & 1)
+        return float((np.abs(signs @ x) >= abs(x.sum()) - 1e-12).mean())
+    signs = np.random.default_rng(seed).choice([-1, 1], (draws, k))
+    return float((1 + (np.abs(signs @ x) >= abs(x.sum()) - 1e-12).sum()) / (draws + 1))

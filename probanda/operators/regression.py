@@ -187,3 +187,21 @@ def refute_common_cause(rows: DataFrame, treatment: str, outcome: str, given: li
     noise = F.pmod(F.xxhash64(*[col(c) for c in rows.columns], F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
     plain = ols(rows, outcome, [treatment, *given]).coefficients[1]
     return float(ols(rows.withColumn("_cause", noise), outcome, [treatment, *given, "_cause"]).coefficients[1] - plain)
+
+
+def moderation(rows: DataFrame, predictor: str, target: str, attenuator: str, threshold: float, env: str) -> dict:
+    """Whether the slope of target on predictor differs where the attenuator exceeds a threshold: OLS with the interaction and one
+    indicator per environment but the first. ValueError where the columns are collinear."""
+    kept = rows.where(number(predictor).isNotNull() & number(target).isNotNull() & number(attenuator).isNotNull())
+    envs = sorted((r[0] for r in kept.select(col(env)).distinct().collect()), key=repr)
+    high = (number(attenuator) > threshold).cast("double")
+    kept = kept.withColumns({"_high": high, "_both": high * number(predictor), **{f"_env{k}": (col(env) == e).cast("double") for k, e in enumerate(envs) if k}})
+    fit = ols(kept, target, [predictor, "_high", "_both", *[f"_env{k}" for k in range(1, len(envs))]])
+    return {"slope": float(fit.coefficients[1]), "interaction": float(fit.coefficients[3]), "se": float(fit.errors[3]), "p": float(fit.p_values[3]), "n": fit.n}
+
+
+def tautology_audit(cells: DataFrame, reads: dict[str, set[str]], mediator: str, outcome: str, hyperparameters: list[str]) -> dict:
+    """How far a mediator restates the outcome or the configuration: overlap of what both read, and R^2 on each hyperparameter."""
+    a, b = reads.get(mediator, set()), reads.get(outcome, set())
+    shared = len(a & b) / len(a | b) if a | b else 0.0
+    return {"reads_jaccard": shared, "r2": {h: float(ols(cells, mediator, [h]).r2) for h in hyperparameters}}

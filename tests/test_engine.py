@@ -183,3 +183,20 @@ def test_live_record(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     live.watch(spark, str(tmp_path / "in"), df.schema, lambda x: x.groupBy("arm_key").count(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_sign_permutation():
+    assert special.sign_permutation_p([1.0, 2.0, 3.0]) == 0.25
+    assert special.sign_permutation_p([]) != special.sign_permutation_p([])
+    assert special.sign_permutation_p([0.5] * 20) < 0.01
+
+
+def test_moderation_and_audit(spark):
+    rng = np.random.default_rng(7)
+    x, z = rng.normal(size=300), rng.uniform(size=300)
+    y = x + 2 * x * (z > 0.5) + rng.normal(0, 0.1, 300)
+    df = spark.createDataFrame([(float(a), float(b), float(c), f"e{i % 3}") for i, (a, b, c) in enumerate(zip(x, y, z))], "x double, y double, z double, env string")
+    found = regression.moderation(df, "x", "y", "z", 0.5, "env")
+    assert found["interaction"] == pytest.approx(2, abs=0.1) and found["p"] < 1e-6
+    audit = regression.tautology_audit(df, {"y": {"x", "z"}, "o": {"x"}}, "y", "o", ["x"])
+    assert audit["reads_jaccard"] == 0.5 and audit["r2"]["x"] > 0.5
