@@ -224,23 +224,31 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _filtered(pairs: DataFrame, about: DataFrame, percent: int, orders: int) -> DataFrame:
-    """The pairs (a, b) that pass the bitmap bound and share a prefix token under every further order. Only what belongs to their
-    documents is shuffled."""
-    about = about.join(small_side(_ends(pairs), pairs.count(), 500_000), "id", "left_semi")
-    names = ["n", "bits", *(f"short{k}" for k in range(1, orders))]
-    sides = [about.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "ab"]
+    """The pairs (a, b) that pass the bitmap bound and then share a prefix token under every further order. Bitmaps alone are
+    shuffled for all pairs; the longer prefixes follow for those that pass."""
 
-    def run(batches):
+    def kept(pairs: DataFrame, names: list[str], run) -> DataFrame:
+        own = about.select("id", *names).join(small_side(_ends(pairs), pairs.count(), 500_000), "id", "left_semi")
+        sides = [own.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "ab"]
+        return pairs.join(sides[0], "a").join(sides[1], "b").mapInPandas(run, "a long, b long")
+
+    def near(batches):
         for pdf in batches:
             keep = []
             for r in pdf.itertuples(index=False):
                 x, y = np.frombuffer(r.bits_a, np.uint8), np.frombuffer(r.bits_b, np.uint8)
                 size = min(len(x), len(y))
                 gap = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum(dtype=np.int64))
-                keep.append((100 - percent) * (r.n_a + r.n_b) >= (100 + percent) * gap and all(_meet(getattr(r, f"short{k}_a"), getattr(r, f"short{k}_b")) for k in range(1, orders)))
+                keep.append((100 - percent) * (r.n_a + r.n_b) >= (100 + percent) * gap)
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInPandas(run, "a long, b long")
+    def meet(batches):
+        for pdf in batches:
+            keep = [all(_meet(getattr(r, f"short{k}_a"), getattr(r, f"short{k}_b")) for k in range(1, orders)) for r in pdf.itertuples(index=False)]
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+    passed = staged(kept(pairs, ["n", "bits"], near).distinct(), "jaccard-near")
+    return kept(passed, [f"short{k}" for k in range(1, orders)], meet).distinct()
 
 
 def _candidates(dealt: DataFrame, percent: int, later: bool) -> DataFrame:
@@ -319,7 +327,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     few = staged(met.where("pair").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "jaccard-few")
     many = met.where("not pair").select("token", "id").unionByName(reps.select(F.explode("hot0").alias("token"), "id"))
 
-    # bitmaps, the other orders' prefixes and the sets are made for those alone that met another
+    # bitmaps and the other orders' prefixes are made for those alone that met another, whole sets for those whose pairs pass both
     named = _ends(few).unionByName(many.select("id")).distinct()
     named = staged(named, "jaccard-named")
 
@@ -327,15 +335,18 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         short = lambda tokens: (mix(tokens) >> np.uint64(48)).astype(np.uint16).tobytes()
         for batch in _parts(batches):
             sets = [(k, s) for k, s in enumerate(_sets(batch, "text", width)) if len(s)]
-            columns, names = [batch.column(0).take(pa.array([k for k, _ in sets], pa.int64())), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([parity_bits(s) for _, s in sets], pa.binary()), _longs([s for _, s in sets])], ["id", "n", "bits", "members"]
+            columns, names = [batch.column(0).take(pa.array([k for k, _ in sets], pa.int64())), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([parity_bits(s) for _, s in sets], pa.binary())], ["id", "n", "bits"]
             for order in range(1, orders):
                 columns.append(pa.array([short(np.concatenate(_prefix(s, order, percent, *shared.value))) for _, s in sets], pa.binary()))
                 names.append(f"short{order}")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kinds = "id long, n long, bits binary, members array<long>" + "".join(f", short{k} binary" for k in range(1, orders))
-    sets = staged(rows.join(small_side(named, named.count()), "id", "left_semi").mapInArrow(more, kinds), "jaccard-sets")
-    about = sets.drop("members")
+    kinds = "id long, n long, bits binary" + "".join(f", short{k} binary" for k in range(1, orders))
+    about = staged(rows.join(small_side(named, named.count()), "id", "left_semi").mapInArrow(more, kinds), "jaccard-about")
+
+    def whole(batches):
+        for batch in _parts(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _longs(list(_sets(batch, "text", width)))], names=["id", "members"])
 
     # tokens of many documents, in pairs of blocks
     dealt = many.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_g"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
@@ -350,8 +361,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     active = dealt.where("once").withColumns(fresh)
 
     def counted_pairs(pairs: DataFrame) -> DataFrame:
-        whole = sets.select("id", "members").join(small_side(_ends(pairs), pairs.count(), 500_000), "id", "left_semi")
-        a, b = whole.select(F.col("id").alias("a"), F.col("members").alias("x")), whole.select(F.col("id").alias("b"), F.col("members").alias("y"))
+        ends = rows.join(small_side(_ends(pairs), pairs.count(), 500_000), "id", "left_semi")
+        sets = staged(ends.mapInArrow(whole, "id long, members array<long>").where(F.size("members") > 0), "jaccard-sets")
+        a, b = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         fits = pairs.join(a, "a").join(b, "b").select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("fits"))
         return staged(fits.groupBy("a", "b").agg(F.max("fits").alias("fits")), "jaccard-counted")
