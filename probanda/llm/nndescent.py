@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a neighbour graph, greedy search answers queries.
 
-Vectors that are equal are one node. Each node starts with the nearest of those that share a random pivot with it; then a
-few rounds of neighbours of neighbours improve the lists: every node's forward and reverse neighbours meet at it, and each
+Vectors that are equal are one node. Each node starts with the nearest of those that share a random pivot or a cell dealt by
+a hash with it, so that no node is left without a list; then a few rounds of neighbours of neighbours improve the lists: every node's forward and reverse neighbours meet at it, and each
 is told of the nearest others there. Rounds are joins: node lists with vectors, and merges by node. A query walks the
 graph from its own node and keeps a beam of the best nodes met; each step joins the beams' best unexpanded nodes with the
 graph, for all queries at once. Lists and beams use vectors of one byte a component with a scale; the end of each beam is
-measured again in double precision on the original vectors.
+measured again in double precision on the original vectors. Links between nodes that a hash deals together join the graph
+up, and queries that still end with fewer results than asked for are compared with all nodes, in blocks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ REVERSE = 16
 PIVOTS, NEAR, CELL = 128, 3, 512
 #: Nodes of a beam, nodes expanded a step, steps at most, and nodes measured again at the end.
 BEAM, EXPAND, STEPS, AGAIN = 320, 48, 40, 64
+#: Queries and nodes of a block of the exact pass.
+ASKS, BLOCK = 512, 2048
 
 
 def usable(vector: Column) -> Column:
@@ -104,7 +107,7 @@ def _tops(ids: np.ndarray, x: np.ndarray, most: int):
 
 
 def _cells(nodes: DataFrame, seed: int = 5) -> DataFrame:
-    """First lists: vectors that share one of their nearest random pivots, in cells of bounded size."""
+    """First lists: vectors that share one of their nearest random pivots, or the pivot of all, in cells of bounded size."""
     first = nodes.select("vec").first()
     if first is None:
         return nodes.select("id", F.array().cast("array<long>").alias("near"), F.array().cast("array<float>").alias("sims"))
@@ -115,7 +118,8 @@ def _cells(nodes: DataFrame, seed: int = 5) -> DataFrame:
             if len(pdf):
                 s = _unpacked(pdf["vec"]) @ pivots.value.T
                 at = np.argpartition(-s, NEAR, axis=1)[:, :NEAR]
-                yield pd.DataFrame({"pivot": at.ravel(), "id": np.repeat(pdf["id"].to_numpy(), NEAR), "vec": np.repeat(pdf["vec"].to_numpy(), NEAR)})
+                at = np.column_stack([at, np.full(len(at), PIVOTS)])  # a pivot of all, so that nobody is alone
+                yield pd.DataFrame({"pivot": at.ravel(), "id": np.repeat(pdf["id"].to_numpy(), NEAR + 1), "vec": np.repeat(pdf["vec"].to_numpy(), NEAR + 1)})
 
     placed = staged(nodes.mapInPandas(assign, "pivot int, id long, vec binary"), "nn-placed")
     # a pivot's rows are dealt by a hash into cells of about CELL rows
@@ -171,6 +175,17 @@ def _round(nodes: DataFrame, lists: DataFrame, salt: int) -> DataFrame:
     return _merged(lists.unionByName(told), NEIGHBOURS)
 
 
+def _rings(nodes: DataFrame) -> DataFrame:
+    """(id, to): each node's successor in its cell, of two deals by different hashes; cells of two deals overlap at random."""
+    cells = max(1, -(-nodes.count() // CELL))
+    out = []
+    for salt in (1, 2):
+        w = W.partitionBy("_cell").orderBy("id")
+        dealt = nodes.select("id", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(cells)).alias("_cell"))
+        out.append(dealt.select("id", F.coalesce(F.lead("id").over(w), F.first("id").over(w)).alias("to")))
+    return out[0].unionByName(out[1]).where("id <> to")
+
+
 def build(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, nodes, graph) of (vec_id, embedding) rows that take part: members (node, vec_id), nodes (id, embedding, vec), and
     graph (id, near, vecs), where vecs are the packed vectors of the neighbours."""
@@ -187,7 +202,7 @@ def build(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFram
         lists = staged(_round(nodes, lists, k), "nn-lists")
     edges = lists.select("id", F.explode("near").alias("to"))
     back = _sampled(edges, "to", "id", REVERSE, 99).select(F.col("to").alias("id"), F.col("id").alias("to"))
-    both = edges.unionByName(back).distinct().join(nodes.select(F.col("id").alias("to"), "vec"), "to")
+    both = edges.unionByName(back).unionByName(_rings(nodes)).distinct().join(nodes.select(F.col("id").alias("to"), "vec"), "to")
     graph = staged(both.groupBy("id").agg(F.collect_list(F.struct("to", "vec")).alias("_n")).select("id", F.col("_n.to").alias("near"), F.col("_n.vec").alias("vecs")), "nn-graph")
     return classes, nodes, graph
 
@@ -246,11 +261,38 @@ def _walk(starts: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
     return state
 
 
+def _exact(short: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(query, near): of each node in ``short`` (query) itself and the ``most`` nearest of all others in ``nodes`` (id, embedding), by
+    products of blocks."""
+
+    def blocks(rows: DataFrame, key: str, size: int, names: tuple[str, str]) -> DataFrame:
+        part = F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows.count() // size))))
+        held = rows.groupBy(part.alias("_part")).agg(F.collect_list(F.struct(key, "embedding")).alias("_b"))
+        return held.select(F.col(f"_b.{key}").alias(names[0]), F.flatten("_b.embedding").alias(names[1]))
+
+    def compare(batches):
+        for pdf in batches:
+            for asks, x, ids, y in zip(*(pdf[c] for c in ("asks", "x", "ids", "y")), strict=True):
+                asks, ids = np.asarray(asks), np.asarray(ids)
+                s = np.asarray(x, float).reshape(len(asks), -1) @ np.asarray(y, float).reshape(len(ids), -1).T
+                s[asks[:, None] == ids[None, :]] = -np.inf
+                k = min(most, len(ids))
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                yield pd.DataFrame({"id": asks, "near": list(ids[top]), "sims": list(np.take_along_axis(s, top, 1).astype(np.float32))})
+
+    asked = nodes.join(short.select(F.col("query").alias("id")), "id", "left_semi").select(F.col("id").alias("query"), "embedding")
+    left = staged(blocks(asked, "query", ASKS, ("asks", "x")), "nn-short")
+    right = staged(blocks(nodes, "id", BLOCK, ("ids", "y")), "nn-blocks")
+    pairs = right.repartition(64).crossJoin(left)
+    tops = _merged(pairs.mapInPandas(compare, "id long, near array<long>, sims array<float>"), most)
+    return tops.select(F.col("id").alias("query"), F.explode("near").alias("near")).unionByName(short.select("query", F.col("query").alias("near")))
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which ``queries`` holds its ``k`` nearest found among all others.
 
     Nearness is the inner product in double precision; ties go to the smaller id. With fewer than ``k`` others all are
-    given. Vectors that are null or zero or hold null or non-finite components take no part, nor do those of another length
+    given; a query never has fewer than ``k`` otherwise, as those that the graph leaves short get an exact pass. Vectors that are null or zero or hold null or non-finite components take no part, nor do those of another length
     than most. Equal vectors share a node and are listed one by one. Rows that repeat an id with one vector count once. An
     empty table gives an empty result; other columns are not read, so extra columns cannot clash.
     """
@@ -265,15 +307,24 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     beams = _walk(starts, graph)
     # of each node only the k + 1 smallest ids can be among k nearest
     few = member.withColumn("_n", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).where(F.col("_n") <= k + 1).select(F.col("node").alias("near"), "vec_id")
-    ends = beams.select("query", F.explode(F.slice("near", 1, AGAIN)).alias("near"))
+    again = max(AGAIN, k + 1)
+    ends = beams.select("query", F.explode(F.slice("near", 1, again)).alias("near"))
     exact = classes.select(F.col("id").alias("near"), F.col("embedding").alias("y"))
     asks = classes.select(F.col("id").alias("query"), F.col("embedding").alias("x"))
     product = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    # k + 1 nearest nodes hold k nearest rows, as the query's own row doesn't count
-    scored = ends.join(asks, "query").join(exact, "near").select("query", "near", product.alias("score"))
-    scored = scored.join(few, "near").select("query", "vec_id", "score")
-    best = scored.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= k + 1)
-    best = staged(best.select("query", "vec_id", "score"), "nn-best")
+
+    def measured(ends: DataFrame) -> DataFrame:
+        # k + 1 nearest nodes hold k nearest rows, as the query's own row doesn't count
+        scored = ends.join(asks, "query").join(exact, "near").select("query", "near", product.alias("score"))
+        scored = scored.join(few, "near").select("query", "vec_id", "score")
+        best = scored.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= k + 1)
+        return staged(best.select("query", "vec_id", "score"), "nn-best")
+
+    best = measured(ends)
+    found = best.groupBy("query").count().where(F.col("count") > k)
+    short = staged(starts.select("query").join(found, "query", "left_anti"), "nn-short")
+    if not short.isEmpty():
+        best = best.join(short, "query", "left_anti").unionByName(measured(_exact(short, classes, again)))
     asked = member.where("_asks").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     out = asked.join(best, "query").where("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

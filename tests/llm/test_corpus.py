@@ -177,6 +177,48 @@ def test_few_vectors(spark):
     assert nndescent.search(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_opposite_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = nndescent.search(df, F.lit(True), 20).orderBy("query_id").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, -1.0), (1, 1, 0, -1.0)]
+
+
+def test_outliers_ask_and_are_found(spark):
+    x = np.random.default_rng(4).normal(size=(700, 8)) * 0.1
+    x[:, 0] += 10
+    x[400] = [60, 1000, 0, 0, 0, 0, 0, 0]  # nearest of most, though it shares no pivot with them
+    x[500] = [-1000, 0, 0, 0, 0, 0, 0, 0]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    by = {}
+    for r in nndescent.search(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    y = x.astype(float)
+    hits = 0
+    for q in range(0, 700, 20):
+        s = y @ y[q]
+        s[q] = -np.inf
+        want = [int(k) for k in np.lexsort((np.arange(700), -s))[:20]]
+        assert len(by[q]) == 20 and (400 in by[q]) == (400 in want)
+        hits += len(set(by[q]) & set(want))
+    assert hits / (35 * 20) >= 0.9
+
+
+def test_short_queries_are_finished_exactly(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "BLOCK", 16)
+    monkeypatch.setattr(nndescent, "ASKS", 4)
+    monkeypatch.setattr(nndescent, "STEPS", 0)
+    x = np.random.default_rng(5).normal(size=(150, 6)).astype(np.float32)
+    x[7] = x[20]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = nndescent.search(df, F.col("vec_id") % 20 == 0, 20).collect()
+    y = x.astype(float)
+    for q in range(0, 150, 20):
+        s = y @ y[q]
+        s[q] = -np.inf
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == np.lexsort((np.arange(150), -s))[:20].tolist()
+
+
 def melody(seed, seconds=12):
     rng = np.random.default_rng(seed)
     notes = 220 * 2 ** (rng.integers(0, 24, seconds * 8) / 12)
