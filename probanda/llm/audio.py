@@ -118,7 +118,8 @@ def fingerprints(recordings: DataFrame, audio: str, key: str, decode: Callable[[
 
 
 def aligned(query: np.ndarray, rows: list[np.ndarray]) -> list[tuple[float, int, int] | None]:
-    """Per recording (share of unequal bits, offset, votes) at the offset that most equal integers agree on; None where too few do."""
+    """Per recording (share of unequal bits, offset, votes) at the offset of most votes (equal integers) among those of at most
+    ERRORS unequal bits, of the fewest unequal bits where there is none; None where no offset has enough votes."""
     codes = np.concatenate(rows) if rows else np.empty(0, np.uint32)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     place = np.concatenate([np.arange(len(r)) for r in rows]) if rows else np.empty(0, int)
@@ -134,18 +135,20 @@ def aligned(query: np.ndarray, rows: list[np.ndarray]) -> list[tuple[float, int,
         r, shift = int(pairs[k, 0]), int(pairs[k, 1])
         if votes[k] < VOTES:
             break
-        if best[r] is None:
+        if best[r] is None or best[r][0] > ERRORS:
             a, b = query[max(0, -shift) :], rows[r][max(0, shift) :]
             m = min(len(a), len(b))
-            best[r] = (float(np.bitwise_count(a[:m] ^ b[:m]).sum(dtype=np.int64)) / (32 * m), shift, int(votes[k]))
+            error = float(np.bitwise_count(a[:m] ^ b[:m]).sum(dtype=np.int64)) / (32 * m)
+            if best[r] is None or error < best[r][0]:
+                best[r] = (error, shift, int(votes[k]))
     return best
 
 
 def match(prints: DataFrame, key: str, queries: Column) -> DataFrame:
-    """Every recording against the stated queries, in blocks: class_id (smallest key with the same fingerprint), and of the query
-    that aligns best, of another class, its class, the offset in steps, the equal integers and the share of unequal bits; nulls
-    where none does. Equal fingerprints are compared once. Recordings without a fingerprint match nothing and are classes of
-    their own; repeated rows each give a row; an empty table gives an empty one."""
+    """Every recording against the stated queries, in blocks: class_id (smallest key with the same fingerprint), and of a query
+    of another class that aligns its class, the offset in steps, the equal integers and the share of unequal bits. A recording has
+    one row for each such class, and one with nulls where none aligns. Equal fingerprints are compared once. Recordings without a fingerprint match nothing and are classes of
+    their own; repeated rows each give their rows; an empty table gives an empty one."""
     some = prints.where(F.octet_length("codes") > 0)
     classes = staged(some.groupBy("codes").agg(F.min(key).alias("class_id"), F.max(queries).alias("asks")), "audio-classes")
 
@@ -157,12 +160,12 @@ def match(prints: DataFrame, key: str, queries: Column) -> DataFrame:
         for pdf in batches:
             for ids, codes, asks, wanted in zip(*(pdf[c] for c in ("ids", "codes", "asks", "wanted")), strict=True):
                 rows = [np.frombuffer(c, np.uint32) for c in codes]
-                best: dict[int, tuple] = {}
-                for q, w in sorted(zip(asks, wanted, strict=True), key=lambda x: x[0]):
+                out = []
+                for q, w in zip(asks, wanted, strict=True):
                     for i, found in zip(ids, aligned(np.frombuffer(w, np.uint32), rows), strict=True):
-                        if found and i != q and found[0] <= ERRORS and (i not in best or found[0] < best[i][0]):
-                            best[i] = (*found, q)
-                yield pd.DataFrame([(i, *b) for i, b in best.items()], columns=["class_id", "bit_error", "offset", "votes", "query_class"])
+                        if found and i != q and found[0] <= ERRORS:
+                            out.append((i, *found, q))
+                yield pd.DataFrame(out, columns=["class_id", "bit_error", "offset", "votes", "query_class"])
 
     chunks = packed(classes, ("ids", "codes"))
     blocks = packed(classes.where("asks"), ("asks", "wanted"))
@@ -170,7 +173,6 @@ def match(prints: DataFrame, key: str, queries: Column) -> DataFrame:
     blocks = staged(blocks, "audio-queries")
     pairs = staged(chunks, "audio-chunks").repartition(64).join(blocks)
     found = pairs.mapInPandas(compare, "class_id long, bit_error double, offset int, votes int, query_class long")
-    best = found.groupBy("class_id").agg(F.min(F.struct("bit_error", "query_class", "offset", "votes")).alias("b")).select("class_id", "b.*")
-    known = classes.join(best, "class_id", "left").select(F.col("codes").alias("_codes"), "class_id", "query_class", "offset", "votes", "bit_error")
+    known = classes.join(staged(found, "audio-found"), "class_id", "left").select(F.col("codes").alias("_codes"), "class_id", "query_class", "offset", "votes", "bit_error")
     out = prints.join(known, F.col("codes") == F.col("_codes"), "left")
     return out.select(F.col(key), "seconds", (F.octet_length("codes") / 4).cast("long").alias("n_codes"), F.sha2("codes", 256).alias("codes_sha256"), F.coalesce("class_id", key).alias("class_id"), "query_class", "offset", "votes", "bit_error")

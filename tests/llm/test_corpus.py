@@ -235,6 +235,24 @@ def test_excerpts_align():
     assert found[2] is None
 
 
+def test_later_offsets_are_measured():
+    query = np.random.default_rng(9).integers(0, 2**32, 40, dtype=np.uint32)
+    row = np.concatenate([~query, np.zeros(10, np.uint32), query ^ np.uint32(1)])
+    row[:40:8] = query[::8]  # five equal integers at offset 0, where all other bits differ
+    row[50:90:15] = query[::15]  # three at offset 50, where one bit in 32 differs
+    assert audio.aligned(query, [row])[0] == (37 / (32 * 40), 50, 3)
+
+
+def test_every_link_of_a_family(spark):
+    a = melody(5)
+    rows = [(i, a[audio.HOP * skip :].tolist()) for i, skip in ((100, 0), (102, 10), (200, 20), (202, 20))] + [(103, melody(6).tolist())]
+    prints = audio.fingerprints(spark.createDataFrame(rows, "rec long, audio array<float>"), "audio", "rec", lambda x: np.asarray(x, np.float32))
+    got = audio.match(prints, "rec", F.col("rec") % 100 == 0).collect()
+    links = {(r.rec, r.class_id, r.query_class, r.offset) for r in got}
+    assert links == {(100, 100, 200, 20), (102, 102, 100, -10), (102, 102, 200, 10), (200, 200, 100, -20), (202, 200, 100, -20), (103, 103, None, None)}
+    assert len(got) == 6
+
+
 def test_audio_columns(spark):
     import io
     import wave
