@@ -13,8 +13,11 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
+
+from .common import Kept
 
 # Fixed value: the pattern of the ByteLevel pre-tokenizer.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -22,6 +25,10 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 UNUSUAL = regex.compile("[^\u0000-\u0557\u05d0-\u05ea\u0620-\u064a\u1e00-\u1eff\u2010-\u2027\u2030-\u205e\u20a0-\u20bd\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]")
 
 
+#: Bytes of encoded pre-tokens that a worker keeps, in each of two generations.
+CACHE_BYTES = 24 << 20
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself where printable in Latin-1, else the next from U+0100."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -32,7 +39,7 @@ def byte_alphabet() -> list[str]:
 class ByteBpe:
     """One tokenizer file, with what workers keep between batches."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = CACHE_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
@@ -47,18 +54,12 @@ class ByteBpe:
             self.bytes_of[i] = bytes(back[c] for c in token)
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
+        self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.encoded = _Encoded(self, cache)
 
-    @functools.cached_property
-    def library(self) -> Tokenizer:
-        found = Tokenizer.from_file(self.path)
-        found.no_padding()
-        found.no_truncation()
-        return found
-
     @functools.cached_property
     def model(self) -> Tokenizer:
-        """The model alone: its input is one unsplit run in the byte alphabet."""
+        """The model alone: its input is one unsplit run in the byte alphabet. Workers that only decode never load it."""
         with open(self.path, encoding="utf-8") as f:
             spec = json.load(f)
         return Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "decoder": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}))
@@ -80,7 +81,7 @@ class ByteBpe:
     def pretokens(self, text: str) -> list[str]:
         if text.isascii() or not UNUSUAL.search(text):
             return PATTERN.findall(text)
-        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
 
     def run(self, raw: bytes) -> list[int]:
         """Ids of one unsplit run of bytes."""
@@ -124,31 +125,28 @@ class ByteBpe:
         return b"".join(out)
 
 
-class _Encoded(dict):
-    """Pre-token to its ids as int32 bytes; emptied when full, so that its memory is bounded."""
+class _Encoded(Kept):
+    """Pre-token to its ids as int32 bytes."""
 
     RUN_BYTES = 4096
 
     def __init__(self, bpe: ByteBpe, most: int):
-        self.bpe, self.most = bpe, most
+        super().__init__(self.ids, most)
+        self.bpe = bpe
 
-    def __missing__(self, pretoken: str) -> bytes:
+    def ids(self, pretoken: str) -> bytes:
         raw = pretoken.encode("utf-8")
-        ids = self.bpe.run(raw) if len(raw) <= self.RUN_BYTES else self.bpe.long_run(raw, self.RUN_BYTES)
-        found = array.array("i", ids).tobytes()
-        if len(pretoken) <= 256:
-            if len(self) >= self.most:
-                self.clear()
-            self[pretoken] = found
-        return found
+        return array.array("i", self.bpe.run(raw) if len(raw) <= self.RUN_BYTES else self.bpe.long_run(raw, self.RUN_BYTES)).tobytes()
 
 
 def text_slices(batch, column: str, most: int = 1 << 20):
     """Row slices of an Arrow batch with at most so many bytes in a string column; a longer text goes alone."""
-    sizes = batch.column(batch.schema.get_field_index(column)).nbytes
-    step = max(1, int(batch.num_rows * most / max(sizes, 1)))
-    for first in range(0, batch.num_rows, step):
-        yield batch.slice(first, step)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)) if pa.types.is_string(batch.column(column).type) else pc.multiply(pc.list_value_length(batch.column(column)), 4), 0)
+    ends, first = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
 
 
 def halves(raw: bytes, most: int) -> list[bytes]:
@@ -159,6 +157,6 @@ def halves(raw: bytes, most: int) -> list[bytes]:
     return halves(raw[:mid], most) + halves(raw[mid:], most)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def load(path: str) -> ByteBpe:
     return ByteBpe(path)

@@ -8,6 +8,7 @@ equal words.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -19,24 +20,50 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 18
 
 
+#: Bytes of one Arrow batch that a Python task gets at a time; the session's own setting stays where it is smaller.
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder under /tmp only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder under /tmp in local mode, as in
+    tests, and an error on a cluster, whose machines would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES, so that Python workers and their channels hold a few MB of long texts each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(key, None) or "")
+    if not held or int(held[1]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more; other DataFrames and None are left alone."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_side(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
@@ -44,6 +71,32 @@ def small_side(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+class Kept(dict):
+    """A cache of bounded bytes in two generations: when the young one is full it becomes the old one, and what is asked for again
+    moves back. So memory stays under twice ``most`` and words in use stay."""
+
+    #: Bytes of an entry besides its characters and its value: two objects and their place in the table.
+    ENTRY = 260
+
+    def __init__(self, make, most: int, base: dict | None = None):
+        """``base`` is there from the start and always stays."""
+        super().__init__(base or {})
+        self.make, self.most, self.size, self.base, self.old = make, most, 0, base or {}, {}
+
+    def __missing__(self, word: str):
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= 256:
+            self.size += self.ENTRY + 4 * len(word)
+            if self.size > self.most:
+                self.old, self.size = dict(self), 0
+                self.clear()
+                self.update(self.base)
+            self[word] = found
+        return found
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, on an array of uint64."""
     with np.errstate(over="ignore"):
@@ -58,16 +111,18 @@ _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        with np.errstate(over="ignore"):
-            tables = []
-            for base in (_BASE, _INVERSE):
-                t = np.full(size, np.uint64(base))
-                t[0] = 1
-                tables.append(np.multiply.accumulate(t))
+    """Powers 0 to n - 1 at least of the base and of its inverse; only tables for slices of usual size are kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    with np.errstate(over="ignore"):
+        tables = []
+        for base in (_BASE, _INVERSE):
+            t = np.full(max(n, SLICE_BYTES + 1), np.uint64(base))
+            t[0] = 1
+            tables.append(np.multiply.accumulate(t))
+    if n <= SLICE_BYTES + 1:
         _powers[:] = tables
-    return _powers[0], _powers[1]
+    return tables[0], tables[1]
 
 
 _SPACE = np.zeros(256, bool)
@@ -146,7 +201,7 @@ def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, width: int) -> list[np.
 
 
 def most_frequent(counts: DataFrame, most: int, n: str = "n"):
-    """The rows of a table of counts that are highest, about ``most`` and never more, as pandas; ties at the edge stay out.
+    """The rows of a table of counts that are highest, about ``most`` and never more, as pandas; a whole bin at the edge stays out.
 
     A histogram of at most a few hundred bins finds the edge, so that neither tasks nor the driver hold more rows than asked for.
     """
@@ -157,6 +212,8 @@ def most_frequent(counts: DataFrame, most: int, n: str = "n"):
         if total + c > most:
             break
         total, edge = total + c, b
-    if edge is None:
-        return counts.limit(0).toPandas()
-    return counts.where(F.col(n) > 0).where(bin_ >= edge).toPandas()
+    some = counts.where(F.col(n) > 0)
+    if edge is None and bins:  # the top bin alone is too large: a part of it by hash
+        edge, c = bins[0]
+        some = some.where(F.pmod(F.xxhash64(*[F.col(x) for x in counts.columns if x != n]), F.lit(1_000_000)) < int(900_000 * most / c))
+    return some.where(bin_ >= (edge if edge is not None else 0)).toPandas()
