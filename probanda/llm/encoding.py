@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import small_batches, staged
 
 #: Texts of more characters are cut into pieces that different tasks encode.
 LONG_CHARS = 50_000
@@ -29,6 +30,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     empty and gives no ids. Repeated rows each give a row; an empty table gives an empty one; columns outside ``keep`` are
     left out, so extra columns cannot clash.
     """
+    small_batches(docs.sparkSession)
     held = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     size = F.char_length("_text")
 
@@ -97,7 +99,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
         ids = [i for run in runs for i in model.concatenated(run)]
         return pd.DataFrame({"_row": pdf["_row"].iloc[:1].to_numpy(), "ids": [ids]})
 
-    long = held.where(size > long_chars).withColumn("_row", F.monotonically_increasing_id())
+    # the number of a row must be the same wherever it is read, so the long rows are written once with it
+    long = staged(held.where(size > long_chars).withColumn("_row", F.monotonically_increasing_id()), "bpe-long")
     pieces = long.select("_row", "_text").mapInPandas(cut, "_row long, _at int, _joins boolean, _special int, _piece binary").repartition("_row", "_at")
     encoded = pieces.withColumn("_ids", F.pandas_udf(piece_ids, "array<int>")("_special", "_piece"))
     joined = encoded.groupBy("_row").applyInPandas(join, "_row long, ids array<int>")
