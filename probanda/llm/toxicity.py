@@ -15,15 +15,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side
+from .common import Kept, small_batches, small_side
 
 #: The classifier is fitted on about so many labelled rows at most, picked by a hash of their key; everything else covers all rows.
 FIT_ROWS = 20_000
-#: Most lexicon entries; and the lengths of word beginnings that are tried besides whole words.
-ENTRIES, BEGINNINGS = 300, (3, 4, 5, 6)
+#: Size of the model: its lexicon entries, which are picked from so many times as many; the lengths of word beginnings that are tried
+#: besides whole words; and bytes of words with their entries that a worker keeps.
+ENTRIES, PICKED_FROM, BEGINNINGS, CACHE_BYTES = 300, 20, (3, 4, 5, 6), 12 << 20
 #: A lexicon entry must be in so many toxic training texts and in this part of them (words that only one family of copies
 #: shares are not), and be there by chance with at most this probability over all tried.
 LEAST_TEXTS, LEAST_PART, CHANCE = 3, 0.01, 0.01
@@ -49,25 +51,22 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 + len(PATTERNS)))
     bias: float = -10.0
     accuracies: np.ndarray | None = None
+    correlations: np.ndarray | None = None
 
     def index(self) -> "_Hits":
         return _Hits(self.entries)
 
 
-class _Hits(dict):
-    """Word to the numbers of the entries it matches; bounded."""
+class _Hits(Kept):
+    """Word to the numbers of the entries it matches."""
 
     def __init__(self, entries: list[str]):
+        super().__init__(self.matched, CACHE_BYTES)
         self.at = {e: k for k, e in enumerate(entries)}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def matched(self, word: str) -> tuple[int, ...]:
         found = [self.at[x] for x in (word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)) if x in self.at]
-        if word in INSULTS:
-            found.append(len(self.at))
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = out = tuple(found)
-        return out
+        return tuple([*found, len(self.at)] if word in INSULTS else found)
 
 
 def features(text: str, hits: _Hits) -> dict[int, float]:
@@ -91,7 +90,8 @@ def chance(toxic: int, texts: int, share: float) -> float:
 
 
 def lexicon(rows: DataFrame, share: float, texts: int) -> list[str]:
-    """Entries that mark toxic training texts (text, toxic); counted in tasks, summed by entry.
+    """Entries that mark toxic training texts (text, toxic); counted in tasks, summed by entry. This picks the voters by the labels of
+    training rows, so it is supervised; the label model after it sees votes only.
     ``texts`` is how many rows there are and ``share`` the part that is toxic."""
 
     def count(batches):
@@ -99,18 +99,19 @@ def lexicon(rows: DataFrame, share: float, texts: int) -> list[str]:
             n: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
                 words = set(WORD.findall(text.lower()))
-                found = {w for w in words if len(w) <= 40}
+                found = set(words)
                 for k in BEGINNINGS:
                     found.update([w[:k] + "*" for w in words if len(w) >= k])
                 n[int(toxic)].update(found)
             names = list(n[0].keys() | n[1].keys())
-            yield pd.DataFrame({"entry": names, "clean": [n[0][e] for e in names], "toxic": [n[1][e] for e in names]})
+            if names:
+                yield pd.DataFrame({"entry": names, "clean": [n[0][e] for e in names], "toxic": [n[1][e] for e in names]})
 
     summed = rows.mapInPandas(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     tried = summed.where(F.col("clean") + F.col("toxic") >= LEAST_TEXTS)
     marked = (F.col("toxic") >= max(LEAST_TEXTS, LEAST_PART * share * texts)) & (F.col("toxic") >= 4 * F.col("clean"))
     top = tried.count()
-    found = tried.where(marked).orderBy(F.desc(F.col("toxic") - 2 * F.col("clean")), "entry").limit(20 * ENTRIES).collect()
+    found = tried.where(marked).orderBy(F.desc(F.col("toxic") - 2 * F.col("clean")), "entry").limit(PICKED_FROM * ENTRIES).collect()
     bound = math.log10(CHANCE / max(top, 1))
     worth = {r["entry"]: r["toxic"] - 2 * r["clean"] for r in found if chance(r["toxic"], r["toxic"] + r["clean"], share) <= bound}
     # of nested entries the longest that still has nearly all texts of the shorter ones stands for them
@@ -142,13 +143,14 @@ def votes(x: np.ndarray, entries: int) -> np.ndarray:
 
 
 def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of toxic, accuracy of each voter, its share of a vote) from votes and the class balance, by EM.
+    """(posterior of toxic, accuracy of each voter, correlations of voters given the class) from votes and the class balance, by EM.
 
-    Given the class, voters are taken as independent but for those whose residuals correlate; each of these counts 1 / (1 +
-    sum of squared correlations), so a block of voters that say the same thing counts about once. No vote is no evidence.
+    The correlations are parameters as the accuracies are: they are estimated from the residuals that the classes leave, and the
+    E-step weighs each voter by 1 / (1 + sum of its squared correlations), so a block of voters that say the same thing counts about
+    once. No vote is no evidence.
     """
     n, m = v.shape
-    share = np.ones(m)
+    share, corr = np.ones(m), np.zeros((m, m))
     p = np.clip((v.sum(1) > 0).astype(float), 0.05, 0.9)
     onehot = np.stack([v == -1, v == 0, v == 1], 2).astype(float)
     for k in range(rounds):
@@ -163,7 +165,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarr
         odds = np.einsum("nmk,mk->n", onehot, (np.log(toxic) - np.log(clean)) * share[:, None] * [1.0, 0.0, 1.0]) + math.log(prior / (1 - prior))
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     accuracy = (np.einsum("n,nm->m", p, onehot[:, :, 2]) + np.einsum("n,nm->m", 1 - p, onehot[:, :, 0])) / np.maximum((v != 0).sum(0), 1)
-    return p, accuracy, share
+    return p, accuracy, corr
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -202,36 +204,47 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         hits = _Hits(entries)
         for pdf in batches:
             found = [features(t, hits) for t in pdf["text"]]
-            yield pd.DataFrame({"key": pdf["_key"], "at": [list(f) for f in found], "x": [list(f.values()) for f in found]})
+            if found:
+                yield pd.DataFrame({"key": pdf["_key"], "at": [list(f) for f in found], "x": [list(f.values()) for f in found]})
 
-    got = rows.mapInPandas(describe, "key long, at array<int>, x array<double>").toPandas().sort_values("key", kind="stable")
+    kind = rows.schema["_key"].dataType.simpleString()
+    got = rows.mapInPandas(describe, f"key {kind}, at array<int>, x array<double>").toPandas().sort_values("key", kind="stable")
     x = np.zeros((len(got), len(entries) + 1 + len(PATTERNS)))
     for k, (at, values) in enumerate(zip(got["at"], got["x"], strict=True)):
         x[k, np.asarray(at, int)] = values
-    posterior, accuracy, _ = label_model(votes(x, len(entries)), share)
+    posterior, accuracy, correlations = label_model(votes(x, len(entries)), share)
     weights, bias = logistic(x, posterior)
-    return Model(entries, weights, bias, accuracy)
+    return Model(entries, weights, bias, accuracy, correlations)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and score: the classifier's probability that the whole text is toxic.
+def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """``keep`` columns and ``out``: the classifier's probability that the whole text is toxic.
 
     Null and empty texts have no features, so their score is that of the bias. Repeated rows score alike; an empty table
-    gives an empty one; columns outside ``keep`` are left out, so extra columns cannot clash.
+    gives an empty one; columns outside ``keep`` are left out, so extra columns cannot clash; ``out`` may not be one of ``keep``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if out in keep:
+        raise ValueError(f"the score can't be called {out}, which is a column that is kept")
+    small_batches(docs.sparkSession)
+    # of a lean copy only what scoring needs goes to the workers
+    lean = docs.sparkSession.sparkContext.broadcast((model.entries, model.weights.tolist(), model.bias))
+    taken = "_text"
+    while taken in keep:
+        taken += "_"
 
     def run(batches):
-        m = shared.value
-        hits = m.index()
-        weights = m.weights.tolist()
-        for pdf in batches:
-            out = []
-            for t in pdf.pop("_text"):
-                z = m.bias + sum(weights[k] * v for k, v in features(t, hits).items())
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pdf.assign(score=pd.Series(out, dtype="float64"))
-
-    held = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "_text")
-    return held.mapInPandas(run, f"{kinds}, score double")
+        entries, weights, bias = lean.value
+        hits = _Hits(entries)
+        for batch in batches:
+            at = batch.schema.get_field_index(taken)
+            found = []
+            for k in range(0, batch.num_rows, 256):
+                for t in batch.column(at).slice(k, 256).to_pylist():
+                    z = bias + sum(weights[k] * v for k, v in features(t, hits).items())
+                    found.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            kept = [c for k, c in enumerate(batch.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.float64())], names=[*[n for n in batch.schema.names if n != taken], out])
+
+    held = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(taken))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != taken)
+    return held.mapInArrow(run, f"{kinds}, `{out}` double")
