@@ -58,28 +58,38 @@ def draw(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _drawn(docs: DataFrame, keep: Column, key: str, text: str, source: str, seed: str, **targets) -> DataFrame:
+    """(_row: ``keep`` of a document, _size, _source, _source_size, _target, _copies); no document is shuffled where sources are few."""
+    rows = docs.select(keep.alias("_row"), draw(F.col(f"`{key}`"), seed).alias("_draw"), word_count(F.col(f"`{text}`")).alias("_size"), F.col(f"`{source}`").cast("string").alias("_source"))
+    lean = docs.select(word_count(F.col(f"`{text}`")).alias("_size"), F.col(f"`{source}`").cast("string").alias("source"))
+    sizes = lean.groupBy("source").agg(F.sum("_size").cast("long").alias("source_size"))
+    wanted = staged(source_targets(sizes, **targets), "mix-targets")
+    wanted = small_side(wanted.select(F.col("source").alias("_name"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")), wanted.count(), 50_000)
+    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
+    out = rows.join(wanted, F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
+    return out.withColumn("_copies", (F.floor(rate) + (F.col("_draw") < rate - F.floor(rate)).cast("long")).cast("long"))
+
+
 def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **targets) -> DataFrame:
     """Per document: ``key``, size, source, source_size, target, copies (how often the mix takes it) and taken (words).
 
     The rate of a source is its target over its size; a document is taken floor(rate) times and once more with the
     fraction as probability, by a hash of its key. Null and empty texts have size 0. Null is a source of its own, last in
-    order. A source without words has target 0. Rows that repeat a key are drawn alike. An empty table gives an empty one;
-    other columns are left out, so extra columns cannot clash. Sources of any number or size are fine: sizes are summed
-    before they are shuffled, and the per-source figures are joined back by broadcast only where few, else with a
+    order. A source without words has target 0. Rows that repeat a key are drawn alike if they share a source. An empty table
+    gives an empty one; other columns are left out, so extra columns cannot clash. Sources of any number or size are fine: sizes are
+    summed before they are shuffled, and the per-source figures are joined back by broadcast only where few, else with a
     join that splits hot sources.
     """
-    rows = docs.select(F.col(f"`{key}`").alias(key), word_count(F.col(f"`{text}`")).alias("size"), F.col(f"`{source}`").cast("string").alias("_source"))
-    sizes = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("size").cast("long").alias("source_size"))
-    wanted = staged(source_targets(sizes, **targets), "mix-targets")
-    wanted = small_side(wanted.withColumnRenamed("source", "_name"), wanted.count(), 50_000)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = rows.join(wanted, F.col("_source").eqNullSafe(F.col("_name")))
-    out = out.withColumn("copies", (F.floor(rate) + (draw(F.col(f"`{key}`"), seed) < rate - F.floor(rate)).cast("long")).cast("long"))
-    return out.select(F.col(f"`{key}`"), "size", F.col("_source").alias("source"), "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of the mix, all columns kept, each document as often as ``plan`` says; ``copy_no`` counts from 0."""
-    copies = plan(docs, key, text, source, **options).groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(copies, F.col(f"`{key}`").eqNullSafe(F.col("_key"))).where("_copies > 0")
-    return taken.withColumn("copy_no", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int")))).drop("_key", "_copies")
+    out = _drawn(docs, F.col(f"`{key}`"), key, text, source, seed, **targets)
+    return out.select(F.col("_row").alias(key), F.col("_size").alias("size"), F.col("_source").alias("source"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_size") * F.col("_copies")).alias("taken"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, copy_no: str | None = None, **targets) -> DataFrame:
+    """The rows of the mix, all columns kept whatever their names, each row as often as ``plan`` draws it: rows that repeat a key follow
+    their own source. ``copy_no`` names a column more that counts the copies of a row from 0. Nulls, empty texts and empty tables as in ``plan``."""
+    if copy_no in docs.columns:
+        raise ValueError(f"{copy_no} is a column of the documents already")
+    taken = _drawn(docs, F.struct("*"), key, text, source, seed, **targets).where("_copies > 0")
+    taken = taken.select("_row", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))).alias("_copy"))
+    names = [F.col("_row")[c].alias(c) for c in docs.columns]
+    return taken.select(*names, *([F.col("_copy").alias(copy_no)] if copy_no else []))

@@ -43,7 +43,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         ("Content-Length", str(len(block))),
     ]
     if url is not None:
-        head.insert(2, ("WARC-Target-URI", url.encode("unicode_escape").decode("ascii")))
+        head.insert(2, ("WARC-Target-URI", url.encode("unicode_escape").decode("ascii").replace(" ", "\\x20")))
     if refers_to is not None:
         head += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     raw = VERSION + b"\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + b"\r\n" + block + b"\r\n\r\n"
