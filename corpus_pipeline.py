@@ -12,36 +12,47 @@ from probanda.llm import common, encoding, jaccard, mixing, toxicity
 from probanda.llm.queries import _vocabulary
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores more as make it no column of ``docs``."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labels of these documents, does not call toxic."""
+    """Documents that the classifier, learned from the labels of these documents, does not call toxic.
+
+    Null and empty texts have no words, so they stay, as do rows without an id. Repeated rows are judged alike. Without labels of both
+    kinds nothing is called toxic. All columns are kept whatever their names; an empty table gives an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+    model, name = toxicity.fit(docs, labels), _free(docs, "score")
+    return toxicity.score(docs, model, keep=tuple(docs.columns), out=name).where(F.col(f"`{name}`") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies: five-word shingles, Jaccard 0.8 or more.
 
-    Rows that repeat an id keep one of them; texts without words are no copies of one another, and rows without an id stay.
+    A row whose text is linked to one under a smaller id goes. Of rows that share an id and are linked with one another that with the
+    first text in byte order stays (and of rows equal in id and text one); rows that share an id but aren't linked all stay. Texts
+    without words are no copies of one another, so they stay, as do rows without an id. All columns are kept whatever their names; an
+    empty table gives an empty one.
     """
-    found = common.staged(jaccard.linked(docs, width=5, percent=80), "pipeline-linked")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(common.small_side(gone, gone.count()), "doc_id", "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = again.count()
-    if repeated:
-        again = common.small_side(again, repeated)
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    return jaccard.one_of_each(docs, width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks for."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Each document as often as its source's target weight asks for.
+
+    Null and empty texts have no words and follow their source's rate; null is a source of its own, last in order. Rows that repeat an
+    id are drawn alike if they share a source. All columns are kept whatever their names; an empty table gives an empty one.
+    """
+    return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of every document of the mix."""
+    """doc_id, lang, source and ids, the tokens, of every document of the mix: one row a copy. Null and empty texts have no tokens;
+    other columns are left out; an empty table gives an empty one."""
     return encoding.encode(docs, _vocabulary(), keep=("doc_id", "lang", "source"))
 
 
@@ -52,9 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the mix of the documents that the stages keep."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = common.staged(docs, f"pipeline-{name}")
+            common.discard(before)
     return docs

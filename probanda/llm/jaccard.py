@@ -8,8 +8,9 @@ sets are one node from the start, so copies cost nothing but their row.
 
 Tokens of a few documents give all their pairs. Among the documents of a token of many only a spanning forest of the
 candidate pairs is sent on, best pairs first; pairs that fail the count are noted, and what they leave undecided is tried
-again, so no link is lost and no large group is expanded into all its pairs. Tokens of very many documents are dealt in
-pairs of blocks, which bounds a task's memory.
+again, so no link is lost and no large group is expanded into all its pairs. The documents of a token are dealt into blocks
+by size class, of which only neighbouring ones can link, and by a hash. Blocks are joined up inside first, then each with the
+next one of a ring; after that only pairs of blocks that don't share one component already are compared.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, most_frequent, shingle_sets, slices, small_side, staged, text_buffers, word_hashes
+from .common import discard, mix, most_frequent, shingle_sets, slices, small_batches, small_side, staged, text_buffers, word_hashes
 from .components import components
 
 #: Token orders whose filters are intersected.
@@ -34,8 +35,12 @@ ROWS = 2500
 #: Documents of one prefix token up to which all its pairs are made at once; of larger ones a forest at first, and then so many
 #: pairs of a document in a round as join it to other components.
 FEW, EACH = 24, 128
-#: Documents of one prefix token that are compared in one block.
-BLOCK = 2048
+#: Documents of one prefix token and size class that are compared in one block.
+BLOCK = 512
+#: The turn that compares all blocks: the first is inside blocks, the second along rings of blocks, later ones settle what failed.
+FULL = 2
+#: Bits of a token's place among the ranked ones in its order key, below its count.
+PLACE_BITS = 20
 _SEEDS = [np.uint64(0x5851F42D4C957F2D * (2 * k + 1) % (1 << 64)) for k in range(8)]
 
 
@@ -85,7 +90,7 @@ def _prefix(tokens: np.ndarray, order: int, percent: int, ranked: np.ndarray, co
     if len(ranked):
         at = np.minimum(np.searchsorted(ranked, tokens), len(ranked) - 1)
         hot = ranked[at] == tokens
-        key[hot] = (np.uint64(1) << np.uint64(63)) + (counts[at[hot]].astype(np.uint64) << np.uint64(16)) + at[hot].astype(np.uint64)
+        key[hot] = (np.uint64(1) << np.uint64(63)) + (counts[at[hot]].astype(np.uint64) << np.uint64(PLACE_BITS)) + at[hot].astype(np.uint64)
     p = prefix_length(len(tokens), percent)
     first = np.argpartition(key, p - 1)[:p]
     tokens = tokens[first]
@@ -95,6 +100,13 @@ def _prefix(tokens: np.ndarray, order: int, percent: int, ranked: np.ndarray, co
     return tokens[~many], tokens[many]
 
 
+def _nodes(sets: list[np.ndarray]) -> np.ndarray:
+    """One number for each different set (but for a chance of about 2**-64 a pair); 0 for empty ones."""
+    with np.errstate(over="ignore"):
+        out = np.array([mix(s ^ _SEEDS[5]).sum(dtype=np.uint64) ^ mix(mix(s ^ _SEEDS[6]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s)))[0] if len(s) else 0 for s in sets], np.uint64)
+        return np.where(out == 0, out, mix(out)).view(np.int64)
+
+
 def _longs(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
@@ -301,10 +313,16 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     Words are runs other than space and U+0009 to U+000D, with A-Z in lower case; with fewer than ``width`` words the whole
     sequence is the one shingle. Null, empty and blank texts have an empty set and are linked with nothing, so each is its
     own component. Two documents link when 100 |x & y| >= ``percent`` |x or y|. Repeated rows each give a row, which follows
-    its own text; a null key gets no links and a null component. An empty table gives an empty one. Columns
-    other than key and text are not read, so extra columns cannot clash.
+    its own text, so two texts under one key have each their own links; a null key gets no links and a null component. An empty
+    table gives an empty one. Columns other than key and text are not read, so extra columns cannot clash.
     """
+    return _linked(docs, key, text, width, percent, orders).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _linked(docs: DataFrame, key: str, text: str, width: int, percent: int, orders: int = ORDERS) -> DataFrame:
+    """(id, n, node, component_id) of every row; rows with equal sets have one node."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     ranked, counts = frequent_tokens(rows, "text", width)
     shared = spark.sparkContext.broadcast((ranked, counts))
@@ -313,94 +331,161 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         for batch in _parts(batches):
             sets = list(_sets(batch, "text", width))
             rare, hot = zip(*[_prefix(s, 0, percent, *shared.value) if len(s) else (s, s) for s in sets], strict=True) if sets else ((), ())
-            sums = [[int(mix(s ^ _SEEDS[k]).sum(dtype=np.uint64)) - (1 << 63) if len(s) else 0 for s in sets] for k in (5, 6)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), _longs(list(rare)), _longs(list(hot))], names=["id", "n", "set1", "set2", "rare0", "hot0"])
-
-    table = staged(rows.mapInArrow(describe, "id long, n long, set1 long, set2 long, rare0 array<long>, hot0 array<long>"), "jaccard-docs")
-    classes = staged(table.where("n > 0 and id is not null").groupBy("n", "set1", "set2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_copies")), "jaccard-classes")
-    on = ["n", "set1", "set2"]
-    several = classes.where("_copies > 1")
-    copies = staged(table.where("n > 0 and id is not null").select("id", *on).join(several, on).where("id <> rep").select("id"), "jaccard-copies")
-    reps = table.where("n > 0 and id is not null").join(small_side(copies, copies.count()), "id", "left_anti")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(_nodes(sets)), _longs(list(rare)), _longs(list(hot))], names=["row", "id", "n", "node", "rare0", "hot0"])
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    table = staged(numbered.mapInArrow(describe, "row long, id long, n long, node long, rare0 array<long>, hot0 array<long>"), "jaccard-docs")
+    usable = table.where("n > 0 and id is not null")
+    classes = staged(usable.groupBy("node").agg(F.min("id").alias("rep"), F.min("row").alias("_first"), F.count(F.lit(1)).alias("_copies")), "jaccard-classes")
+    several = classes.where("_copies > 1").select("node", "_first")
+    copies = staged(usable.select("row", "node").join(several, "node").where("row <> _first").select("row"), "jaccard-copies")
+    reps = usable.join(small_side(copies, copies.count()), "row", "left_anti").select(F.col("node").alias("id"), "n", "rare0", "hot0")
     postings = reps.select(F.explode("rare0").alias("token"), "id", "n")
     met = staged(_few_and_many(postings, percent), "jaccard-met")
     few = staged(met.where("pair").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "jaccard-few")
     many = met.where("not pair").select("token", "id").unionByName(reps.select(F.explode("hot0").alias("token"), "id"))
 
     # bitmaps and the other orders' prefixes are made for those alone that met another, whole sets for those whose pairs pass both
-    named = _ends(few).unionByName(many.select("id")).distinct()
-    named = staged(named, "jaccard-named")
+    named = staged(_ends(few).unionByName(many.select("id")).distinct(), "jaccard-named")
+    if named.isEmpty():
+        return _in_classes(table, classes, None)
+
+    def again(nodes: DataFrame, run, kinds: str, name: str) -> DataFrame:
+        """What ``run`` makes of the texts of these nodes, once for each."""
+        count = nodes.count()
+        ids = classes.join(small_side(nodes, count), classes["node"] == nodes["id"], "left_semi").select(F.col("rep").alias("id")).distinct()
+        made = rows.join(small_side(ids, count), "id", "left_semi").mapInArrow(run, kinds).join(small_side(nodes, count), "id", "left_semi")
+        made = staged(made, name)
+        return made if made.count() == count else staged(made.dropDuplicates(["id"]), name)  # rows repeat, or other texts share their key
 
     def more(batches):
         short = lambda tokens: (mix(tokens) >> np.uint64(48)).astype(np.uint16).tobytes()
         for batch in _parts(batches):
-            sets = [(k, s) for k, s in enumerate(_sets(batch, "text", width)) if len(s)]
-            columns, names = [batch.column(0).take(pa.array([k for k, _ in sets], pa.int64())), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([parity_bits(s) for _, s in sets], pa.binary())], ["id", "n", "bits"]
+            sets = [s for s in _sets(batch, "text", width) if len(s)]
+            columns, names = [pa.array(_nodes(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_bits(s) for s in sets], pa.binary())], ["id", "n", "bits"]
             for order in range(1, orders):
-                columns.append(pa.array([short(np.concatenate(_prefix(s, order, percent, *shared.value))) for _, s in sets], pa.binary()))
+                columns.append(pa.array([short(np.concatenate(_prefix(s, order, percent, *shared.value))) for s in sets], pa.binary()))
                 names.append(f"short{order}")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kinds = "id long, n long, bits binary" + "".join(f", short{k} binary" for k in range(1, orders))
-    about = staged(rows.join(small_side(named, named.count()), "id", "left_semi").mapInArrow(more, kinds), "jaccard-about")
+    about = again(named, more, kinds, "jaccard-about")
 
     def whole(batches):
         for batch in _parts(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _longs(list(_sets(batch, "text", width)))], names=["id", "members"])
-
-    # tokens of many documents, in pairs of blocks
-    dealt = many.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_g"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+            sets = [s for s in _sets(batch, "text", width) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(_nodes(sets)), _longs(sets)], names=["id", "members"])
+
+    # sizes that differ by a class or less may link; the classes are a little wider than that, for rounding
+    size_class = F.floor(F.log("n") / F.lit(1.0001 * float(np.log(100 / percent)))).cast("int") if percent < 100 else F.col("n").cast("int")
+    many = many.join(many.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("token"), "token")
+    placed = many.join(about.select("id", "n", "bits"), "id").withColumn("size", size_class)
+    groups = many.join(about.select("id", "n"), "id").withColumn("size", size_class).groupBy("token", "size").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_g"))
+    placed = placed.join(groups, ["token", "size"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int"))
     # at first each document takes part in one token alone, so that a family of copies gives one forest and not one per token
-    many = many.join(dealt, "token")
     once = many.groupBy(F.col("id").alias("_id")).agg(F.min("token").alias("_token"))
-    many = many.join(once, F.col("id") == F.col("_id")).withColumn("once", F.col("token") == F.col("_token"))
-    dealt = many.withColumn("own", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
-    dealt = dealt.select("token", F.least("own", "_other").alias("b1"), F.greatest("own", "_other").alias("b2"), "own", "id", "once")
-    dealt = staged(dealt.join(about.select("id", "n", "bits"), "id"), "jaccard-dealt")
-    fresh = {"component": F.col("id"), "failed": F.array().cast("array<long>")}
-    active = dealt.where("once").withColumns(fresh)
+    placed = placed.join(once, F.col("id") == F.col("_id")).withColumn("once", F.col("token") == F.col("_token"))
+    placed = staged(placed.select("token", "size", "own", "_g", "id", "n", "bits", "once"), "jaccard-placed")
+    members = staged(placed.select("id").distinct(), "jaccard-members")
+    none = F.array().cast("array<long>")
+
+    def facing(state: DataFrame | None, turn: int) -> DataFrame:
+        """(token, b1, b2, own, id, n, bits, component, failed): the rows of the pairs of blocks that a turn compares."""
+        names = ["token", "b1", "b2", "own", "id", "n", "bits", "component", "failed"]
+        held = placed if turn >= FULL else placed.where("once")
+        held = held.withColumn("block", F.concat_ws("/", "size", "own"))
+        if not turn:
+            return held.select("token", F.col("block").alias("b1"), F.col("block").alias("b2"), F.col("own"), "id", "n", "bits", F.col("id").alias("component"), none.alias("failed"))
+        held = held.join(small_side(state, state.count(), 200_000), "id")
+        if turn < FULL:
+            held = held.where("_g > 1").withColumn("_next", F.explode(F.array(F.col("own"), F.pmod(F.col("own") + F.lit(1), F.col("_g")))))
+            # block k meets block k + 1 in the pair that is named after k + 1
+            return held.select("token", F.concat_ws("/", "size", "_next").alias("b1"), F.lit("ring").alias("b2"), "own", "id", "n", "bits", "component", "failed")
+        blocks = staged(held.groupBy("token", "size", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")), "jaccard-blocks")
+        x, y = (blocks.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("size", "block", "lo", "hi", "rows")]) for k in (1, 2))
+        apart = (F.least("lo1", "lo2") < F.greatest("hi1", "hi2")) & ((F.col("block1") != F.col("block2")) | (F.col("rows1") > 1))
+        meets = x.join(y, "token").where(((F.col("size1") == F.col("size2")) & (F.col("block1") <= F.col("block2")) | (F.col("size1") + 1 == F.col("size2"))) & apart)
+        sides = meets.select("token", F.col("block1").alias("b1"), F.col("block2").alias("b2"), F.explode(F.array_distinct(F.array("block1", "block2"))).alias("block"))
+        return held.join(sides, ["token", "block"]).withColumn("own", F.xxhash64("block")).select(*names)
 
     def counted_pairs(pairs: DataFrame) -> DataFrame:
-        ends = rows.join(small_side(_ends(pairs), pairs.count(), 500_000), "id", "left_semi")
-        sets = staged(ends.mapInArrow(whole, "id long, members array<long>").where(F.size("members") > 0), "jaccard-sets")
+        sets = again(_ends(pairs), whole, "id long, members array<long>", "jaccard-sets")
         a, b = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         fits = pairs.join(a, "a").join(b, "b").select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("fits"))
-        return staged(fits.groupBy("a", "b").agg(F.max("fits").alias("fits")), "jaccard-counted")
+        out = staged(fits, "jaccard-counted")
+        discard(sets)
+        return out
 
-    labels = failures = None
+    labels = failures = state = None
     turn = 0
     while True:
-        pairs = _candidates(active, percent, turn > 1).withColumn("many", F.lit(True))
+        pairs = _candidates(facing(state, turn), percent, turn > FULL).withColumn("many", F.lit(True))
         if not turn:
             pairs = pairs.unionByName(few.withColumn("many", F.lit(False))).groupBy("a", "b").agg(F.max("many").alias("many"))
         pairs = staged(pairs, "jaccard-pairs")
-        if turn > 1 and not pairs.limit(1).count():
+        if turn > FULL and pairs.isEmpty():
             break
         counted = counted_pairs(staged(_filtered(pairs.select("a", "b"), about, percent, orders), "jaccard-filtered"))
         new = counted.where("fits").select("a", "b")
         failed = staged(pairs.where("many").join(new, ["a", "b"], "left_anti").select("a", "b"), "jaccard-failed")
-        failures = failed if failures is None else failures.unionByName(failed)
-        labels = _relabelled(labels, new)
+        before, failures = failures, failed if failures is None else staged(failures.unionByName(failed), "jaccard-failures")
+        held, labels = labels, _relabelled(labels, new)
+        discard(before, held, state, pairs, counted)
         turn += 1
-        if turn == 2 and not failed.limit(1).count():
+        if turn == FULL + 1 and failed.isEmpty():
             break
-        ids = dealt.select("id").distinct().join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if turn > 1:
+        ids = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if turn > FULL:
             # undecided: components that failed pairs would have held together
             bridges = _between(labels, failures)
             undecided = bridges.select(F.col("a").alias("_open")).unionByName(bridges.select(F.col("b").alias("_open"))).distinct()
             ids = ids.join(undecided, F.col("component") == F.col("_open"), "left_semi")
         noted = failures.select(F.col("a").alias("id"), F.col("b").alias("x")).unionByName(failures.select(F.col("b").alias("id"), F.col("a").alias("x"))).groupBy("id").agg(F.collect_set("x").alias("failed"))
-        state = ids.join(noted, "id", "left").select("id", "component", F.coalesce("failed", F.array().cast("array<long>")).alias("failed"))
-        state = staged(state, "jaccard-state")
-        active = dealt.join(small_side(state, state.count(), 200_000), "id")
-    found = labels
-    belongs = classes.select(*on, "rep", F.col("rep").alias("component_id"))
-    if found is not None:
-        belongs = classes.join(found, classes["rep"] == found["id"], "left").select(*on, "rep", F.coalesce("component", "rep").alias("component_id"))
-    # equal texts under other keys and other texts under one key meet in the smallest component of the class
-    names = [F.col(f"_{c}") for c in on]
-    belongs = belongs.select(*[F.col(c).alias(f"_{c}") for c in on], "component_id")
-    out = table.select("id", *on).join(belongs, (F.col("n") == names[0]) & (F.col("set1") == names[1]) & (F.col("set2") == names[2]) & F.col("id").isNotNull(), "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+        state = staged(ids.join(noted, "id", "left").select("id", "component", F.coalesce("failed", none).alias("failed")), "jaccard-state")
+    return _in_classes(table, classes, labels)
+
+
+def _in_classes(table: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(id, n, node, component_id) from the rows, the classes of equal sets and the labels of linked nodes. The component of a node is
+    the smallest key of all rows that its links reach."""
+    belongs = classes.select(F.col("node").alias("_node"), F.col("rep").alias("component_id"))
+    if labels is not None:
+        known = classes.select("node", "rep").join(labels, classes["node"] == labels["id"])
+        least = known.groupBy("component").agg(F.min("rep").alias("_least"))
+        known = known.join(least, "component").select(F.col("node").alias("_known"), "_least")
+        belongs = belongs.join(known, F.col("_node") == F.col("_known"), "left").select("_node", F.coalesce("_least", "component_id").alias("component_id"))
+    out = table.select("id", "n", "node").join(belongs, (F.col("node") == F.col("_node")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
+    return out.select("id", "n", "node", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows whose text is linked to none under a smaller key, all columns kept.
+
+    Of rows with one key that are linked with one another, that with the first text in byte order stays; rows with one key that are not
+    linked all stay. Texts without words and rows without a key stay. Only rows of repeated keys are shuffled with their texts.
+    """
+    found = staged(_linked(docs, key, text, width, percent), "jaccard-linked")
+    keyed = found.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max((F.col("component_id") == F.col("id")).cast("int")).alias("stays"))
+    keyed = staged(keyed.where("rows > 1 or stays = 0"), "jaccard-keyed")
+    several, gone = keyed.where("rows > 1").select(F.col("id").alias("_id")), keyed.where("rows = 1").select(F.col("id").alias("_id"))
+    repeated = several.count()
+    same = F.col(f"`{key}`").cast("long") == F.col("_id")
+    kept = docs.join(small_side(gone, gone.count()), same, "left_anti")
+    if not repeated:
+        return kept
+    several = small_side(several, repeated)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    at = docs.columns.index(text)
+
+    def mark(batches):
+        for batch in _parts(batches):
+            sets = list(_sets(pa.RecordBatch.from_arrays([batch.column(at)], names=["text"]), "text", width))
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, names=batch.schema.names), pa.array(_nodes(sets))], names=["_row", "_node"])
+
+    marked = docs.join(several, same, "left_semi").mapInArrow(mark, f"_row struct<{kinds.replace('` ', '`:')}>, _node long")
+    worded = marked.where("_node <> 0").join(found.where("n > 0").select(F.col("node").alias("_n"), F.col("component_id").alias("_component")).distinct(), F.col("_node") == F.col("_n"))
+    own = F.col("_row")[key]
+    worded = worded.where(own.cast("long") == F.col("_component")).groupBy(own.alias("_own")).agg(F.min_by("_row", F.struct(F.col("_row")[text], F.to_json("_row"))).alias("_row"))
+    chosen = worded.select("_row").unionByName(marked.where("_node = 0").select("_row"))
+    return kept.join(several, same, "left_anti").unionByName(chosen.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
