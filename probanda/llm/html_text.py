@@ -4,21 +4,27 @@ A page is cut into blocks at block-level tags. The first pass classes each block
 page headers and footers, side bars, notices, adverts, forms, comments, scripts or styles goes; then link density, length
 and stop-word density make a block good, bad, nearly good or short. In the second pass the undecided ones inherit from
 their nearest decided neighbours within the same region (article, main part or page). A region that the page itself marks
-as its article counts as good at its ends, so that a headline or a two-word paragraph stays with it.
+as its article counts as good at its ends, so that a headline or a two-word paragraph stays with it. Such a region stands for
+the page only if it has a good part of the text that the page as a whole shows; else the wider one is taken.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.30
 LINKS, LINKS_IN_ARTICLE = 0.2, 0.67
+#: Least part of the main text by page-wide rules that an article or main part must hold to stand for the page.
+MOST_OF_PAGE = 0.4
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset("""
@@ -59,16 +65,17 @@ def _marked(tag: str, attributes: str) -> bool:
 
 
 class Block:
-    __slots__ = ("parts", "linked", "region", "text", "kind")
+    __slots__ = ("parts", "linked", "region", "text", "kind", "stops")
 
     def __init__(self, region: int):
-        self.parts, self.linked, self.region, self.text, self.kind = [], 0, region, "", ""
+        self.parts, self.linked, self.region, self.text, self.kind, self.stops = [], 0, region, "", "", -1.0
 
 
 def blocks(page: str) -> tuple[list[Block], list[int]]:
     """The blocks outside dropped elements, and the rank of each region: 0 the page, 1 a main part, 2 an article."""
     out, ranks = [], [0]
     stack: list[tuple[str, bool, int, bool]] = []  # tag, dropped, region, in a link
+    opened: defaultdict[str, int] = defaultdict(int)  # of the stack, by tag
     dropped, region, linked, now = False, 0, False, Block(0)
 
     def end():
@@ -77,6 +84,12 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             out.append(now)
         now = Block(region)
 
+    def shut(depth: int) -> None:
+        nonlocal dropped, region, linked
+        while len(stack) > depth:
+            opened[stack.pop()[0]] -= 1
+        dropped, region, linked = stack[-1][1:] if stack else (False, 0, False)
+
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.match(page, at)
@@ -93,12 +106,10 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             continue
         tag = tag.lower()
         if m[1] or m[4]:  # an end tag closes up to its start, if there is one
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
             if tag in BLOCKS:
                 end()
-            if depth >= 0:
-                del stack[depth:]
-                dropped, region, linked = stack[-1][1:] if stack else (False, 0, False)
+            if opened[tag]:  # what is searched is closed, so each element is passed once
+                shut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
                 if tag in BLOCKS:
                     end()
             continue
@@ -110,25 +121,24 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             continue
         if tag in BLOCKS:
             if stack and stack[-1][0] == "p" or tag in ("li", "dd", "dt", "tr") and stack and stack[-1][0] == tag:
-                stack.pop()
-                dropped, region, linked = stack[-1][1:] if stack else (False, 0, False)
+                shut(len(stack) - 1)
             elif tag not in ("p",) and any(s[0] == "p" for s in stack[-4:]) or tag == "p" and any(s[0] == "p" for s in stack[-6:]):
-                depth = max(k for k, s in enumerate(stack) if s[0] == "p")
+                depth = max(k for k in range(max(0, len(stack) - 6), len(stack)) if stack[k][0] == "p")
                 if not any(s[0] in BLOCKS for s in stack[depth + 1 :]):  # formatting left open in a paragraph
-                    del stack[depth:]
-                    dropped, region, linked = stack[-1][1:] if stack else (False, 0, False)
+                    shut(depth)
             end()
         elif tag in SPACED and not dropped:
             now.parts.append(" ")
         if tag in VOID:
             continue
-        inside = any(s[0] in ("article", "main") for s in stack) if tag == "header" else True
+        inside = tag != "header" or opened["article"] > 0 or opened["main"] > 0
         gone = dropped or tag in DROPPED or not inside or bool(attributes) and _marked(tag, attributes)
         if not gone and (tag in ("article", "main") or "articlebody" in attributes.lower()):
             rank = 1 if tag == "main" else 2
             if rank >= ranks[region]:
                 ranks.append(rank)
                 region = len(ranks) - 1
+        opened[tag] += 1
         stack.append((tag, gone, region, linked or tag == "a"))
         dropped, linked = gone, linked or tag == "a"
         if tag in BLOCKS:
@@ -143,8 +153,12 @@ def _first_pass(block: Block, article: bool) -> str:
         return "bad"
     if n < SHORT:
         return "short"
-    words = WORD.findall(block.text.lower())
-    stops = sum(map(STOP_WORDS.__contains__, words)) / max(len(words), 1)
+    if block.stops < 0:
+        words = WORD.findall(block.text.lower())
+        block.stops = sum(map(STOP_WORDS.__contains__, words)) / max(len(words), 1)
+    stops = block.stops
+    if article and stops < STOP_LOW and block.linked > LINKS * n:  # a list of links and names, not prose
+        return "bad"
     if stops >= STOP_HIGH:
         return "good" if n > LONG else "near"
     if stops >= STOP_LOW:
@@ -185,14 +199,17 @@ def main_text(page: str | None) -> str:
     for b in found:
         b.text = " ".join("".join(b.parts).split())
     found = [b for b in found if b.text]
-    for rank in (2, 1, 0):
-        row = [b for b in found if ranks[b.region] == rank or rank == 1 and ranks[b.region] == 2]
+    texts = {}
+    for rank in (0, 1, 2):
+        row = [b for b in found if ranks[b.region] >= rank]
         for b in row:
             b.kind = _first_pass(b, rank > 0)
         _second_pass(row, rank > 0)
-        good = [b.text for b in row if b.kind == "good"]
-        if good:
-            return "\n\n".join(good)
+        texts[rank] = [b.text for b in row if b.kind == "good"]
+    size = {rank: sum(map(len, good)) for rank, good in texts.items()}
+    for rank in (2, 1, 0):
+        if texts[rank] and size[rank] >= MOST_OF_PAGE * max(size.values()):
+            return "\n\n".join(texts[rank])
     # nothing decided: a page of undecided blocks only
     return "\n\n".join(b.text for b in found if _first_pass(b, False) in ("near", "short"))
 
@@ -208,8 +225,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     def run(batches):
         for pdf in batches:
             text = [main_text(x) for x in pdf.pop("_page")]
-            yield pdf.assign(text=text, n_chars=pd.Series([len(t) for t in text], dtype="int64"))
+            yield pdf.assign(text=pd.Series(text, dtype=object), n_chars=pd.Series([len(t) for t in text], dtype="int64"))
 
+    small_batches(pages.sparkSession)
     held = pages.select(F.col(f"`{key}`"), F.col(f"`{url}`"), F.coalesce(F.col(f"`{page}`"), F.lit("")).alias("_page"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "_page")
     return held.mapInPandas(run, f"{kinds}, text string, n_chars long")
