@@ -26,7 +26,7 @@ SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25]) / 3
 SPAN, EDGES = 16, (-0.12, 0.0, 0.12)
 #: Equal integers that one offset needs, and the largest share of unequal bits of a match.
 VOTES, ERRORS = 3, 0.35
-#: Recordings and queries that are compared at once.
+#: Recordings that a task describes at once.
 CHUNK = 512
 
 
@@ -144,35 +144,35 @@ def aligned(query: np.ndarray, rows: list[np.ndarray]) -> list[tuple[float, int,
     return best
 
 
-def match(prints: DataFrame, key: str, queries: Column) -> DataFrame:
-    """Every recording against the stated queries, in blocks: class_id (smallest key with the same fingerprint), and of a query
-    of another class that aligns its class, the offset in steps, the equal integers and the share of unequal bits. A recording has
-    one row for each such class, and one with nulls where none aligns. Equal fingerprints are compared once. Recordings without a fingerprint match nothing and are classes of
-    their own; repeated rows each give their rows; an empty table gives an empty one."""
-    some = prints.where(F.octet_length("codes") > 0)
-    classes = staged(some.groupBy("codes").agg(F.min(key).alias("class_id"), F.max(queries).alias("asks")), "audio-classes")
+def _integers(codes: Column) -> Column:
+    """array<bigint> of the little-endian integers in the bytes of a fingerprint."""
+    digits = F.hex(codes)
+    at = F.sequence(F.lit(0), (F.octet_length(codes) / 4).cast("int") - 1)
+    part = lambda k, b: F.substring(digits, 8 * k + 2 * b + 1, F.lit(2))
+    return F.transform(at, lambda k: F.conv(F.concat(part(k, 3), part(k, 2), part(k, 1), part(k, 0)), 16, 10).cast("long"))
 
-    def packed(rows: DataFrame, names: tuple[str, str]) -> DataFrame:
-        parts = max(1, -(-rows.count() // CHUNK))
-        return rows.groupBy(F.pmod(F.xxhash64("class_id"), F.lit(parts)).alias("_part")).agg(F.collect_list("class_id").alias(names[0]), F.collect_list("codes").alias(names[1])).drop("_part")
 
-    def compare(batches):
-        for pdf in batches:
-            for ids, codes, asks, wanted in zip(*(pdf[c] for c in ("ids", "codes", "asks", "wanted")), strict=True):
-                rows = [np.frombuffer(c, np.uint32) for c in codes]
-                out = []
-                for q, w in zip(asks, wanted, strict=True):
-                    for i, found in zip(ids, aligned(np.frombuffer(w, np.uint32), rows), strict=True):
-                        if found and i != q and found[0] <= ERRORS:
-                            out.append((i, *found, q))
-                yield pd.DataFrame(out, columns=["class_id", "bit_error", "offset", "votes", "query_class"])
-
-    chunks = packed(classes, ("ids", "codes"))
-    blocks = packed(classes.where("asks"), ("asks", "wanted"))
-    # chunks of rows against blocks of the stated queries: both hold CHUNK fingerprints a row
-    blocks = staged(blocks, "audio-queries")
-    pairs = staged(chunks, "audio-chunks").repartition(64).join(blocks)
-    found = pairs.mapInPandas(compare, "class_id long, bit_error double, offset int, votes int, query_class long")
-    known = classes.join(staged(found, "audio-found"), "class_id", "left").select(F.col("codes").alias("_codes"), "class_id", "query_class", "offset", "votes", "bit_error")
-    out = prints.join(known, F.col("codes") == F.col("_codes"), "left")
+def match(prints: DataFrame, key: str, queries: Column) -> DataFrame:
+    """Every recording against the stated queries by an index of their integers: class_id (smallest key with the same fingerprint), and
+    of a query of another class that aligns its class, the offset in steps, the equal integers and the share of unequal bits. A
+    recording has one row for each such class, and one with nulls where none aligns. Equal integers are joined, offsets of pairs are
+    counted before and after their shuffle, and bit errors are measured at each offset of VOTES or more, so no link is lost. Equal
+    fingerprints are compared once. Recordings without a fingerprint match nothing and are classes of their own; repeated rows each
+    give their rows; an empty table gives an empty one; other columns are not read."""
+    some = prints.where(F.octet_length("codes") > 0)
+    classes = staged(some.groupBy("codes").agg(F.min(key).alias("class_id"), F.max(queries).alias("asks")).withColumn("steps", _integers(F.col("codes"))), "audio-classes")
+    placed = classes.select("class_id", F.posexplode("steps").alias("place", "code"))
+    asked = classes.where("asks").select(F.col("class_id").alias("query_class"), F.posexplode("steps").alias("from", "code"))
+    votes = placed.join(asked, "code").where("class_id <> query_class")
+    votes = votes.groupBy("class_id", "query_class", (F.col("place") - F.col("from")).alias("offset")).agg(F.count(F.lit(1)).cast("int").alias("votes")).where(F.col("votes") >= VOTES)
+    rows, wanted = classes.select("class_id", F.col("steps").alias("x")), classes.select(F.col("class_id").alias("query_class"), F.col("steps").alias("y"))
+    ends = votes.join(rows, "class_id").join(wanted, "query_class")
+    x, y = (F.slice(c, F.greatest(F.lit(0), sign * F.col("offset")) + 1, F.size(c)) for c, sign in (("x", 1), ("y", -1)))
+    gaps = F.filter(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), lambda g: g.isNotNull())  # past the shorter end: null
+    error = F.aggregate(gaps, F.lit(0), lambda s, g: s + g) / (F.size(gaps) * 32)
+    fits = ends.select("class_id", "query_class", "offset", "votes", error.alias("bit_error")).where(F.col("bit_error") <= ERRORS)
+    best = fits.groupBy("class_id", "query_class").agg(F.min(F.struct(-F.col("votes"), F.abs("offset"), "offset", "votes", "bit_error")).alias("_best"))
+    found = staged(best.select("class_id", "query_class", "_best.offset", "_best.votes", "_best.bit_error"), "audio-found")
+    known = classes.join(found, "class_id", "left").select(F.col("codes").alias("_codes"), "class_id", "query_class", "offset", "votes", "bit_error")
+    out = prints.select(key, "seconds", "codes").join(known, F.col("codes") == F.col("_codes"), "left")
     return out.select(F.col(key), "seconds", (F.octet_length("codes") / 4).cast("long").alias("n_codes"), F.sha2("codes", 256).alias("codes_sha256"), F.coalesce("class_id", key).alias("class_id"), "query_class", "offset", "votes", "bit_error")
