@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a neighbour graph, greedy search answers queries.
 
 Vectors that are equal are one node. Each node starts with the nearest of those that share a random pivot or a cell dealt by
-a hash with it, so that no node is left without a list; then a few rounds of neighbours of neighbours improve the lists: every node's forward and reverse neighbours meet at it, and each
-is told of the nearest others there. Rounds are joins: node lists with vectors, and merges by node. A query walks the
+a hash with it, so that no node is left without a list; then rounds of neighbours of neighbours improve the lists until few
+entries change: every node's forward and reverse neighbours meet at it, and each is told of the nearest others there. Rounds
+are joins: node lists with vectors, and merges by node. A query walks the
 graph from its own node and keeps a beam of the best nodes met; each step joins the beams' best unexpanded nodes with the
 graph, for all queries at once. Lists and beams use vectors of one byte a component with a scale; the end of each beam is
 measured again in double precision on the original vectors. Links between nodes that a hash deals together join the graph
@@ -18,16 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_side, staged
+from .common import discard, small_batches, small_side, staged
 
-#: Length of a node's list; neighbours of each direction that meet in a round; the nearest that each is told of; rounds.
-NEIGHBOURS, MEET, TOLD, ROUNDS = 32, 10, 10, 3
+#: Length of a node's list; neighbours of each direction that meet in a round; the nearest that each is told of.
+NEIGHBOURS, MEET, TOLD = 32, 10, 10
+#: Rounds go on until at most this share of all list entries is new.
+SETTLED = 0.1
 #: Reverse neighbours kept in the graph for the search.
 REVERSE = 16
-#: Random pivots, pivots that each vector goes to, and rows of a pivot that are compared with one another.
+#: Random pivots, which are at least so many and twice the root of the nodes, pivots that each vector goes to, and rows of a pivot that
+#: are compared with one another.
 PIVOTS, NEAR, CELL = 128, 3, 512
-#: Nodes of a beam, nodes expanded a step, steps at most, and nodes measured again at the end.
-BEAM, EXPAND, STEPS, AGAIN = 320, 48, 40, 64
+#: Nodes of a beam, nodes expanded a step, and nodes measured again at the end.
+BEAM, EXPAND, AGAIN = 320, 48, 64
 #: Queries and nodes of a block of the exact pass.
 ASKS, BLOCK = 512, 2048
 
@@ -91,7 +95,8 @@ def _merged(lists: DataFrame, most: int) -> DataFrame:
             place = np.arange(len(of)) - np.repeat(starts, np.diff(np.append(starts, len(of))))
             of, near, sim = of[place < most], near[place < most], sim[place < most]
             starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.empty(0, int)
-            yield pd.DataFrame({"id": of[starts], "near": np.split(near, starts[1:]) if len(of) else [], "sims": np.split(sim, starts[1:]) if len(of) else []})
+            if len(of):
+                yield pd.DataFrame({"id": of[starts], "near": np.split(near, starts[1:]), "sims": np.split(sim, starts[1:])})
 
     return lists.select("id", "near", "sims").repartition("id").sortWithinPartitions("id").mapInPandas(run, "id long, near array<long>, sims array<float>")
 
@@ -111,14 +116,15 @@ def _cells(nodes: DataFrame, seed: int = 5) -> DataFrame:
     first = nodes.select("vec").first()
     if first is None:
         return nodes.select("id", F.array().cast("array<long>").alias("near"), F.array().cast("array<float>").alias("sims"))
-    pivots = nodes.sparkSession.sparkContext.broadcast(np.random.default_rng(seed).normal(size=(PIVOTS, len(first[0]) - 4)).astype(np.float32))
+    most = max(PIVOTS, int(2 * nodes.count() ** 0.5))
+    pivots = nodes.sparkSession.sparkContext.broadcast(np.random.default_rng(seed).normal(size=(most, len(first[0]) - 4)).astype(np.float32))
 
     def assign(batches):
         for pdf in batches:
             if len(pdf):
                 s = _unpacked(pdf["vec"]) @ pivots.value.T
                 at = np.argpartition(-s, NEAR, axis=1)[:, :NEAR]
-                at = np.column_stack([at, np.full(len(at), PIVOTS)])  # a pivot of all, so that nobody is alone
+                at = np.column_stack([at, np.full(len(at), most)])  # a pivot of all, so that nobody is alone
                 yield pd.DataFrame({"pivot": at.ravel(), "id": np.repeat(pdf["id"].to_numpy(), NEAR + 1), "vec": np.repeat(pdf["vec"].to_numpy(), NEAR + 1)})
 
     placed = staged(nodes.mapInPandas(assign, "pivot int, id long, vec binary"), "nn-placed")
@@ -186,7 +192,15 @@ def _rings(nodes: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).where("id <> to")
 
 
-def build(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _changed(before: DataFrame, after: DataFrame) -> float:
+    """Share of the list entries that are new."""
+    old = before.select("id", F.col("near").alias("_old"))
+    new = F.size(F.array_except("near", "_old"))
+    gone, entries = after.join(old, "id").agg(F.sum(new), F.sum(F.size("near"))).first()
+    return (gone or 0) / max(entries or 0, 1)
+
+
+def build(vectors: DataFrame, settled: float = SETTLED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, nodes, graph) of (vec_id, embedding) rows that take part: members (node, vec_id), nodes (id, embedding, vec), and
     graph (id, near, vecs), where vecs are the packed vectors of the neighbours."""
     classes = staged(vectors.groupBy("embedding").agg(F.min("vec_id").alias("id")), "nn-classes")
@@ -198,8 +212,11 @@ def build(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFram
 
     nodes = staged(classes.select("id", "embedding").mapInArrow(pack, "id long, vec binary"), "nn-nodes")
     lists = staged(_cells(nodes), "nn-lists")
-    for k in range(rounds):
-        lists = staged(_round(nodes, lists, k), "nn-lists")
+    share, k = 1.0, 0
+    while share > settled:
+        before, lists = lists, staged(_round(nodes, lists, k), "nn-lists")
+        share, k = _changed(before, lists), k + 1
+        discard(before)
     edges = lists.select("id", F.explode("near").alias("to"))
     back = _sampled(edges, "to", "id", REVERSE, 99).select(F.col("to").alias("id"), F.col("id").alias("to"))
     both = edges.unionByName(back).unionByName(_rings(nodes)).distinct().join(nodes.select(F.col("id").alias("to"), "vec"), "to")
@@ -247,7 +264,7 @@ def _walk(starts: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
             yield pd.DataFrame(out, columns=["query", "near", "sims", "done"])
 
     kinds = "query long, vec binary, near array<long>, sims array<float>, done array<boolean>"
-    for _ in range(STEPS):
+    while True:  # a beam's floor only rises, so no node is expanded twice and the walk ends
         front = staged(state.mapInPandas(mark, "id long, query long, vec binary, floor float"), "nn-front")
         n = front.count()
         if not n:
@@ -257,7 +274,8 @@ def _walk(starts: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
         expanded = front.groupBy("query").agg(F.collect_list("id").alias("near"))
         expanded = expanded.select("query", "near", F.transform("near", lambda x: F.lit(float("-inf")).cast("float")).alias("sims"), F.transform("near", lambda x: F.lit(True)).alias("done"))
         rows = state.unionByName(found, allowMissingColumns=True).unionByName(expanded, allowMissingColumns=True)
-        state = staged(rows.repartition("query").sortWithinPartitions("query").mapInPandas(extend, kinds), "nn-beam")
+        before, state = state, staged(rows.repartition("query").sortWithinPartitions("query").mapInPandas(extend, kinds), "nn-beam")
+        discard(before, front)
     return state
 
 
@@ -292,13 +310,20 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     """(query_id, rank, vec_id, score): for each row for which ``queries`` holds its ``k`` nearest found among all others.
 
     Nearness is the inner product in double precision; ties go to the smaller id. With fewer than ``k`` others all are
-    given; a query never has fewer than ``k`` otherwise, as those that the graph leaves short get an exact pass. Vectors that are null or zero or hold null or non-finite components take no part, nor do those of another length
-    than most. Equal vectors share a node and are listed one by one. Rows that repeat an id with one vector count once. An
+    given; a query never has fewer than ``k`` otherwise, as those that the graph leaves short get an exact pass. Vectors that are null
+    or zero or hold null or non-finite components take no part; a shorter vector counts as followed by zeros. Equal vectors share a node and are listed one by one. Rows that repeat an id with one vector count once. An
     empty table gives an empty result; other columns are not read, so extra columns cannot clash.
     """
-    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<float>").alias("embedding"), queries.alias("_asks")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("embedding") == (length["n"] if length else 0)).dropDuplicates(["vec_id", "embedding"])
+    small_batches(vectors.sparkSession)
+    held = F.col(f"`{vector}`")
+    if vectors.select(held).schema[0].dataType.simpleString() not in ("array<float>", "array<double>"):
+        held = held.cast("array<double>")
+    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), held.alias("embedding"), queries.alias("_asks")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    least, most = rows.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != most:
+        zeros = F.array_repeat(F.lit(0), F.lit(most) - F.size("embedding")).cast(rows.schema["embedding"].dataType)
+        rows = rows.withColumn("embedding", F.concat("embedding", zeros))
+    rows = rows.dropDuplicates(["vec_id", "embedding"])
     classes, nodes, graph = build(rows.select("vec_id", "embedding"))
     member = rows.join(classes, "embedding").select("vec_id", F.col("id").alias("node"), "_asks")
     member = staged(member, "nn-members")
