@@ -9,8 +9,8 @@ sets are one node from the start, so copies cost nothing but their row.
 Tokens of a few documents give all their pairs. Among the documents of a token of many only a spanning forest of the
 candidate pairs is sent on, best pairs first; pairs that fail the count are noted, and what they leave undecided is tried
 again, so no link is lost and no large group is expanded into all its pairs. The documents of a token are dealt into blocks
-by size class, of which only neighbouring ones can link, and by a hash. Blocks are joined up inside first, then each with the
-next one of a ring; after that only pairs of blocks that don't share one component already are compared.
+by size class, of which only neighbouring ones can link, and by a hash. Each block meets the next one of a ring first; after
+that only pairs of blocks that don't share one component already are compared.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ ROWS = 2500
 #: pairs of a document in a round as join it to other components.
 FEW, EACH = 24, 128
 #: Documents of one prefix token and size class that are compared in one block.
-BLOCK = 512
-#: The turn that compares all blocks: the first is inside blocks, the second along rings of blocks, later ones settle what failed.
-FULL = 2
+BLOCK = 256
+#: The turn that compares all blocks: the first goes along rings of blocks, later ones settle what failed.
+FULL = 1
 #: Bits of a token's place among the ranked ones in its order key, below its count.
 PLACE_BITS = 20
 _SEEDS = [np.uint64(0x5851F42D4C957F2D * (2 * k + 1) % (1 << 64)) for k in range(8)]
@@ -320,7 +320,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
 
 def _linked(docs: DataFrame, key: str, text: str, width: int, percent: int, orders: int = ORDERS) -> DataFrame:
-    """(id, n, node, component_id) of every row; rows with equal sets have one node."""
+    """(id, n, node, label, component_id) of every row; rows with equal sets have one node."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -395,12 +395,11 @@ def _linked(docs: DataFrame, key: str, text: str, width: int, percent: int, orde
         held = placed if turn >= FULL else placed.where("once")
         held = held.withColumn("block", F.concat_ws("/", "size", "own"))
         if not turn:
-            return held.select("token", F.col("block").alias("b1"), F.col("block").alias("b2"), F.col("own"), "id", "n", "bits", F.col("id").alias("component"), none.alias("failed"))
+            # block k meets block k + 1 under the name of block k
+            before = F.pmod(F.col("own") - F.lit(1), F.col("_g"))
+            held = held.withColumn("b1", F.explode(F.when(F.col("_g") > 2, F.array("own", before)).otherwise(F.array(F.lit(0))))).withColumn("b1", F.concat_ws("/", "size", "b1"))
+            return held.select("token", "b1", F.col("b1").alias("b2"), "own", "id", "n", "bits", F.col("id").alias("component"), none.alias("failed"))
         held = held.join(small_side(state, state.count(), 200_000), "id")
-        if turn < FULL:
-            held = held.where("_g > 1").withColumn("_next", F.explode(F.array(F.col("own"), F.pmod(F.col("own") + F.lit(1), F.col("_g")))))
-            # block k meets block k + 1 in the pair that is named after k + 1
-            return held.select("token", F.concat_ws("/", "size", "_next").alias("b1"), F.lit("ring").alias("b2"), "own", "id", "n", "bits", "component", "failed")
         blocks = staged(held.groupBy("token", "size", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")), "jaccard-blocks")
         x, y = (blocks.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("size", "block", "lo", "hi", "rows")]) for k in (1, 2))
         apart = (F.least("lo1", "lo2") < F.greatest("hi1", "hi2")) & ((F.col("block1") != F.col("block2")) | (F.col("rows1") > 1))
@@ -447,16 +446,16 @@ def _linked(docs: DataFrame, key: str, text: str, width: int, percent: int, orde
 
 
 def _in_classes(table: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(id, n, node, component_id) from the rows, the classes of equal sets and the labels of linked nodes. The component of a node is
-    the smallest key of all rows that its links reach."""
-    belongs = classes.select(F.col("node").alias("_node"), F.col("rep").alias("component_id"))
+    """(id, n, node, label, component_id) from the rows, the classes of equal sets and the labels of linked nodes. The component of a
+    node is the smallest key of all rows that its links reach; its label tells components apart that share such a key."""
+    belongs = classes.select(F.col("node").alias("_node"), F.col("node").alias("label"), F.col("rep").alias("component_id"))
     if labels is not None:
         known = classes.select("node", "rep").join(labels, classes["node"] == labels["id"])
         least = known.groupBy("component").agg(F.min("rep").alias("_least"))
-        known = known.join(least, "component").select(F.col("node").alias("_known"), "_least")
-        belongs = belongs.join(known, F.col("_node") == F.col("_known"), "left").select("_node", F.coalesce("_least", "component_id").alias("component_id"))
+        known = known.join(least, "component").select(F.col("node").alias("_known"), F.col("component").alias("_label"), "_least")
+        belongs = belongs.join(known, F.col("_node") == F.col("_known"), "left").select("_node", F.coalesce("_label", "label").alias("label"), F.coalesce("_least", "component_id").alias("component_id"))
     out = table.select("id", "n", "node").join(belongs, (F.col("node") == F.col("_node")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
-    return out.select("id", "n", "node", F.coalesce("component_id", "id").alias("component_id"))
+    return out.select("id", "n", "node", "label", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -484,8 +483,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, names=batch.schema.names), pa.array(_nodes(sets))], names=["_row", "_node"])
 
     marked = docs.join(several, same, "left_semi").mapInArrow(mark, f"_row struct<{kinds.replace('` ', '`:')}>, _node long")
-    worded = marked.where("_node <> 0").join(found.where("n > 0").select(F.col("node").alias("_n"), F.col("component_id").alias("_component")).distinct(), F.col("_node") == F.col("_n"))
+    worded = marked.where("_node <> 0").join(found.where("label is not null").select(F.col("node").alias("_n"), "label", F.col("component_id").alias("_component")).distinct(), F.col("_node") == F.col("_n"))
     own = F.col("_row")[key]
-    worded = worded.where(own.cast("long") == F.col("_component")).groupBy(own.alias("_own")).agg(F.min_by("_row", F.struct(F.col("_row")[text], F.to_json("_row"))).alias("_row"))
+    worded = worded.where(own.cast("long") == F.col("_component")).groupBy(own.alias("_own"), "label").agg(F.min_by("_row", F.struct(F.col("_row")[text], F.to_json("_row"))).alias("_row"))
     chosen = worded.select("_row").unionByName(marked.where("_node = 0").select("_row"))
     return kept.join(several, same, "left_anti").unionByName(chosen.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
