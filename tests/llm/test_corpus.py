@@ -153,7 +153,7 @@ def test_neighbours(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(600, 16)).astype(np.float32)
     x[100:140] = x[100]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [1.0, 2.0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [1.0, None])]
     got = nndescent.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 20).collect()
     by = {}
     for r in sorted(got, key=lambda r: r["rank"]):
@@ -207,7 +207,7 @@ def test_outliers_ask_and_are_found(spark):
 def test_short_queries_are_finished_exactly(spark, monkeypatch):
     monkeypatch.setattr(nndescent, "BLOCK", 16)
     monkeypatch.setattr(nndescent, "ASKS", 4)
-    monkeypatch.setattr(nndescent, "STEPS", 0)
+    monkeypatch.setattr(nndescent, "EXPAND", 0)
     x = np.random.default_rng(5).normal(size=(150, 6)).astype(np.float32)
     x[7] = x[20]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
