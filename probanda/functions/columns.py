@@ -57,3 +57,53 @@ def partition_aggregate(name: str, by: list[str], op: str) -> Column:
 def padded(df: DataFrame, names: list[str]) -> DataFrame:
     """With a null column for each name that is missing, so that predicates on it drop rows instead of failing."""
     return df.withColumns({n: F.lit(None).cast("double") for n in names if n not in df.columns})
+
+
+def shared_dir(spark) -> str:
+    """The folder of reliable checkpoints: spark.checkpoint.dir; where it is unset one under /tmp in local mode, ValueError on a cluster."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(found or "/tmp/checkpoints")
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a reliable checkpoint: what is read twice, such as range partitions, is then the same twice."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def running(table: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
+    """With ``<value>_before``: the sum of each value over the rows of the same stratum that come earlier in ``order``.
+
+    Rows must be unique in (by, order). They are range-partitioned, summed up inside each partition, and get the totals of earlier
+    partitions of their stratum; so no stratum has to fit one task, however few strata there are.
+    """
+    keys = [col(b) for b in by]
+    placed = cut(table.repartitionByRange(*keys, col(order)).withColumn("_part", F.spark_partition_id()))
+    inside = W.partitionBy("_part", *keys).orderBy(col(order)).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # of one row per partition and stratum
+    totals = placed.groupBy("_part", *keys).agg(*[F.sum(col(v)).alias(f"_t_{v}") for v in values])
+    names = [f"_key{k}" for k in range(len(by))]
+    starts = totals.select(F.col("_part").alias("_of"), *[k.alias(n) for k, n in zip(keys, names, strict=True)], *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_s_{v}") for v in values])
+    same = F.col("_part") == F.col("_of")
+    for k, n in zip(keys, names, strict=True):
+        same &= k.eqNullSafe(F.col(n))
+    out = placed.withColumns({f"_i_{v}": F.coalesce(F.sum(col(v)).over(inside), F.lit(0)) for v in values}).join(starts, same)
+    return out.select(*[col(c) for c in table.columns], *[(F.col(f"_i_{v}") + F.col(f"_s_{v}")).alias(f"{v}_before") for v in values])
+
+
+def with_aggregates(df: DataFrame, by: list[str], **aggregates: Column) -> DataFrame:
+    """The rows with aggregates of their stratum (null is a stratum): one row per stratum is summed up and joined back, so that no
+    stratum is pulled into one task as a window would."""
+    names = [f"_by{k}" for k in range(len(by))]
+    small = df.groupBy(*[col(b).alias(n) for b, n in zip(by, names, strict=True)]).agg(*[v.alias(n) for n, v in aggregates.items()])
+    same = F.lit(True)
+    for b, n in zip(by, names, strict=True):
+        same = same & col(b).eqNullSafe(F.col(n))
+    return (df.join(small, same) if by else df.crossJoin(F.broadcast(small))).drop(*names)

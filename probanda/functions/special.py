@@ -93,8 +93,36 @@ def recommended_n_paired(effect: float, alpha: float = 0.05, power: float = 0.8,
     return low
 
 
+def normal_p_column(z):
+    """Two-sided p of a column of standard normal values, by the complementary error function's rational approximation, to 1.2e-7."""
+    from pyspark.sql import functions as F
+
+    # Coefficients of the published approximation.
+    terms = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    power = F.lit(terms[-1])
+    for c in reversed(terms[:-1]):
+        power = F.lit(c) + t * power
+    return t * F.exp(power - x * x)
+
+
+def binomial_p_column(k, n):
+    """Two-sided sign-test p of columns k of n: twice the larger side's tail, at most 1; null for no trials."""
+    from pyspark.sql import functions as F
+
+    big = F.greatest(k, n - k)
+    log_factorial = lambda m: F.aggregate(F.sequence(F.lit(0), m.cast("int")), F.lit(0.0), lambda s, i: s + F.log(F.greatest(i, F.lit(1)).cast("double")))
+    one = lambda i: F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * math.log(2))
+    tail = F.aggregate(F.transform(F.sequence(big.cast("int"), n.cast("int")), one), F.lit(0.0), lambda s, p: s + p)
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
+
+
 def binomial_tail(k: int, n: int, p: float = 0.5) -> float:
     """P(X >= k)."""
+    if n > 1000:  # by logarithms, where the coefficients are no doubles
+        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(k, 0), n + 1)]
+        return min(1.0, math.fsum(map(math.exp, logs)))
     return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(max(k, 0), n + 1))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import effects
+from ..functions import effects, special
 from ..functions.columns import col, number
 from . import paired, ranks
 
@@ -48,7 +48,7 @@ def phase_consistency(links: DataFrame, sign: int, critical: float = 1.959964, m
     """Share of all bursts whose correlation has the expected sign and a Fisher z beyond ``critical``."""
     z = F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col("r")))) * F.sqrt(F.greatest(F.col("n_pairs") - 3, F.lit(0)))
     held = F.coalesce((F.col("r") * sign > 0) & (F.abs(z) > critical) & (F.col("n_pairs") >= min_pairs), F.lit(False))
-    return links.agg(F.count(F.lit(1)).alias("bursts"), F.count_if(held).alias("consistent"), F.avg(held.cast("double")).alias("share"))
+    return links.agg(F.count(F.lit(1)).alias("bursts"), F.count_if(held).alias("consistent"), F.avg(held.cast("double")).alias("share"), F.count_if(F.col("r") * sign > 0).alias("same_sign"), F.count("r").alias("measured")).withColumn("p", special.binomial_p_column(F.col("same_sign"), F.col("measured"))).drop("measured")
 
 
 def dynamic_partial(cells: DataFrame, mediator: str, outcome: str, env: str, arm: str = "arm_key", treatment: str = "treatment") -> DataFrame:
@@ -58,6 +58,42 @@ def dynamic_partial(cells: DataFrame, mediator: str, outcome: str, env: str, arm
     return plain.join(ranks.partial_spearman(long, "a", "o", "m", [env, "burst"]).select(env, "burst", F.col("rho").alias("conditional")), [env, "burst"], "left")
 
 
+def dynamic_partial_multi(cells: DataFrame, mediators: list[str], outcome: str, env: str, arm: str = "arm_key", treatment: str = "treatment") -> DataFrame:
+    """Per (env, burst): rank correlation of the arm with the outcome, the same given all mediators, and a status: ok, underpowered
+    (n <= 3 + mediators), degenerate (a constant rank)."""
+    names = [f"m{k}" for k in range(len(mediators))]
+    long = exploded(cells, {**dict(zip(names, mediators, strict=True)), "o": outcome}, [env, arm]).withColumn("a", (col(arm) == treatment).cast("double"))
+    plain = ranks.spearman(long, "a", "o", [env, "burst"]).withColumnRenamed("rho", "marginal")
+    given = ranks.partial_spearman_multi(long, "a", "o", names, [env, "burst"]).select(env, "burst", F.col("rho").alias("conditional"))
+    status = F.when(F.col("n") <= 3 + len(names), "underpowered").when(F.col("marginal").isNull() | F.col("conditional").isNull(), "degenerate").otherwise("ok")
+    return plain.join(given, [env, "burst"], "left").withColumn("status", status)
+
+
+def fisher_z_dl_pool(rows: DataFrame, rho: str, n: str, offset: int, by: list[str] | None = None) -> DataFrame:
+    """Correlations pooled by DerSimonian-Laird on Fisher's z with errors 1 / sqrt(n - offset); rho is the pooled one's tanh."""
+    z = F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), col(rho))))
+    held = rows.where(col(rho).isNotNull() & (col(n) > offset)).withColumns({"_z": z, "_z_se": 1 / F.sqrt((col(n) - offset).cast("double"))})
+    return effects.dl_pool(held, "_z", "_z_se", by).withColumn("rho", F.tanh("pooled"))
+
+
+def leak_adjudication(sibling: DataFrame, joint: DataFrame, env: str, critical: float = 1.959964, alpha: float = 0.05, least: int = 6) -> DataFrame:
+    """Per env whether a mediator separates arm and outcome by itself or only by leaking: bursts that one frame of ``dynamic_partial``
+    separates and the other doesn't, McNemar's counts b (joint only) and c (sibling only), exact one-sided p of b, and GENUINE, LEAK,
+    NO_DIFFERENCE or UNDERPOWERED (fewer than ``least`` discordant bursts)."""
+
+    def separated(df: DataFrame, name: str) -> DataFrame:
+        z = lambda r, off: F.abs(F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col(r)))) * F.sqrt(F.greatest(F.col("n") - off, F.lit(0))))
+        return df.select(env, "burst", F.coalesce((z("marginal", 3) > critical) & (z("conditional", 4) <= critical), F.lit(False)).alias(name))
+
+    both = separated(sibling, "_s").join(separated(joint, "_j"), [env, "burst"])
+    out = both.groupBy(col(env)).agg(F.count(F.lit(1)).alias("bursts"), F.count_if(F.col("_j") & ~F.col("_s")).alias("b"), F.count_if(~F.col("_j") & F.col("_s")).alias("c"))
+    n = F.col("b") + F.col("c")
+    half = special.binomial_p_column(F.col("b"), n) / 2  # of the larger side
+    p = F.when(n == 0, F.lit(None).cast("double")).when(F.col("b") >= F.col("c"), half).otherwise(1 - half)
+    verdict = F.when(n < least, "UNDERPOWERED").when((p <= alpha) & (F.col("b") > F.col("c")), "GENUINE").when((half <= alpha) & (F.col("c") > F.col("b")), "LEAK").otherwise("NO_DIFFERENCE")
+    return out.withColumn("p", p).withColumn("verdict", verdict)
+
+
 def adjacency_counts(rows: DataFrame, env: str, critical: float = 1.959964) -> DataFrame:
     """Per env over bursts of ``dynamic_partial``: marginal edges, those that the mediator separates, and direct ones."""
     z = lambda r, off: F.abs(F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col(r)))) * F.sqrt(F.greatest(F.col("n") - off, F.lit(0))))

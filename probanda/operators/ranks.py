@@ -5,25 +5,35 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import effects, special
-from ..functions.columns import col, finite, number
+from ..functions.columns import col, finite, number, running
 
 
 def ranked(cells: DataFrame, names: list[str], by: list[str]) -> DataFrame:
-    """Rows with all names finite, each replaced by its average rank within the stratum."""
+    """Rows with all names finite, each replaced by its average rank within the stratum.
+
+    Equal values are counted first; the distinct ones of all columns are range-partitioned together and get prefix sums, so no
+    stratum is sorted in one task. Ranks are joined back by value.
+    """
     rows = cells
     for n in names:
         rows = rows.where(finite(n))
-    keys = [col(b) for b in by]
-    rows = rows.select(*keys, *[number(n).alias(f"_v{k}") for k, n in enumerate(names)])
+    keys = [f"_k{k}" for k in range(len(by))]
+    rows = rows.select(*[col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[(number(n) + 0.0).alias(f"_v{k}") for k, n in enumerate(names)])
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.col(f"_v{k}").alias("v")) for k in range(len(names))])).alias("_x")
+    counts = rows.select(*keys, values).groupBy(*keys, F.col("_x.at").alias("_at"), F.col("_x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    found = running(counts, [*keys, "_at"], "_v", ["_n"]).withColumn("_rank", F.col("_n_before") + (F.col("_n") + 1) / 2.0)
     for k in range(len(names)):
-        ties = F.count(F.lit(1)).over(W.partitionBy(*keys, f"_v{k}"))
-        rows = rows.withColumn(f"_r{k}", F.rank().over(W.partitionBy(*keys).orderBy(f"_v{k}")) + (ties - 1) / 2.0)
-    return rows.select(*keys, *[F.col(f"_r{k}").alias(f"r{k}") for k in range(len(names))])
+        mine = found.where(F.col("_at") == k).select(*[F.col(b).alias(f"{b}_") for b in keys], F.col("_v").alias(f"_u{k}"), F.col("_rank").alias(f"r{k}"))
+        same = F.col(f"_v{k}") == F.col(f"_u{k}")
+        for b in keys:
+            same &= F.col(b).eqNullSafe(F.col(f"{b}_"))
+        rows = rows.join(mine, same).drop(f"_u{k}", *[f"{b}_" for b in keys])
+    return rows.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], *[f"r{k}" for k in range(len(names))])
 
 
 def correlation(x: str, y: str) -> tuple:
@@ -92,6 +102,61 @@ def fisher_p(rho: float, n: float, given: int = 0) -> float:
     return special.normal_p(math.atanh(max(-0.999999, min(0.999999, rho))) * math.sqrt(n - 3 - given))
 
 
+def partial_spearman_multi(cells: DataFrame, x: str, y: str, controls: list[str], by: list[str]) -> DataFrame:
+    """(by, n, rho, z, p): rank correlation of x and y given any number of controls, per stratum, from the inverse of the ranks'
+    correlations. Products are summed up in one aggregation; the small systems, one per stratum, are solved in tasks. Null under five
+    rows or n <= 3 + controls, and where a rank is constant or controls are collinear."""
+    sums = gram(cells, [x, y, *controls], by, ranks=True)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*[col(b) for b in by]).schema)
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                enough = row["n"] >= 5 and row["n"] > 3 + len(controls)
+                out.append(partial_from(correlations(row), 0, 1, tuple(range(2, 2 + len(controls)))) if enough else math.nan)
+            rho = np.array(out, float)
+            z = np.arctanh(np.clip(rho, -0.999999, 0.999999)) * np.sqrt(np.maximum(pdf["n"].to_numpy(float) - 3 - len(controls), 0))
+            p = [special.normal_p(v) if v == v else None for v in z]
+            blank = lambda a: [None if v != v else float(v) for v in a]
+            yield pdf[[*by, "n"]].assign(rho=pd.Series(blank(rho), dtype=object), z=pd.Series(blank(z), dtype=object), p=pd.Series(p, dtype=object))
+
+    return sums.mapInPandas(solve, f"{kinds}{', ' * bool(by)}n long, rho double, z double, p double")
+
+
+def stratified_partial_multi(cells: DataFrame, x: str, y: str, controls: list[str], by: list[str]) -> DataFrame:
+    """Partial rank correlations of the strata pooled by Fisher's z, offset 3 + controls."""
+    return effects.fisher_z_pool(partial_spearman_multi(cells, x, y, controls, by).where("rho is not null"), "rho", "n", 3 + len(controls))
+
+
+def with_fisher_p(rows: DataFrame, rho: str = "rho", n: str = "n", given: int = 0) -> DataFrame:
+    """With z and two-sided p of each correlation by Fisher's transform; null where n is at most 3 + ``given``."""
+    z = F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), col(rho)))) * F.sqrt((col(n) - 3 - given).cast("double"))
+    z = F.when(col(n) > 3 + given, z)
+    return rows.withColumn("z", z).withColumn("p", special.normal_p_column(F.col("z")))
+
+
+def jci_panel(cells: DataFrame, predictor: str, target: str, env: str, by: list[str], arm: str = "arm_key", treatment: str = "treatment", baseline: str = "baseline", min_cells: int = 3) -> DataFrame:
+    """(kind, rho, n): over strata (keys ``by``, env among them) the rank correlation of the arms' differences of two metrics: marginal,
+    pooled over environments, and the latter given the target's baseline mean. Strata with a null key, or with fewer cells or finite
+    values of either arm than ``min_cells``, are left out."""
+    side = lambda f, m, a: f(F.when(col(arm) == a, number(m)))
+    rows = cells.where(col(arm).isin(treatment, baseline))
+    for b in by:
+        rows = rows.where(col(b).isNotNull())
+    enough = F.least(*[side(F.count, m, a) for m in (predictor, target) for a in (treatment, baseline)])
+    panel = rows.groupBy(*[col(b) for b in by]).agg(*[(side(F.avg, m, treatment) - side(F.avg, m, baseline)).alias(n) for m, n in ((predictor, "_x"), (target, "_y"))], side(F.avg, target, baseline).alias("_z"), enough.alias("_n")).where(F.col("_n") >= min_cells)
+    marginal = spearman(panel, "_x", "_y", []).select(F.lit("marginal").alias("kind"), "rho", "n")
+    within = stratified_spearman(panel, "_x", "_y", [env]).select(F.lit("stratified").alias("kind"), "rho", "n")
+    given = stratified_spearman(panel, "_x", "_y", [env], "_z").select(F.lit("stratified_partial").alias("kind"), "rho", "n")
+    return marginal.unionByName(within).unionByName(given)
+
+
+def property_slope(strata: DataFrame, effect: str, covariate: str) -> DataFrame:
+    """(n, rho, z, p): rank correlation over strata of a covariate with the effect size."""
+    return with_fisher_p(spearman(strata, covariate, effect, []))
+
+
 def stratified_spearman(cells: DataFrame, x: str, y: str, by: list[str], z: str | None = None) -> DataFrame:
     """Per-stratum rank correlations pooled by Fisher's z; offsets 3, or 4 with a control."""
     strata = spearman(cells, x, y, by) if z is None else partial_spearman(cells, x, y, z, by)

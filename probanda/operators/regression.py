@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..functions.columns import col, number
+from ..functions.columns import col, number, with_aggregates
+from . import bursts, paired, ranks, strata
 
 
 @dataclass(frozen=True)
@@ -25,16 +25,25 @@ class Fit:
     r2: float
 
 
-def normal_sums(rows: DataFrame, y: str, xs: list[str], weight=None) -> tuple[np.ndarray, np.ndarray, float, float, int, float]:
-    """(X'WX, X'Wy, y'Wy, sum of w, n, sum of w y) with an intercept first; rows with a non-finite value don't count."""
+def centres(rows: DataFrame, y: str, xs: list[str]) -> np.ndarray:
+    """Means of y and of each x, 0 where there are none: what sums are taken around, so that large means cost no digits."""
+    r = rows.agg(*[F.avg(number(v)).alias(f"c{k}") for k, v in enumerate([y, *xs])]).first()
+    return np.array([v if v is not None else 0.0 for v in r], float)
+
+
+def normal_sums(rows: DataFrame, y: str, xs: list[str], weight=None, around: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, float, int, float]:
+    """(X'WX, X'Wy, y'Wy, sum of w, n, sum of w y) with an intercept first, of values less ``around`` (y, then each x); rows with a
+    non-finite value don't count."""
     w = F.lit(1.0) if weight is None else weight
-    cols = [F.lit(1.0), *[number(x) for x in xs]]
+    around = np.zeros(1 + len(xs)) if around is None else around
+    target = number(y) - F.lit(float(around[0]))
+    cols = [F.lit(1.0), *[number(x) - F.lit(float(c)) for x, c in zip(xs, around[1:], strict=True)]]
     kept = rows.where(number(y).isNotNull())
     for x in xs:
         kept = kept.where(number(x).isNotNull())
     k = len(cols)
-    parts = [F.sum(w * cols[i] * cols[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(w * cols[i] * number(y)).alias(f"y{i}") for i in range(k)]
-    r = kept.agg(*parts, F.sum(w * number(y) * number(y)).alias("yy"), F.sum(w).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    parts = [F.sum(w * cols[i] * cols[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(w * cols[i] * target).alias(f"y{i}") for i in range(k)]
+    r = kept.agg(*parts, F.sum(w * target * target).alias("yy"), F.sum(w).alias("w"), F.count(F.lit(1)).alias("n")).first()
     a = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
@@ -43,18 +52,30 @@ def normal_sums(rows: DataFrame, y: str, xs: list[str], weight=None) -> tuple[np
     return a, b, r["yy"] or 0.0, r["w"] or 0.0, r["n"], b[0]
 
 
+def _independent(a: np.ndarray) -> bool:
+    """Whether a matrix of sums of products has full rank, whatever the scales of its columns."""
+    size = np.sqrt(np.maximum(np.diag(a), 0))
+    return bool((size > 0).all() and np.linalg.matrix_rank(a / np.outer(size, size)) == len(a))
+
+
 def ols(rows: DataFrame, y: str, xs: list[str], weight=None) -> Fit:
     """Least squares with t tests; ValueError where rows don't exceed parameters or columns are collinear."""
-    a, b, yy, w, n, wy = normal_sums(rows, y, xs, weight)
+    around = centres(rows, y, xs)
+    a, b, yy, w, n, wy = normal_sums(rows, y, xs, weight, around)
     p = len(b)
     if n <= p:
         raise ValueError(f"{n} rows for {p} parameters")
-    if np.linalg.matrix_rank(a) < p:
+    if not _independent(a):
         raise ValueError("the covariates are collinear")
     inverse = np.linalg.inv(a)
     beta = inverse @ b
     rss = max(yy - beta @ b, 0.0)
-    errors = np.sqrt(np.maximum(rss / (n - p) * np.diag(inverse), 0))
+    # back from the centres: only the intercept moves
+    back = np.eye(p)
+    back[0, 1:] = -around[1:]
+    beta = back @ beta
+    beta[0] += around[0]
+    errors = np.sqrt(np.maximum(rss / (n - p) * np.diag(back @ inverse @ back.T), 0))
     total = yy - wy * wy / w
     t = [2 * (1 - special.t_cdf(abs(v / e), n - p)) if e > 0 else math.nan for v, e in zip(beta, errors, strict=True)]
     return Fit(("intercept", *xs), beta, errors, np.array(t), n, 0.0, 1 - rss / total if total > 0 else math.nan)
@@ -70,13 +91,14 @@ def meta_regression(rows: DataFrame, effect: str, se: str, covariates: list[str]
     if bad:
         raise ValueError("standard errors must be positive")
     w = 1 / (number(se) * number(se))
-    a, b, yy, sw, n, _ = normal_sums(rows, effect, covariates, w)
+    around = centres(rows, effect, covariates)
+    a, b, yy, sw, n, _ = normal_sums(rows, effect, covariates, w, around)
     p = len(b)
     if n <= p:
         raise ValueError(f"{n} rows for {p} parameters")
-    if np.linalg.matrix_rank(a) < p:
+    if not _independent(a):
         raise ValueError("the covariates are collinear")
-    a2 = normal_sums(rows, effect, covariates, w * w)[0]
+    a2 = normal_sums(rows, effect, covariates, w * w, around)[0]
     inverse = np.linalg.inv(a)
     q = yy - b @ inverse @ b
     c = sw - np.trace(inverse @ a2)
@@ -97,7 +119,7 @@ def cross_validate(rows: DataFrame, effect: str, se: str, covariates: list[str],
 def mundlak(rows: DataFrame, stratum: str, x: str, y: str, se: str, cluster: bool = True) -> dict:
     """y on the stratum mean of x (between) and the deviation from it (within), weights 1 / se^2; Hausman t and p of their difference."""
     kept = rows.where(number(x).isNotNull() & number(y).isNotNull() & (number(se) > 0))
-    kept = kept.withColumn("_between", F.avg(number(x)).over(W.partitionBy(col(stratum)))).withColumn("_within", number(x) - F.col("_between"))
+    kept = with_aggregates(kept, [stratum], _between=F.avg(number(x))).withColumn("_within", number(x) - F.col("_between"))
     w = 1 / (number(se) * number(se))
     a, b, yy, _, n, _ = normal_sums(kept, y, ["_between", "_within"], w)
     if n < 4 or np.linalg.matrix_rank(a) < 3:
@@ -193,15 +215,83 @@ def moderation(rows: DataFrame, predictor: str, target: str, attenuator: str, th
     """Whether the slope of target on predictor differs where the attenuator exceeds a threshold: OLS with the interaction and one
     indicator per environment but the first. ValueError where the columns are collinear."""
     kept = rows.where(number(predictor).isNotNull() & number(target).isNotNull() & number(attenuator).isNotNull())
-    envs = sorted((r[0] for r in kept.select(col(env)).distinct().collect()), key=repr)
+    envs = sorted((r[0] for r in kept.select(col(env)).distinct().limit(501).collect()), key=repr)
+    if len(envs) > 500:
+        raise ValueError("over 500 environments")
     high = (number(attenuator) > threshold).cast("double")
     kept = kept.withColumns({"_high": high, "_both": high * number(predictor), **{f"_env{k}": (col(env) == e).cast("double") for k, e in enumerate(envs) if k}})
     fit = ols(kept, target, [predictor, "_high", "_both", *[f"_env{k}" for k in range(1, len(envs))]])
     return {"slope": float(fit.coefficients[1]), "interaction": float(fit.coefficients[3]), "se": float(fit.errors[3]), "p": float(fit.p_values[3]), "n": fit.n}
 
 
-def tautology_audit(cells: DataFrame, reads: dict[str, set[str]], mediator: str, outcome: str, hyperparameters: list[str]) -> dict:
-    """How far a mediator restates the outcome or the configuration: overlap of what both read, and R^2 on each hyperparameter."""
+def tautology_audit(cells: DataFrame, reads: dict[str, set[str]], mediator: str, outcome: str, hyperparameters: list[str], by: list[str] | None = None) -> dict:
+    """How far a mediator restates the outcome or the configuration: overlap of what both read, R^2 on each hyperparameter, and, with
+    strata, the rank correlation of mediator and outcome pooled over them."""
     a, b = reads.get(mediator, set()), reads.get(outcome, set())
     shared = len(a & b) / len(a | b) if a | b else 0.0
-    return {"reads_jaccard": shared, "r2": {h: float(ols(cells, mediator, [h]).r2) for h in hyperparameters}}
+    out = {"reads_jaccard": shared, "r2": {h: float(ols(cells, mediator, [h]).r2) for h in hyperparameters}}
+    if by:
+        row = ranks.stratified_spearman(cells, mediator, outcome, by).first()
+        out["rho"] = row["rho"] if row else None
+    return out
+
+
+def meta_regression_paired_g(cells: DataFrame, source: str, env: str, pair_by: list[str], covariates: list[str], **arms) -> Fit:
+    """Paired g per env on the env means of covariates of the cells, random effects."""
+    g = paired.paired_g(paired.pairs(cells, source, pair_by, [env], **arms), [env]).where("g_se > 0")
+    means = cells.groupBy(col(env)).agg(*[F.avg(number(c)).alias(c) for c in covariates])
+    return meta_regression(g.join(means, env), "g", "g_se", covariates)
+
+
+def meta_regression_per_burst(cells: DataFrame, source: str, env: str, pair_by: list[str], covariates: list[str], **arms) -> Fit:
+    """Paired g per (env, burst) on the burst's number and env means of covariates, random effects."""
+    g = bursts.paired_g_per_burst(cells, source, env, pair_by, **arms).where("g_se > 0").withColumn("burst", F.col("burst").cast("double"))
+    if covariates:
+        g = g.join(cells.groupBy(col(env)).agg(*[F.avg(number(c)).alias(c) for c in covariates]), env)
+    return meta_regression(g, "g", "g_se", ["burst", *covariates])
+
+
+def meta_regression_unpaired_d(cells: DataFrame, source: str, by: list[str], covariates: list[str], **arms) -> Fit:
+    """Cohen's d per stratum on the stratum means of covariates, random effects."""
+    panel = strata.stratum_panel(cells, source, by, **arms).where("d_se > 0")
+    means = cells.groupBy(*[col(b) for b in by]).agg(*[F.avg(number(c)).alias(c) for c in covariates])
+    return meta_regression(panel.join(means, by), "d", "d_se", covariates)
+
+
+def mundlak_paired_g_per_burst(cells: DataFrame, source: str, predictor: str, env: str, pair_by: list[str], **arms) -> dict:
+    """Paired g per (env, burst) on the burst means of a predictor array: between envs and within them."""
+    g = bursts.paired_g_per_burst(cells, source, env, pair_by, **arms).where("g_se > 0")
+    means = bursts.exploded(cells, {"x": predictor}, [env]).groupBy(col(env), "burst").agg(F.avg(number("x")).alias("x"))
+    return mundlak(g.join(means, [env, "burst"]), env, "x", "g", "g_se")
+
+
+def paired_continuous_do(cells: DataFrame, source: str, swept: str, pair_by: list[str], **arms) -> Fit:
+    """Differences of paired arms on a swept setting, which both arms of a pair share: slope of the effect on the setting."""
+    found = paired.pairs(cells, source, list(dict.fromkeys([*pair_by, swept])), **arms)
+    return ols(found, "delta", [swept])
+
+
+def stratum_delta_link(cells: DataFrame, predictor: str, target: str, env: str, arm: str = "arm_key", treatment: str = "treatment", baseline: str = "baseline", floor: float | None = None) -> Fit:
+    """Differences of arm means per (env, burst): the target's on the predictor's, with one indicator per burst but the first. Cells
+    whose two arrays differ in length are left out, bursts end with the shortest cell, and with ``floor`` the baseline's predictor mean
+    must exceed it."""
+    rows = cells.where(F.size(col(predictor)) == F.size(col(target)))
+    shortest = rows.agg(F.min(F.size(col(predictor)))).first()[0] or 0
+    long = bursts.exploded(rows, {"p": predictor, "t": target}, [env, arm]).where(F.col("burst") < shortest)
+    side = lambda v, a: F.avg(F.when(col(arm) == a, number(v)))
+    panel = long.groupBy(col(env), "burst").agg((side("p", treatment) - side("p", baseline)).alias("dp"), (side("t", treatment) - side("t", baseline)).alias("dt"), side("p", baseline).alias("pb"))
+    if floor is not None:
+        panel = panel.where(F.col("pb") > floor)
+    panel = panel.withColumns({f"_burst{k}": (F.col("burst") == k).cast("double") for k in range(1, shortest)})
+    return ols(panel, "dt", ["dp", *[f"_burst{k}" for k in range(1, shortest)]])
+
+
+def stratum_baseline_predictor_link(cells: DataFrame, predictor: str, target: str, env: str, by: list[str], arm: str = "arm_key", treatment: str = "treatment", baseline: str = "baseline") -> Fit:
+    """The target's difference of arms per stratum on the baseline mean of a predictor, with one indicator per env but the first."""
+    side = lambda v, a: F.avg(F.when(col(arm) == a, number(v)))
+    panel = cells.groupBy(*[col(k) for k in dict.fromkeys([env, *by])]).agg(side(predictor, baseline).alias("pb"), (side(target, treatment) - side(target, baseline)).alias("dt"))
+    envs = sorted((r[0] for r in panel.select(col(env)).distinct().limit(501).collect()), key=repr)
+    if len(envs) > 500:
+        raise ValueError("over 500 environments")
+    panel = panel.withColumns({f"_env{k}": (col(env) == e).cast("double") for k, e in enumerate(envs) if k})
+    return ols(panel, "dt", ["pb", *[f"_env{k}" for k in range(1, len(envs))]])

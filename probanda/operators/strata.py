@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import effects
-from ..functions.columns import AGGREGATES, col, finite, number
+from ..functions import effects, special
+from ..functions.columns import AGGREGATES, col, finite, number, running, with_aggregates
 
 
 def per_stratum_aggregate(cells: DataFrame, source: str, by: list[str], op: str, cell_filter: Column | None = None, min_n: int | None = None) -> DataFrame:
@@ -18,6 +17,11 @@ def per_stratum_aggregate(cells: DataFrame, source: str, by: list[str], op: str,
     return out.where((F.col("n") >= least) & F.col("value").isNotNull())
 
 
+def per_stratum_aggregates(cells: DataFrame, source: str, by: list[str], ops: list[str]) -> DataFrame:
+    """(by, n, one column per aggregate) in one aggregation."""
+    return cells.groupBy(*[col(b) for b in by]).agg(*[AGGREGATES[op](number(source)).alias(op) for op in ops], F.count(number(source)).alias("n"))
+
+
 def diagnostics(cells: DataFrame, by: list[str], metrics: list[str], leaves: list[str], corpus: str | None = None) -> DataFrame:
     """Per stratum: cells, corpora, share of finite values per metric, and number of distinct configurations (null is a value)."""
     found = [F.count(F.lit(1)).alias("n_cells"), *[F.avg(finite(m).cast("double")).alias(f"finite_{m}") for m in metrics]]
@@ -85,13 +89,86 @@ def probability_of_improvement(cells: DataFrame, source: str, by: list[str], arm
     """P(treatment > baseline), ties half, per stratum, from rank sums. Ranks need one stratum's rows in order; equal values are
     counted first, so that what is ordered is one row per distinct value."""
     keys = [col(b) for b in by]
-    counts = cells.where(col(arm).isin(treatment, baseline) & finite(source)).groupBy(*keys, number(source).alias("_v")).agg(F.count_if(col(arm) == treatment).alias("t"), F.count_if(col(arm) == baseline).alias("b"))
-    below = F.coalesce(F.sum("b").over(W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("_won", F.col("t") * (below + F.col("b") / 2.0))
-    out = won.groupBy(*keys).agg(F.sum("t").alias("n_t"), F.sum("b").alias("n_b"), F.sum("_won").alias("u"))
+    counts = cells.where(col(arm).isin(treatment, baseline) & finite(source)).groupBy(*keys, (number(source) + 0.0).alias("_v")).agg(F.count_if(col(arm) == treatment).alias("_t"), F.count_if(col(arm) == baseline).alias("_b"))
+    won = running(counts, by, "_v", ["_b"]).withColumn("_won", F.col("_t") * (F.col("_b_before") + F.col("_b") / 2.0))
+    out = won.groupBy(*keys).agg(F.sum("_t").alias("n_t"), F.sum("_b").alias("n_b"), F.sum("_won").alias("u"))
     return out.withColumn("p", F.try_divide("u", (F.col("n_t") * F.col("n_b")).cast("double")))
 
 
+def mean_improvement(strata: DataFrame, most: int = 10_000, seed: int = 42) -> dict:
+    """Mean over strata of the probability of improvement, and its p by flips of the signs of p - 1/2. The driver gets one number per
+    stratum; ValueError over ``most`` strata."""
+    values = [r["p"] for r in strata.where("p is not null").select("p").limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"over {most} strata")
+    return {"strata": len(values), "mean": sum(values) / len(values) if values else float("nan"), "p": special.sign_permutation_p([v - 0.5 for v in values], seed=seed)}
+
+
+def with_sign_p(counts: DataFrame, hits: str, trials: str) -> DataFrame:
+    """With the two-sided sign-test p of ``hits`` in ``trials``."""
+    return counts.withColumn("p", special.binomial_p_column(F.col(hits), F.col(trials)))
+
+
+def classify_envs(cells: DataFrame, env: str, best: str, final: str, thresholds: dict[str, float], solved: float = 0.8, partial: float = 0.2) -> DataFrame:
+    """Per env: cells, mean best and final value, share of cells whose best reaches the env's threshold, and its class: solved and
+    partial from the given shares on, else unsolved; absent where there is no threshold or no finite value."""
+    least = F.create_map([F.lit(x) for kv in thresholds.items() for x in kv])[col(env)] if thresholds else F.lit(None).cast("double")
+    out = cells.groupBy(col(env).alias("env")).agg(F.count(F.lit(1)).alias("n"), F.avg(number(best)).alias("best"), F.avg(number(final)).alias("final"), F.avg((number(best) >= least).cast("double")).alias("rate"))
+    kind = F.when(F.col("rate").isNull(), "absent").when(F.col("rate") >= solved, "solved").when(F.col("rate") >= partial, "partial").otherwise("unsolved")
+    return out.withColumn("class", kind)
+
+
+def entropy(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(by, entropy): Shannon entropy, in nats, of the distribution of a column's values per stratum, from their counts."""
+    counts = rows.where(col(name).isNotNull()).groupBy(*[col(b) for b in by], col(name)).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    return counts.groupBy(*[col(b) for b in by]).agg((F.log(F.sum("_n")) - F.sum(F.col("_n") * F.log("_n")) / F.sum("_n")).alias("entropy"))
+
+
+def envs_in_class(classes: DataFrame, *wanted: str) -> DataFrame:
+    return classes.where(F.col("class").isin(*wanted)).select("env")
+
+
+def filter_to_classes(cells: DataFrame, classes: DataFrame, env: str, *wanted: str) -> DataFrame:
+    """Cells of the envs of the wanted classes: a left-semi join."""
+    return cells.join(envs_in_class(classes, *wanted).select(F.col("env").alias("_env")), col(env) == F.col("_env"), "left_semi")
+
+
+def with_cell_class(cells: DataFrame, env: str, value: str, thresholds: dict[str, float], share: float = 0.95) -> DataFrame:
+    """With cell_class: missing where the value isn't finite, no_threshold where the env has none, saturated from ``share`` of the env's
+    largest value on if that is above the threshold, solved from the threshold on, else unsolved."""
+    least = F.create_map([F.lit(x) for kv in thresholds.items() for x in kv])[col(env)] if thresholds else F.lit(None).cast("double")
+    v, top = number(value), F.col("_top")
+    kind = F.when(v.isNull(), "missing").when(least.isNull(), "no_threshold").when((v >= share * top) & (v >= least), "saturated").when(v >= least, "solved").otherwise("unsolved")
+    return with_aggregates(cells, [env], _top=F.max(number(value))).withColumn("cell_class", kind).drop("_top")
+
+
+def env_means(cells: DataFrame, env: str, names: list[str]) -> DataFrame:
+    """Means of the finite values of several metrics per env."""
+    return cells.groupBy(col(env)).agg(*[F.avg(number(n)).alias(n) for n in names])
+
+
+def arm_leaves_wide(cells: DataFrame, group: list[str], leaves: list[str]) -> DataFrame:
+    """One row per group with the distinct values of each leaf, in numeric order where all are numbers, else in text order."""
+    values = lambda x: F.collect_set(col(x).cast("string"))
+    ordered = lambda v: F.when(F.forall(v, lambda e: e.try_cast("double").isNotNull()), F.transform(F.array_sort(F.transform(v, lambda e: F.struct(e.try_cast("double").alias("n"), e.alias("t")))), lambda e: e["t"])).otherwise(F.sort_array(v))
+    return cells.groupBy(*[col(g) for g in group]).agg(*[ordered(values(x)).alias(x) for x in leaves])
+
+
+def multi_differential(cells: DataFrame, metrics: list[str], env: str, group: str, first: str, second: str, mode: str = "raw") -> DataFrame:
+    """(metric, n1, n2, g): Hedges' g of several metrics between two groups of cells; raw values, z-scores within env, or env means."""
+    rows = cells
+    if mode == "zscore":
+        rows = within_zscores(cells, metrics, env)
+    elif mode == "env_mean":
+        rows = cells.groupBy(col(env), col(group)).agg(*[F.avg(number(m)).alias(m) for m in metrics])
+    side = lambda m, name: F.when(col(group) == name, number(m))
+    packed = [F.struct(F.lit(m).alias("metric"), *[f(side(m, name)).alias(f"{k}{s}") for s, name in ((1, first), (2, second)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]) for m in metrics]
+    a = rows.agg(F.array(*packed).alias("_x")).select(F.explode("_x").alias("_x")).select("_x.*")
+    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), (F.col("n1") + F.col("n2") - 2).cast("double")))
+    g = F.try_divide(F.col("m1") - F.col("m2"), pooled) * (1 - 3.0 / (4.0 * (F.col("n1") + F.col("n2")) - 9))
+    return a.select("metric", "n1", "n2", g.alias("g"))
+
+
 def verdict_distribution(cells: DataFrame, env: str, verdict: str) -> DataFrame:
     """Per env: counts of held, invariant_violation, power_insufficient and other verdicts, and the strictly largest, else ''."""
     kinds = ("held", "invariant_violation", "power_insufficient")
@@ -109,11 +186,16 @@ def arm_leaves(cells: DataFrame, group: list[str], leaves: list[str]) -> DataFra
     return long.where("value is not null").groupBy(*group, "leaf").agg(F.sort_array(F.collect_set("value")).alias("values"))
 
 
+def within_zscores(cells: DataFrame, metrics: list[str], env: str, suffix: str = "") -> DataFrame:
+    """Metrics standardised within each env (sample deviation), in place or under a suffix; env sums are joined back."""
+    sums = {f"_{k}{i}": f(number(m)) for i, m in enumerate(metrics) for k, f in (("m", F.avg), ("s", F.stddev_samp))}
+    out = with_aggregates(cells, [env], **sums)
+    return out.withColumns({f"{m}{suffix}": F.try_divide(number(m) - F.col(f"_m{i}"), F.col(f"_s{i}")) for i, m in enumerate(metrics)}).drop(*sums)
+
+
 def within_zscore(cells: DataFrame, metric: str, env: str) -> DataFrame:
-    """With ``<metric>_z``: standardised within each env (sample deviation)."""
-    w = W.partitionBy(col(env))
-    v = number(metric)
-    return cells.withColumn(f"{metric}_z", F.try_divide(v - F.avg(v).over(w), F.stddev_samp(v).over(w)))
+    """With ``<metric>_z``."""
+    return within_zscores(cells, [metric], env, "_z")
 
 
 def group_differential(cells: DataFrame, metric: str, group: str, first: str, second: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import arrays, columns, effects, special
 from ..operators import bursts, discovery, frames, paired, ranks, regression, strata
 from .bridge import analysis, claim_bridge, evaluate, extent_hash
 from .contrast import Contrast
-from .panel import Panel
+from .panel import Panel, from_cache, to_cache
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -70,9 +70,7 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query(f"WITH {CELLS} SELECT env_name, round(avg(source), 4) AS mean, round(stddev_samp(source), 4) AS std, round(median(source), 4) AS median, count(source) AS n FROM cells GROUP BY env_name")
 def per_stratum(spark, d):
-    cells = order_cells(spark, d)
-    mean, std, median = (strata.per_stratum_aggregate(cells, "source", ["env_name"], op).withColumnRenamed("value", op) for op in ("mean", "std", "median"))
-    return _rounded(mean.select("env_name", "mean", "n").join(std.select("env_name", "std"), "env_name").join(median.select("env_name", "median"), "env_name"), 4)
+    return _rounded(strata.per_stratum_aggregates(order_cells(spark, d), "source", ["env_name"], ["mean", "std", "median"]), 4)
 
 
 @query(f"WITH {PANEL} SELECT env_name, n_t, n_b, round(delta, 4) AS delta, round(d, 8) AS d, round(d_se, 8) AS d_se FROM panel")
@@ -97,9 +95,12 @@ def _pool(p: DataFrame) -> DataFrame:
     return p.select("k", F.round("q", 6).alias("q"), F.round("tau2", 8).alias("tau2"), F.round("pooled", 8).alias("pooled"), F.round("pooled_se", 8).alias("pooled_se"))
 
 
-@query(f"WITH {PANEL}" + POOL.format(y="d", s="d_se", t="panel"))
+@query(f"""WITH {PANEL}, level AS (SELECT avg(balance) AS floor FROM cells WHERE arm_key = 'baseline'), kept AS (SELECT env_name FROM cells, level WHERE arm_key = 'baseline' GROUP BY env_name HAVING avg(balance) > any_value(floor) - 100),
+    scoped AS (SELECT * FROM panel WHERE env_name IN (SELECT env_name FROM kept))""" + POOL.format(y="d", s="d_se", t="scoped"))
 def arm_diff_pooled(spark, d):
-    return _pool(strata.arm_diff_pooled(order_cells(spark, d), "source", ["env_name"], "balance", -1000.0)[1])
+    cells = order_cells(spark, d)
+    floor = cells.where("arm_key = 'baseline'").agg(F.avg("balance")).first()[0] - 100
+    return _pool(strata.arm_diff_pooled(cells, "source", ["env_name"], "balance", floor)[1])
 
 
 @query(f"WITH {GS} SELECT env_name, n_pairs, round(mean_diff, 4) AS mean_diff, round(helped, 8) AS helped, round(g, 8) AS g, round(g_se, 8) AS g_se FROM ge")
@@ -223,10 +224,12 @@ def mediator_differential(spark, d):
     return _rounded(strata.group_differential(order_cells(spark, d), "source", "status", "O", "F").select("n1", "n2", "g"), 8)
 
 
-@query("WITH u AS (SELECT n_nationkey AS id, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation) SELECT min(id) AS id, n_name, n_regionkey FROM u GROUP BY n_name, n_regionkey")
+@query("""WITH u AS (SELECT n_nationkey AS id, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation
+    UNION ALL SELECT NULL, n_name, n_regionkey FROM nation UNION ALL SELECT NULL, n_name, -1 FROM nation UNION ALL SELECT 5, n_name, -2 FROM nation) SELECT coalesce(min(id), -1) AS id, n_name, n_regionkey FROM u GROUP BY n_name, n_regionkey""")
 def dedup_by_content(spark, d):
     n = _read(spark, d, "nation").withColumnRenamed("n_nationkey", "id")
-    return frames.dedup_by_content(frames.diagonal_union([n, n.withColumn("id", (F.col("id") + 100).cast("int"))]))
+    nobody, five = F.lit(None).cast("int"), F.lit(5)
+    return frames.dedup_by_content(frames.diagonal_union([n, n, n.withColumn("id", (F.col("id") + 100).cast("int")), n.withColumn("id", nobody), n.withColumns({"id": nobody, "n_regionkey": F.lit(-1)}), n.withColumns({"id": five, "n_regionkey": F.lit(-2)})])).withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
 @query("WITH k AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p FROM orders GROUP BY o_custkey HAVING count(*) > 1) SELECT * FROM (SELECT 'o_orderstatus' AS \"column\", count(*) FILTER (WHERE s > 1) AS buckets FROM k UNION ALL SELECT 'o_orderpriority', count(*) FILTER (WHERE p > 1) FROM k) WHERE buckets > 0")
@@ -234,9 +237,9 @@ def distinguishing_columns(spark, d):
     return frames.distinguishing_columns(_read(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority"), ["o_custkey"])
 
 
-@query("SELECT c_custkey AS id, 'run_without_trace' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""SELECT p_partkey AS id, 'trace_without_run' AS kind FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT c_custkey, 'run_without_trace' FROM customer WHERE c_custkey NOT IN (SELECT p_partkey FROM part)""")
 def trace_contamination(spark, d):
-    return frames.contamination(_read(spark, d, "orders").select(F.col("o_custkey").alias("id")), _read(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+    return frames.contamination(_read(spark, d, "part").select(F.col("p_partkey").alias("id")), _read(spark, d, "customer").select(F.col("c_custkey").alias("id")))
 
 
 @query("""WITH e AS (SELECT l_orderkey AS id, l_linenumber AS c, count(*) AS attempted, count(l_extendedprice) AS n, avg(l_extendedprice) AS m FROM lineitem GROUP BY l_orderkey, l_linenumber), g AS (SELECT max(l_linenumber) AS last, count(DISTINCT l_linenumber) AS alls FROM lineitem),
@@ -246,12 +249,12 @@ def derive_outcomes(spark, d):
     return _rounded(frames.outcomes(_read(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_extendedprice"), 4)
 
 
-@query(f"""WITH {SERIES} SELECT user_id, event_type, round(list_avg(x[floor(n * 0.25)::INT + 1 : greatest(floor(n * 0.5)::INT, floor(n * 0.25)::INT + 1)]), 6) AS mid, round(list_avg(x[n - greatest(floor(n * 0.1)::INT, 1) + 1 :]), 6) AS late,
-    round(list_avg(x[n // 2 + 1 :]), 6) AS half, round(list_max(list_transform(x, lambda v: abs(v))), 6) AS biggest, round(list_stddev_pop(x), 6) AS spread, round((list_sum(x) - (x[1] + x[-1]) / 2) / (n - 1), 3) AS area, len(list_distinct(x)) AS n_unique FROM series WHERE n >= 2""")
+@query(f"""WITH {SERIES} SELECT user_id, event_type, list_avg(x[floor(n * 0.25)::INT + 1 : greatest(floor(n * 0.5)::INT, floor(n * 0.25)::INT + 1)]) AS mid, list_avg(x[n - greatest(floor(n * 0.1)::INT, 1) + 1 :]) AS late,
+    list_avg(x[n // 2 + 1 :]) AS half, list_max(list_transform(x, lambda v: abs(v))) AS biggest, list_stddev_pop(x) AS spread, (list_sum(x) - (x[1] + x[-1]) / 2) / (n - 1) AS area, len(list_distinct(x)) AS n_unique FROM series WHERE n >= 2""")
 def array_reductions(spark, d):
     x = F.col("x")
     rows = event_cells(spark, d).where(F.size("x") >= 2)
-    return _rounded(rows.select("user_id", "event_type", arrays.mean_window(x, 0.25, 0.5).alias("mid"), arrays.late_mean(x).alias("late"), arrays.mean(arrays.late_half(x)).alias("half"), arrays.max_abs(x).alias("biggest"), arrays.std(x).alias("spread"), F.round(arrays.auc(x), 3).alias("area"), arrays.distinct(x).cast("long").alias("n_unique")))
+    return rows.select("user_id", "event_type", arrays.mean_window(x, 0.25, 0.5).alias("mid"), arrays.late_mean(x).alias("late"), arrays.mean(arrays.late_half(x)).alias("half"), arrays.max_abs(x).alias("biggest"), arrays.std(x).alias("spread"), arrays.auc(x).alias("area"), arrays.distinct(x).cast("long").alias("n_unique"))
 
 
 @query(f"""WITH {SERIES}, l AS (SELECT user_id, event_type, n, unnest(range(n)) AS i, unnest(x) AS v FROM series WHERE n >= 8), a AS (SELECT user_id, event_type, i, v, lag(v) OVER (PARTITION BY user_id, event_type ORDER BY i) AS u FROM l)
@@ -263,8 +266,7 @@ def series_dynamics(spark, d):
 
 @query("""WITH p AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY user_id, event_type), t AS (SELECT *, c / sum(c) OVER (PARTITION BY user_id) AS p FROM p) SELECT user_id, round(-sum(p * ln(p)), 6) AS entropy FROM t GROUP BY user_id""")
 def series_entropy(spark, d):
-    rows = _read(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("k"))
-    return _rounded(rows.select("user_id", arrays.entropy(F.col("k")).alias("entropy")))
+    return _rounded(strata.entropy(_read(spark, d, "events"), ["user_id"], "event_type"))
 
 
 @query(f"""WITH {BURSTS}, k AS (SELECT event_type, burst, seed, avg(v) FILTER (WHERE arm_key = 'treatment') - avg(v) FILTER (WHERE arm_key = 'baseline') AS delta FROM arms GROUP BY event_type, burst, seed)
@@ -293,20 +295,56 @@ def paired_link_per_burst(spark, d):
     return _rounded(_linked(spark, d).select("event_type", F.col("burst").cast("long").alias("burst"), "n_pairs", "r", "slope"))
 
 
-@query()
+STATS = BURSTS + """, sd AS (SELECT user_id, event_type, b AS burst, stddev_pop(v) AS s FROM (SELECT l.*, k.b FROM long l JOIN (SELECT unnest(range(4)) AS b) k ON l.i >= floor(l.n * k.b / 4.0) AND l.i < floor(l.n * (k.b + 1) / 4.0)) GROUP BY user_id, event_type, b),
+    j AS (SELECT a.*, sd.s FROM arms a JOIN sd USING (user_id, event_type, burst))"""
+LINKS = STATS + """, k AS (SELECT event_type, burst, seed, avg(v) FILTER (WHERE arm_key = 'treatment') - avg(v) FILTER (WHERE arm_key = 'baseline') AS dp, avg(s) FILTER (WHERE arm_key = 'treatment') - avg(s) FILTER (WHERE arm_key = 'baseline') AS dt FROM j GROUP BY event_type, burst, seed),
+    links AS (SELECT event_type, burst, count(*) AS n, corr(-dp, dt) AS r FROM k WHERE dp IS NOT NULL AND dt IS NOT NULL GROUP BY event_type, burst)"""
+
+
+def _average_rank(over: str, v: str) -> str:
+    return f"rank() OVER ({over} ORDER BY {v}) + (count(*) OVER ({over.replace('PARTITION BY ', 'PARTITION BY ' + v + ', ') if over else 'PARTITION BY ' + v}) - 1) / 2.0::DOUBLE"
+
+
+DYNAMIC = STATS + f""", t AS (SELECT event_type, burst, CASE WHEN arm_key = 'treatment' THEN 1.0 ELSE 0.0 END AS a, v AS o, s AS m FROM j), r AS (SELECT event_type, burst, {_average_rank('PARTITION BY event_type, burst', 'a')} AS a, {_average_rank('PARTITION BY event_type, burst', 'o')} AS o, {_average_rank('PARTITION BY event_type, burst', 'm')} AS m FROM t),
+    c AS (SELECT event_type, burst, count(*) AS n, corr(a, o) AS ao, corr(a, m) AS am, corr(o, m) AS om FROM r GROUP BY event_type, burst), dynamic AS (SELECT event_type, burst, n, ao AS marginal, (ao - am * om) / sqrt((1 - am * am) * (1 - om * om)) AS conditional FROM c)"""
+
+
+def _sign_p(k: str, n: str) -> str:
+    """Two-sided sign-test p in SQL."""
+    return f"least(1.0, 2 * list_sum(list_transform(range(greatest({k}, {n} - {k}), {n} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2)))))"
+
+
+@query(f"WITH {LINKS}, h AS (SELECT *, coalesce(r > 0 AND abs(atanh(greatest(-0.999999, least(0.999999, r))) * sqrt(greatest(n - 3, 0))) > 1.959964 AND n >= 4, false) AS held FROM links), a AS (SELECT count(*) AS bursts, count(*) FILTER (WHERE held) AS consistent, avg(held::INT) AS share, count(*) FILTER (WHERE r > 0) AS same_sign, count(r) AS measured FROM h) SELECT bursts, consistent, share, same_sign, {_sign_p('same_sign', 'measured')} AS p FROM a")
 def phase_link_consistency(spark, d):
     return bursts.phase_consistency(_linked(spark, d), 1)
 
 
-@query()
-def dynamic_partial_spearman(spark, d):
+def _dynamic(spark, d):
     cells = burst_cells(spark, d).withColumn("s", arrays.by_burst(F.col("x"), 4, arrays.std))
     return bursts.dynamic_partial(cells, "s", "m", "event_type")
 
 
-@query()
+@query(f"WITH {DYNAMIC} SELECT event_type, burst, n, marginal, conditional FROM dynamic")
+def dynamic_partial_spearman(spark, d):
+    return _dynamic(spark, d).withColumn("burst", F.col("burst").cast("long"))
+
+
+@query(f"""WITH {DYNAMIC}, z AS (SELECT event_type, abs(atanh(marginal) * sqrt(n - 3)) > 1.959964 AS edge, abs(atanh(conditional) * sqrt(n - 4)) > 1.959964 AS direct FROM dynamic)
+    SELECT event_type, count(*) AS bursts, count(*) FILTER (WHERE edge) AS marginal_edges, count(*) FILTER (WHERE edge AND NOT direct) AS separated, count(*) FILTER (WHERE edge AND direct) AS direct FROM z GROUP BY event_type""")
 def dynamic_pc_adjacency(spark, d):
-    return bursts.adjacency_counts(dynamic_partial_spearman(spark, d), "event_type")
+    return bursts.adjacency_counts(_dynamic(spark, d), "event_type")
+
+
+@query(f"WITH {DYNAMIC} SELECT event_type, burst, n, marginal, conditional, 'ok' AS status FROM dynamic")
+def dynamic_partial_spearman_multi(spark, d):
+    cells = burst_cells(spark, d).withColumn("s", arrays.by_burst(F.col("x"), 4, arrays.std))
+    return bursts.dynamic_partial_multi(cells, ["s"], "m", "event_type").withColumn("burst", F.col("burst").cast("long"))
+
+
+@query(f"""WITH {DYNAMIC}, z AS (SELECT event_type, coalesce(abs(atanh(marginal) * sqrt(n - 3)) > 1.959964 AND abs(atanh(conditional) * sqrt(n - 4)) <= 1.959964, false) AS s FROM dynamic)
+    SELECT event_type, count(*) AS bursts, 0::BIGINT AS b, 0::BIGINT AS c, NULL::DOUBLE AS p, 'UNDERPOWERED' AS verdict FROM z GROUP BY event_type""")
+def mediator_leak_adjudication(spark, d):
+    return bursts.leak_adjudication(_dynamic(spark, d), _dynamic(spark, d), "event_type")
 
 
 @query(f"WITH {CELLS}, k AS (SELECT env_name FROM cells GROUP BY env_name HAVING avg(balance) > 4400) SELECT env_name, count(*) AS n FROM cells WHERE env_name IN (SELECT env_name FROM k) GROUP BY env_name")
@@ -316,7 +354,7 @@ def deferred_scope(spark, d):
 
 @query(f"WITH {CELLS}, w AS (SELECT *, median(source) OVER (PARTITION BY env_name) AS m FROM cells) SELECT env_name, count(*) AS n FROM w WHERE source > m AND balance > 0 GROUP BY env_name")
 def partition_scope(spark, d):
-    cells = order_cells(spark, d).withColumn("_m", columns.partition_aggregate("source", ["env_name"], "median"))
+    cells = columns.with_aggregates(order_cells(spark, d), ["env_name"], _m=F.median("source"))
     return cells.where((F.col("source") > F.col("_m")) & columns.finite_gt("balance", 0)).groupBy("env_name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -345,10 +383,47 @@ def _effects(spark, d) -> DataFrame:
     return panel.join(cells.groupBy("env_name", "seed").agg(F.avg("cell_balance").alias("z")), ["env_name", "seed"]).where("d_se > 0")
 
 
-@query()
+EFFECTS = CELLS + """, e0 AS (SELECT env_name, seed, count(*) FILTER (WHERE arm_key = 'treatment') AS n_t, count(*) FILTER (WHERE arm_key = 'baseline') AS n_b, avg(source) FILTER (WHERE arm_key = 'treatment') AS mt, avg(source) FILTER (WHERE arm_key = 'baseline') AS mb,
+    stddev_samp(source) FILTER (WHERE arm_key = 'treatment') AS st, stddev_samp(source) FILTER (WHERE arm_key = 'baseline') AS sb, avg(balance / 1000) AS z FROM cells GROUP BY env_name, seed),
+    e1 AS (SELECT env_name, seed, z, n_t, n_b, (mt - mb) / sqrt((st * st + sb * sb) / 2) AS d FROM e0 WHERE n_t >= 3 AND n_b >= 3),
+    effects AS (SELECT * FROM (SELECT env_name, seed, z, d AS y, sqrt((n_t + n_b)::DOUBLE / (n_t * n_b) + d * d / (2.0 * (n_t + n_b - 2))) AS s FROM e1) WHERE s > 0)"""
+#: Random-effects regression of y on z with errors s, from a table ``effects``.
+META = """, mw AS (SELECT y, z, 1 / (s * s) AS w FROM effects), m0 AS (SELECT sum(w) AS sw, sum(w * z) / sum(w) AS zc, sum(w * y) / sum(w) AS yc, sum(w * w) AS sw2, count(*) AS n FROM mw),
+    m1 AS (SELECT sum(w * (z - zc) ** 2) AS szz, sum(w * (z - zc) * (y - yc)) AS szy, sum(w * w * (z - zc) ** 2) AS szz2, any_value(sw) AS sw, any_value(sw2) AS sw2, any_value(zc) AS zc, any_value(yc) AS yc, any_value(n) AS n FROM mw, m0),
+    m2 AS (SELECT sum(w * (y - yc - szy / szz * (z - zc)) ** 2) AS q, any_value(sw - sw2 / sw - szz2 / szz) AS c, any_value(n) AS n FROM mw, m1), m3 AS (SELECT CASE WHEN c > 0 THEN greatest(0.0, (q - (n - 2)) / c) ELSE 0.0 END AS tau2 FROM m2),
+    v AS (SELECT y, z, 1 / (s * s + tau2) AS w, tau2 FROM effects, m3), v0 AS (SELECT sum(w) AS sw, sum(w * z) / sum(w) AS zc, sum(w * y) / sum(w) AS yc, count(*) AS n FROM v),
+    v1 AS (SELECT sum(w * (z - zc) ** 2) AS szz, sum(w * (z - zc) * (y - yc)) AS szy, any_value(sw) AS sw, any_value(zc) AS zc, any_value(yc) AS yc, any_value(n) AS n FROM v, v0),
+    v2 AS (SELECT sum(w * (y - yc - szy / szz * (z - zc)) ** 2) / (any_value(n) - 2) AS s2, any_value(szy / szz) AS slope, any_value(yc - szy / szz * zc) AS base, any_value(1 / szz) AS v11, any_value(1 / sw + zc * zc / szz) AS v00, any_value(tau2) AS tau2 FROM v, v1)
+    SELECT 'intercept' AS term, base AS estimate, sqrt(s2 * v00) AS se, tau2 FROM v2 UNION ALL SELECT '{term}', slope, sqrt(s2 * v11), tau2 FROM v2"""
+
+
+def _fit(spark: SparkSession, f: regression.Fit) -> DataFrame:
+    return spark.createDataFrame([(n, float(b), float(e), float(f.tau2)) for n, b, e in zip(f.names, f.coefficients, f.errors, strict=True)], "term string, estimate double, se double, tau2 double")
+
+
+@query(f"WITH {EFFECTS}" + META.format(term="z"))
 def meta_regression(spark, d):
-    f = regression.meta_regression(_effects(spark, d), "d", "d_se", ["z"])
-    return spark.createDataFrame([(n, float(b), float(e), float(p), f.tau2) for n, b, e, p in zip(f.names, f.coefficients, f.errors, f.p_values, strict=True)], "term string, estimate double, se double, p double, tau2 double")
+    return _fit(spark, regression.meta_regression(_effects(spark, d), "d", "d_se", ["z"]))
+
+
+@query(f"WITH {EFFECTS}" + META.format(term="thousands"))
+def meta_regression_unpaired_d(spark, d):
+    cells = order_cells(spark, d).withColumn("thousands", F.col("balance") / 1000)
+    return _fit(spark, regression.meta_regression_unpaired_d(cells, "source", ["env_name", "seed"], ["thousands"]))
+
+
+@query(f"WITH {GS}, b AS (SELECT env_name, avg(balance) AS z FROM cells GROUP BY env_name), effects AS (SELECT g AS y, g_se AS s, z FROM ge JOIN b USING (env_name) WHERE g_se > 0)" + META.format(term="balance"))
+def meta_regression_paired_g(spark, d):
+    return _fit(spark, regression.meta_regression_paired_g(order_cells(spark, d), "source", "env_name", ["seed"], ["balance"]))
+
+
+BURST_G = BURSTS + """, k AS (SELECT event_type, burst, seed, avg(v) FILTER (WHERE arm_key = 'treatment') - avg(v) FILTER (WHERE arm_key = 'baseline') AS delta FROM arms GROUP BY event_type, burst, seed),
+    g0 AS (SELECT event_type, burst, count(delta) AS n, avg(delta) / stddev_samp(delta) * (1 - 3.0 / (4 * count(delta) - 5)) AS g FROM k WHERE delta IS NOT NULL GROUP BY event_type, burst), g AS (SELECT event_type, burst, g AS y, sqrt(1.0 / n + g * g / (2.0 * n)) AS s FROM g0)"""
+
+
+@query(f"WITH {BURST_G}, effects AS (SELECT y, s, burst::DOUBLE AS z FROM g)" + META.format(term="burst"))
+def meta_regression_per_burst(spark, d):
+    return _fit(spark, regression.meta_regression_per_burst(burst_cells(spark, d), "m", "event_type", ["seed"], []))
 
 
 @query()
@@ -357,29 +432,68 @@ def meta_regression_folds(spark, d):
     return spark.createDataFrame([(n, v["mean"], v["sd"], v["same_sign"]) for n, v in found.items()], "term string, mean double, sd double, same_sign double")
 
 
-@query()
+#: Between and within slopes of y on x by stratum with weights w, from a table ``rows``: the two parts are taken apart in turn.
+MUNDLAK = """, mb AS (SELECT *, avg(x) OVER (PARTITION BY k) AS b FROM rows), c0 AS (SELECT y, b, x - b AS h, w, (sum(w * y) OVER ()) / (sum(w) OVER ()) AS yc, (sum(w * b) OVER ()) / (sum(w) OVER ()) AS bc, (sum(w * (x - b)) OVER ()) / (sum(w) OVER ()) AS hc FROM mb),
+    t AS (SELECT sum(w * (b - bc) ** 2) AS bb, sum(w * (h - hc) ** 2) AS hh, sum(w * (b - bc) * (h - hc)) AS bh, sum(w * (b - bc) * (y - yc)) AS by_, sum(w * (h - hc) * (y - yc)) AS hy, count(*) AS n FROM c0)
+    SELECT n, (by_ * hh - hy * bh) / (bb * hh - bh * bh) AS between, (hy * bb - by_ * bh) / (bb * hh - bh * bh) AS within FROM t"""
+
+
+@query(f"WITH {EFFECTS}, rows AS (SELECT env_name AS k, z AS x, y, 1 / (s * s) AS w FROM effects)" + MUNDLAK)
 def mundlak_decomposition(spark, d):
     m = regression.mundlak(_effects(spark, d), "env_name", "z", "d", "d_se")
-    return spark.createDataFrame([(m["n"], m["between"], m["within"], m["hausman_t"], m["hausman_p"])], "n long, between double, within double, hausman_t double, hausman_p double")
+    return spark.createDataFrame([(m["n"], m["between"], m["within"])], "n long, between double, within double")
 
 
 @query()
+def mundlak_hausman(spark, d):
+    m = regression.mundlak(_effects(spark, d), "env_name", "z", "d", "d_se")
+    return spark.createDataFrame([(m["hausman_t"], m["hausman_p"])], "hausman_t double, hausman_p double")
+
+
+@query(f"WITH {BURST_G}, x AS (SELECT event_type, burst, avg(v) AS x FROM arms GROUP BY event_type, burst), rows AS (SELECT event_type AS k, x, y, 1 / (s * s) AS w FROM g JOIN x USING (event_type, burst))" + MUNDLAK)
+def mundlak_paired_g_per_burst(spark, d):
+    m = regression.mundlak_paired_g_per_burst(burst_cells(spark, d), "m", "m", "event_type", ["seed"])
+    return spark.createDataFrame([(m["n"], m["between"], m["within"])], "n long, between double, within double")
+
+
+def _partialled(table: str, y: str, t: str, given: list[str]) -> str:
+    """CTEs f0 to fk: y and t freed from each of ``given`` in turn (which are freed from one another), so that the slope of y on t in
+    the last is the coefficient in the joint regression."""
+    names = ["y", "t", *[f"x{i}" for i in range(len(given))]]
+    out = f"f0 AS (SELECT {', '.join(f'({c})::DOUBLE - avg({c}) OVER () AS {n}' for c, n in zip((y, t, *given), names))} FROM {table})"
+    for k in range(len(given)):
+        rest = [n for n in names if n in ("y", "t") or n[0] == "x" and int(n[1:]) > k]
+        out += f", b{k} AS (SELECT {', '.join(f'sum({n} * x{k}) / sum(x{k} * x{k}) AS s_{n}' for n in rest)} FROM f{k}), f{k + 1} AS (SELECT {', '.join(f'{n} - s_{n} * x{k} AS {n}' for n in rest)} FROM f{k}, b{k})"
+    return out
+
+
+@query(f"WITH a AS (SELECT regr_slope(l_extendedprice, l_quantity) AS total FROM lineitem), {_partialled('lineitem', 'l_extendedprice', 'l_quantity', ['l_discount', 'l_tax'])}, c AS (SELECT sum(y * t) / sum(t * t) AS direct FROM f2) SELECT total, direct, total - direct AS indirect, (total - direct) / total AS share FROM a, c")
 def mediation(spark, d):
     m = regression.mediation(_read(spark, d, "lineitem"), "l_quantity", ["l_discount", "l_tax"], "l_extendedprice")
     return spark.createDataFrame([tuple(m.values())], ", ".join(f"{k} double" for k in m))
 
 
-@query()
+_EDGES = {("l_tax", "l_quantity"), ("l_tax", "l_extendedprice"), ("l_quantity", "l_extendedprice")}
+
+
+@query(f"WITH {_partialled('lineitem', 'l_extendedprice', 'l_quantity', ['l_tax'])}, c AS (SELECT sum(y * t) / sum(t * t) AS ate, sum(t * t) AS tt, count(*) AS n FROM f1), r AS (SELECT sum((y - ate * t) ** 2) AS rss FROM f1, c) SELECT 'l_tax' AS adjusted_for, ate, sqrt(rss / (n - 3) / tt) AS se, n FROM c, r")
 def backdoor_ate(spark, d):
-    edges = {("l_tax", "l_quantity"), ("l_tax", "l_extendedprice"), ("l_quantity", "l_extendedprice")}
-    rows = _read(spark, d, "lineitem")
-    a = regression.backdoor_ate(rows, edges, "l_quantity", "l_extendedprice", ["l_tax", "l_discount"])
-    return spark.createDataFrame([(",".join(a["adjusted_for"]), a["ate"], a["se"], a["n"], regression.refute_placebo(rows, "l_quantity", "l_extendedprice", a["adjusted_for"]), regression.refute_common_cause(rows, "l_quantity", "l_extendedprice", a["adjusted_for"]))], "adjusted_for string, ate double, se double, n long, placebo double, drift double")
+    a = regression.backdoor_ate(_read(spark, d, "lineitem"), _EDGES, "l_quantity", "l_extendedprice", ["l_tax", "l_discount"])
+    return spark.createDataFrame([(",".join(a["adjusted_for"]), a["ate"], a["se"], a["n"])], "adjusted_for string, ate double, se double, n long")
 
 
 @query()
+def refuters(spark, d):
+    rows = _read(spark, d, "lineitem")
+    return spark.createDataFrame([(regression.refute_placebo(rows, "l_quantity", "l_extendedprice", ["l_tax"]), regression.refute_common_cause(rows, "l_quantity", "l_extendedprice", ["l_tax"]))], "placebo double, drift double")
+
+
+@query(f"""WITH w AS (SELECT l_extendedprice AS x, l_discount AS y, l_extendedprice * (1 - 5 * l_discount) AS c FROM lineitem), r AS (SELECT {_average_rank('', 'x')} AS x, {_average_rank('', 'y')} AS y, {_average_rank('', 'c')} AS c FROM w),
+    z AS (SELECT abs(atanh(corr(x, y))) * sqrt(count(*) - 3) AS xy, abs(atanh(corr(x, c))) * sqrt(count(*) - 3) AS xc, abs(atanh(corr(y, c))) * sqrt(count(*) - 3) AS yc FROM r)
+    SELECT unnest(['l_extendedprice', 'l_discount']) AS a, 'charge' AS b, true AS directed FROM z WHERE xy < 1.959964 AND xc > 10 AND yc > 10""")
 def pc_discovery(spark, d):
-    found = discovery.pc(_read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    rows = _read(spark, d, "lineitem").withColumn("charge", F.col("l_extendedprice") * (1 - 5 * F.col("l_discount")))
+    found = discovery.pc(rows, ["l_extendedprice", "l_discount", "charge"])
     return spark.createDataFrame([(*p, k == "directed") for k in found for p in found[k]], "a string, b string, directed boolean")
 
 
@@ -400,7 +514,8 @@ def paired_directional(spark, d):
     return spark.createDataFrame(out, "env_name string, t double, p double, dz double, dz_low double, dz_high double, mde double")
 
 
-@query()
+@query("""WITH i AS (SELECT DISTINCT o_orderkey::VARCHAR AS i FROM orders JOIN customer ON o_custkey = c_custkey), h AS (SELECT count(*) AS n, sum(('0x' || substr(md5(i), 1, 13))::BIGINT)::HUGEINT AS h1, sum(('0x' || substr(md5(i), 14, 13))::BIGINT)::HUGEINT AS h2 FROM i)
+    SELECT sha256(concat_ws(':', n::VARCHAR, h1::VARCHAR, h2::VARCHAR)) AS extent FROM h""")
 def extent(spark, d):
     return extent_hash(order_cells(spark, d))
 
@@ -419,3 +534,180 @@ def urgent_orders_cost_more(pooled, predicted_sign: str = "positive") -> str:
 def claim_verdict(spark, d):
     r = evaluate(urgent_orders_cost_more, order_cells(spark, d))
     return spark.createDataFrame([(r.name, r.verdict, ";".join(f"{f.level}:{f.gate}" for f in r.findings), r.extent)], "claim string, verdict string, findings string, extent string")
+
+
+@query(f"WITH {PANEL}, a AS (SELECT count(*) FILTER (WHERE d > 0) AS k, count(*) AS n FROM panel) SELECT k AS positive, n AS strata, {_sign_p('k', 'n')} AS p FROM a")
+def cross_env_consistency_p(spark, d):
+    counts = strata.sign_counts(strata.stratum_panel(order_cells(spark, d), "source", ["env_name"]))
+    return strata.with_sign_p(counts, "positive", "strata").select("positive", "strata", "p")
+
+
+IMPROVEMENT = CELLS + """, c AS (SELECT env_name, source AS v, count(*) FILTER (WHERE arm_key = 'treatment') AS t, count(*) FILTER (WHERE arm_key = 'baseline') AS b FROM cells WHERE arm_key IN ('treatment', 'baseline') GROUP BY env_name, source),
+    w AS (SELECT *, t * (coalesce(sum(b) OVER (PARTITION BY env_name ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + b / 2.0) AS won FROM c), poi AS (SELECT env_name, (sum(won) / (sum(t) * sum(b)))::DOUBLE AS p FROM w GROUP BY env_name)"""
+
+
+@query(f"""WITH {IMPROVEMENT}, x AS (SELECT p - 0.5 AS x, row_number() OVER (ORDER BY env_name) - 1 AS i FROM poi), n AS (SELECT count(*) AS n, sum(x) AS s FROM x), f AS (SELECT unnest(range(1 << (SELECT n FROM n)::INT)) AS m),
+    g AS (SELECT m, sum(CASE WHEN (m >> i::INT) & 1 = 1 THEN -x ELSE x END) AS s FROM f, x GROUP BY m) SELECT (SELECT count(*) FROM poi) AS strata, (SELECT avg(p) FROM poi) AS mean, avg(CASE WHEN abs(g.s) >= abs(n.s) - 1e-12 THEN 1.0 ELSE 0.0 END) AS p FROM g, n""")
+def cross_env_probability_of_improvement(spark, d):
+    m = strata.mean_improvement(strata.probability_of_improvement(order_cells(spark, d), "source", ["env_name"]))
+    return spark.createDataFrame([tuple(m.values())], "strata long, mean double, p double")
+
+
+@query(f"WITH {RANKS}, zs AS (SELECT atanh(xy) AS z, 1 / sqrt(n - 3) AS z_se FROM c), pool AS (SELECT * FROM (" + "WITH dummy AS (SELECT 1)" + POOL.format(y="z", s="z_se", t="zs").replace("round(", "(").replace(", 6)", ")").replace(", 8)", ")") + ")) SELECT k, q, tau2, pooled, pooled_se, tanh(pooled) AS rho FROM pool")
+def fisher_z_dl_pool(spark, d):
+    rows = ranks.spearman(order_cells(spark, d), "source", "balance", ["env_name"])
+    return bursts.fisher_z_dl_pool(rows, "rho", "n", 3).select("k", "q", "tau2", "pooled", "pooled_se", "rho")
+
+
+@query(f"WITH {RANKS} SELECT env_name, n, xy AS rho, atanh(xy) * sqrt(n - 3) AS z FROM c")
+def marginal_spearman_z(spark, d):
+    return ranks.with_fisher_p(ranks.spearman(order_cells(spark, d), "source", "balance", ["env_name"])).select("env_name", "n", "rho", "z")
+
+
+LINE_RANKS = f"ranks AS (SELECT {_average_rank('', 'l_extendedprice')} AS y, {_average_rank('', 'l_quantity')} AS t, {_average_rank('', 'l_discount')} AS u, {_average_rank('', 'l_tax')} AS v FROM lineitem)"
+
+
+@query(f"WITH {LINE_RANKS}, {_partialled('ranks', 'y', 't', ['u', 'v'])} SELECT count(*) AS n, corr(y, t) AS rho, atanh(corr(y, t)) * sqrt(count(*) - 5) AS z FROM f2")
+def partial_spearman_multi(spark, d):
+    return ranks.partial_spearman_multi(_read(spark, d, "lineitem"), "l_extendedprice", "l_quantity", ["l_discount", "l_tax"], []).select("n", "rho", "z")
+
+
+DELTAS = CELLS + """, p AS (SELECT env_name, seed, avg(source) FILTER (WHERE arm_key = 'treatment') - avg(source) FILTER (WHERE arm_key = 'baseline') AS x, avg(balance) FILTER (WHERE arm_key = 'treatment') - avg(balance) FILTER (WHERE arm_key = 'baseline') AS y, avg(balance) FILTER (WHERE arm_key = 'baseline') AS z
+    FROM cells GROUP BY env_name, seed HAVING least(count(*) FILTER (WHERE arm_key = 'treatment'), count(*) FILTER (WHERE arm_key = 'baseline')) >= 3)"""
+
+
+@query(f"""WITH {DELTAS}, m AS (SELECT {_average_rank('', 'x')} AS x, {_average_rank('', 'y')} AS y FROM p), r AS (SELECT env_name, {_average_rank('PARTITION BY env_name', 'x')} AS x, {_average_rank('PARTITION BY env_name', 'y')} AS y, {_average_rank('PARTITION BY env_name', 'z')} AS z FROM p),
+    c AS (SELECT env_name, count(*) AS n, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM r GROUP BY env_name), q AS (SELECT *, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS pr FROM c)
+    SELECT 'marginal' AS kind, CASE WHEN count(*) >= 4 THEN corr(x, y) END AS rho, count(*) AS n FROM m UNION ALL SELECT 'stratified', tanh(sum((n - 3) * atanh(xy)) / sum(n - 3)), sum(n)::BIGINT FROM c WHERE n >= 4 AND xy IS NOT NULL
+    UNION ALL SELECT 'stratified_partial', tanh(sum((n - 4) * atanh(greatest(-0.999999, least(0.999999, pr)))) / sum(n - 4)), sum(n)::BIGINT FROM q WHERE n >= 5 AND pr IS NOT NULL""")
+def stratum_panel_jci_spearman(spark, d):
+    return ranks.jci_panel(order_cells(spark, d), "source", "balance", "env_name", ["env_name", "seed"])
+
+
+@query(f"WITH {EFFECTS}, r AS (SELECT {_average_rank('', 'z')} AS x, {_average_rank('', 'y')} AS y FROM effects) SELECT count(*) AS n, corr(x, y) AS rho, atanh(corr(x, y)) * sqrt(count(*) - 3) AS z FROM r")
+def cross_stratum_property_slope(spark, d):
+    return ranks.property_slope(_effects(spark, d), "d", "z").select("n", "rho", "z")
+
+
+@query(f"""WITH {CELLS}, p AS (SELECT seed, avg(source) FILTER (WHERE arm_key = 'treatment') - avg(source) FILTER (WHERE arm_key = 'baseline') AS x, avg(balance) FILTER (WHERE arm_key = 'treatment') - avg(balance) FILTER (WHERE arm_key = 'baseline') AS y, avg(customer) FILTER (WHERE arm_key = 'treatment') - avg(customer) FILTER (WHERE arm_key = 'baseline') AS z
+    FROM cells GROUP BY seed HAVING least(count(*) FILTER (WHERE arm_key = 'treatment'), count(*) FILTER (WHERE arm_key = 'baseline')) >= 3), r AS (SELECT {_average_rank('', 'x')} AS x, {_average_rank('', 'y')} AS y, {_average_rank('', 'z')} AS z FROM p), c AS (SELECT count(*) AS n, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM r)
+    SELECT n, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS rho FROM c""")
+def cross_stratum_partial_spearman(spark, d):
+    return ranks.cross_stratum_slope(order_cells(spark, d), "source", "balance", ["seed"], confound="customer")
+
+
+@query("WITH c AS (SELECT count(*) FILTER (WHERE l_quantity > 25 AND l_discount <= 0.05) AS b, count(*) FILTER (WHERE l_quantity <= 25 AND l_discount > 0.05) AS c FROM lineitem) SELECT b, c, greatest(abs(b - c) - 1, 0) / sqrt(b + c) * CASE WHEN b >= c THEN 1 ELSE -1 END AS z FROM c")
+def mcnemar(spark, d):
+    rows = _read(spark, d, "lineitem").select((F.col("l_quantity") > 25).alias("first"), (F.col("l_discount") > 0.05).alias("second"))
+    m = paired.mcnemar(rows, "first", "second")
+    return spark.createDataFrame([(m["b"], m["c"], float(m["z"]))], "b long, c long, z double")
+
+
+@query(f"""WITH {DELTAS}, k AS (SELECT p.y - avg(p.y) OVER w AS y, p.z - avg(p.z) OVER w AS x FROM p WINDOW w AS (PARTITION BY env_name)) SELECT sum(x * y) / sum(x * x) AS slope, count(*) AS n FROM k""")
+def stratum_baseline_predictor_link(spark, d):
+    f = regression.stratum_baseline_predictor_link(order_cells(spark, d).join(_complete(spark, d), ["env_name", "seed"], "left_semi"), "balance", "balance", "env_name", ["seed"])
+    return spark.createDataFrame([(float(f.coefficients[1]), f.n)], "slope double, n long")
+
+
+def _complete(spark, d):
+    """(env_name, seed) with three orders or more in both arms."""
+    n = order_cells(spark, d).groupBy("env_name", "seed").agg(*[F.count_if(F.col("arm_key") == a).alias(a) for a in ("treatment", "baseline")])
+    return n.where("treatment >= 3 and baseline >= 3").select("env_name", "seed")
+
+
+@query(f"""WITH {STATS}, p AS (SELECT event_type, burst, avg(v) FILTER (WHERE arm_key = 'treatment') - avg(v) FILTER (WHERE arm_key = 'baseline') AS dp, avg(s) FILTER (WHERE arm_key = 'treatment') - avg(s) FILTER (WHERE arm_key = 'baseline') AS dt FROM j GROUP BY event_type, burst),
+    c AS (SELECT dp - avg(dp) OVER (PARTITION BY burst) AS x, dt - avg(dt) OVER (PARTITION BY burst) AS y FROM p) SELECT sum(x * y) / sum(x * x) AS slope, count(*) AS n FROM c""")
+def stratum_delta_link(spark, d):
+    cells = burst_cells(spark, d).withColumn("s", arrays.by_burst(F.col("x"), 4, arrays.std))
+    f = regression.stratum_delta_link(cells, "m", "s", "event_type")
+    return spark.createDataFrame([(float(f.coefficients[1]), f.n)], "slope double, n long")
+
+
+@query(f"WITH {PAIRS} SELECT regr_slope(delta, seed) AS slope, regr_intercept(delta, seed) AS intercept, count(*) AS n FROM deltas")
+def paired_continuous_do(spark, d):
+    f = regression.paired_continuous_do(order_cells(spark, d), "source", "seed", ["env_name"])
+    return spark.createDataFrame([(float(f.coefficients[1]), float(f.coefficients[0]), f.n)], "slope double, intercept double, n long")
+
+
+@query(f"""WITH {CELLS}, e AS (SELECT env_name AS env, count(*) AS n, avg(source) AS best, avg(balance) AS final, avg(CASE WHEN env_name = 'BUILDING' THEN NULL WHEN source >= 150000 THEN 1.0 ELSE 0.0 END) AS rate FROM cells GROUP BY env_name)
+    SELECT *, CASE WHEN rate IS NULL THEN 'absent' WHEN rate >= 0.5 THEN 'solved' WHEN rate >= 0.2 THEN 'partial' ELSE 'unsolved' END AS class FROM e""")
+def classify_envs(spark, d):
+    levels = dict.fromkeys(("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY"), 150_000.0)
+    return strata.classify_envs(order_cells(spark, d), "env_name", "source", "balance", levels, solved=0.5)
+
+
+@query(f"""WITH {CELLS}, t AS (SELECT env_name, max(source) AS top FROM cells GROUP BY env_name), c AS (SELECT cells.env_name, CASE WHEN source IS NULL THEN 'missing' WHEN cells.env_name = 'BUILDING' THEN 'no_threshold' WHEN source >= 0.95 * top AND source >= 150000 THEN 'saturated' WHEN source >= 150000 THEN 'solved' ELSE 'unsolved' END AS cell_class FROM cells JOIN t USING (env_name))
+    SELECT env_name, cell_class, count(*) AS n FROM c GROUP BY env_name, cell_class""")
+def cell_classes(spark, d):
+    levels = dict.fromkeys(("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY"), 150_000.0)
+    return strata.with_cell_class(order_cells(spark, d), "env_name", "source", levels).groupBy("env_name", "cell_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CELLS} SELECT env_name, avg(source) AS source, avg(balance) AS balance FROM cells GROUP BY env_name")
+def env_means(spark, d):
+    return strata.env_means(order_cells(spark, d), "env_name", ["source", "balance"])
+
+
+@query(f"WITH {CELLS} SELECT arm_key, string_agg(DISTINCT seed::VARCHAR, ',' ORDER BY seed::VARCHAR) AS seeds, string_agg(DISTINCT status, ',' ORDER BY status) AS status FROM cells GROUP BY arm_key")
+def arm_leaves_wide(spark, d):
+    w = strata.arm_leaves_wide(order_cells(spark, d), ["arm_key"], ["status", "seed"])
+    return w.select("arm_key", F.array_join(F.sort_array("seed"), ",").alias("seeds"), F.array_join("status", ",").alias("status"))
+
+
+@query(f"""WITH {CELLS}, l AS (SELECT status, unnest(['source', 'balance']) AS metric, unnest([(source - avg(source) OVER w) / stddev_samp(source) OVER w, (balance - avg(balance) OVER w) / stddev_samp(balance) OVER w]) AS v FROM cells WINDOW w AS (PARTITION BY env_name)),
+    a AS (SELECT metric, count(v) FILTER (WHERE status = 'O') AS n1, count(v) FILTER (WHERE status = 'F') AS n2, avg(v) FILTER (WHERE status = 'O') AS m1, avg(v) FILTER (WHERE status = 'F') AS m2, var_samp(v) FILTER (WHERE status = 'O') AS v1, var_samp(v) FILTER (WHERE status = 'F') AS v2 FROM l GROUP BY metric)
+    SELECT metric, n1, n2, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * (1 - 3.0 / (4.0 * (n1 + n2) - 9)) AS g FROM a""")
+def mediator_differential_zscore(spark, d):
+    return strata.multi_differential(order_cells(spark, d), ["source", "balance"], "env_name", "status", "O", "F", "zscore")
+
+
+@query("SELECT p_partkey AS id, p_name FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)")
+def cache_anti_join(spark, d):
+    return frames.not_yet(_read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), _read(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+
+
+@query("SELECT c_mktsegment AS corpus, count(*) AS n FROM customer WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM customer WHERE c_custkey = 1) GROUP BY c_mktsegment")
+def cache_without_again(spark, d):
+    cache = _read(spark, d, "customer").withColumnRenamed("c_mktsegment", "corpus")
+    return frames.without(cache, cache.where("c_custkey = 1")).groupBy("corpus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH a AS (SELECT c_nationkey AS corpus, count(*) AS cached FROM customer GROUP BY c_nationkey), b AS (SELECT s_nationkey AS corpus, count(*) AS current FROM supplier GROUP BY s_nationkey)
+    SELECT corpus, coalesce(cached, 0) AS cached, coalesce(current, 0) AS current, CASE WHEN current IS NULL THEN 'gone' WHEN cached IS NULL THEN 'new' WHEN cached = current THEN 'fresh' ELSE 'stale' END AS state FROM a FULL JOIN b USING (corpus)""")
+def cache_against_sources(spark, d):
+    return frames.cache_against_sources(_read(spark, d, "customer").withColumnRenamed("c_nationkey", "corpus"), _read(spark, d, "supplier").withColumnRenamed("s_nationkey", "corpus")).fillna(0, ["cached", "current"])
+
+
+@query("""WITH e AS (SELECT l_suppkey AS id, l_linenumber AS c, count(*) AS attempted, count(l_extendedprice) AS n, avg(l_extendedprice) AS m FROM lineitem GROUP BY l_suppkey, l_linenumber), g AS (SELECT max(l_linenumber) AS last FROM lineitem)
+    SELECT id, max(m) FILTER (WHERE c = last) AS price_mean, coalesce(max(n) FILTER (WHERE c = last), 0) AS price_terminal_n, max(m) FILTER (WHERE c = 1) AS price_mean_at_1, max(m) FILTER (WHERE c = 2) AS price_mean_at_2 FROM e, g GROUP BY id""")
+def derived_outcomes(spark, d):
+    rows = _read(spark, d, "lineitem").withColumn("price", F.col("l_extendedprice"))
+    return frames.derived_outcomes(rows, "l_suppkey", "l_linenumber", ["price"]).select("id", "price_mean", "price_terminal_n", "price_mean_at_1", "price_mean_at_2")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS ids FROM orders")
+def merged_shards(spark, d):
+    o = _read(spark, d, "orders").withColumnRenamed("o_orderkey", "id")
+    whole = frames.merged_shards([o.where(F.col("o_orderstatus") == s) for s in "FOP"])
+    return whole.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@query(f"WITH {CELLS} SELECT env_name, count(*) AS n, avg(source) AS mean FROM cells GROUP BY env_name")
+def panel_cache(spark, d):
+    import uuid
+
+    path = f"{columns.shared_dir(spark)}/panel-{uuid.uuid4().hex}"
+    to_cache(Panel(order_cells(spark, d), ("env_name",)), path)
+    return from_cache(spark, path).cells.groupBy("env_name").agg(F.count(F.lit(1)).alias("n"), F.avg("source").alias("mean"))
+
+
+@query()
+def moderation(spark, d):
+    m = regression.moderation(_read(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_discount", 0.05, "l_returnflag")
+    return spark.createDataFrame([tuple(m.values())], "slope double, interaction double, se double, p double, n long")
+
+
+@query("SELECT 1.0 / 3 AS reads_jaccard, regr_r2(l_extendedprice, l_quantity) AS quantity, regr_r2(l_extendedprice, l_tax) AS tax FROM lineitem")
+def tautology_audit(spark, d):
+    t = regression.tautology_audit(_read(spark, d, "lineitem"), {"l_extendedprice": {"a", "b"}, "l_discount": {"b", "c"}}, "l_extendedprice", "l_discount", ["l_quantity", "l_tax"])
+    return spark.createDataFrame([(t["reads_jaccard"], float(t["r2"]["l_quantity"]), float(t["r2"]["l_tax"]))], "reads_jaccard double, quantity double, tax double")

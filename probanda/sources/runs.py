@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..operators import frames
 
 
 def escaped(path: str) -> str:
@@ -37,12 +38,65 @@ def load_evaluations(spark: SparkSession, root: str, runs: DataFrame) -> DataFra
     return rows
 
 
+def _paths(kind, path: str = "") -> list[str]:
+    """Dotted paths of the leaves of a struct type; arrays are leaves."""
+    if kind.typeName() != "struct":
+        return [path]
+    return [p for f in kind.fields for p in _paths(f.dataType, f"{path}.{f.name}" if path else f.name)]
+
+
+def config_table(spark: SparkSession, root: str) -> DataFrame:
+    """(id, config.<path> columns): configs/<id>.json of every run, one column per leaf path; null leaves stay null."""
+    read = spark.read.option("multiLine", True).json(f"{escaped(root)}/configs").select("*", F.col("_metadata.file_path").alias("_path"))
+    run = F.regexp_extract(F.url_decode("_path"), r"([^/]+)\.json$", 1).alias("id")
+    leaves = [p for f in read.schema if f.name != "_path" for p in _paths(f.dataType, f.name)]
+    where = lambda p: F.col(".".join(f"`{x}`" for x in p.split(".")))
+    return read.select(run, *[where(p).alias(f"config.{p}") for p in leaves])
+
+
+def config_columns(spark: SparkSession, root: str) -> frozenset[str]:
+    """The union of the flattened configuration paths: the leaf registry. Only the schema is needed."""
+    return frozenset(c for c in config_table(spark, root).columns if c != "id")
+
+
+def load_folder(spark: SparkSession, root: str) -> DataFrame:
+    """Runs with their configurations, and the means of their evaluations' outcomes at the last checkpoint: one row per run.
+
+    ValueError where a configuration's path is a run's column already. The producer named in provenance.json, if there, is a column.
+    """
+    out = load_runs(spark, root)
+    configs = config_table(spark, root)
+    clash = sorted(set(configs.columns) & set(out.columns) - {"id"})
+    if clash:
+        raise ValueError(f"configuration paths are columns of the runs already: {clash}")
+    rows = load_evaluations(spark, root, out)
+    outcomes = [n for n, t in rows.dtypes if t in ("double", "bigint") and n not in ("checkpoint", "evaluation_seed")]
+    out = out.join(configs, "id", "left").join(frames.derived_outcomes(rows, "run_id", "checkpoint", outcomes), "id", "left")
+    held = spark.read.option("multiLine", True).json(f"{escaped(root)}/provenance.jso[n]")
+    return out.withColumn("producer", F.lit(held.select("producer").first()[0] if "producer" in held.columns else None).cast("string"))
+
+
+def measurement_store(spark: SparkSession, root: str, schema: str = "id string") -> DataFrame:
+    """measurements.parquet of a corpus; an empty table of ``schema`` where there is none yet."""
+    path = f"{root}/measurements.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(escaped(path))
+
+
+def write_reduced(traces: DataFrame, path: str, add: dict, drop: list[str]) -> None:
+    """Traces with reductions added and raw series dropped: the series are read once and never written."""
+    traces.withColumns(add).drop(*drop).write.mode("overwrite").parquet(path)
+
+
 def load_corpus(spark: SparkSession, root: str, measurements: bool = False, traces: bool = False, prefer: str = "measurements") -> DataFrame:
-    """runs.parquet with measurements and traces joined on id; of columns in both, ``prefer`` wins. Column pruning reaches the scans."""
+    """runs.parquet with measurements (none where the store is absent) and traces joined on id; of columns in both, ``prefer`` wins.
+    Column pruning reaches the scans."""
     out = spark.read.parquet(f"{escaped(root)}/runs.parquet")
     for wanted, name in ((measurements, "measurements"), (traces, "traces")):
         if wanted:
-            more = spark.read.parquet(f"{escaped(root)}/{name}.parquet")
+            more = measurement_store(spark, root) if name == "measurements" else spark.read.parquet(f"{escaped(root)}/{name}.parquet")
             both = [c for c in more.columns if c in out.columns and c != "id"]
             more, out = (more.drop(*both), out) if name == "traces" or prefer != "measurements" else (more, out.drop(*both))
             out = out.join(more, "id", "left")
