@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +48,15 @@ def _paths(kind, path: str = "") -> list[str]:
 
 def config_table(spark: SparkSession, root: str) -> DataFrame:
     """(id, config.<path> columns): configs/<id>.json of every run, one column per leaf path; null leaves stay null."""
-    read = spark.read.option("multiLine", True).json(f"{escaped(root)}/configs").select("*", F.col("_metadata.file_path").alias("_path"))
+    read = spark.read.text(f"{escaped(root)}/configs", wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
+    found = read.agg(F.schema_of_variant_agg(F.parse_json("value"))).first()[0] or "VOID"
+    if not found.startswith("OBJECT<"):
+        return spark.createDataFrame([], "id string")
+    kind = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", found.replace("OBJECT<", "STRUCT<")).replace("VOID", "STRING")
+    parsed = read.select("_path", F.from_json("value", kind).alias("_c"))
     run = F.regexp_extract(F.url_decode("_path"), r"([^/]+)\.json$", 1).alias("id")
-    leaves = [p for f in read.schema if f.name != "_path" for p in _paths(f.dataType, f.name)]
-    where = lambda p: F.col(".".join(f"`{x}`" for x in p.split(".")))
-    return read.select(run, *[where(p).alias(f"config.{p}") for p in leaves])
+    where = lambda p: F.col(".".join(["_c", *(f"`{x}`" for x in p.split("."))]))
+    return parsed.select(run, *[where(p).alias(f"config.{p}") for p in _paths(parsed.schema["_c"].dataType)])
 
 
 def config_columns(spark: SparkSession, root: str) -> frozenset[str]:
@@ -72,8 +77,10 @@ def load_folder(spark: SparkSession, root: str) -> DataFrame:
     rows = load_evaluations(spark, root, out)
     outcomes = [n for n, t in rows.dtypes if t in ("double", "bigint") and n not in ("checkpoint", "evaluation_seed")]
     out = out.join(configs, "id", "left").join(frames.derived_outcomes(rows, "run_id", "checkpoint", outcomes), "id", "left")
-    held = spark.read.option("multiLine", True).json(f"{escaped(root)}/provenance.jso[n]")
-    return out.withColumn("producer", F.lit(held.select("producer").first()[0] if "producer" in held.columns else None).cast("string"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/provenance.json")
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    held = spark.read.text(f"{escaped(root)}/provenance.json", wholetext=True).select(F.get_json_object("value", "$.producer")).first() if there else None
+    return out.withColumn("producer", F.lit(held[0] if held else None).cast("string"))
 
 
 def measurement_store(spark: SparkSession, root: str, schema: str = "id string") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from probanda.functions import arrays, columns, effects, special
 from probanda.operators import discovery, frames, paired, ranks, regression, strata
-from probanda.plans import bridge, evidence, panel
+from probanda.plans import bridge, evidence, panel, queries  # noqa: F401  registers the analyses
 from probanda.plans.contrast import Contrast
 from probanda.sources import runs
 
