@@ -25,6 +25,8 @@ from .common import most_frequent, slices, staged, text_buffers, word_hashes
 FREQUENT, CLASSES = 131_072, 254
 #: Size of word vectors, passes over the trigrams, rows of a step, noise words of a step, and step size.
 VECTOR, EPOCHS, STEP_ROWS, NOISE, RATE = 24, 3, 4096, 48, 0.15
+#: Trigrams of a training task.
+TASK_ROWS = 1 << 18
 END = np.uint64(1)
 FOLDS, HELD = 7, 2
 
@@ -130,9 +132,12 @@ def nce_step(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], two, one, wo
 
 
 def train(trigrams: DataFrame, unigram: np.ndarray, begin: int) -> dict[str, np.ndarray]:
-    """Parameters from (code, n) rows of class trigrams; each epoch every task goes over its rows, and the tasks' parameters are
-    averaged by the tokens they stand for. What the driver gets is one small set of parameters per task."""
+    """Parameters from (code, n) rows of class trigrams. These are dealt by a hash of the code to as many tasks as their number alone
+    asks for, in order of code; each epoch every task goes over its rows, and the tasks' parameters are averaged by the tokens they
+    stand for. So the result doesn't depend on how the texts were partitioned, and as there are no more trigrams than classes to the
+    third power, the driver gets a bounded number of small sets of parameters."""
     spark, k = trigrams.sparkSession, begin + 1
+    trigrams = trigrams.repartition(max(1, -(-trigrams.count() // TASK_ROWS)), "code").sortWithinPartitions("code")
     rng = np.random.default_rng(11)
     q = (unigram + 1.0) / (unigram + 1.0).sum()
     p = {"vectors": rng.normal(0, 0.1, (k, VECTOR)), "near": np.eye(VECTOR) * 0.5, "far": np.eye(VECTOR) * 0.25, "bias": np.log(q)}

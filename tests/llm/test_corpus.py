@@ -141,6 +141,14 @@ def test_base_scores_and_normalised_probabilities(spark, monkeypatch):
     assert np.allclose((10.0 ** model.log_table().astype(float)).sum(2), 1, atol=1e-4)
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(60)], k=40))) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    one, two = ({r.doc_id: (r.score, r.base_score) for r in lm.score_documents(df.repartition(n)).collect()} for n in (1, 7))
+    assert one == {i: pytest.approx(x) for i, x in two.items()}
+
+
 def test_language_model_learns_order(spark):
     rows = [(i, "one two three four " * 30) for i in range(60)]
     df = spark.createDataFrame(rows, DOCS)
