@@ -1,17 +1,20 @@
 """Language-model scores of whole texts: an add-one unigram base and a log-bilinear model with normalised probabilities.
 
 Word counts are made in each batch and summed by a shuffle over all training words. The most frequent words are broadcast
-with their counts (a bounded table); the others of each document meet the count table in a join, so no vocabulary has to
-fit anywhere. The log-bilinear model predicts a word's class from the two before it. Its classes are the most frequent
-words, the end of a text, and one for all other words, within which a word has its add-one share. It learns by
-noise-contrastive estimation in numpy on the corpus's class trigrams, each task on its part and the parts averaged, and
-one batched matrix product over all contexts gives the normalised log-probabilities that scoring looks up.
+with their counts and vectors (a bounded table); the others of each document meet the count table in a join, so no vocabulary
+has to fit anywhere. The log-bilinear model predicts a word from the two before it. Each word of the table has a vector of its
+own, as context and as target; the words outside share one, and among them a word has its add-one share. Probabilities are
+normalised exactly in two steps, both batched matrix products: the class given the context, then the word within its class.
+Classes are runs of words of like frequency, and their number grows with the root of the vocabulary.
+
+The model learns by noise-contrastive estimation in numpy on every training token: texts become chunks of word numbers, equal
+chunks are counted, and each task goes over the chunks that a hash deals to it. Tasks return the rows that they changed, and one
+aggregation by row averages these, so neither a group nor the driver holds more than one set of parameters.
 """
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, slices, staged, text_buffers, word_hashes
+from .common import discard, most_frequent, slices, small_batches, staged, text_buffers, word_hashes
 
-#: Words in the broadcast table (2 MB), and those of them with a class of their own.
-FREQUENT, CLASSES = 131_072, 254
-#: Size of word vectors, passes over the trigrams, rows of a step, noise words of a step, and step size.
-VECTOR, EPOCHS, STEP_ROWS, NOISE, RATE = 24, 3, 4096, 48, 0.15
-#: Trigrams of a training task.
-TASK_ROWS = 1 << 18
+#: Words in the broadcast table, all with vectors of their own: at most 16 MB with the vectors.
+FREQUENT = 131_072
+#: Size of word vectors, passes over the chunks, tokens of a step, noise classes of a step, noise words of a token, and step size.
+VECTOR, EPOCHS, STEP_ROWS, NOISE, NOISE_WORDS, RATE = 24, 2, 2048, 48, 3, 0.1
+#: Tokens of a chunk, chunks that a task mixes before it takes steps, and tokens of a training task.
+CHUNK, MIXED, TASK_TOKENS = 512, 128, 1 << 21
+#: Scores held at a time while normalising.
+CELLS = 1 << 21
 END = np.uint64(1)
 FOLDS, HELD = 7, 2
 
@@ -61,161 +66,223 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def class_edges(counts: np.ndarray) -> np.ndarray:
+    """First word of each class and the end, for words in order of falling count: about the root of their number of classes, with equal
+    sums of roots of counts, so that frequent words are in small classes and no class has much over twice the mean size."""
+    if not len(counts):
+        return np.zeros(1, np.int64)
+    mass = np.sqrt(counts)
+    k = int(np.ceil(np.sqrt(len(counts))))
+    of = np.floor((np.cumsum(mass) - mass / 2) * (k / mass.sum()))
+    return np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(counts)]])
+
+
 @dataclass
 class Model:
-    """Counts of the training tokens and the parameters of the log-bilinear model."""
+    """Counts of the training tokens and the parameters of the log-bilinear model.
+
+    Word numbers go by falling count; ``rest`` is the number of all words outside the table, in a class of its own, and the next number
+    stands for the place before a text. ``p`` has a row for each of these, then for each class, then the two matrices that take a
+    context word to the prediction, from one and from two words back; its last column has the biases of words and classes.
+    """
 
     tokens: int  # N
     distinct: int  # V
-    words: np.ndarray  # frequent words, sorted
+    words: np.ndarray  # words of the table, sorted
     counts: np.ndarray
-    classes: np.ndarray  # class of each frequent word; ``rest`` for most
-    rest: int
+    number: np.ndarray  # number of each word of the table
+    edges: np.ndarray  # first number of each class, and the end
     rest_tokens: int
     rest_distinct: int
-    vectors: np.ndarray
-    near: np.ndarray
-    far: np.ndarray
-    bias: np.ndarray
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+    p: np.ndarray
+
+    @property
+    def rest(self) -> int:
+        return len(self.words)
 
     def lookup(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(whether frequent, count, class) of tokens."""
+        """(whether in the table, count, number) of tokens."""
         if not len(self.words):
             return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64), np.full(len(tokens), self.rest)
         at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
         known = self.words[at] == tokens
-        return known, np.where(known, self.counts[at], 0), np.where(known, self.classes[at], self.rest)
-
-    def log_table(self) -> np.ndarray:
-        """log10 probability of each class after each pair of classes, by one matrix product per class two back."""
-        k = self.rest + 1  # the last row of vectors is the start of a text, which only stands before others
-        near, far = self.vectors @ self.near, self.vectors @ self.far
-        out = np.empty((k + 1, k + 1, k), np.float32)
-        for c in range(k + 1):
-            logits = (near + far[c]) @ self.vectors[:k].T + self.bias
-            logits -= logits.max(1, keepdims=True)
-            out[c] = (logits - np.log(np.exp(logits).sum(1, keepdims=True))) / np.log(10)
-        return out
-
-
-def contexts(classes: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes two back and one back; ``begin`` before the start of a text."""
-    one, two = np.full(len(classes), begin), np.full(len(classes), begin)
-    one[1:], two[2:] = classes[:-1], classes[:-2]
+        return known, np.where(known, self.counts[at], 0), np.where(known, self.number[at], self.rest)
+
+    def log_probabilities(self, two: np.ndarray, one: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 probability of each word number after those two and one before it. Equal cases are computed once, class by class."""
+        code, back = np.unique((word << 36) | (two << 18) | one, return_inverse=True)
+        word, two, one = code >> 36, code >> 18 & 0x3FFFF, code & 0x3FFFF
+        k, base = len(self.edges) - 1, self.rest + 2
+        vectors, bias = self.p[:, :VECTOR], self.p[:, VECTOR]
+        classes, near, far = vectors[base : base + k], vectors[base + k : base + k + VECTOR], vectors[base + k + VECTOR :]
+        h = vectors[one] @ near + vectors[two] @ far
+        of = np.searchsorted(self.edges, word, "right") - 1
+        out = np.empty(len(word))
+        rows = max(1, CELLS // k)
+        for first in range(0, len(word), rows):
+            at = slice(first, first + rows)
+            out[at] = _log_share(h[at] @ classes.T + bias[base : base + k], of[at])
+        bounds = np.searchsorted(of, np.arange(k + 1))
+        for c in np.flatnonzero(np.diff(bounds)):
+            a, b = int(self.edges[c]), int(self.edges[c + 1])
+            if b - a == 1:
+                continue
+            rows = max(1, CELLS // (b - a))
+            for first in range(int(bounds[c]), int(bounds[c + 1]), rows):
+                at = slice(first, min(first + rows, int(bounds[c + 1])))
+                out[at] += _log_share(h[at] @ vectors[a:b].T + bias[a:b], word[at] - a)
+        return out[back] / np.log(10)
+
+
+def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log of the share that column ``at`` of each row has in the sum of exponentials; ``logits`` is overwritten."""
+    logits -= logits.max(1, keepdims=True)
+    own = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    return own - np.log(logits.sum(1))
+
+
+def contexts(numbers: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers two back and one back; ``begin`` before the start of a text."""
+    one, two = np.full(len(numbers), begin), np.full(len(numbers), begin)
+    one[1:], two[2:] = numbers[:-1], numbers[:-2]
     one[starts] = begin
     two[starts] = begin
     two[starts[starts + 1 < len(two)] + 1] = begin
     return two, one
 
 
-def nce_step(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], two, one, word, weight, noise, noise_logq, logq) -> None:
-    """One Adagrad step of noise-contrastive estimation on weighted trigrams; noise words are shared by the step."""
-    r, k = p["vectors"], len(noise)
-    a, b = r[one], r[two]
-    h = a @ p["near"] + b @ p["far"]
-    up = (h * r[word]).sum(1) + p["bias"][word] - np.log(k) - logq[word]
-    down = h @ r[noise].T + p["bias"][noise] - np.log(k) - noise_logq
-    gu = weight * (1 / (1 + np.exp(-up)) - 1)
-    gd = weight[:, None] / (1 + np.exp(-down))
-    gh = gu[:, None] * r[word] + gd @ r[noise]
-    g = {x: np.zeros_like(v) for x, v in p.items()}
-    np.add.at(g["vectors"], word, gu[:, None] * h)
-    np.add.at(g["vectors"], noise, gd.T @ h)
-    np.add.at(g["vectors"], one, gh @ p["near"].T)
-    np.add.at(g["vectors"], two, gh @ p["far"].T)
-    g["near"], g["far"] = a.T @ gh, b.T @ gh
-    g["bias"] += np.bincount(word, gu, len(p["bias"])) + np.bincount(noise, gd.sum(0), len(p["bias"]))
-    for x in p:
-        sums[x] += g[x] ** 2
-        p[x] -= RATE * g[x] / np.sqrt(sums[x] + 1e-8)
-
-
-def train(trigrams: DataFrame, unigram: np.ndarray, begin: int) -> dict[str, np.ndarray]:
-    """Parameters from (code, n) rows of class trigrams. These are dealt by a hash of the code to as many tasks as their number alone
-    asks for, in order of code; each epoch every task goes over its rows, and the tasks' parameters are averaged by the tokens they
-    stand for. So the result doesn't depend on how the texts were partitioned, and as there are no more trigrams than classes to the
-    third power, the driver gets a bounded number of small sets of parameters."""
-    spark, k = trigrams.sparkSession, begin + 1
-    trigrams = trigrams.repartition(max(1, -(-trigrams.count() // TASK_ROWS)), "code").sortWithinPartitions("code")
-    rng = np.random.default_rng(11)
-    q = (unigram + 1.0) / (unigram + 1.0).sum()
-    p = {"vectors": rng.normal(0, 0.1, (k, VECTOR)), "near": np.eye(VECTOR) * 0.5, "far": np.eye(VECTOR) * 0.25, "bias": np.log(q)}
-    shapes = [(x, v.shape) for x, v in p.items()]
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def nce_step(p, sums, touched, edges, log_q, two, one, word, weight, noise, draw) -> None:
+    """One Adagrad step of noise-contrastive estimation on weighted trigrams, for classes and for words within their class.
+
+    ``noise`` classes are shared by the step and drawn by frequency, whose logs are ``log_q``; ``draw`` has uniform numbers that pick
+    each token's noise words evenly within its class. Only rows that take part are read and changed; ``touched`` adds up the weight
+    that went into each.
+    """
+    d, k, base = VECTOR, len(edges) - 1, edges[-1] + 1
+    of = np.searchsorted(edges, word, "right") - 1
+    size = (edges[of + 1] - edges[of]).astype(np.float32)
+    other = edges[of][:, None] + (draw * size[:, None]).astype(np.int64)
+    near, far = p[base + k : base + k + d, :d], p[base + k + d :, :d]
+    a, b, t, c, nc, no = p[one, :d], p[two, :d], p[word], p[base + of], p[base + noise], p[other]
+    h = a @ near + b @ far
+    up = _sigmoid((h * c[:, :d]).sum(1) + c[:, d] - np.float32(np.log(len(noise))) - log_q[of]) - 1
+    down = _sigmoid(h @ nc[:, :d].T + nc[:, d] - np.float32(np.log(len(noise))) - log_q[noise])
+    shift = np.log(size) - np.float32(np.log(draw.shape[1]))
+    inner = np.where(size > 1, weight, 0)
+    up_word = _sigmoid((h * t[:, :d]).sum(1) + t[:, d] + shift) - 1
+    down_word = _sigmoid(np.matmul(no[:, :, :d], h[:, :, None])[:, :, 0] + no[:, :, d] + shift[:, None])
+    gc, gn, gw, go = up * weight, down * weight[:, None], up_word * inner, down_word * inner[:, None]
+    gh = gc[:, None] * c[:, :d] + gn @ nc[:, :d] + gw[:, None] * t[:, :d] + np.matmul(go[:, None, :], no[:, :, :d])[:, 0]
+    m, o = len(word), other.size
+    rows = np.concatenate([word, base + of, one, two, other.ravel(), base + noise])
+    g = np.zeros((len(rows), d + 2), np.float32)  # gradient of vector and bias, and weight
+    g[:m, :d], g[:m, d] = gw[:, None] * h, gw
+    g[m : 2 * m, :d], g[m : 2 * m, d] = gc[:, None] * h, gc
+    g[2 * m : 3 * m, :d], g[3 * m : 4 * m, :d] = gh @ near.T, gh @ far.T
+    g[4 * m : 4 * m + o, :d], g[4 * m : 4 * m + o, d] = (go[:, :, None] * h[:, None, :]).reshape(o, d), go.ravel()
+    g[4 * m + o :, :d], g[4 * m + o :, d] = gn.T @ h, gn.sum(0)
+    g[: 4 * m, d + 1], g[4 * m :, d + 1] = np.tile(weight, 4), weight.mean() / 64
+    order = np.argsort(rows, kind="stable")
+    ids, first = np.unique(rows[order], return_index=True)
+    total = np.add.reduceat(g[order], first, axis=0)
+    touched[ids] += total[:, d + 1]
+    matrices = np.concatenate([a.T @ gh, b.T @ gh])
+    touched[base + k :] += weight.sum()
+    for at, step in ((ids, total[:, : d + 1]), (np.arange(base + k, len(p)), np.pad(matrices, ((0, 0), (0, 1))))):
+        sums[at] += step**2
+        p[at] -= RATE * step / np.sqrt(sums[at])
+
+
+def train(chunks: DataFrame, edges: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Parameters from (ids, n) chunks: word numbers as 32-bit integers, the first two of them context only, and how often they occur.
+
+    Every pass deals the chunks anew by a hash of their contents, to as many tasks as their tokens ask for, in order of that hash; the
+    changes of a row are averaged by the weights that went into it. So the result doesn't depend on how the texts were partitioned.
+    ``mass`` has the counts of the word numbers.
+    """
+    spark, d, k, v = chunks.sparkSession, VECTOR, len(edges) - 1, int(edges[-1])
+    tokens = chunks.agg(F.coalesce(F.sum(F.length("ids") / 4 - 2), F.lit(0))).first()[0]
+    tasks = max(1, -(-int(tokens) // TASK_TOKENS))
+    by_class = np.add.reduceat(mass + 1.0, edges[:-1])
+    q = by_class / by_class.sum()
+    log_q = np.log(q).astype(np.float32)
+    p = np.random.default_rng(11).normal(0, 0.1, (v + 1 + k + 2 * d, d + 1)).astype(np.float32)
+    p[:v, d] = np.log((mass + 1.0) / np.repeat(by_class, np.diff(edges)))
+    p[v, d], p[v + 1 : v + 1 + k, d] = 0, log_q
+    p[v + 1 + k :] = np.eye(d, d + 1)[np.tile(np.arange(d), 2)] * np.repeat([0.5, 0.25], d)[:, None]
+    columns = [f"d{x}" for x in range(d + 1)]
     for epoch in range(EPOCHS):
         held = spark.sparkContext.broadcast(p)
 
         def run(batches, held=held, epoch=epoch):
-            p = {x: v.copy() for x, v in held.value.items()}
-            sums = {x: np.full_like(v, 1e-2) for x, v in p.items()}
-            total, logq = 0, np.log(q)
+            before = held.value
+            p, sums, touched = before.copy(), np.full_like(before, 1e-4), np.zeros(len(before))
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                rng = np.random.default_rng([epoch, len(pdf), int(pdf["code"].iloc[0])])
-                code, n = pdf["code"].to_numpy(), pdf["n"].to_numpy(float)
-                order = rng.permutation(len(code))
-                total += n.sum()
-                for first in range(0, len(order), STEP_ROWS):
-                    at = order[first : first + STEP_ROWS]
-                    noise = rng.choice(len(q), NOISE, p=q)
-                    nce_step(p, sums, code[at] // (k * k), code[at] // k % k, code[at] % k, n[at] / n[at].mean() / 64, noise, logq[noise], logq)
-            if total:
-                yield pd.DataFrame({"total": [float(total)], "values": [np.concatenate([v.ravel() for v in p.values()])]})
-
-        parts = trigrams.mapInPandas(run, "total double, values array<double>").toPandas()
-        if len(parts):
-            mean = np.average(np.stack(parts["values"].to_list()), axis=0, weights=parts["total"])
-            p, at = {}, 0
-            for x, shape in shapes:
-                size = int(np.prod(shape))
-                p[x], at = mean[at : at + size].reshape(shape), at + size
+                for first in range(0, len(pdf), MIXED):
+                    lists = [np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["ids"].iloc[first : first + MIXED]]
+                    two, one, word = (np.concatenate([x[s : len(x) - 2 + s] for x in lists]) for s in range(3))
+                    n = np.repeat(pdf["n"].to_numpy(float)[first : first + MIXED], [len(x) - 2 for x in lists])
+                    rng = np.random.default_rng([epoch, len(word), *word[:8]])
+                    order = rng.permutation(len(word))
+                    for at in np.split(order, range(STEP_ROWS, len(order), STEP_ROWS)):
+                        weight = n[at].astype(np.float32)
+                        nce_step(p, sums, touched, edges, log_q, two[at], one[at], word[at], weight / weight.mean(), rng.choice(k, NOISE, p=q), rng.random((len(at), NOISE_WORDS), np.float32))
+            ids = np.flatnonzero(touched)
+            change = (p[ids] - before[ids]) * touched[ids, None]
+            yield pd.DataFrame({"row": ids, "w": touched[ids]} | {c: change[:, x].astype(np.float32) for x, c in enumerate(columns)})
+
+        deal = F.xxhash64("ids", F.lit(epoch))
+        dealt = chunks.withColumn("deal", deal).repartition(tasks, "deal").sortWithinPartitions("deal", "ids").select("ids", "n")
+        changed = dealt.mapInPandas(run, "row long, w double, " + ", ".join(f"{c} float" for c in columns))
+        mean = changed.groupBy("row").agg(F.sum("w").alias("w"), *[F.sum(c).alias(c) for c in columns]).toArrow()
+        w = mean["w"].to_numpy()
+        p = p.copy()
+        for x, c in enumerate(columns):
+            p[mean["row"].to_numpy(), x] += mean[c].to_numpy() / w
+        held.unpersist()
     return p
 
 
 def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     """The model of the texts in ``docs``, and their word counts (word, n)."""
+    small_batches(docs.sparkSession)
     counts = staged(word_counts(docs, text), "lm-counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = most_frequent(counts, FREQUENT).sort_values(["n", "word"], ascending=[False, True])
     words, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    own = np.flatnonzero(words != END)[:CLASSES]
-    own = np.concatenate([own, np.flatnonzero(words == END)])
-    rest = len(own)
-    classes = np.full(len(words), rest)
-    classes[own] = np.arange(len(own))
-    unigram = np.append(n[own], tokens - n[own].sum())
     by = np.argsort(words)
-    begin, k = rest + 1, rest + 2
-    zero = np.zeros((k, VECTOR))
-    model = Model(tokens, distinct, words[by], n[by], classes[by], rest, int(unigram[-1]), distinct - len(own), zero, zero[:VECTOR], zero[:VECTOR], np.zeros(rest + 1))
+    edges = np.append(class_edges(n), len(words) + 1)
+    rest_tokens = int(tokens - n.sum())
+    model = Model(tokens, distinct, words[by], n[by], by, edges, rest_tokens, distinct - len(words), np.zeros((0, VECTOR + 1), np.float32))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def grams(batches):
+    def cut(batches):
+        begin = np.full(2, held.value.rest + 1, np.int32)
         for batch in batches:
-            found = []
             for t, starts, _ in _token_slices(batch, text):
-                c = held.value.lookup(t)[2]
-                two, one = contexts(c, starts, begin)
-                found.append((two * k + one) * k + c)
-            if found:
-                code, times = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"code": code.astype(np.int64), "n": times.astype(np.int64)})
-
-    trigrams = staged(docs.select(text).mapInArrow(grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "lm-trigrams")
-    p = train(trigrams, unigram, begin)
-    model.vectors, model.near, model.far, model.bias = p["vectors"], p["near"], p["far"], p["bias"]
+                numbers = held.value.lookup(t)[2].astype(np.int32)
+                found = []
+                for first, last in zip(starts.tolist(), np.append(starts[1:], len(t)).tolist(), strict=True):
+                    one = np.concatenate([begin, numbers[first:last]])
+                    found += [one[x : x + CHUNK + 2].tobytes() for x in range(0, last - first, CHUNK)]
+                yield pa.RecordBatch.from_pydict({"ids": pa.array(found, pa.binary())})
+
+    chunks = staged(docs.select(text).mapInArrow(cut, "ids binary").groupBy("ids").agg(F.count(F.lit(1)).alias("n")), "lm-chunks")
+    model.p = train(chunks, edges, np.append(n, rest_tokens))
+    discard(chunks)
     return model, counts
 
 
-_tables: dict[str, np.ndarray] = {}
-
-
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score and score of each whole text, in log10.
 
     Null, empty and blank texts have one token, the end. Unknown words have count 0 in the base and the share of one unseen
-    word in the class of other words. With no training text every count is 0. Repeated rows score alike; an empty table
+    word among those outside the table. With no training text every count is 0. Repeated rows score alike; an empty table
     gives an empty one; columns outside ``keep`` are left out, so extra columns cannot clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -224,19 +291,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
 
     def run(batches):
         m = shared.value
-        if m.name not in _tables:
-            _tables.clear()
-            _tables[m.name] = m.log_table()
-        table = _tables[m.name]
         for batch in batches:
             parts, lists, times = [], [], []
             for t, starts, rows in _token_slices(batch, "_text"):
-                known, c, cls = m.lookup(t)
-                two, one = contexts(cls, starts, m.rest + 1)
+                known, c, number = m.lookup(t)
+                two, one = contexts(number, starts, m.rest + 1)
                 of = np.repeat(np.arange(rows), np.diff(np.append(starts, len(t))))
-                other = known & (cls == m.rest)
-                lm = table[two, one, cls].astype(float)
-                lm[other] += np.log10((c[other] + 1) / rest_size)
+                lm = m.log_probabilities(two, one, number)
                 base = np.where(known, np.log10((c + 1) / size), 0.0)
                 parts.append(np.stack([np.bincount(of, minlength=rows), np.bincount(of, known, rows), np.bincount(of, base, rows), np.bincount(of, lm, rows)], 1))
                 missed = np.flatnonzero(~known)

@@ -123,7 +123,6 @@ def test_toxicity_without_labels(spark):
 
 def test_base_scores_and_normalised_probabilities(spark, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 40)
-    monkeypatch.setattr(lm, "CLASSES", 10)
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices("the a Of to cat dog sun moon tree river".split() + [f"x{rng.randrange(200)}"], k=rng.randint(0, 40)))) for i in range(150)] + [(500, None), (501, ""), (502, "x" * 3000)]
     df = spark.createDataFrame(rows, DOCS)
@@ -138,7 +137,40 @@ def test_base_scores_and_normalised_probabilities(spark, monkeypatch):
         assert r.base_score == pytest.approx(sum(math.log10((count[t] + 1) / (n + v + 1)) for t in tokens))
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) and r.score < 0
     model, _ = lm.fit(df.select("text"))
-    assert np.allclose((10.0 ** model.log_table().astype(float)).sum(2), 1, atol=1e-4)
+    table = brute_log_probabilities(model)
+    assert np.allclose((10.0**table).sum(2), 1)
+    two, one, word = np.random.default_rng(1).integers(0, [[len(table)], [len(table)], [len(table) - 1]], (3, 500))
+    assert np.allclose(model.log_probabilities(two, one, word), table[two, one, word], atol=1e-4)
+
+
+def brute_log_probabilities(model):
+    """log10 probability of every word number after every two, in double precision, one class at a time."""
+    d, k, p = lm.VECTOR, len(model.edges) - 1, model.p.astype(float)
+    r = p[: model.rest + 2]
+    q, near, far = p[len(r) : len(r) + k], p[len(r) + k : len(r) + k + d, :d], p[len(r) + k + d :, :d]
+    h = (r[:, :d] @ near)[None, :, :] + (r[:, :d] @ far)[:, None, :]
+    e = np.exp(h @ q[:, :d].T + q[:, d])
+    share = e / e.sum(2, keepdims=True)
+    out = []
+    for c in range(k):
+        own = r[model.edges[c] : model.edges[c + 1]]
+        e = np.exp(h @ own[:, :d].T + own[:, d])
+        out.append(share[:, :, c : c + 1] * e / e.sum(2, keepdims=True))
+    return np.log10(np.concatenate(out, axis=2))
+
+
+def test_scores_of_rare_words_depend_on_context(spark):
+    rng = random.Random(4)
+    pairs = [(f"a{k}", f"b{k}") for k in range(400)]
+    texts = [" ".join(w for p in rng.choices(pairs, k=60) for w in p) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    model, counts = lm.fit(df.select("text"))
+    assert len(model.edges) - 1 > 20 and model.rest == 801
+    score = lambda texts: np.array([r.score for r in lm.score(spark.createDataFrame(list(enumerate(texts)), DOCS), model, counts).orderBy("doc_id").collect()])
+    right, wrong = score([f"{a} {b}" for a, b in pairs]), score([f"{a} b{(k + 7) % 400}" for k, (a, _) in enumerate(pairs)])
+    assert np.mean(right > wrong) > 0.8
+    swapped = score([f"{b} {a}" for a, b in pairs])
+    assert np.mean(right > swapped) > 0.9
 
 
 def test_scores_do_not_depend_on_partitions(spark):
