@@ -26,12 +26,12 @@ from .common import discard, most_frequent, slices, small_batches, staged, text_
 
 #: Words in the broadcast table, all with vectors of their own: at most 16 MB with the vectors.
 FREQUENT = 131_072
-#: Size of word vectors, passes over the chunks, tokens of a step, noise classes of a step, noise words of a token, and step size.
-VECTOR, EPOCHS, STEP_ROWS, NOISE, NOISE_WORDS, RATE = 24, 2, 2048, 48, 3, 0.1
+#: Size of word vectors, rounds that share out the chunks, tokens of a step, noise classes of a step, and step size.
+VECTOR, ROUNDS, STEP_ROWS, NOISE, RATE = 24, 2, 2048, 48, 0.1
 #: Tokens of a chunk, chunks that a task mixes before it takes steps, and tokens of a training task.
 CHUNK, MIXED, TASK_TOKENS = 512, 128, 1 << 21
 #: Scores held at a time while normalising.
-CELLS = 1 << 21
+CELLS = 1 << 18
 END = np.uint64(1)
 FOLDS, HELD = 7, 2
 
@@ -113,24 +113,22 @@ class Model:
         code, back = np.unique((word << 36) | (two << 18) | one, return_inverse=True)
         word, two, one = code >> 36, code >> 18 & 0x3FFFF, code & 0x3FFFF
         k, base = len(self.edges) - 1, self.rest + 2
-        vectors, bias = self.p[:, :VECTOR], self.p[:, VECTOR]
-        classes, near, far = vectors[base : base + k], vectors[base + k : base + k + VECTOR], vectors[base + k + VECTOR :]
-        h = vectors[one] @ near + vectors[two] @ far
+        near, far = self.p[base + k : base + k + VECTOR, :VECTOR], self.p[base + k + VECTOR :, :VECTOR]
+        h = np.ones((len(word), VECTOR + 1), np.float32)
+        h[:, :VECTOR] = self.p.take(one, axis=0)[:, :VECTOR] @ near + self.p.take(two, axis=0)[:, :VECTOR] @ far
         of = np.searchsorted(self.edges, word, "right") - 1
         out = np.empty(len(word))
         rows = max(1, CELLS // k)
         for first in range(0, len(word), rows):
             at = slice(first, first + rows)
-            out[at] = _log_share(h[at] @ classes.T + bias[base : base + k], of[at])
+            out[at] = _log_share(h[at] @ self.p[base : base + k].T, of[at])
         bounds = np.searchsorted(of, np.arange(k + 1))
         for c in np.flatnonzero(np.diff(bounds)):
             a, b = int(self.edges[c]), int(self.edges[c + 1])
-            if b - a == 1:
-                continue
             rows = max(1, CELLS // (b - a))
-            for first in range(int(bounds[c]), int(bounds[c + 1]), rows):
+            for first in range(int(bounds[c]), int(bounds[c + 1]) if b - a > 1 else 0, rows):
                 at = slice(first, min(first + rows, int(bounds[c + 1])))
-                out[at] += _log_share(h[at] @ vectors[a:b].T + bias[a:b], word[at] - a)
+                out[at] += _log_share(h[at] @ self.p[a:b].T, word[at] - a)
         return out[back] / np.log(10)
 
 
@@ -159,55 +157,57 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def nce_step(p, sums, touched, edges, log_q, two, one, word, weight, noise, draw) -> None:
     """One Adagrad step of noise-contrastive estimation on weighted trigrams, for classes and for words within their class.
 
-    ``noise`` classes are shared by the step and drawn by frequency, whose logs are ``log_q``; ``draw`` has uniform numbers that pick
-    each token's noise words evenly within its class. Only rows that take part are read and changed; ``touched`` adds up the weight
-    that went into each.
+    ``noise`` classes are shared by the step and drawn by frequency, whose logs are ``log_q``; ``draw`` has a uniform number for each
+    token that picks its noise word evenly within its class. Only rows that take part are read and changed; ``touched`` adds up the
+    weight that went into each.
     """
-    d, k, base = VECTOR, len(edges) - 1, edges[-1] + 1
+    d, m, k, base = VECTOR, len(word), len(edges) - 1, edges[-1] + 1
     of = np.searchsorted(edges, word, "right") - 1
-    size = (edges[of + 1] - edges[of]).astype(np.float32)
-    other = edges[of][:, None] + (draw * size[:, None]).astype(np.int64)
+    size = edges[of + 1] - edges[of]
+    other = edges[of] + (draw * size).astype(np.int64)
+    rows = np.concatenate([word, other, base + of, one, two, base + noise])
+    held = p.take(rows, axis=0)
+    t, o, c, a, b, nc = np.split(held, [m, 2 * m, 3 * m, 4 * m, 5 * m])
     near, far = p[base + k : base + k + d, :d], p[base + k + d :, :d]
-    a, b, t, c, nc, no = p[one, :d], p[two, :d], p[word], p[base + of], p[base + noise], p[other]
-    h = a @ near + b @ far
-    up = _sigmoid((h * c[:, :d]).sum(1) + c[:, d] - np.float32(np.log(len(noise))) - log_q[of]) - 1
-    down = _sigmoid(h @ nc[:, :d].T + nc[:, d] - np.float32(np.log(len(noise))) - log_q[noise])
-    shift = np.log(size) - np.float32(np.log(draw.shape[1]))
+    h = np.ones((m, d + 1), np.float32)
+    h[:, :d] = a[:, :d] @ near + b[:, :d] @ far
+    shift, many = np.log(size).astype(np.float32), np.float32(np.log(len(noise)))
     inner = np.where(size > 1, weight, 0)
-    up_word = _sigmoid((h * t[:, :d]).sum(1) + t[:, d] + shift) - 1
-    down_word = _sigmoid(np.matmul(no[:, :, :d], h[:, :, None])[:, :, 0] + no[:, :, d] + shift[:, None])
-    gc, gn, gw, go = up * weight, down * weight[:, None], up_word * inner, down_word * inner[:, None]
-    gh = gc[:, None] * c[:, :d] + gn @ nc[:, :d] + gw[:, None] * t[:, :d] + np.matmul(go[:, None, :], no[:, :, :d])[:, 0]
-    m, o = len(word), other.size
-    rows = np.concatenate([word, base + of, one, two, other.ravel(), base + noise])
+    gw = (_sigmoid(np.einsum("ij,ij->i", h, t) + shift) - 1) * inner
+    go = _sigmoid(np.einsum("ij,ij->i", h, o) + shift) * inner
+    gc = (_sigmoid(np.einsum("ij,ij->i", h, c) - many - log_q[of]) - 1) * weight
+    gn = _sigmoid(h @ nc.T - many - log_q[noise]) * weight[:, None]
+    gh = (gn @ nc + gc[:, None] * c + gw[:, None] * t + go[:, None] * o)[:, :d]
     g = np.zeros((len(rows), d + 2), np.float32)  # gradient of vector and bias, and weight
-    g[:m, :d], g[:m, d] = gw[:, None] * h, gw
-    g[m : 2 * m, :d], g[m : 2 * m, d] = gc[:, None] * h, gc
-    g[2 * m : 3 * m, :d], g[3 * m : 4 * m, :d] = gh @ near.T, gh @ far.T
-    g[4 * m : 4 * m + o, :d], g[4 * m : 4 * m + o, d] = (go[:, :, None] * h[:, None, :]).reshape(o, d), go.ravel()
-    g[4 * m + o :, :d], g[4 * m + o :, d] = gn.T @ h, gn.sum(0)
-    g[: 4 * m, d + 1], g[4 * m :, d + 1] = np.tile(weight, 4), weight.mean() / 64
-    order = np.argsort(rows, kind="stable")
-    ids, first = np.unique(rows[order], return_index=True)
-    total = np.add.reduceat(g[order], first, axis=0)
+    for x, by in enumerate((gw, go, gc)):
+        np.multiply(by[:, None], h, out=g[x * m : (x + 1) * m, : d + 1])
+    g[3 * m : 4 * m, :d], g[4 * m : 5 * m, :d] = gh @ near.T, gh @ far.T
+    g[5 * m :, : d + 1] = gn.T @ h
+    g[: 5 * m, d + 1].reshape(5, m)[:] = weight * np.float32([1, 1 / 64, 1, 1, 1])[:, None]
+    g[5 * m :, d + 1] = 1 / 64
+    order = np.argsort(rows)
+    ids = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    ids, total = ids[first], np.add.reduceat(g[order], first, axis=0)
     touched[ids] += total[:, d + 1]
-    matrices = np.concatenate([a.T @ gh, b.T @ gh])
+    matrices = np.concatenate([a[:, :d].T @ gh, b[:, :d].T @ gh])
     touched[base + k :] += weight.sum()
     for at, step in ((ids, total[:, : d + 1]), (np.arange(base + k, len(p)), np.pad(matrices, ((0, 0), (0, 1))))):
-        sums[at] += step**2
-        p[at] -= RATE * step / np.sqrt(sums[at])
+        total_square = sums.take(at, axis=0) + step**2
+        sums[at] = total_square
+        p[at] -= RATE * step / np.sqrt(total_square)
 
 
 def train(chunks: DataFrame, edges: np.ndarray, mass: np.ndarray) -> np.ndarray:
     """Parameters from (ids, n) chunks: word numbers as 32-bit integers, the first two of them context only, and how often they occur.
 
-    Every pass deals the chunks anew by a hash of their contents, to as many tasks as their tokens ask for, in order of that hash; the
-    changes of a row are averaged by the weights that went into it. So the result doesn't depend on how the texts were partitioned.
-    ``mass`` has the counts of the word numbers.
+    A hash of its contents shares out each chunk to one of ROUNDS rounds, and there to one of as many tasks as the tokens ask for, which
+    goes over its chunks in order of that hash; at the end of a round the changes of a row are averaged by the weights that went into
+    it. So the result doesn't depend on how the texts were partitioned. ``mass`` has the counts of the word numbers.
     """
     spark, d, k, v = chunks.sparkSession, VECTOR, len(edges) - 1, int(edges[-1])
     tokens = chunks.agg(F.coalesce(F.sum(F.length("ids") / 4 - 2), F.lit(0))).first()[0]
-    tasks = max(1, -(-int(tokens) // TASK_TOKENS))
+    tasks = max(1, -(-int(tokens) // (ROUNDS * TASK_TOKENS)))
     by_class = np.add.reduceat(mass + 1.0, edges[:-1])
     q = by_class / by_class.sum()
     log_q = np.log(q).astype(np.float32)
@@ -216,10 +216,10 @@ def train(chunks: DataFrame, edges: np.ndarray, mass: np.ndarray) -> np.ndarray:
     p[v, d], p[v + 1 : v + 1 + k, d] = 0, log_q
     p[v + 1 + k :] = np.eye(d, d + 1)[np.tile(np.arange(d), 2)] * np.repeat([0.5, 0.25], d)[:, None]
     columns = [f"d{x}" for x in range(d + 1)]
-    for epoch in range(EPOCHS):
+    for turn in range(ROUNDS):
         held = spark.sparkContext.broadcast(p)
 
-        def run(batches, held=held, epoch=epoch):
+        def run(batches, held=held):
             before = held.value
             p, sums, touched = before.copy(), np.full_like(before, 1e-4), np.zeros(len(before))
             for pdf in batches:
@@ -227,17 +227,17 @@ def train(chunks: DataFrame, edges: np.ndarray, mass: np.ndarray) -> np.ndarray:
                     lists = [np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["ids"].iloc[first : first + MIXED]]
                     two, one, word = (np.concatenate([x[s : len(x) - 2 + s] for x in lists]) for s in range(3))
                     n = np.repeat(pdf["n"].to_numpy(float)[first : first + MIXED], [len(x) - 2 for x in lists])
-                    rng = np.random.default_rng([epoch, len(word), *word[:8]])
+                    rng = np.random.default_rng([len(word), *word[:8]])
                     order = rng.permutation(len(word))
                     for at in np.split(order, range(STEP_ROWS, len(order), STEP_ROWS)):
                         weight = n[at].astype(np.float32)
-                        nce_step(p, sums, touched, edges, log_q, two[at], one[at], word[at], weight / weight.mean(), rng.choice(k, NOISE, p=q), rng.random((len(at), NOISE_WORDS), np.float32))
+                        nce_step(p, sums, touched, edges, log_q, two[at], one[at], word[at], weight / weight.mean(), rng.choice(k, NOISE, p=q), rng.random(len(at), np.float32))
             ids = np.flatnonzero(touched)
             change = (p[ids] - before[ids]) * touched[ids, None]
             yield pd.DataFrame({"row": ids, "w": touched[ids]} | {c: change[:, x].astype(np.float32) for x, c in enumerate(columns)})
 
-        deal = F.xxhash64("ids", F.lit(epoch))
-        dealt = chunks.withColumn("deal", deal).repartition(tasks, "deal").sortWithinPartitions("deal", "ids").select("ids", "n")
+        dealt = chunks.withColumn("deal", F.xxhash64("ids")).where(F.pmod("deal", F.lit(ROUNDS)) == turn)
+        dealt = dealt.repartition(tasks, "deal").sortWithinPartitions("deal", "ids").select("ids", "n")
         changed = dealt.mapInPandas(run, "row long, w double, " + ", ".join(f"{c} float" for c in columns))
         mean = changed.groupBy("row").agg(F.sum("w").alias("w"), *[F.sum(c).alias(c) for c in columns]).toArrow()
         w = mean["w"].to_numpy()
