@@ -22,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, most_frequent, slices, small_batches, staged, text_buffers, word_hashes
+from .common import SLICE_BYTES, discard, most_frequent, slices, small_batches, staged, text_buffers, word_hashes
 
 #: Words in the broadcast table, all with vectors of their own: at most 16 MB with the vectors.
 FREQUENT = 131_072
 #: Size of word vectors, rounds that share out the chunks, tokens of a step, noise classes of a step, and step size.
-VECTOR, ROUNDS, STEP_ROWS, NOISE, RATE = 24, 2, 2048, 48, 0.1
+VECTOR, ROUNDS, STEP_ROWS, NOISE, RATE = 24, 2, 4096, 48, 0.1
 #: Tokens of a chunk, chunks that a task mixes before it takes steps, and tokens of a training task.
-CHUNK, MIXED, TASK_TOKENS = 512, 128, 1 << 21
-#: Scores held at a time while normalising.
-CELLS = 1 << 18
+CHUNK, MIXED, TASK_TOKENS = 512, 128, 1 << 22
+#: Scores held at a time while normalising, and bytes of text that are scored at once.
+CELLS, SCORE_BYTES = 1 << 18, 1 << 20
 END = np.uint64(1)
 FOLDS, HELD = 7, 2
 
@@ -41,10 +41,10 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(key.cast("string"), "UTF-8")), F.lit(FOLDS)) == HELD, F.lit(False))
 
 
-def _token_slices(batch: pa.RecordBatch, column: str):
+def _token_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
     """(hashes of all tokens with each text's end, start of each text, texts) by slices of the batch."""
     data, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)))
-    for first, last in slices(offsets):
+    for first, last in slices(offsets, most):
         words, bounds = word_hashes(data, offsets[first : last + 1])
         rows = last - first
         tokens = np.full(len(words) + rows, END, np.uint64)
@@ -133,11 +133,12 @@ class Model:
 
 
 def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural log of the share that column ``at`` of each row has in the sum of exponentials; ``logits`` is overwritten."""
-    logits -= logits.max(1, keepdims=True)
+    """Natural log of the share that column ``at`` of each row has in the sum of exponentials; ``logits`` may be overwritten."""
     own = logits[np.arange(len(at)), at]
-    np.exp(logits, out=logits)
-    return own - np.log(logits.sum(1))
+    if max(logits.max(initial=0), -logits.min(initial=0)) > 60:  # exponentials could leave the range of single precision
+        top = logits.max(1, keepdims=True)
+        return own - top[:, 0] - np.log(np.exp(logits - top).sum(1))
+    return own - np.log(np.exp(logits, out=logits).sum(1))
 
 
 def contexts(numbers: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +294,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
         m = shared.value
         for batch in batches:
             parts, lists, times = [], [], []
-            for t, starts, rows in _token_slices(batch, "_text"):
+            for t, starts, rows in _token_slices(batch, "_text", SCORE_BYTES):
                 known, c, number = m.lookup(t)
                 two, one = contexts(number, starts, m.rest + 1)
                 of = np.repeat(np.arange(rows), np.diff(np.append(starts, len(t))))
