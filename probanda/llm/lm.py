@@ -245,7 +245,7 @@ def train(chunks: DataFrame, edges: np.ndarray, mass: np.ndarray) -> np.ndarray:
         p = p.copy()
         for x, c in enumerate(columns):
             p[mean["row"].to_numpy(), x] += mean[c].to_numpy() / w
-        held.unpersist()
+        held.destroy()
     return p
 
 
