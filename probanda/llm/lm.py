@@ -5,11 +5,12 @@ with their counts and vectors (a bounded table); the others of each document mee
 has to fit anywhere. The log-bilinear model predicts a word from the two before it. Each word of the table has a vector of its
 own, as context and as target; the words outside share one, and among them a word has its add-one share. Probabilities are
 normalised exactly in two steps, both batched matrix products: the class given the context, then the word within its class.
-Classes are runs of words of like frequency, and their number grows with the root of the vocabulary.
+Classes are runs of words of like frequency, and their number grows with the root of the vocabulary. Class sums are computed once
+for each context of a batch.
 
 The model learns by noise-contrastive estimation in numpy on every training token: texts become chunks of word numbers, equal
-chunks are counted, and each task goes over the chunks that a hash deals to it. Tasks return the rows that they changed, and one
-aggregation by row averages these, so neither a group nor the driver holds more than one set of parameters.
+chunks are counted, and a hash deals them to groups of bounded size, each learned by one task. Groups return the rows that they
+changed, and one aggregation by row averages these, so neither a group nor the driver holds more than one set of parameters.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .common import SLICE_BYTES, discard, most_frequent, slices, small_batches,
 FREQUENT = 131_072
 #: Size of word vectors, rounds that share out the chunks, tokens of a step, noise classes of a step, and step size.
 VECTOR, ROUNDS, STEP_ROWS, NOISE, RATE = 24, 2, 4096, 48, 0.1
-#: Tokens of a chunk, chunks that a task mixes before it takes steps, and tokens of a training task.
-CHUNK, MIXED, TASK_TOKENS = 512, 128, 1 << 22
+#: Tokens of a chunk, chunks that are mixed before steps are taken, tokens of a training group, and partitions of a round at most.
+CHUNK, MIXED, GROUP_TOKENS, PARTITIONS = 512, 128, 1 << 22, 1 << 14
+#: Classes by the root of the number of words: under 1, as the words of a text are mostly in small classes.
+CLASSES = 0.6
 #: Scores held at a time while normalising, and bytes of text that are scored at once.
 CELLS, SCORE_BYTES = 1 << 18, 1 << 20
 END = np.uint64(1)
@@ -67,12 +70,12 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def class_edges(counts: np.ndarray) -> np.ndarray:
-    """First word of each class and the end, for words in order of falling count: about the root of their number of classes, with equal
-    sums of roots of counts, so that frequent words are in small classes and no class has much over twice the mean size."""
+    """First word of each class and the end, for words in order of falling count: about CLASSES times the root of their number, with
+    equal sums of roots of counts, so that frequent words are in small classes and no class has much over twice the mean size."""
     if not len(counts):
         return np.zeros(1, np.int64)
     mass = np.sqrt(counts)
-    k = int(np.ceil(np.sqrt(len(counts))))
+    k = int(np.ceil(CLASSES * np.sqrt(len(counts))))
     of = np.floor((np.cumsum(mass) - mass / 2) * (k / mass.sum()))
     return np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(counts)]])
 
@@ -109,36 +112,48 @@ class Model:
         return known, np.where(known, self.counts[at], 0), np.where(known, self.number[at], self.rest)
 
     def log_probabilities(self, two: np.ndarray, one: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 probability of each word number after those two and one before it. Equal cases are computed once, class by class."""
-        code, back = np.unique((word << 36) | (two << 18) | one, return_inverse=True)
-        word, two, one = code >> 36, code >> 18 & 0x3FFFF, code & 0x3FFFF
+        """log10 probability of each word number after those two and one before it. Equal cases are computed once, classes once for each
+        context, words class by class."""
+        code, back = np.unique((two << 36) | (one << 18) | word, return_inverse=True)
+        new = np.diff(code >> 18, prepend=-1) != 0
+        word, context, at = code & 0x3FFFF, np.cumsum(new) - 1, code[new]
         k, base = len(self.edges) - 1, self.rest + 2
         near, far = self.p[base + k : base + k + VECTOR, :VECTOR], self.p[base + k + VECTOR :, :VECTOR]
-        h = np.ones((len(word), VECTOR + 1), np.float32)
-        h[:, :VECTOR] = self.p.take(one, axis=0)[:, :VECTOR] @ near + self.p.take(two, axis=0)[:, :VECTOR] @ far
+        h = np.ones((len(at), VECTOR + 1), np.float32)
+        h[:, :VECTOR] = self.p.take(at >> 18 & 0x3FFFF, axis=0)[:, :VECTOR] @ near + self.p.take(at >> 36, axis=0)[:, :VECTOR] @ far
         of = np.searchsorted(self.edges, word, "right") - 1
-        out = np.empty(len(word))
-        rows = max(1, CELLS // k)
-        for first in range(0, len(word), rows):
-            at = slice(first, first + rows)
-            out[at] = _log_share(h[at] @ self.p[base : base + k].T, of[at])
-        bounds = np.searchsorted(of, np.arange(k + 1))
+        out = _dots(h.take(context, axis=0), self.p.take(base + of, axis=0)) - _log_sums(h, self.p[base : base + k])[context]
+        order = np.argsort(of, kind="stable")
+        bounds = np.searchsorted(of[order], np.arange(k + 1))
         for c in np.flatnonzero(np.diff(bounds)):
             a, b = int(self.edges[c]), int(self.edges[c + 1])
-            rows = max(1, CELLS // (b - a))
-            for first in range(int(bounds[c]), int(bounds[c + 1]) if b - a > 1 else 0, rows):
-                at = slice(first, min(first + rows, int(bounds[c + 1])))
-                out[at] += _log_share(h[at] @ self.p[a:b].T, word[at] - a)
+            if b - a > 1:
+                at = order[bounds[c] : bounds[c + 1]]
+                held = h.take(context[at], axis=0)
+                out[at] += _dots(held, self.p.take(word[at], axis=0)) - _log_sums(held, self.p[a:b])
         return out[back] / np.log(10)
 
 
-def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural log of the share that column ``at`` of each row has in the sum of exponentials; ``logits`` may be overwritten."""
-    own = logits[np.arange(len(at)), at]
-    if max(logits.max(initial=0), -logits.min(initial=0)) > 60:  # exponentials could leave the range of single precision
-        top = logits.max(1, keepdims=True)
-        return own - top[:, 0] - np.log(np.exp(logits - top).sum(1))
-    return own - np.log(np.exp(logits, out=logits).sum(1))
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row."""
+    return np.einsum("ij,ij->i", a, b)
+
+
+def _log_sums(h: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Natural log of the sum of exponentials of the inner products of each row of ``h`` with all rows of ``to``, in double precision."""
+    out = np.empty(len(h))
+    rows, ones = max(1, CELLS // len(to)), np.ones(len(to), np.float32)
+    for first in range(0, len(h), rows):
+        logits = h[first : first + rows] @ to.T
+        with np.errstate(over="ignore", divide="ignore"):
+            total = np.exp(logits) @ ones
+            part = out[first : first + rows]
+            np.log(total, out=part)
+        beyond = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))  # exponentials left the range of single precision
+        if len(beyond):
+            top = logits[beyond].max(1, keepdims=True)
+            part[beyond] = top[:, 0] + np.log(np.exp(logits[beyond] - top).sum(1))
+    return out
 
 
 def contexts(numbers: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,9 +189,9 @@ def nce_step(p, sums, touched, edges, log_q, two, one, word, weight, noise, draw
     h[:, :d] = a[:, :d] @ near + b[:, :d] @ far
     shift, many = np.log(size).astype(np.float32), np.float32(np.log(len(noise)))
     inner = np.where(size > 1, weight, 0)
-    gw = (_sigmoid(np.einsum("ij,ij->i", h, t) + shift) - 1) * inner
-    go = _sigmoid(np.einsum("ij,ij->i", h, o) + shift) * inner
-    gc = (_sigmoid(np.einsum("ij,ij->i", h, c) - many - log_q[of]) - 1) * weight
+    gw = (_sigmoid(_dots(h, t) + shift) - 1) * inner
+    go = _sigmoid(_dots(h, o) + shift) * inner
+    gc = (_sigmoid(_dots(h, c) - many - log_q[of]) - 1) * weight
     gn = _sigmoid(h @ nc.T - many - log_q[noise]) * weight[:, None]
     gh = (gn @ nc + gc[:, None] * c + gw[:, None] * t + go[:, None] * o)[:, :d]
     g = np.zeros((len(rows), d + 2), np.float32)  # gradient of vector and bias, and weight
@@ -189,26 +204,32 @@ def nce_step(p, sums, touched, edges, log_q, two, one, word, weight, noise, draw
     order = np.argsort(rows)
     ids = rows[order]
     first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    ids, total = ids[first], np.add.reduceat(g[order], first, axis=0)
+    times = np.diff(first, append=len(ids))
+    at, ids, several = order[first], ids[first], times > 1
+    total = g.take(at, axis=0)  # a row that takes part once needs no sum
+    if several.any():
+        total[several] = np.add.reduceat(g.take(order[np.repeat(several, times)], axis=0), np.cumsum(times[several]) - times[several], axis=0)
     touched[ids] += total[:, d + 1]
     matrices = np.concatenate([a[:, :d].T @ gh, b[:, :d].T @ gh])
     touched[base + k :] += weight.sum()
-    for at, step in ((ids, total[:, : d + 1]), (np.arange(base + k, len(p)), np.pad(matrices, ((0, 0), (0, 1))))):
+    last = np.arange(base + k, len(p))
+    for at, before, step in ((ids, held.take(at, axis=0), total[:, : d + 1]), (last, p[last], np.pad(matrices, ((0, 0), (0, 1))))):
         total_square = sums.take(at, axis=0) + step**2
         sums[at] = total_square
-        p[at] -= RATE * step / np.sqrt(total_square)
+        p[at] = before - RATE * step / np.sqrt(total_square)
 
 
 def train(chunks: DataFrame, edges: np.ndarray, mass: np.ndarray) -> np.ndarray:
     """Parameters from (ids, n) chunks: word numbers as 32-bit integers, the first two of them context only, and how often they occur.
 
-    A hash of its contents shares out each chunk to one of ROUNDS rounds, and there to one of as many tasks as the tokens ask for, which
-    goes over its chunks in order of that hash; at the end of a round the changes of a row are averaged by the weights that went into
-    it. So the result doesn't depend on how the texts were partitioned. ``mass`` has the counts of the word numbers.
+    A hash of its contents shares out each chunk to one of ROUNDS rounds, and there to one of as many groups as the tokens ask for. A
+    group is learned in order of that hash; at the end of a round the changes of a row are averaged by the weights that went into it.
+    So the result doesn't depend on how texts or groups were partitioned, and the changes sent grow with the groups, not with the
+    partitions. ``mass`` has the counts of the word numbers.
     """
     spark, d, k, v = chunks.sparkSession, VECTOR, len(edges) - 1, int(edges[-1])
     tokens = chunks.agg(F.coalesce(F.sum(F.length("ids") / 4 - 2), F.lit(0))).first()[0]
-    tasks = max(1, -(-int(tokens) // (ROUNDS * TASK_TOKENS)))
+    groups = max(1, -(-int(tokens) // (ROUNDS * GROUP_TOKENS)))
     by_class = np.add.reduceat(mass + 1.0, edges[:-1])
     q = by_class / by_class.sum()
     log_q = np.log(q).astype(np.float32)
@@ -220,26 +241,26 @@ def train(chunks: DataFrame, edges: np.ndarray, mass: np.ndarray) -> np.ndarray:
     for turn in range(ROUNDS):
         held = spark.sparkContext.broadcast(p)
 
-        def run(batches, held=held):
-            before = held.value
+        def run(pdf):
+            before = held.value  # noqa: B023  (each round's job ends within its turn)
             p, sums, touched = before.copy(), np.full_like(before, 1e-4), np.zeros(len(before))
-            for pdf in batches:
-                for first in range(0, len(pdf), MIXED):
-                    lists = [np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["ids"].iloc[first : first + MIXED]]
-                    two, one, word = (np.concatenate([x[s : len(x) - 2 + s] for x in lists]) for s in range(3))
-                    n = np.repeat(pdf["n"].to_numpy(float)[first : first + MIXED], [len(x) - 2 for x in lists])
-                    rng = np.random.default_rng([len(word), *word[:8]])
-                    order = rng.permutation(len(word))
-                    for at in np.split(order, range(STEP_ROWS, len(order), STEP_ROWS)):
-                        weight = n[at].astype(np.float32)
-                        nce_step(p, sums, touched, edges, log_q, two[at], one[at], word[at], weight / weight.mean(), rng.choice(k, NOISE, p=q), rng.random(len(at), np.float32))
+            pdf = pdf.sort_values(["deal", "ids"])
+            for first in range(0, len(pdf), MIXED):
+                lists = [np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["ids"].iloc[first : first + MIXED]]
+                two, one, word = (np.concatenate([x[s : len(x) - 2 + s] for x in lists]) for s in range(3))
+                n = np.repeat(pdf["n"].to_numpy(float)[first : first + MIXED], [len(x) - 2 for x in lists])
+                rng = np.random.default_rng([len(word), *word[:8]])
+                order = rng.permutation(len(word))
+                for at in np.split(order, range(STEP_ROWS, len(order), STEP_ROWS)):
+                    weight = n[at].astype(np.float32)
+                    nce_step(p, sums, touched, edges, log_q, two[at], one[at], word[at], weight / weight.mean(), rng.choice(k, NOISE, p=q), rng.random(len(at), np.float32))
             ids = np.flatnonzero(touched)
             change = (p[ids] - before[ids]) * touched[ids, None]
-            yield pd.DataFrame({"row": ids, "w": touched[ids]} | {c: change[:, x].astype(np.float32) for x, c in enumerate(columns)})
+            return pd.DataFrame({"row": ids, "w": touched[ids]} | {c: change[:, x].astype(np.float32) for x, c in enumerate(columns)})
 
         dealt = chunks.withColumn("deal", F.xxhash64("ids")).where(F.pmod("deal", F.lit(ROUNDS)) == turn)
-        dealt = dealt.repartition(tasks, "deal").sortWithinPartitions("deal", "ids").select("ids", "n")
-        changed = dealt.mapInPandas(run, "row long, w double, " + ", ".join(f"{c} float" for c in columns))
+        dealt = dealt.withColumn("of", F.pmod(F.shiftright("deal", 8), F.lit(groups))).repartition(min(4 * groups, PARTITIONS), "of")
+        changed = dealt.groupBy("of").applyInPandas(run, "row long, w double, " + ", ".join(f"{c} float" for c in columns))
         mean = changed.groupBy("row").agg(F.sum("w").alias("w"), *[F.sum(c).alias(c) for c in columns]).toArrow()
         w = mean["w"].to_numpy()
         p = p.copy()
