@@ -31,8 +31,6 @@ FREQUENT = 131_072
 VECTOR, ROUNDS, STEP_ROWS, NOISE, RATE = 24, 2, 4096, 48, 0.1
 #: Tokens of a chunk, chunks that are mixed before steps are taken, tokens of a training group, and partitions of a round at most.
 CHUNK, MIXED, GROUP_TOKENS, PARTITIONS = 512, 128, 1 << 22, 1 << 14
-#: Classes by the root of the number of words: under 1, as the words of a text are mostly in small classes.
-CLASSES = 0.6
 #: Scores held at a time while normalising, and bytes of text that are scored at once.
 CELLS, SCORE_BYTES = 1 << 18, 1 << 20
 END = np.uint64(1)
@@ -70,12 +68,12 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def class_edges(counts: np.ndarray) -> np.ndarray:
-    """First word of each class and the end, for words in order of falling count: about CLASSES times the root of their number, with
-    equal sums of roots of counts, so that frequent words are in small classes and no class has much over twice the mean size."""
+    """First word of each class and the end, for words in order of falling count: about the root of their number, with equal
+    sums of roots of counts, so that frequent words are in small classes and no class has much over twice the mean size."""
     if not len(counts):
         return np.zeros(1, np.int64)
     mass = np.sqrt(counts)
-    k = int(np.ceil(CLASSES * np.sqrt(len(counts))))
+    k = int(np.ceil(np.sqrt(len(counts))))
     of = np.floor((np.cumsum(mass) - mass / 2) * (k / mass.sum()))
     return np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(counts)]])
 
