@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, common, encoding, html_text, jaccard, lm, mixing, nndescent, token_counts, toxicity, warc
+from . import audio, common, encoding, html_text, jaccard, lm, mixing, nndescent, token_counts, toxicity, transducer, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +84,16 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_audio, op3_mixing, op4_toxicity, op5_token_counts, op6_nn_descent, op7_ngram_jaccard, op8_bpe, op9_warc, op10_lm)}
+def op13_fst_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = transducer.encode(_table(spark, sf_dir, "documents"), path, pattern)
+    rows = transducer.decode(encoded, path, pattern, digest="ids_sha256")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.encode(F.col("decoded"), "UTF-8"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_audio, op3_mixing, op4_toxicity, op5_token_counts, op6_nn_descent, op7_ngram_jaccard, op8_bpe, op9_warc, op10_lm, op13_fst_bpe)}
 
 ORACLE = {
     "op3_mixing": r"""
