@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, common, encoding, html_text, jaccard, lm, mixing, nndescent, token_counts, toxicity, transducer, warc
+from . import audio, common, encoding, html_text, jaccard, lm, merkle, mixing, nndescent, token_counts, toxicity, transducer, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents")).drop("path")
+
+
 def op13_fst_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -93,7 +97,7 @@ def op13_fst_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.encode(F.col("decoded"), "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_audio, op3_mixing, op4_toxicity, op5_token_counts, op6_nn_descent, op7_ngram_jaccard, op8_bpe, op9_warc, op10_lm, op13_fst_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_audio, op3_mixing, op4_toxicity, op5_token_counts, op6_nn_descent, op7_ngram_jaccard, op8_bpe, op9_warc, op10_lm, op12_merkle, op13_fst_bpe)}
 
 ORACLE = {
     "op3_mixing": r"""
@@ -117,4 +121,38 @@ ORACLE = {
                CASE WHEN f.first < page_id THEN f.first END AS refers_to
         FROM p LEFT JOIN f ON p.digest = f.digest
     """,
+    "op12_merkle": """
+        WITH RECURSIVE r AS (
+            SELECT doc_id, source, text, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                       lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384::BIGINT * (c & 1)) END) AS c,
+                   CASE WHEN doc_id IS NULL THEN '-' ELSE length(doc_id::VARCHAR) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE octet_length(encode(source)) || ':' || source END
+                       || CASE WHEN lang IS NULL THEN '-' ELSE octet_length(encode(lang)) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE length(n_chars::VARCHAR) || ':' || n_chars END AS head,
+                   CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || text END AS body,
+                   CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS other
+            FROM documents),
+        l AS (SELECT doc_id, source, sha256(head || body) AS leaf, sha256(head || CASE WHEN doc_id IS NOT NULL AND xor(c, 4294967295) % 5 = 0 THEN other ELSE body END) AS tampered FROM r),
+        b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l),
+        t(level, source, i, n, h) AS (
+            SELECT 0::BIGINT, source, i, n, leaf FROM b
+            UNION ALL SELECT level + 1, source, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY level, source, i // 16, n),
+        s AS (SELECT source, h, level, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+        u(level, i, n, h) AS (
+            SELECT 0::BIGINT, i, n, h FROM s
+            UNION ALL SELECT level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 16, n),
+        low AS (
+            SELECT b.source, b.i, t.level, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < b.i // (16 ** t.level)::BIGINT), '') AS lefts, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > b.i // (16 ** t.level)::BIGINT), '') AS rights
+            FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source AND t.n > 1 AND t.i // 16 = b.i // (16 ** (t.level + 1))::BIGINT GROUP BY b.source, b.i, t.level),
+        high AS (
+            SELECT s.i, u.level, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < s.i // (16 ** u.level)::BIGINT), '') AS lefts, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > s.i // (16 ** u.level)::BIGINT), '') AS rights
+            FROM s JOIN u ON u.n > 1 AND u.i // 16 = s.i // (16 ** (u.level + 1))::BIGINT GROUP BY s.i, u.level),
+        lows AS (SELECT source, i, list(lefts || '|' || rights ORDER BY level) AS way FROM low GROUP BY source, i),
+        highs AS (SELECT i, list(lefts || '|' || rights ORDER BY level) AS way FROM high GROUP BY i),
+        p AS (
+            SELECT b.doc_id, b.leaf, b.tampered, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, list_concat(coalesce(lows.way, []), coalesce(highs.way, [])) AS way
+            FROM b JOIN s ON b.source IS NOT DISTINCT FROM s.source LEFT JOIN lows ON b.source IS NOT DISTINCT FROM lows.source AND b.i = lows.i LEFT JOIN highs ON s.i = highs.i),
+        f AS (
+            SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(way, ''), '|', '')) AS proof_sha256,
+                   list_reduce(list_prepend(tampered, way), lambda acc, x: sha256(split_part(x, '|', 1) || acc || split_part(x, '|', 2))) AS folded_root FROM p)
+        SELECT *, folded_root = root AS verified FROM f
+    """,
 }
