@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, common, encoding, html_text, jaccard, lm, merkle, mixing, nndescent, token_counts, toxicity, transducer, warc
+from . import audio, common, encoding, filter_audit, html_text, jaccard, lm, merkle, mixing, nndescent, token_counts, toxicity, transducer, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_texts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents")).drop("path")
 
@@ -97,7 +101,7 @@ def op13_fst_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.encode(F.col("decoded"), "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_audio, op3_mixing, op4_toxicity, op5_token_counts, op6_nn_descent, op7_ngram_jaccard, op8_bpe, op9_warc, op10_lm, op12_merkle, op13_fst_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_audio, op3_mixing, op4_toxicity, op5_token_counts, op6_nn_descent, op7_ngram_jaccard, op8_bpe, op9_warc, op10_lm, op11_filter_audit, op12_merkle, op13_fst_bpe)}
 
 ORACLE = {
     "op3_mixing": r"""
@@ -121,6 +125,32 @@ ORACLE = {
                CASE WHEN f.first < page_id THEN f.first END AS refers_to
         FROM p LEFT JOIN f ON p.digest = f.digest
     """,
+    "op11_filter_audit": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        c AS (SELECT x, min(doc_id) AS least FROM d GROUP BY x),
+        g AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+        f AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+                   {'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(d.x, '[^A-Z]', '', 'g')) > 5 * length(d.x),
+                    'D': regexp_matches(d.x, '[#$%&*|]'), 'E': coalesce(d.doc_id > least, false)} AS fails
+            FROM d JOIN c ON d.x = c.x LEFT JOIN g ON d.doc_id = g.doc_id),
+        m AS (
+            SELECT part, good, bad, (CASE WHEN fails['A'] THEN 'A' ELSE '' END) || (CASE WHEN fails['B'] THEN 'B' ELSE '' END) || (CASE WHEN fails['C'] THEN 'C' ELSE '' END)
+                   || (CASE WHEN fails['D'] THEN 'D' ELSE '' END) || (CASE WHEN fails['E'] THEN 'E' ELSE '' END) AS failed, count(*) AS n FROM f GROUP BY ALL),
+        o(filter_order) AS (
+            SELECT '' UNION ALL SELECT filter_order || l FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE length(filter_order) < 5 AND NOT contains(filter_order, l)),
+        s AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o WHERE length(filter_order) = 5),
+        p AS (
+            SELECT part, filter_order, step, filter_order[step] AS letter, n, good, bad, failed, contains(failed, filter_order[step]) AS fails_here,
+                   len(list_intersect(string_split(filter_order[1:step - 1], ''), string_split(failed, ''))) > 0 AND step > 1 AND failed <> '' AS gone FROM m, s),
+        t AS (
+            SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT gone AND NOT fails_here), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fails_here), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (gone AND fails_here), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failed = letter), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(n) FILTER (NOT gone AND fails_here AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fails_here AND bad), 0)::BIGINT AS toxic_lost
+            FROM p GROUP BY part, filter_order, step, letter)
+        SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM t
+    """,
     "op12_merkle": """
         WITH RECURSIVE r AS (
             SELECT doc_id, source, text, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
