@@ -8,7 +8,8 @@ sets are one node from the start, so copies cost nothing but their row.
 
 Tokens of a few documents give all their pairs. Among the documents of a token of many only a spanning forest of the
 candidate pairs is sent on, best pairs first; pairs that fail the count are noted, and what they leave undecided is tried
-again, so no link is lost and no large group is expanded into all its pairs. The documents of a token are dealt into blocks
+again, so no link is lost and no large group is expanded into all its pairs. A pair is made under its smallest common token alone, as far as
+documents tell theirs, so links cost no row for each token that they share. The documents of a token are dealt into blocks
 by size class, of which only neighbouring ones can link, and by a hash. Each block meets the next one of a ring first; after
 that only pairs of blocks that don't share one component already are compared.
 """
@@ -37,6 +38,10 @@ ROWS = 2500
 FEW, EACH = 24, 128
 #: Documents of one prefix token and size class that are compared in one block.
 BLOCK = 256
+#: Of so many of its smallest tokens of many each document tells the others, so that a pair is made for its smallest common token alone.
+TOLD = 16
+#: Bits of a parity map for each token of its set, at least; with four, pairs over 0.01 under the wanted similarity are told apart.
+BITS = 4
 #: The turn that compares all blocks: the first goes along rings of blocks, later ones settle what failed.
 FULL = 1
 #: Bits of a token's place among the ranked ones in its order key, below its count.
@@ -115,7 +120,7 @@ def _longs(rows: list[np.ndarray]) -> pa.Array:
 
 def parity_bits(tokens: np.ndarray) -> bytes:
     """Per bit, whether an odd number of tokens falls on it. Two such maps differ in at most as many bits as the sets in tokens."""
-    size = max(256, 1 << int(len(tokens) - 1).bit_length())
+    size = max(256, 1 << int(BITS * len(tokens) - 1).bit_length())
     odd = np.bincount((mix(tokens ^ _SEEDS[7]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -192,6 +197,12 @@ def _forest(group: pd.DataFrame, percent: int, later: bool = False) -> list[tupl
     folded = {w: np.stack([_fold(bits[k], w // 2) for k in np.flatnonzero(width == w)]) for w in plain if w // 2 in plain}
     place = {w: np.flatnonzero(width == w) for w in plain}
     failed = {k: frozenset(map(int, x)) for k, x in enumerate(group["failed"]) if x is not None and len(x)}
+    # tokens below this one that a document has; pairs that share one of them are made there
+    token = int(group["token"].iloc[0])
+    below = [x[x < token] for x in group["low"]]
+    lower = np.full((len(below), max(map(len, below), default=0)), np.iinfo(np.int64).max)
+    for k, x in enumerate(below):
+        lower[k, : len(x)] = x
     out = []
     for i in range(len(ids) - 1):
         last = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
@@ -214,6 +225,8 @@ def _forest(group: pd.DataFrame, percent: int, later: bool = False) -> list[tupl
         if split:
             fit &= own[js] != own[i]
         js = js[fit][np.argsort(-slack[fit], kind="stable")]
+        if len(below[i]) and len(js):
+            js = js[~np.isin(lower[js], below[i]).any(1)]
         if i in failed:
             js = js[~np.isin(ids[js], list(failed[i]))]
         if later:
@@ -264,7 +277,7 @@ def _filtered(pairs: DataFrame, about: DataFrame, percent: int, orders: int) ->
 
 
 def _candidates(dealt: DataFrame, percent: int, later: bool) -> DataFrame:
-    """(a, b) from rows (token, b1, b2, own, id, n, bits, component, failed) of tokens of many documents."""
+    """(a, b) from rows (token, b1, b2, own, id, n, bits, low, component, failed) of tokens of many documents."""
 
     def pair(batches):
         held = None
@@ -383,22 +396,22 @@ def _linked(docs: DataFrame, key: str, text: str, width: int, percent: int, orde
     groups = many.join(about.select("id", "n"), "id").withColumn("size", size_class).groupBy("token", "size").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_g"))
     placed = placed.join(groups, ["token", "size"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int"))
     # at first each document takes part in one token alone, so that a family of copies gives one forest and not one per token
-    once = many.groupBy(F.col("id").alias("_id")).agg(F.min("token").alias("_token"))
-    placed = placed.join(once, F.col("id") == F.col("_id")).withColumn("once", F.col("token") == F.col("_token"))
-    placed = staged(placed.select("token", "size", "own", "_g", "id", "n", "bits", "once"), "jaccard-placed")
+    least = many.groupBy(F.col("id").alias("_id")).agg(F.slice(F.array_sort(F.collect_set("token")), 1, TOLD).alias("low"))
+    placed = placed.join(least, F.col("id") == F.col("_id")).withColumn("once", F.col("token") == F.col("low")[0])
+    placed = staged(placed.select("token", "size", "own", "_g", "id", "n", "bits", "low", "once"), "jaccard-placed")
     members = staged(placed.select("id").distinct(), "jaccard-members")
     none = F.array().cast("array<long>")
 
     def facing(state: DataFrame | None, turn: int) -> DataFrame:
-        """(token, b1, b2, own, id, n, bits, component, failed): the rows of the pairs of blocks that a turn compares."""
-        names = ["token", "b1", "b2", "own", "id", "n", "bits", "component", "failed"]
+        """(token, b1, b2, own, id, n, bits, low, component, failed): the rows of the pairs of blocks that a turn compares."""
+        names = ["token", "b1", "b2", "own", "id", "n", "bits", "low", "component", "failed"]
         held = placed if turn >= FULL else placed.where("once")
         held = held.withColumn("block", F.concat_ws("/", "size", "own"))
         if not turn:
             # block k meets block k + 1 under the name of block k
             before = F.pmod(F.col("own") - F.lit(1), F.col("_g"))
             held = held.withColumn("b1", F.explode(F.when(F.col("_g") > 2, F.array("own", before)).otherwise(F.array(F.lit(0))))).withColumn("b1", F.concat_ws("/", "size", "b1"))
-            return held.select("token", "b1", F.col("b1").alias("b2"), "own", "id", "n", "bits", F.col("id").alias("component"), none.alias("failed"))
+            return held.select("token", "b1", F.col("b1").alias("b2"), "own", "id", "n", "bits", "low", F.col("id").alias("component"), none.alias("failed"))
         held = held.join(small_side(state, state.count(), 200_000), "id")
         blocks = staged(held.groupBy("token", "size", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")), "jaccard-blocks")
         x, y = (blocks.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("size", "block", "lo", "hi", "rows")]) for k in (1, 2))
