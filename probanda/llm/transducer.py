@@ -26,10 +26,10 @@ from .bpe import UNUSUAL, text_slices
 from .common import Kept, small_batches
 
 NEVER = 1 << 60
-#: Deterministic states, and pairs of tokens judged, that a worker keeps before it starts anew: about 100 MB at most.
-STATES, PAIRS = 150_000, 500_000
+#: Deterministic states, and pairs of tokens judged, that a worker keeps before it starts anew: about 150 MB at most.
+STATES, PAIRS = 250_000, 500_000
 #: Bytes of encoded pre-tokens that a worker keeps, in each of two generations; longer pre-tokens than ``Kept`` takes run again.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 48 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -149,13 +149,15 @@ class Transducer:
     def step(self, guesses: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], int]:
         """The guesses after one byte more, and the last token of what has been read so far."""
         new, whole = [], -1
+        child, judged = self.child, self.pairs
         for guess in guesses:
-            at = self.child.get((guess & self.NODE) << 8 | byte)
+            at = child.get((guess & self.NODE) << 8 | byte)
             if at is None:
                 continue
-            token = self.token[at]
-            if token >= 0 and whole < 0 and self.compatible((guess >> 20) - 1, token):
-                whole = token
+            if whole < 0 and (token := self.token[at]) >= 0:
+                held = judged.get(guess & ~self.NODE | token)
+                if self.compatible((guess >> 20) - 1, token) if held is None else held:
+                    whole = token
             if self.inner[at]:
                 new.append(guess & ~self.NODE | at)
         if whole < 0:
@@ -238,14 +240,14 @@ class Utf8:
                         out.append(held.decode())
                         held.clear()
                     continue
-                out.append("�")
+                out.append("\ufffd")
                 held.clear()
             if b < 0x80:
                 out.append(chr(b))
             elif b in self.leads:
                 held.append(b)
             else:
-                out.append("�")
+                out.append("\ufffd")
         return bytes(held), "".join(out)
 
 
@@ -287,18 +289,39 @@ class Ranked:
         """The ids of a whole text as int32 bytes, little end first."""
         return b"".join(map(self.encoded.__getitem__, self.pretokens(text)))
 
-    def decode(self, ids) -> str:
-        """Tokens drive the machine one by one; what a token does in a state is worked out once."""
-        state, out, moves = b"", [], self.moves
-        for i in ids:
-            move = moves.get((state, i))
-            if move is None:
-                move = self.utf8.step(state, self.fst.bytes_of[i])
-                if len(moves) < 500_000:
-                    moves[state, i] = move
-            state, text = move
-            out.append(text)
-        return "".join(out) + ("�" if state else "")
+    @functools.cached_property
+    def whole(self) -> tuple[list[str], np.ndarray]:
+        """The text of each token that is whole characters, by id, and which ids are such tokens."""
+        texts = [""] * (1 + max(self.fst.bytes_of, default=0))
+        clean = np.zeros(len(texts), bool)
+        for i, raw in self.fst.bytes_of.items():
+            state, text = self.utf8.step(b"", raw)
+            if not state and "\ufffd" not in text:
+                texts[i], clean[i] = text, True
+        return texts, clean
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Tokens drive the machine one by one; what a token does in a state is worked out once, and tokens of whole characters leave
+        a machine at rest at rest."""
+        texts, clean = self.whole
+        state, out, moves, at = b"", [], self.moves, 0
+        for k in [*np.flatnonzero(~clean[ids]).tolist(), len(ids)]:
+            if state and at < k:  # what comes next ends the broken sequence
+                state, text = self.utf8.step(state, self.fst.bytes_of[int(ids[at])])
+                out.append(text)
+                at += 1
+            out += map(texts.__getitem__, ids[at:k].tolist())
+            if k < len(ids):
+                i = int(ids[k])
+                move = moves.get((state, i))
+                if move is None:
+                    move = self.utf8.step(state, self.fst.bytes_of[i])
+                    if len(moves) < 500_000:
+                        moves[state, i] = move
+                state, text = move
+                out.append(text)
+                at = k + 1
+        return "".join(out) + ("\ufffd" if state else "")
 
 
 @functools.lru_cache(maxsize=1)
@@ -348,7 +371,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
             flat = column.flatten().to_numpy(zero_copy_only=False)
             ends = np.concatenate(([0], np.cumsum([x or 0 for x in pa.compute.list_value_length(column).to_pylist()]))).astype(np.int64)
             rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            more, names = [pa.array([model.decode(r.tolist()) for r in rows], pa.string())], [out]
+            more, names = [pa.array([model.decode(r) for r in rows], pa.string())], [out]
             if digest:
                 more.append(pa.array([hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows], pa.string()))
                 names.append(digest)
