@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+
 
 def normal_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
@@ -107,15 +109,48 @@ def normal_p_column(z):
     return t * F.exp(power - x * x)
 
 
+def normal_p_exact(z):
+    """Two-sided p of a column of standard normal values, to double precision, by Arrow batches; null for null."""
+    from pyspark.sql import functions as F
+
+    def p(z: pd.Series) -> pd.Series:
+        return pd.Series([None if v != v else math.erfc(abs(v) / math.sqrt(2)) for v in z], dtype=object)
+
+    return F.pandas_udf(p, "double")(z)
+
+
+def t_p_column(t, df):
+    """Two-sided p of a column of t values with ``df`` degrees of freedom, by Arrow batches; null for null and for df under 1."""
+    from pyspark.sql import functions as F
+
+    def p(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([None if v != v or not d >= 1 else 0.0 if math.isinf(v) else beta_inc(d / 2, 0.5, d / (d + v * v)) for v, d in zip(t, df, strict=True)], dtype=object)
+
+    return F.pandas_udf(p, "double")(t, df)
+
+
+def binomial_tail_column(k, n, p: float):
+    """P(X >= k) of columns k of n, 0 < p < 1: the first term from its logarithm, the others each from the one before."""
+    from pyspark.sql import functions as F
+
+    first, last = k.cast("int"), n.cast("int")
+    ones = F.when(first > 0, F.sequence(F.lit(1), first)).otherwise(F.array().cast("array<int>"))
+    log_first = F.aggregate(ones, F.lit(0.0), lambda s, i: s + F.log((last - first + i) / i)) + k * math.log(p) + (n - k) * math.log1p(-p)
+    rest = F.when(first < last, F.sequence(first, last - 1)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(log_first.cast("double").alias("term"), F.exp(log_first).alias("sum"))
+
+    def add(acc, i):
+        term = acc["term"] + F.log((last - i) / (i + 1.0)) + (math.log(p) - math.log1p(-p))
+        return F.struct(term.alias("term"), (acc["sum"] + F.exp(term)).alias("sum"))
+
+    return F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.aggregate(rest, start, add, lambda acc: acc["sum"])))
+
+
 def binomial_p_column(k, n):
     """Two-sided sign-test p of columns k of n: twice the larger side's tail, at most 1; null for no trials."""
     from pyspark.sql import functions as F
 
-    big = F.greatest(k, n - k)
-    log_factorial = lambda m: F.aggregate(F.sequence(F.lit(0), m.cast("int")), F.lit(0.0), lambda s, i: s + F.log(F.greatest(i, F.lit(1)).cast("double")))
-    one = lambda i: F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * math.log(2))
-    tail = F.aggregate(F.transform(F.sequence(big.cast("int"), n.cast("int")), one), F.lit(0.0), lambda s, p: s + p)
-    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * binomial_tail_column(F.greatest(k, n - k), n, 0.5)))
 
 
 def binomial_tail(k: int, n: int, p: float = 0.5) -> float:

@@ -44,11 +44,16 @@ def link_per_burst(cells: DataFrame, predictor: str, target: str, env: str, pair
     return out.withColumns({c: F.when(F.col("n_pairs") >= 3, F.col(c)) for c in ("r", "slope")})
 
 
-def phase_consistency(links: DataFrame, sign: int, critical: float = 1.959964, min_pairs: int = 4) -> DataFrame:
-    """Share of all bursts whose correlation has the expected sign and a Fisher z beyond ``critical``."""
-    z = F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col("r")))) * F.sqrt(F.greatest(F.col("n_pairs") - 3, F.lit(0)))
-    held = F.coalesce((F.col("r") * sign > 0) & (F.abs(z) > critical) & (F.col("n_pairs") >= min_pairs), F.lit(False))
-    return links.agg(F.count(F.lit(1)).alias("bursts"), F.count_if(held).alias("consistent"), F.avg(held.cast("double")).alias("share"), F.count_if(F.col("r") * sign > 0).alias("same_sign"), F.count("r").alias("measured")).withColumn("p", special.binomial_p_column(F.col("same_sign"), F.col("measured"))).drop("measured")
+def phase_consistency(links: DataFrame, sign: int, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
+    """(by, bursts, significant, share, p): how many of all bursts have a correlation of the expected sign that a two-sided t test finds at ``alpha``, their
+    share, and the one-sided p of so many if each were found with probability alpha / 2. Bursts without a correlation count as not found."""
+    r, n = F.col("r"), F.col("n_pairs")
+    t = r * F.sqrt(F.try_divide((n - 2).cast("double"), (1 - r) * (1 + r)))
+    p = F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(special.t_p_column(t, (n - 2).cast("double")))
+    rows = links.withColumn("_p", F.when(r.isNotNull(), p))
+    found = F.coalesce((F.col("_p") < alpha) & (r * sign > 0), F.lit(False))
+    out = rows.groupBy(*[col(b) for b in by or []]).agg(F.count(F.lit(1)).alias("bursts"), F.count_if(found).alias("significant"), F.avg(found.cast("double")).alias("share"))
+    return out.withColumn("p", F.when(F.col("bursts") > 0, special.binomial_tail_column(F.col("significant"), F.col("bursts"), alpha / 2)))
 
 
 def dynamic_partial(cells: DataFrame, mediator: str, outcome: str, env: str, arm: str = "arm_key", treatment: str = "treatment") -> DataFrame:
@@ -74,29 +79,3 @@ def fisher_z_dl_pool(rows: DataFrame, rho: str, n: str, offset: int, by: list[st
     z = F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), col(rho))))
     held = rows.where(col(rho).isNotNull() & (col(n) > offset)).withColumns({"_z": z, "_z_se": 1 / F.sqrt((col(n) - offset).cast("double"))})
     return effects.dl_pool(held, "_z", "_z_se", by).withColumn("rho", F.tanh("pooled"))
-
-
-def leak_adjudication(sibling: DataFrame, joint: DataFrame, env: str, critical: float = 1.959964, alpha: float = 0.05, least: int = 6) -> DataFrame:
-    """Per env whether a mediator separates arm and outcome by itself or only by leaking: bursts that one frame of ``dynamic_partial``
-    separates and the other doesn't, McNemar's counts b (joint only) and c (sibling only), exact one-sided p of b, and GENUINE, LEAK,
-    NO_DIFFERENCE or UNDERPOWERED (fewer than ``least`` discordant bursts)."""
-
-    def separated(df: DataFrame, name: str) -> DataFrame:
-        z = lambda r, off: F.abs(F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col(r)))) * F.sqrt(F.greatest(F.col("n") - off, F.lit(0))))
-        return df.select(env, "burst", F.coalesce((z("marginal", 3) > critical) & (z("conditional", 4) <= critical), F.lit(False)).alias(name))
-
-    both = separated(sibling, "_s").join(separated(joint, "_j"), [env, "burst"])
-    out = both.groupBy(col(env)).agg(F.count(F.lit(1)).alias("bursts"), F.count_if(F.col("_j") & ~F.col("_s")).alias("b"), F.count_if(~F.col("_j") & F.col("_s")).alias("c"))
-    n = F.col("b") + F.col("c")
-    half = special.binomial_p_column(F.col("b"), n) / 2  # of the larger side
-    p = F.when(n == 0, F.lit(None).cast("double")).when(F.col("b") >= F.col("c"), half).otherwise(1 - half)
-    verdict = F.when(n < least, "UNDERPOWERED").when((p <= alpha) & (F.col("b") > F.col("c")), "GENUINE").when((half <= alpha) & (F.col("c") > F.col("b")), "LEAK").otherwise("NO_DIFFERENCE")
-    return out.withColumn("p", p).withColumn("verdict", verdict)
-
-
-def adjacency_counts(rows: DataFrame, env: str, critical: float = 1.959964) -> DataFrame:
-    """Per env over bursts of ``dynamic_partial``: marginal edges, those that the mediator separates, and direct ones."""
-    z = lambda r, off: F.abs(F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col(r)))) * F.sqrt(F.greatest(F.col("n") - off, F.lit(0))))
-    edge = F.coalesce(z("marginal", 3) > critical, F.lit(False))
-    direct = F.coalesce(z("conditional", 4) > critical, F.lit(False))
-    return rows.groupBy(col(env)).agg(F.count(F.lit(1)).alias("bursts"), F.count_if(edge).alias("marginal_edges"), F.count_if(edge & ~direct).alias("separated"), F.count_if(edge & direct).alias("direct"))

@@ -82,17 +82,20 @@ def correlations(row) -> np.ndarray:
 
 
 def partial_from(corr: np.ndarray, i: int, j: int, given: tuple[int, ...]) -> float:
-    """Partial correlation from a correlation matrix, by the inverse of its part."""
-    at = [i, j, *given]
-    part = corr[np.ix_(at, at)]
-    if np.isnan(part).any():
+    """Partial correlation from a correlation matrix: what is left of both sides given the others; NaN where these are collinear or
+    leave nothing of a side, but for rounding."""
+    at, rest = [i, j], list(given)
+    if np.isnan(corr[np.ix_(at + rest, at + rest)]).any():
         return math.nan
-    try:
-        p = np.linalg.inv(part)
-    except np.linalg.LinAlgError:
+    left = corr[np.ix_(at, at)]
+    if rest:
+        inner, across = corr[np.ix_(rest, rest)], corr[np.ix_(at, rest)]
+        if np.linalg.eigvalsh(inner)[0] < 1e-12:
+            return math.nan
+        left = left - across @ np.linalg.solve(inner, across.T)
+    if min(left[0, 0], left[1, 1]) <= 1e-12:
         return math.nan
-    bottom = p[0, 0] * p[1, 1]
-    return float(np.clip(-p[0, 1] / math.sqrt(bottom), -1, 1)) if bottom > 0 else math.nan
+    return float(np.clip(left[0, 1] / math.sqrt(left[0, 0] * left[1, 1]), -1, 1))
 
 
 def fisher_p(rho: float, n: float, given: int = 0) -> float:
@@ -132,7 +135,7 @@ def stratified_partial_multi(cells: DataFrame, x: str, y: str, controls: list[st
 def with_fisher_p(rows: DataFrame, rho: str = "rho", n: str = "n", given: int = 0) -> DataFrame:
     """With z and two-sided p of each correlation by Fisher's transform; null where n is at most 3 + ``given``."""
     z = F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), col(rho)))) * F.sqrt((col(n) - 3 - given).cast("double"))
-    z = F.when(col(n) > 3 + given, z)
+    z = F.when((col(n) > 3 + given) & col(rho).isNotNull(), z)
     return rows.withColumn("z", z).withColumn("p", special.normal_p_column(F.col("z")))
 
 

@@ -109,12 +109,19 @@ def with_sign_p(counts: DataFrame, hits: str, trials: str) -> DataFrame:
     return counts.withColumn("p", special.binomial_p_column(F.col(hits), F.col(trials)))
 
 
-def classify_envs(cells: DataFrame, env: str, best: str, final: str, thresholds: dict[str, float], solved: float = 0.8, partial: float = 0.2) -> DataFrame:
-    """Per env: cells, mean best and final value, share of cells whose best reaches the env's threshold, and its class: solved and
-    partial from the given shares on, else unsolved; absent where there is no threshold or no finite value."""
-    least = F.create_map([F.lit(x) for kv in thresholds.items() for x in kv])[col(env)] if thresholds else F.lit(None).cast("double")
-    out = cells.groupBy(col(env).alias("env")).agg(F.count(F.lit(1)).alias("n"), F.avg(number(best)).alias("best"), F.avg(number(final)).alias("final"), F.avg((number(best) >= least).cast("double")).alias("rate"))
-    kind = F.when(F.col("rate").isNull(), "absent").when(F.col("rate") >= solved, "solved").when(F.col("rate") >= partial, "partial").otherwise("unsolved")
+def _least(thresholds: dict[str, float], env: str):
+    """The threshold of each row's env; null where it has none."""
+    return F.create_map([F.lit(x) for kv in thresholds.items() for x in kv])[col(env)] if thresholds else F.lit(None).cast("double")
+
+
+def classify_envs(cells: DataFrame, env: str, best: str, final: str, thresholds: dict[str, float], solved: float = 0.5) -> DataFrame:
+    """(env, n, best, final, best_rate, final_rate, class): means of the finite values, shares of them that reach the env's threshold (0 where there are
+    none, null without a threshold), and the class by the final share: solved from ``solved`` on, partial above 0, else unsolved; absent without a
+    threshold. Cells without an env are left out."""
+    least = _least(thresholds, env)
+    rate = lambda v: F.when(F.max(least).isNotNull(), F.coalesce(F.avg((number(v) >= least).cast("double")), F.lit(0.0)))
+    out = cells.where(col(env).isNotNull()).groupBy(col(env).alias("env")).agg(F.count(F.lit(1)).alias("n"), F.avg(number(best)).alias("best"), F.avg(number(final)).alias("final"), rate(best).alias("best_rate"), rate(final).alias("final_rate"))
+    kind = F.when(F.col("final_rate").isNull(), "absent").when(F.col("final_rate") >= solved, "solved").when(F.col("final_rate") > 0, "partial").otherwise("unsolved")
     return out.withColumn("class", kind)
 
 
@@ -133,12 +140,11 @@ def filter_to_classes(cells: DataFrame, classes: DataFrame, env: str, *wanted: s
     return cells.join(envs_in_class(classes, *wanted).select(F.col("env").alias("_env")), col(env) == F.col("_env"), "left_semi")
 
 
-def with_cell_class(cells: DataFrame, env: str, value: str, thresholds: dict[str, float], share: float = 0.95) -> DataFrame:
-    """With cell_class: missing where the value isn't finite, no_threshold where the env has none, saturated from ``share`` of the env's
-    largest value on if that is above the threshold, solved from the threshold on, else unsolved."""
-    least = F.create_map([F.lit(x) for kv in thresholds.items() for x in kv])[col(env)] if thresholds else F.lit(None).cast("double")
-    v, top = number(value), F.col("_top")
-    kind = F.when(v.isNull(), "missing").when(least.isNull(), "no_threshold").when((v >= share * top) & (v >= least), "saturated").when(v >= least, "solved").otherwise("unsolved")
+def with_cell_class(cells: DataFrame, env: str, value: str, thresholds: dict[str, float], margin: float = 1e-3) -> DataFrame:
+    """With cell_class: missing where the value isn't finite; saturated within ``margin`` of the env's largest value, whatever the threshold; else no_threshold
+    where the env has none, solved from the threshold on, or unsolved."""
+    least, v = _least(thresholds, env), number(value)
+    kind = F.when(v.isNull(), "missing").when(F.abs(v - F.col("_top")) <= margin, "saturated").when(least.isNull(), "no_threshold").when(v >= least, "solved").otherwise("unsolved")
     return with_aggregates(cells, [env], _top=F.max(number(value))).withColumn("cell_class", kind).drop("_top")
 
 

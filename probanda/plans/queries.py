@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, columns, effects, special
 from ..operators import bursts, discovery, frames, paired, ranks, regression, strata
+from ..operators import mediation as traced
 from .bridge import analysis, claim_bridge, evaluate, extent_hash
 from .contrast import Contrast
 from .panel import Panel, from_cache, to_cache
@@ -314,9 +315,22 @@ def _sign_p(k: str, n: str) -> str:
     return f"least(1.0, 2 * list_sum(list_transform(range(greatest({k}, {n} - {k}), {n} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2)))))"
 
 
-@query(f"WITH {LINKS}, h AS (SELECT *, coalesce(r > 0 AND abs(atanh(greatest(-0.999999, least(0.999999, r))) * sqrt(greatest(n - 3, 0))) > 1.959964 AND n >= 4, false) AS held FROM links), a AS (SELECT count(*) AS bursts, count(*) FILTER (WHERE held) AS consistent, avg(held::INT) AS share, count(*) FILTER (WHERE r > 0) AS same_sign, count(r) AS measured FROM h) SELECT bursts, consistent, share, same_sign, {_sign_p('same_sign', 'measured')} AS p FROM a")
+def _t_p(r: str, n: str) -> str:
+    """Two-sided p in SQL of a correlation by the t test with n - 2 degrees of freedom: the distribution's finite series, whose angle has the sine |r|."""
+    c2 = f"(1 - {r} * {r})"
+    even = f"abs({r}) * list_sum(list_transform(range(0, (({n}) // 2 - 1)::INT), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * {c2} ** j))"
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * sqrt({c2}) * coalesce(list_sum(list_transform(range(0, (({n} - 3) // 2)::INT), lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 * {c2} ** j)), 0))"
+    return f"CASE WHEN {r} IS NULL OR {n} < 3 THEN NULL WHEN abs({r}) >= 1 THEN 0 WHEN ({n}) % 2 = 0 THEN 1 - ({even}) ELSE 1 - ({odd}) END"
+
+
+def _tail(k: str, n: str, p: str) -> str:
+    """P(X >= k) of k of n in SQL."""
+    return f"least(1.0, list_sum(list_transform(range({k}, {n} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p})))))"
+
+
+@query(f"WITH {LINKS}, p AS (SELECT *, {_t_p('r', 'n')} AS p FROM links), h AS (SELECT event_type, coalesce(p < 0.05 AND r < 0, false) AS held FROM p), a AS (SELECT event_type, count(*) AS bursts, count(*) FILTER (WHERE held) AS significant, avg(held::INT) AS share FROM h GROUP BY event_type) SELECT event_type, bursts, significant, share, round({_tail('significant', 'bursts', '0.025')}, 8) AS p FROM a")
 def phase_link_consistency(spark, d):
-    return bursts.phase_consistency(_linked(spark, d), 1)
+    return bursts.phase_consistency(_linked(spark, d), -1, by=["event_type"]).withColumn("p", F.round("p", 8))
 
 
 def _dynamic(spark, d):
@@ -329,22 +343,107 @@ def dynamic_partial_spearman(spark, d):
     return _dynamic(spark, d).withColumn("burst", F.col("burst").cast("long"))
 
 
-@query(f"""WITH {DYNAMIC}, z AS (SELECT event_type, abs(atanh(marginal) * sqrt(n - 3)) > 1.959964 AS edge, abs(atanh(conditional) * sqrt(n - 4)) > 1.959964 AS direct FROM dynamic)
-    SELECT event_type, count(*) AS bursts, count(*) FILTER (WHERE edge) AS marginal_edges, count(*) FILTER (WHERE edge AND NOT direct) AS separated, count(*) FILTER (WHERE edge AND direct) AS direct FROM z GROUP BY event_type""")
-def dynamic_pc_adjacency(spark, d):
-    return bursts.adjacency_counts(_dynamic(spark, d), "event_type")
-
-
 @query(f"WITH {DYNAMIC} SELECT event_type, burst, n, marginal, conditional, 'ok' AS status FROM dynamic")
 def dynamic_partial_spearman_multi(spark, d):
     cells = burst_cells(spark, d).withColumn("s", arrays.by_burst(F.col("x"), 4, arrays.std))
     return bursts.dynamic_partial_multi(cells, ["s"], "m", "event_type").withColumn("burst", F.col("burst").cast("long"))
 
 
-@query(f"""WITH {DYNAMIC}, z AS (SELECT event_type, coalesce(abs(atanh(marginal) * sqrt(n - 3)) > 1.959964 AND abs(atanh(conditional) * sqrt(n - 4)) <= 1.959964, false) AS s FROM dynamic)
-    SELECT event_type, count(*) AS bursts, 0::BIGINT AS b, 0::BIGINT AS c, NULL::DOUBLE AS p, 'UNDERPOWERED' AS verdict FROM z GROUP BY event_type""")
+def traced_cells(spark, d, coarse=40):
+    """One cell per user and type: the series as outcome per burst, two mediators that are the outcome in coarse and in fine steps, and the arm by the mean."""
+    cells = event_cells(spark, d).withColumn("arm_key", F.when(arrays.mean(F.col("x")) > 50, "treatment").otherwise("baseline"))
+    step = lambda size: F.transform("x", lambda v: F.floor(v / size).cast("double"))
+    return cells.withColumn("coarse", step(coarse)).withColumn("fine", step(5))
+
+
+def _traced(replicates: int, least: int, coarse: int = 40) -> str:
+    """SQL: per type, burst and replicate the weighted rank correlations of arm, outcome and both mediators."""
+    steps = ", ".join(map(str, traced.poisson_steps()))
+    rank = lambda v: f"sum(k) OVER (PARTITION BY event_type, burst, r ORDER BY {v}) - (sum(k) OVER (PARTITION BY event_type, burst, r, {v}) - 1) / 2.0 AS {v}"
+    corr = lambda x, y: f"CASE WHEN vx{x} > 1e-9 AND vx{y} > 1e-9 THEN greatest(-1, least(1, (s{x}{y} - s{x} * s{y} / n) / sqrt(vx{x} * vx{y}))) END AS {x}{y}"
+    pairs = [("a", "o"), ("a", "c"), ("a", "f"), ("o", "c"), ("o", "f"), ("c", "f")]
+    given = lambda xy, xz, yz: f"CASE WHEN 1 - {xz} * {xz} > 1e-12 AND 1 - {yz} * {yz} > 1e-12 THEN ({xy} - {xz} * {yz}) / sqrt((1 - {xz} * {xz}) * (1 - {yz} * {yz})) END"
+    return SERIES + f""", cells AS (SELECT user_id, event_type, x, CASE WHEN list_avg(x) > 50 THEN 1 ELSE 0 END AS a FROM series),
+    t AS (SELECT user_id, event_type, i AS burst, a, x[i + 1] AS o, floor(x[i + 1] / {coarse}) AS c, floor(x[i + 1] / 5) AS f FROM (SELECT *, unnest(range(len(x))) AS i FROM cells)),
+    u AS (SELECT user_id, r, ('0x' || substr(md5('42:' || user_id || ':' || (r - 1) // 4), ((r - 1) % 4 * 8 + 1)::INT, 8))::BIGINT AS u FROM (SELECT DISTINCT user_id FROM t), (SELECT unnest(range(1, {replicates + 1})) AS r)),
+    w AS (SELECT user_id, r, len(list_filter([{steps}], lambda s: s <= u)) AS k FROM u UNION ALL SELECT DISTINCT user_id, 0, 1 FROM t),
+    k AS (SELECT event_type, burst, r, k, a, o, c, f FROM t JOIN w USING (user_id) WHERE k > 0),
+    q AS (SELECT event_type, burst, r, k::DOUBLE AS k, {', '.join(map(rank, 'aocf'))} FROM k),
+    s AS (SELECT event_type, burst, r, sum(k)::BIGINT AS n, {', '.join(f'sum(k * {v}) AS s{v}, sum(k * {v} * {v}) - sum(k * {v}) ** 2 / sum(k) AS vx{v}' for v in 'aocf')}, {', '.join(f'sum(k * {x} * {y}) AS s{x}{y}' for x, y in pairs)} FROM q GROUP BY event_type, burst, r),
+    m AS (SELECT event_type, burst, r, n, {', '.join(corr(x, y) for x, y in pairs)} FROM s WHERE n >= {least}),
+    m1 AS (SELECT *, {given('ao', 'ac', 'oc')} AS ao_c, {given('af', 'ac', 'cf')} AS af_c, {given('of', 'oc', 'cf')} AS of_c FROM m),
+    tr AS (SELECT s.event_type, s.burst, s.r, s.n, ao AS marginal, CASE WHEN s.n > 4 THEN ao_c END AS given_coarse, CASE WHEN s.n > 5 THEN {given('ao_c', 'af_c', 'of_c')} END AS given_both FROM s LEFT JOIN m1 USING (event_type, burst, r))"""
+
+
+def _pooled(rho: str, offset: int, name: str) -> str:
+    """SQL: per type and replicate the correlations over the bursts pooled by DerSimonian-Laird on Fisher's z."""
+    z = f"atanh(greatest(-0.999999, least(0.999999, {rho})))"
+    return f"""{name}0 AS (SELECT event_type, r, {z} AS z, (n - {offset})::DOUBLE AS w FROM tr WHERE {rho} IS NOT NULL AND n > {offset}),
+    {name}1 AS (SELECT event_type, r, count(*) AS k, sum(w) AS sw, sum(w * w) AS sw2, sum(w * z) / sum(w) AS fixed FROM {name}0 GROUP BY event_type, r),
+    {name}2 AS (SELECT event_type, r, k, fixed, sw, sw2, sum(w * (z - fixed) ** 2) AS q FROM {name}0 JOIN {name}1 USING (event_type, r) GROUP BY ALL),
+    {name}3 AS (SELECT event_type, r, k, fixed, q, CASE WHEN k >= 2 THEN greatest(0, (q - (k - 1)) / (sw - sw2 / sw)) END AS tau2 FROM {name}2),
+    {name} AS (SELECT event_type, r, k, tanh(fixed) AS fixed, tau2, CASE WHEN k >= 2 THEN greatest(0, (q - (k - 1)) / q) END AS i2, CASE WHEN k >= 2 THEN tanh(sum(z / (1 / w + tau2)) / sum(1 / (1 / w + tau2))) END AS dl
+        FROM {name}0 JOIN {name}3 USING (event_type, r) GROUP BY event_type, r, k, fixed, tau2, q)"""
+
+
+STATUS = """st AS (SELECT event_type, CASE WHEN count(marginal) = 0 THEN 'UNDERPOWERED_BURSTS' WHEN bool_or(marginal >= 0.05) AND bool_or(marginal <= -0.05) THEN 'SIGN_FLIP_DETECTED'
+    WHEN max(abs(marginal)) FILTER (WHERE abs(marginal) >= 0.05) > 2 * min(abs(marginal)) FILTER (WHERE abs(marginal) >= 0.05) THEN 'WEAK_TIME_VARYING' ELSE 'CONSISTENT_DIRECTION' END AS status FROM tr WHERE r = 0 GROUP BY event_type)"""
+MEDIATION = f"""WITH {{traced}}, {_pooled('marginal', 3, 'pm')}, {{pooled}}, {STATUS},
+    x AS (SELECT event_type, max(CASE WHEN r = 0 THEN k END) AS marginal_bursts, max(CASE WHEN r = 0 THEN fixed END) AS fm, max(CASE WHEN r = 0 THEN dl END) AS marginal_dl, max(CASE WHEN r = 0 THEN tau2 END) AS marginal_tau2, max(CASE WHEN r = 0 THEN i2 END) AS marginal_i2,
+        quantile_cont(CASE WHEN r > 0 THEN dl END, [0.025, 0.5, 0.975]) AS qm FROM pm GROUP BY event_type),
+    y AS (SELECT event_type, max(CASE WHEN r = 0 THEN k END) AS partial_bursts, max(CASE WHEN r = 0 THEN fixed END) AS fp, max(CASE WHEN r = 0 THEN dl END) AS partial_dl, max(CASE WHEN r = 0 THEN tau2 END) AS partial_tau2, max(CASE WHEN r = 0 THEN i2 END) AS partial_i2,
+        quantile_cont(CASE WHEN r > 0 THEN dl END, [0.025, 0.5, 0.975]) AS qp FROM pp GROUP BY event_type)
+    SELECT event_type, status, round(CASE WHEN status <> 'SIGN_FLIP_DETECTED' THEN fm END, 6) AS rho_marginal, round(CASE WHEN status <> 'SIGN_FLIP_DETECTED' THEN fp END, 6) AS rho_partial, marginal_bursts, round(marginal_dl, 6) AS marginal_dl, round(marginal_tau2, 6) AS marginal_tau2, round(marginal_i2, 6) AS marginal_i2,
+        coalesce(partial_bursts, 0) AS partial_bursts, round(partial_dl, 6) AS partial_dl, round(partial_tau2, 6) AS partial_tau2, round(partial_i2, 6) AS partial_i2, round(qm[1], 6) AS marginal_lower, round(qm[2], 6) AS marginal_median, round(qm[3], 6) AS marginal_upper, round(qp[1], 6) AS partial_lower, round(qp[2], 6) AS partial_median, round(qp[3], 6) AS partial_upper
+    FROM st JOIN x USING (event_type) LEFT JOIN y USING (event_type)"""
+
+
+@query(MEDIATION.format(traced=_traced(60, 5), pooled=_pooled("given_coarse", 4, "pp")))
+def dynamic_mediation_interval(spark, d):
+    return _rounded(_whole(traced.mediation(traced_cells(spark, d), ["coarse"], "x", ["event_type"], "user_id", replicates=60)))
+
+
+@query(MEDIATION.format(traced=_traced(20, 5), pooled=_pooled("given_both", 5, "pp")))
+def dynamic_mediation_joint(spark, d):
+    return _rounded(_whole(traced.mediation(traced_cells(spark, d), ["coarse", "fine"], "x", ["event_type"], "user_id", replicates=20)))
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    """Counts of array elements as long."""
+    return df.select(*[columns.col(n).cast("long").alias(n) if t == "int" else columns.col(n) for n, t in df.dtypes])
+
+
+def _edges(given: str, mediators: int) -> str:
+    """SQL: edges of the traced bursts given a set of mediators."""
+    return f"""e AS (SELECT *, {_t_p('marginal', 'n')} AS p_marginal, CASE WHEN n > {3 + mediators} AND {given} IS NOT NULL THEN abs(atanh(greatest(-0.999999, least(0.999999, {given})))) * sqrt(n - {3 + mediators}) END AS z FROM tr),
+    ed AS (SELECT event_type, burst, r, coalesce(p_marginal < 0.05, false) AS edge, coalesce(z > 1.959963984540054, false) AS linked FROM e)"""
+
+
+@query(f"WITH {_traced(0, 8)}, {_edges('given_coarse', 1)} SELECT event_type, count(*) AS bursts, count(*) FILTER (WHERE edge) AS marginal_edges, count(*) FILTER (WHERE edge AND NOT linked) AS separated, count(*) FILTER (WHERE edge AND linked) AS direct FROM ed GROUP BY event_type")
+def dynamic_pc_adjacency(spark, d):
+    return traced.edge_counts(traced_cells(spark, d), ["coarse"], "x", ["event_type"], "user_id", min_n=8).select("event_type", "bursts", "marginal_edges", "separated", "direct")
+
+
+@query(f"""WITH {_traced(40, 8)}, {_edges('given_coarse', 1)}, n AS (SELECT event_type, r, count(*) FILTER (WHERE edge) AS m, count(*) FILTER (WHERE edge AND NOT linked) AS s, count(*) FILTER (WHERE edge AND linked) AS d FROM ed GROUP BY event_type, r),
+    iv AS (SELECT event_type, quantile_cont(m, [0.025, 0.5, 0.975]) AS m, quantile_cont(s, [0.025, 0.5, 0.975]) AS s, quantile_cont(d, [0.025, 0.5, 0.975]) AS d FROM n WHERE r > 0 GROUP BY event_type)
+    SELECT event_type, {', '.join(f'round_even({c}[{i}], 0)::BIGINT AS {n}_{b}' for c, n in (('m', 'marginal_edges'), ('s', 'separated'), ('d', 'direct')) for i, b in ((1, 'lower'), (2, 'median'), (3, 'upper')))} FROM iv""")
+def dynamic_edge_intervals(spark, d):
+    out = traced.edge_counts(traced_cells(spark, d), ["coarse"], "x", ["event_type"], "user_id", min_n=8, replicates=40)
+    return out.drop("bursts", "marginal_edges", "separated", "direct")
+
+
+def _leak(mediator: str, edges_joint: str) -> str:
+    return f"""SELECT '{mediator}' AS mediator, event_type, count(*) FILTER (WHERE n >= 8 AND edge) AS edges, count(*) FILTER (WHERE n >= 8 AND edge AND sib) AS ns, count(*) FILTER (WHERE n >= 8 AND edge AND {edges_joint}) AS nj,
+        count(*) FILTER (WHERE n >= 8 AND edge AND {edges_joint} AND NOT sib) AS b, count(*) FILTER (WHERE n >= 8 AND edge AND sib AND NOT {edges_joint}) AS c FROM k2 GROUP BY event_type"""
+
+
+@query(f"""WITH {_traced(0, 8, 150)}, k1 AS (SELECT *, coalesce({_t_p('marginal', 'n')} < 0.05, false) AS edge, coalesce(abs(atanh(given_coarse)) * sqrt(n - 4) > 1.959963984540054, false) AS dc, coalesce(abs(atanh(given_both)) * sqrt(n - 5) > 1.959963984540054, false) AS db FROM tr), k2 AS (SELECT *, edge AND NOT dc AS sib, edge AND NOT db AS both_sep FROM k1), l AS ({_leak('fine', 'both_sep')})
+    SELECT mediator, event_type, edges AS marginal_edges, CASE WHEN edges >= 3 THEN round(100.0 * ns / edges, 6) END AS separated_siblings, CASE WHEN edges >= 3 THEN round(100.0 * nj / edges, 6) END AS separated_joint, CASE WHEN edges >= 3 THEN b ELSE 0 END AS b, CASE WHEN edges >= 3 THEN c ELSE 0 END AS c,
+        CASE WHEN edges >= 3 AND b + c > 0 THEN round((b - c - sign(b - c)) / sqrt(b + c), 6) END AS z, CASE WHEN edges >= 3 AND b + c > 0 THEN round({_tail('b', '(b + c)', '0.5')}, 8) END AS p,
+        CASE WHEN edges < 3 THEN 'UNDERPOWERED' WHEN b + c < 5 THEN 'UNDERPOWERED_FOR_GENUINE' WHEN {_tail('b', '(b + c)', '0.5')} <= 0.04947146803364814 THEN 'GENUINE' ELSE 'LEAK' END AS disposition FROM l""")
 def mediator_leak_adjudication(spark, d):
-    return bursts.leak_adjudication(_dynamic(spark, d), _dynamic(spark, d), "event_type")
+    out = traced.leak_adjudication(traced_cells(spark, d, 150), "fine", ["coarse"], "x", ["event_type"], "user_id")
+    return _rounded(out.select(F.lit("fine").alias("mediator"), "*").withColumn("p", F.round("p", 8)), 8).withColumns({c: F.round(c, 6) for c in ("z", "separated_siblings", "separated_joint")})
 
 
 @query(f"WITH {CELLS}, k AS (SELECT env_name FROM cells GROUP BY env_name HAVING avg(balance) > 4400) SELECT env_name, count(*) AS n FROM cells WHERE env_name IN (SELECT env_name FROM k) GROUP BY env_name")
@@ -629,18 +728,21 @@ def paired_continuous_do(spark, d):
     return spark.createDataFrame([(float(f.coefficients[1]), float(f.coefficients[0]), f.n)], "slope double, intercept double, n long")
 
 
-@query(f"""WITH {CELLS}, e AS (SELECT env_name AS env, count(*) AS n, avg(source) AS best, avg(balance) AS final, avg(CASE WHEN env_name = 'BUILDING' THEN NULL WHEN source >= 150000 THEN 1.0 ELSE 0.0 END) AS rate FROM cells GROUP BY env_name)
-    SELECT *, CASE WHEN rate IS NULL THEN 'absent' WHEN rate >= 0.5 THEN 'solved' WHEN rate >= 0.2 THEN 'partial' ELSE 'unsolved' END AS class FROM e""")
+#: Thresholds that reach every class of env; BUILDING has none.
+LEVELS = {"AUTOMOBILE": 100_000.0, "FURNITURE": 300_000.0, "HOUSEHOLD": 1e9, "MACHINERY": 150_000.0}
+LEVEL = "CASE env_name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LEVELS.items()) + " END"
+
+
+@query(f"""WITH {CELLS}, e AS (SELECT env_name AS env, count(*) AS n, avg(balance) AS best, avg(source) AS final, avg(CASE WHEN {LEVEL} IS NOT NULL THEN (balance >= {LEVEL})::INT END) AS best_rate, avg(CASE WHEN {LEVEL} IS NOT NULL THEN (source >= {LEVEL})::INT END) AS final_rate FROM cells GROUP BY env_name)
+    SELECT *, CASE WHEN final_rate IS NULL THEN 'absent' WHEN final_rate >= 0.5 THEN 'solved' WHEN final_rate > 0 THEN 'partial' ELSE 'unsolved' END AS class FROM e""")
 def classify_envs(spark, d):
-    levels = dict.fromkeys(("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY"), 150_000.0)
-    return strata.classify_envs(order_cells(spark, d), "env_name", "source", "balance", levels, solved=0.5)
+    return strata.classify_envs(order_cells(spark, d), "env_name", "balance", "source", LEVELS)
 
 
-@query(f"""WITH {CELLS}, t AS (SELECT env_name, max(source) AS top FROM cells GROUP BY env_name), c AS (SELECT cells.env_name, CASE WHEN source IS NULL THEN 'missing' WHEN cells.env_name = 'BUILDING' THEN 'no_threshold' WHEN source >= 0.95 * top AND source >= 150000 THEN 'saturated' WHEN source >= 150000 THEN 'solved' ELSE 'unsolved' END AS cell_class FROM cells JOIN t USING (env_name))
+@query(f"""WITH {CELLS}, t AS (SELECT env_name, max(source) AS top FROM cells GROUP BY env_name), c AS (SELECT cells.env_name, CASE WHEN source IS NULL THEN 'missing' WHEN top - source <= 0.001 THEN 'saturated' WHEN cells.env_name = 'BUILDING' THEN 'no_threshold' WHEN source >= {LEVEL.replace('env_name', 'cells.env_name')} THEN 'solved' ELSE 'unsolved' END AS cell_class FROM cells JOIN t USING (env_name))
     SELECT env_name, cell_class, count(*) AS n FROM c GROUP BY env_name, cell_class""")
 def cell_classes(spark, d):
-    levels = dict.fromkeys(("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY"), 150_000.0)
-    return strata.with_cell_class(order_cells(spark, d), "env_name", "source", levels).groupBy("env_name", "cell_class").agg(F.count(F.lit(1)).alias("n"))
+    return strata.with_cell_class(order_cells(spark, d), "env_name", "source", LEVELS).groupBy("env_name", "cell_class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {CELLS} SELECT env_name, avg(source) AS source, avg(balance) AS balance FROM cells GROUP BY env_name")

@@ -116,12 +116,3 @@ def test_metric_hashes_see_what_is_captured():
 
     assert panel.Metric("m", (), made(1)).hash() != panel.Metric("m", (), made(2)).hash()
     assert panel.Metric("m", (), made(1)).hash() == panel.Metric("m", (), made(1)).hash()
-
-
-def test_classes_of_cells_and_envs(spark):
-    cells = spark.createDataFrame([("a", 10.0), ("a", 9.9), ("a", 6.0), ("a", 1.0), ("a", None), ("b", 3.0)], "env string, v double")
-    got = [r.cell_class for r in strata.with_cell_class(cells, "env", "v", {"a": 5.0}).orderBy("env", F.desc_nulls_last("v")).collect()]
-    assert got == ["saturated", "saturated", "solved", "unsolved", "missing", "no_threshold"]
-    classes = strata.classify_envs(cells, "env", "v", "v", {"a": 5.0}, solved=0.7)
-    assert {r["env"]: r["class"] for r in classes.collect()} == {"a": "solved", "b": "absent"}
-    assert strata.filter_to_classes(cells, classes, "env", "solved").count() == 5
