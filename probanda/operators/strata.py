@@ -95,15 +95,6 @@ def probability_of_improvement(cells: DataFrame, source: str, by: list[str], arm
     return out.withColumn("p", F.try_divide("u", (F.col("n_t") * F.col("n_b")).cast("double")))
 
 
-def mean_improvement(strata: DataFrame, most: int = 10_000, seed: int = 42) -> dict:
-    """Mean over strata of the probability of improvement, and its p by flips of the signs of p - 1/2. The driver gets one number per
-    stratum; ValueError over ``most`` strata."""
-    values = [r["p"] for r in strata.where("p is not null").select("p").limit(most + 1).collect()]
-    if len(values) > most:
-        raise ValueError(f"over {most} strata")
-    return {"strata": len(values), "mean": sum(values) / len(values) if values else float("nan"), "p": special.sign_permutation_p([v - 0.5 for v in values], seed=seed)}
-
-
 def with_sign_p(counts: DataFrame, hits: str, trials: str) -> DataFrame:
     """With the two-sided sign-test p of ``hits`` in ``trials``."""
     return counts.withColumn("p", special.binomial_p_column(F.col(hits), F.col(trials)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, columns, effects, special
-from ..operators import bursts, discovery, frames, paired, ranks, regression, strata
+from ..operators import bursts, discovery, frames, improvement, paired, ranks, regression, strata
 from ..operators import mediation as traced
 from .bridge import analysis, claim_bridge, evaluate, extent_hash
 from .contrast import Contrast
@@ -645,11 +645,31 @@ IMPROVEMENT = CELLS + """, c AS (SELECT env_name, source AS v, count(*) FILTER (
     w AS (SELECT *, t * (coalesce(sum(b) OVER (PARTITION BY env_name ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + b / 2.0) AS won FROM c), poi AS (SELECT env_name, (sum(won) / (sum(t) * sum(b)))::DOUBLE AS p FROM w GROUP BY env_name)"""
 
 
+def _improved(floor: int, count: int) -> str:
+    """SQL: the probability of improvement of each stratum with enough cells, for the sample and its resamples by order."""
+    steps = ", ".join(map(str, traced.poisson_steps()))
+    return CELLS + f""", arms AS (SELECT env_name, seed, id, source AS v, arm_key = 'treatment' AS t FROM cells WHERE arm_key IN ('treatment', 'baseline')),
+    e AS (SELECT env_name, seed FROM arms GROUP BY env_name, seed HAVING count(*) FILTER (WHERE t) >= {floor} AND count(*) FILTER (WHERE NOT t) >= {floor}), h AS (SELECT arms.* FROM arms JOIN e USING (env_name, seed)),
+    w AS (SELECT h.*, r, len(list_filter([{steps}], lambda s: s <= ('0x' || substr(md5('42:' || id || ':' || (r - 1) // 4), ((r - 1) % 4 * 8 + 1)::INT, 8))::BIGINT)) AS k FROM h, (SELECT unnest(range(1, {count + 1})) AS r) UNION ALL SELECT *, 0, 1 FROM h),
+    c AS (SELECT env_name, seed, r, v, coalesce(sum(k) FILTER (WHERE t), 0) AS nt, coalesce(sum(k) FILTER (WHERE NOT t), 0) AS nb FROM w GROUP BY env_name, seed, r, v),
+    o AS (SELECT *, nt * (coalesce(sum(nb) OVER (PARTITION BY env_name, seed, r ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + nb / 2.0::DOUBLE) AS won FROM c),
+    poi AS (SELECT env_name, seed, r, CASE WHEN sum(nt) * sum(nb) > 0 THEN sum(won) / (sum(nt) * sum(nb)) END AS p FROM o GROUP BY env_name, seed, r)"""
+
+
 @query(f"""WITH {IMPROVEMENT}, x AS (SELECT p - 0.5 AS x, row_number() OVER (ORDER BY env_name) - 1 AS i FROM poi), n AS (SELECT count(*) AS n, sum(x) AS s FROM x), f AS (SELECT unnest(range(1 << (SELECT n FROM n)::INT)) AS m),
-    g AS (SELECT m, sum(CASE WHEN (m >> i::INT) & 1 = 1 THEN -x ELSE x END) AS s FROM f, x GROUP BY m) SELECT (SELECT count(*) FROM poi) AS strata, (SELECT avg(p) FROM poi) AS mean, avg(CASE WHEN abs(g.s) >= abs(n.s) - 1e-12 THEN 1.0 ELSE 0.0 END) AS p FROM g, n""")
+    g AS (SELECT m, sum(CASE WHEN (m >> i::INT) & 1 = 1 THEN -x ELSE x END) AS s FROM f, x GROUP BY m) SELECT (SELECT count(*) FROM poi) AS strata, (SELECT round(avg(p), 10) FROM poi) AS mean, avg(CASE WHEN g.s >= n.s - 1e-12 THEN 1.0::DOUBLE ELSE 0.0 END) AS p, 1::BIGINT << (SELECT n FROM n) AS flips, true AS exact FROM g, n""")
 def cross_env_probability_of_improvement(spark, d):
-    m = strata.mean_improvement(strata.probability_of_improvement(order_cells(spark, d), "source", ["env_name"]))
-    return spark.createDataFrame([tuple(m.values())], "strata long, mean double, p double")
+    out = improvement.mean_improvement(order_cells(spark, d), "source", ["env_name"], "id", count=0)
+    return out.select("strata", F.round("mean", 10).alias("mean"), "p", "flips", "exact")
+
+
+@query(f"""WITH {_improved(5, 60)}, m AS (SELECT r, avg(p) AS mean, count(p) AS strata FROM poi GROUP BY r), d AS (SELECT '{{"env_name":"' || env_name || '","seed":' || seed || '}}' AS k, p - 0.5 AS d FROM poi WHERE r = 0),
+    f AS (SELECT m, sum(CASE WHEN substr(md5('42:' || k || ':' || m), 1, 1) < '8' THEN d ELSE -d END) AS s FROM d, (SELECT unnest(range(2000)) AS m) GROUP BY m)
+    SELECT (SELECT strata FROM m WHERE r = 0) AS strata, (SELECT round(mean, 10) FROM m WHERE r = 0) AS mean, round(quantile_cont(mean, 0.025), 10) AS lower, round(quantile_cont(mean, 0.975), 10) AS upper,
+        (SELECT avg((s >= (SELECT sum(d) FROM d) - 1e-12)::INT) FROM f) AS p, 2000::BIGINT AS flips, false AS exact FROM m WHERE r > 0""")
+def improvement_interval(spark, d):
+    out = improvement.mean_improvement(order_cells(spark, d), "source", ["env_name", "seed"], "id", count=60, draws=2000)
+    return out.withColumns({c: F.round(c, 10) for c in ("mean", "lower", "upper")})
 
 
 @query(f"WITH {RANKS}, zs AS (SELECT atanh(xy) AS z, 1 / sqrt(n - 3) AS z_se FROM c), pool AS (SELECT * FROM (" + "WITH dummy AS (SELECT 1)" + POOL.format(y="z", s="z_se", t="zs").replace("round(", "(").replace(", 6)", ")").replace(", 8)", ")") + ")) SELECT k, q, tau2, pooled, pooled_se, tanh(pooled) AS rho FROM pool")
