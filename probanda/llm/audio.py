@@ -13,7 +13,7 @@ import wave
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,17 +104,17 @@ def fingerprints(recordings: DataFrame, audio: str, key: str, decode: Callable[[
     """(``key``, seconds, codes): codes are the fingerprint's integers as bytes. Null audio has none and 0 seconds."""
 
     def run(batches):
-        for pdf in batches:
-            for first in range(0, len(pdf), CHUNK):
-                some, seconds, codes = pdf.iloc[first : first + CHUNK], [], []
-                for x in some["_audio"]:  # one recording's samples at a time
-                    samples = decode(x) if x is not None else np.empty(0, np.float32)
+        for batch in batches:
+            for first in range(0, batch.num_rows, CHUNK):
+                some, seconds, codes = batch.slice(first, CHUNK), [], []
+                for x in some.column(1):  # one recording's samples at a time
+                    samples = decode(x.as_py()) if x.is_valid else np.empty(0, np.float32)
                     seconds.append(len(samples) / RATE)
                     codes.append(fingerprint(samples).tobytes())
-                yield pd.DataFrame({key: some[key].to_numpy(), "seconds": seconds, "codes": codes})
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(seconds, pa.float64()), pa.array(codes, pa.binary())], names=[key, "seconds", "codes"])
 
     held = recordings.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{audio}`").alias("_audio"))
-    return held.mapInPandas(run, f"`{key}` long, seconds double, codes binary")
+    return held.mapInArrow(run, f"`{key}` long, seconds double, codes binary")
 
 
 def aligned(query: np.ndarray, rows: list[np.ndarray]) -> list[tuple[float, int, int] | None]:
@@ -152,19 +152,28 @@ def _integers(codes: Column) -> Column:
     return F.transform(at, lambda k: F.conv(F.concat(part(k, 3), part(k, 2), part(k, 1), part(k, 0)), 16, 10).cast("long"))
 
 
+def _runs(steps: Column) -> Column:
+    """array<struct<place, code, n>>: the runs of equal integers, by their first place and length."""
+    firsts = F.filter(F.sequence(F.lit(0), F.size(steps) - 1), lambda k: (k == 0) | (F.get(steps, k) != F.get(steps, k - 1)))
+    ends = F.concat(F.slice(firsts, 2, F.size(firsts)), F.array(F.size(steps)))
+    return F.zip_with(firsts, ends, lambda a, b: F.struct(a.alias("place"), F.get(steps, a).alias("code"), (b - a).alias("n")))
+
+
 def match(prints: DataFrame, key: str, queries: Column) -> DataFrame:
     """Every recording against the stated queries by an index of their integers: class_id (smallest key with the same fingerprint), and
     of a query of another class that aligns its class, the offset in steps, the equal integers and the share of unequal bits. A
-    recording has one row for each such class, and one with nulls where none aligns. Equal integers are joined, offsets of pairs are
+    recording has one row for each such class, and one with nulls where none aligns. Runs of equal integers are joined, offsets of pairs are
     counted before and after their shuffle, and bit errors are measured at each offset of VOTES or more, so no link is lost. Equal
     fingerprints are compared once. Recordings without a fingerprint match nothing and are classes of their own; repeated rows each
     give their rows; an empty table gives an empty one; other columns are not read."""
     some = prints.where(F.octet_length("codes") > 0)
     classes = staged(some.groupBy("codes").agg(F.min(key).alias("class_id"), F.max(queries).alias("asks")).withColumn("steps", _integers(F.col("codes"))), "audio-classes")
-    placed = classes.select("class_id", F.posexplode("steps").alias("place", "code"))
-    asked = classes.where("asks").select(F.col("class_id").alias("query_class"), F.posexplode("steps").alias("from", "code"))
-    votes = placed.join(asked, "code").where("class_id <> query_class")
-    votes = votes.groupBy("class_id", "query_class", (F.col("place") - F.col("from")).alias("offset")).agg(F.count(F.lit(1)).cast("int").alias("votes")).where(F.col("votes") >= VOTES)
+    placed = classes.select("class_id", F.explode(_runs(F.col("steps"))).alias("x")).select("class_id", "x.code", F.col("x.place").alias("place"), F.col("x.n").alias("n"))
+    asked = classes.where("asks").select(F.col("class_id").alias("query_class"), F.explode(_runs(F.col("steps"))).alias("y")).select("query_class", "y.code", F.col("y.place").alias("from"), F.col("y.n").alias("m"))
+    # two runs of n and m equal integers meet at n + m - 1 offsets, at each as often as they overlap there
+    met = placed.join(asked, "code").where("class_id <> query_class").withColumn("_by", F.explode(F.sequence(1 - F.col("m"), F.col("n") - 1)))
+    overlap = F.least(F.col("n"), F.col("m") + F.col("_by")) - F.greatest(F.lit(0), F.col("_by"))
+    votes = met.groupBy("class_id", "query_class", (F.col("place") - F.col("from") + F.col("_by")).alias("offset")).agg(F.sum(overlap).cast("int").alias("votes")).where(F.col("votes") >= VOTES)
     rows, wanted = classes.select("class_id", F.col("steps").alias("x")), classes.select(F.col("class_id").alias("query_class"), F.col("steps").alias("y"))
     ends = votes.join(rows, "class_id").join(wanted, "query_class")
     x, y = (F.slice(c, F.greatest(F.lit(0), sign * F.col("offset")) + 1, F.size(c)) for c, sign in (("x", 1), ("y", -1)))
