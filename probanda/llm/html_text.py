@@ -14,7 +14,7 @@ import html
 import re
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ from .common import small_batches
 
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.30
+#: Part of a page's words that stop words are at least where it has a language of theirs.
+STOP_KNOWN = 0.06
 LINKS, LINKS_IN_ARTICLE = 0.2, 0.67
 #: Least part of the main text by page-wide rules that an article or main part must hold to stand for the page.
 MOST_OF_PAGE = 0.4
@@ -40,7 +42,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody thead tfoot tr caption ul".split())
 SPACED = frozenset("br td th option".split())
 # Words in class and id names, and roles, of what isn't the article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus footer header masthead topbar login search toolbar copyright disclaimer pagination pager widget widgets skip hidden".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus footer header masthead topbar login search toolbar copyright disclaimer pagination pager widget widgets skip hidden kommentar kommentare werbung anzeige anzeigen seitenleiste commentaire commentaires publicite comentario comentarios publicidad anuncio anuncios navegacion".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|([^<]++|<)", re.S)
@@ -58,7 +60,7 @@ def _marked(tag: str, attributes: str) -> bool:
             names.update(NAME.findall(value))
         elif what == "role" and value in ROLES or what == "hidden" or what == "aria-hidden" and value == "true" or what == "style" and re.search(r"display\s*:\s*none", value):
             return True
-    if tag in ("html", "body", "main") or not names & MARKS or names & {"has", "with", "without", "no"}:
+    if tag in ("html", "body", "main") or not names & MARKS or names & {"has", "with", "without", "no", "enabled", "disabled", "open", "closed"}:
         return False
     own = names & {"article", "post", "entry", "story", "content", "page", "main"}
     return not (own and names & MARKS <= {"header", "banner", "hidden", "menu", "sidebar"})
@@ -115,7 +117,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             continue
         attributes = m[3] or m[6] or ""
         if tag in RAW:
-            if not attributes.endswith("/"):
+            if tag not in ("svg", "math") or not attributes.endswith("/"):  # no other element of these closes itself
                 close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
                 at = close.end() if close else size
             continue
@@ -147,12 +149,20 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     return out, ranks
 
 
-def _first_pass(block: Block, article: bool) -> str:
+def _known(found: list[Block]) -> bool:
+    """Whether the page's language is one of the stop words': they are a part of its text without links that chance doesn't reach."""
+    words = [w for b in found if not b.linked for w in WORD.findall(b.text.lower())]
+    return not words or sum(map(STOP_WORDS.__contains__, words)) >= STOP_KNOWN * len(words)
+
+
+def _first_pass(block: Block, article: bool, known: bool = True) -> str:
     n = len(block.text)
     if block.linked > (LINKS_IN_ARTICLE if article else LINKS) * n:
         return "bad"
     if n < SHORT:
         return "short"
+    if not known:
+        return "good" if n > LONG else "near"
     if block.stops < 0:
         words = WORD.findall(block.text.lower())
         block.stops = sum(map(STOP_WORDS.__contains__, words)) / max(len(words), 1)
@@ -163,11 +173,12 @@ def _first_pass(block: Block, article: bool) -> str:
         return "good" if n > LONG else "near"
     if stops >= STOP_LOW:
         return "near"
-    return "near" if article else "bad"
+    return "near" if article else "weak" if n > LONG and not block.linked else "bad"
 
 
 def _second_pass(row: list[Block], article: bool) -> None:
-    """Undecided blocks take the label of their nearest decided neighbours; ties go to good, and near blocks need only one good side."""
+    """Undecided blocks take the label of their nearest decided neighbours; ties go to good, near blocks need only one good side, and weak ones
+    (long, but hardly prose) two."""
     labels = [b.kind for b in row]
     edge = "good" if article else "bad"
     before, last = [], (edge, -1)
@@ -181,9 +192,11 @@ def _second_pass(row: list[Block], article: bool) -> None:
         if labels[k] in ("good", "bad"):
             last = (labels[k], k)
     for k, b in enumerate(row):
-        if labels[k] in ("near", "short"):
+        if labels[k] in ("near", "short", "weak"):
             (left, i), (right, j) = before[k], after[k]
-            if left == right:
+            if labels[k] == "weak":
+                b.kind = "good" if left == right == "good" else "bad"
+            elif left == right:
                 b.kind = left
             elif labels[k] == "near":
                 b.kind = "good"
@@ -199,19 +212,19 @@ def main_text(page: str | None) -> str:
     for b in found:
         b.text = " ".join("".join(b.parts).split())
     found = [b for b in found if b.text]
-    texts = {}
+    texts, known = {}, _known(found)
     for rank in (0, 1, 2):
         row = [b for b in found if ranks[b.region] >= rank]
         for b in row:
-            b.kind = _first_pass(b, rank > 0)
+            b.kind = _first_pass(b, rank > 0, known)
         _second_pass(row, rank > 0)
         texts[rank] = [b.text for b in row if b.kind == "good"]
     size = {rank: sum(map(len, good)) for rank, good in texts.items()}
     for rank in (2, 1, 0):
         if texts[rank] and size[rank] >= MOST_OF_PAGE * max(size.values()):
             return "\n\n".join(texts[rank])
-    # nothing decided: a page of undecided blocks only
-    return "\n\n".join(b.text for b in found if _first_pass(b, False) in ("near", "short"))
+    # nothing decided: all that isn't mostly links
+    return "\n\n".join(b.text for b in found if b.linked <= LINKS * len(b.text))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -223,11 +236,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     """
 
     def run(batches):
-        for pdf in batches:
-            text = [main_text(x) for x in pdf.pop("_page")]
-            yield pdf.assign(text=pd.Series(text, dtype=object), n_chars=pd.Series([len(t) for t in text], dtype="int64"))
+        for batch in batches:
+            at = batch.schema.get_field_index("_page")
+            text = [main_text(x.as_py()) for x in batch.column(at)]
+            kept = [k for k in range(batch.num_columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*[batch.schema.names[k] for k in kept], "text", "n_chars"])
 
     small_batches(pages.sparkSession)
     held = pages.select(F.col(f"`{key}`"), F.col(f"`{url}`"), F.coalesce(F.col(f"`{page}`"), F.lit("")).alias("_page"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "_page")
-    return held.mapInPandas(run, f"{kinds}, text string, n_chars long")
+    return held.mapInArrow(run, f"{kinds}, text string, n_chars long")
