@@ -6,11 +6,13 @@ import hashlib
 import uuid
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import qualified
+
 #: A new archive starts after so many compressed bytes.
 ARCHIVE_BYTES = 32 << 20
 #: Payloads of fewer bytes are never written as revisits.
@@ -22,7 +24,8 @@ VERSION = b"WARC/1.1"
 
 def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_BYTES) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): refers_to is the smallest page_id with the same payload, where that is another page
-    and the payload has ``least`` bytes or more. Digests are summed up before they are shuffled; equal payloads never meet in one task
+    and the payload has ``least`` bytes or more. Null html counts as empty; null ids and urls stay null, and rows without an id are responses; rows that repeat an
+    id are rows each; an empty table gives an empty one; other columns are not read, so their names cannot clash. Digests are summed up before they are shuffled; equal payloads never meet in one task
     as a group, since the join can split them."""
     body = F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"))
@@ -54,32 +57,37 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def write(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the rows of ``with_revisits`` as archives under ``folder``; the result, once it is run, lists them: path, records, bytes.
 
-    Each attempt of a task writes files of its own names, so a retried task leaves no half archive among those listed.
+    A row without an id has the record id <urn:page:>; a null url gives no target. An empty table gives no archive. Each attempt of a task writes files of its own names, so a retried task leaves no half archive among those listed.
     Write the result as a table before reading from it.
     """
 
+    folder = qualified(rows.sparkSession, folder)
+
     def run(batches):
-        store, path = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, path = pafs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         out, name, n, size = None, "", 0, 0
-        for pdf in batches:
-            for row in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"], strict=True):
+        for batch in batches:
+            for row in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")], strict=True):
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
                 page_id, url, payload, digest, refers_to = row
-                data = record(None if pd.isna(page_id) else int(page_id), url, bytes(payload), digest, None if pd.isna(refers_to) else int(refers_to))
+                data = record(page_id, url, payload, digest, refers_to)
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= archive_bytes:
                     out.close()
                     out = None
-                    yield pd.DataFrame({"path": [f"{folder}/{name}"], "records": [n], "bytes": [size]})
+                    yield listed(f"{folder}/{name}", n, size)
         if out is not None:
             out.close()
-            yield pd.DataFrame({"path": [f"{folder}/{name}"], "records": [n], "bytes": [size]})
+            yield listed(f"{folder}/{name}", n, size)
 
-    return rows.mapInPandas(run, "path string, records long, bytes long")
+    def listed(path, n, size):
+        return pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
+    return rows.mapInArrow(run, "path string, records long, bytes long")
 
 
 class Framed:
@@ -147,13 +155,13 @@ def records(stream):
 
 def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of the listed archives (column path): page_id, url, record_type, payload_bytes, payload_digest, refers_to, and payload
-    (null for revisits) if asked for. Each archive is read once, from start to end, in bounded memory; digests are verified."""
+    (null for revisits) if asked for. Repeated records give a row each; an empty list gives an empty table. Each archive is read once, from start to end, in bounded memory; digests are verified."""
 
     def run(batches):
         number = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
-        for pdf in batches:
-            for uri in pdf["path"]:
-                store, path = pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                store, path = pafs.FileSystem.from_uri(uri)
                 with store.open_input_stream(path, compression=None) as stream:
                     rows, size = [], 0
                     for head, payload in records(stream):
@@ -166,11 +174,12 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     if rows:
                         yield frame(rows)
 
+    # ids stay integers: a data frame would make those of columns with nulls floats
+    fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), *([("payload", pa.binary())] if payloads else [])]
+
     def frame(rows):
-        out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
-        out = out.astype({"page_id": "Int64", "refers_to": "Int64"})
-        return out if payloads else out.drop(columns="payload")
+        return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, (_, kind) in zip(zip(*rows, strict=True), fields, strict=False)], names=[n for n, _ in fields])
 
     # an archive a task, as far as tasks go; a number given here is kept by adaptive execution
     spread = archives.select("path").repartition(min(max(archives.count(), 1), 10_000), "path")
-    return spread.mapInPandas(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads)
+    return spread.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads)
