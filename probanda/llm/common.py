@@ -43,7 +43,7 @@ def qualified(spark: SparkSession, folder: str) -> str:
     """``folder`` with its scheme: a bare path belongs to Hadoop's default file system, which on a cluster isn't each machine's disk."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"file://{found.removeprefix('file:')}" if found.startswith("file:/") and not found.startswith("file://") else found
+    return f"file://{found.removeprefix('file:')}" if found.startswith("file:/") and not found.startswith("file://") else found  # Arrow wants both slashes
 
 
 def small_batches(spark: SparkSession) -> None:

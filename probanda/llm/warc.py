@@ -61,10 +61,10 @@ def write(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> D
     Write the result as a table before reading from it.
     """
 
-    folder = qualified(rows.sparkSession, folder)
+    root = qualified(rows.sparkSession, "/").rstrip("/")
 
     def run(batches):
-        store, path = pafs.FileSystem.from_uri(folder)
+        store, path = pafs.FileSystem.from_uri(folder if "://" in folder else f"{root}{folder}")
         store.create_dir(path, recursive=True)
         out, name, n, size = None, "", 0, 0
         for batch in batches:
@@ -157,11 +157,13 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of the listed archives (column path): page_id, url, record_type, payload_bytes, payload_digest, refers_to, and payload
     (null for revisits) if asked for. Repeated records give a row each; an empty list gives an empty table. Each archive is read once, from start to end, in bounded memory; digests are verified."""
 
+    root = qualified(archives.sparkSession, "/").rstrip("/")
+
     def run(batches):
         number = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                store, path = pafs.FileSystem.from_uri(uri)
+                store, path = pafs.FileSystem.from_uri(uri if "://" in uri else f"{root}{uri}")
                 with store.open_input_stream(path, compression=None) as stream:
                     rows, size = [], 0
                     for head, payload in records(stream):
