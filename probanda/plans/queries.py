@@ -14,7 +14,8 @@ from ..operators import bursts, discovery, frames, improvement, paired, ranks, r
 from ..operators import mediation as traced
 from .bridge import analysis, claim_bridge, evaluate, extent_hash
 from .contrast import Contrast
-from .panel import Panel, from_cache, to_cache
+from .materialise import compact, materialise, stored
+from .panel import Panel, from_cache, metric, to_cache
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -833,3 +834,36 @@ def moderation(spark, d):
 def tautology_audit(spark, d):
     t = regression.tautology_audit(_read(spark, d, "lineitem"), {"l_extendedprice": {"a", "b"}, "l_discount": {"b", "c"}}, "l_extendedprice", "l_discount", ["l_quantity", "l_tax"])
     return spark.createDataFrame([(t["reads_jaccard"], float(t["r2"]["l_quantity"]), float(t["r2"]["l_tax"]))], "reads_jaccard double, quantity double, tax double")
+
+
+metric("order_log_price", "source")(lambda: F.when(columns.number("source") > 0, F.ln("source")))
+metric("order_price_by_balance", "source", "balance")(lambda: F.when(columns.number("balance") > 0, F.col("source") / F.col("balance")))
+metric("order_price_score", "order_log_price", "order_price_by_balance")(lambda: F.col("order_log_price") + F.ln("order_price_by_balance"))
+MEASURED = CELLS + """, m AS (SELECT id, status, CASE WHEN source > 0 THEN ln(source) END AS order_log_price, CASE WHEN balance > 0 THEN source / balance END AS order_price_by_balance FROM cells),
+    s AS (SELECT *, order_log_price + ln(order_price_by_balance) AS order_price_score FROM m)"""
+
+
+def _store(spark, d) -> tuple[str, list]:
+    """A store that is filled in three passes, the last of which forces one metric, and what each pass computed."""
+    import uuid
+
+    root, cells = f"{columns.shared_dir(spark)}/measured-{uuid.uuid4().hex}", order_cells(spark, d)
+    passes = [materialise(spark, root, cells.where("status = 'F'"), ["order_price_by_balance"])]
+    passes.append(materialise(spark, root, cells, ["order_price_score"]))
+    passes.append(materialise(spark, root, cells.where("status = 'P'"), ["order_price_score"], force={"order_log_price"}))
+    return root, [(k, n, c) for k, counts in enumerate(passes) for n, c in counts.items()]
+
+
+@query(f"""WITH {MEASURED}, c AS (SELECT 0 AS pass, 'order_price_by_balance' AS metric, count(*) AS computed FROM s WHERE status = 'F'
+    UNION ALL SELECT 1, 'order_price_by_balance', count(*) FILTER (WHERE status <> 'F' OR order_price_by_balance IS NULL) FROM s UNION ALL SELECT 1, 'order_log_price', count(*) FROM s UNION ALL SELECT 1, 'order_price_score', count(*) FROM s
+    UNION ALL SELECT 2, unnest(['order_log_price', 'order_price_by_balance', 'order_price_score']), unnest([count(*), count(*) FILTER (WHERE order_price_by_balance IS NULL), count(*) FILTER (WHERE order_price_score IS NULL)]) FROM s WHERE status = 'P')
+    SELECT * FROM c WHERE computed > 0""")
+def measurement_passes(spark, d):
+    return spark.createDataFrame(_store(spark, d)[1], "pass int, metric string, computed long")
+
+
+@query(f"WITH {MEASURED} SELECT id, round(order_log_price, 8) AS order_log_price, round(order_price_by_balance, 8) AS order_price_by_balance, round(order_price_score, 8) AS order_price_score FROM s")
+def stored_measurements(spark, d):
+    root, _ = _store(spark, d)
+    compact(spark, root)
+    return _rounded(stored(spark, root).select("id", "order_log_price", "order_price_by_balance", "order_price_score"), 8)
