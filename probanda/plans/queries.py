@@ -14,6 +14,7 @@ from ..operators import bursts, discovery, frames, improvement, paired, ranks, r
 from ..operators import mediation as traced
 from .bridge import analysis, claim_bridge, evaluate, extent_hash
 from .contrast import Contrast
+from . import multigraph
 from .materialise import compact, materialise, stored
 from .panel import Panel, from_cache, metric, to_cache
 
@@ -867,3 +868,40 @@ def stored_measurements(spark, d):
     root, _ = _store(spark, d)
     compact(spark, root)
     return _rounded(stored(spark, root).select("id", "order_log_price", "order_price_by_balance", "order_price_score"), 8)
+
+
+#: A graph of numbers: each line item is an edge from its part's number to its supplier's.
+GRAPH = """e AS (SELECT l_partkey AS source, l_suppkey AS target, l_returnflag AS flag, l_linestatus AS status FROM lineitem), far AS (SELECT max(source) AS node FROM e),
+    b(node, depth) AS (SELECT node, 0 FROM far UNION SELECT target, depth + 1 FROM b JOIN e ON b.node = e.source WHERE depth < 9), d AS (SELECT node, min(depth) AS depth FROM b GROUP BY node),
+    lv AS (SELECT d.node, d.depth, min(p.node) AS parent FROM d LEFT JOIN (e JOIN d p ON e.source = p.node) ON e.target = d.node AND p.depth = d.depth - 1 GROUP BY d.node, d.depth)"""
+
+
+def _graph(spark, d):
+    return _read(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+
+
+@query(f"WITH RECURSIVE {GRAPH} SELECT node, depth, parent FROM lv")
+def graph_levels(spark, d):
+    edges = _graph(spark, d)
+    return multigraph.levels(edges, edges.agg(F.max("source").alias("node")))
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, last AS (SELECT node FROM lv ORDER BY depth DESC, node LIMIT 1), w(node, parent, depth) AS (SELECT lv.node, parent, depth FROM lv JOIN last USING (node) UNION ALL SELECT lv.node, lv.parent, lv.depth FROM w JOIN lv ON lv.node = w.parent)
+    SELECT depth - 1 AS step, parent AS source, w.node AS target, min(flag || status)[1] AS flag, min(flag || status)[2] AS status FROM w JOIN e ON e.source = w.parent AND e.target = w.node GROUP BY w.depth, w.parent, w.node""")
+def graph_path(spark, d):
+    edges = _graph(spark, d)
+    start = edges.agg(F.max("source")).first()[0]
+    far = multigraph.levels(edges, edges.agg(F.max("source").alias("node"))).agg(F.min(F.struct(-F.col("depth"), "node"))).first()[0]["node"]
+    return multigraph.first_path(edges, start, far)
+
+
+@query("""WITH a AS (SELECT l_partkey % 50 AS source, l_suppkey % 50 AS target, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL), b AS (SELECT l_partkey % 50 AS source, l_suppkey % 50 AS target, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+    SELECT CASE WHEN coalesce(a.n, 0) > coalesce(b.n, 0) THEN 'left' ELSE 'right' END AS side, source, target, abs(coalesce(a.n, 0) - coalesce(b.n, 0)) AS n FROM a FULL JOIN b USING (source, target) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def graph_difference(spark, d):
+    folded = lambda flag: _graph(spark, d).where(F.col("flag") == flag).select((F.col("source") % 50).alias("source"), (F.col("target") % 50).alias("target"))
+    return multigraph.difference(folded("A"), folded("R"))
+
+
+@query("SELECT l_partkey AS source, l_suppkey AS target, count(*) FILTER (WHERE l_returnflag = 'A') AS first, count(*) FILTER (WHERE l_returnflag = 'R') AS second FROM lineitem GROUP BY l_partkey, l_suppkey HAVING first > 0 AND second > 0")
+def conflicting_pairs(spark, d):
+    return multigraph.conflicting(_graph(spark, d), "flag", ("A", "R"))
