@@ -37,11 +37,9 @@ ROWS = 2500
 #: pairs of a document in a round as join it to other components.
 FEW, EACH = 24, 128
 #: Documents of one prefix token and size class that are compared in one block.
-BLOCK = 256
+BLOCK = 1024
 #: Of so many of its smallest tokens of many each document tells the others, so that a pair is made for its smallest common token alone.
 TOLD = 16
-#: Bits of a parity map for each token of its set, at least; with four, pairs over 0.01 under the wanted similarity are told apart.
-BITS = 4
 #: The turn that compares all blocks: the first goes along rings of blocks, later ones settle what failed.
 FULL = 1
 #: Bits of a token's place among the ranked ones in its order key, below its count.
@@ -120,7 +118,7 @@ def _longs(rows: list[np.ndarray]) -> pa.Array:
 
 def parity_bits(tokens: np.ndarray) -> bytes:
     """Per bit, whether an odd number of tokens falls on it. Two such maps differ in at most as many bits as the sets in tokens."""
-    size = max(256, 1 << int(BITS * len(tokens) - 1).bit_length())
+    size = max(256, 1 << int(len(tokens) - 1).bit_length())
     odd = np.bincount((mix(tokens ^ _SEEDS[7]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
