@@ -40,7 +40,7 @@ def link_per_burst(cells: DataFrame, predictor: str, target: str, env: str, pair
     n = F.count(F.lit(1)).cast("double")
     cov = F.sum(F.col("x") * F.col("dt")) - F.sum("x") * F.sum("dt") / n
     var = F.sum(F.col("x") * F.col("x")) - F.sum("x") * F.sum("x") / n
-    out = d.groupBy(col(env), "burst").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("dp").alias("mean_d_predictor"), F.avg("dt").alias("mean_d_target"), ranks.correlation("x", "dt").alias("r"), F.when(var > 1e-12, cov / var).alias("slope"))
+    out = d.groupBy(col(env), "burst").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("dp").alias("mean_d_predictor"), F.avg("dt").alias("mean_d_target"), ranks.correlation("x", "dt").alias("r"), F.when(var > 1e-13 * F.sum(F.col("x") * F.col("x")), cov / var).alias("slope"))
     return out.withColumns({c: F.when(F.col("n_pairs") >= 3, F.col(c)) for c in ("r", "slope")})
 
 

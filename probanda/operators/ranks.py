@@ -37,11 +37,12 @@ def ranked(cells: DataFrame, names: list[str], by: list[str]) -> DataFrame:
 
 
 def correlation(x: str, y: str) -> tuple:
-    """Pearson correlation from sums; null where a side is constant."""
+    """Pearson correlation from sums; null where a side is constant, but for rounding: whatever its scale."""
     n = F.count(F.lit(1)).cast("double")
     cov = F.sum(F.col(x) * F.col(y)) - F.sum(x) * F.sum(y) / n
     vx, vy = F.sum(F.col(x) * F.col(x)) - F.sum(x) * F.sum(x) / n, F.sum(F.col(y) * F.col(y)) - F.sum(y) * F.sum(y) / n
-    return F.when((vx > 1e-9) & (vy > 1e-9), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, F.sqrt(vx * vy)))))
+    varies = (vx > 1e-13 * F.sum(F.col(x) * F.col(x))) & (vy > 1e-13 * F.sum(F.col(y) * F.col(y)))
+    return F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, F.sqrt(vx * vy)))))
 
 
 def spearman(cells: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

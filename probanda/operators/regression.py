@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..functions.columns import col, number, with_aggregates
+from ..functions.columns import col, cut, number, with_aggregates
 from . import bursts, paired, ranks, strata
 
 
@@ -86,7 +86,8 @@ def meta_regression(rows: DataFrame, effect: str, se: str, covariates: list[str]
 
     A missing covariate counts as 0. ValueError for no rows, too few, or se <= 0.
     """
-    rows = rows.withColumns({c: F.coalesce(number(c), F.lit(0.0)) for c in covariates})
+    # a few numbers an effect, read by each of the jobs below: what they come from runs once
+    rows = cut(rows.select(col(effect), col(se), *[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in covariates]))
     bad = rows.where(number(se).isNull() | (number(se) <= 0)).limit(1).count()
     if bad:
         raise ValueError("standard errors must be positive")
@@ -109,6 +110,7 @@ def meta_regression(rows: DataFrame, effect: str, se: str, covariates: list[str]
 
 def cross_validate(rows: DataFrame, effect: str, se: str, covariates: list[str], folds: int = 5, seed: int = 0) -> dict[str, dict[str, float]]:
     """Per coefficient its mean, deviation and share of equal signs over fits that each leave out one hashed fold."""
+    rows = cut(rows.select(*[col(c) for c in dict.fromkeys([effect, se, *covariates])]))
     fold = F.pmod(F.xxhash64(number(effect), number(se), F.lit(seed)), F.lit(folds))
     fits = [meta_regression(rows.where(fold != k), effect, se, covariates) for k in range(folds)]
     beta = np.stack([f.coefficients for f in fits])
@@ -120,16 +122,18 @@ def mundlak(rows: DataFrame, stratum: str, x: str, y: str, se: str, cluster: boo
     """y on the stratum mean of x (between) and the deviation from it (within), weights 1 / se^2; Hausman t and p of their difference."""
     kept = rows.where(number(x).isNotNull() & number(y).isNotNull() & (number(se) > 0))
     kept = with_aggregates(kept, [stratum], _between=F.avg(number(x))).withColumn("_within", number(x) - F.col("_between"))
-    w = 1 / (number(se) * number(se))
-    a, b, yy, _, n, _ = normal_sums(kept, y, ["_between", "_within"], w)
+    kept = cut(kept.select(*[col(c) for c in dict.fromkeys([stratum, y, se])], "_between", "_within"))
+    w, around = 1 / (number(se) * number(se)), centres(kept, y, ["_between", "_within"])
+    a, b, yy, _, n, _ = normal_sums(kept, y, ["_between", "_within"], w, around)
     if n < 4 or np.linalg.matrix_rank(a) < 3:
         raise ValueError("too few rows or strata")
     inverse = np.linalg.inv(a)
     beta = inverse @ b
     cov = inverse * (yy - beta @ b) / (n - 3)
     if cluster:
-        r = number(y) - (beta[0] + beta[1] * F.col("_between") + beta[2] * F.col("_within"))
-        scores = kept.groupBy(col(stratum)).agg(*[F.sum(w * r * c).alias(f"s{k}") for k, c in enumerate((F.lit(1.0), F.col("_between"), F.col("_within")))])
+        between, within = F.col("_between") - F.lit(float(around[1])), F.col("_within") - F.lit(float(around[2]))
+        r = number(y) - F.lit(float(around[0])) - (beta[0] + beta[1] * between + beta[2] * within)
+        scores = kept.groupBy(col(stratum)).agg(*[F.sum(w * r * c).alias(f"s{k}") for k, c in enumerate((F.lit(1.0), between, within))])
         m = scores.agg(F.count(F.lit(1)).alias("g"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}{j}") for i in range(3) for j in range(3)]).first()
         g = m["g"]
         meat = np.array([[m[f"m{i}{j}"] for j in range(3)] for i in range(3)])
@@ -282,7 +286,7 @@ def stratum_delta_link(cells: DataFrame, predictor: str, target: str, env: str,
     panel = long.groupBy(col(env), "burst").agg((side("p", treatment) - side("p", baseline)).alias("dp"), (side("t", treatment) - side("t", baseline)).alias("dt"), side("p", baseline).alias("pb"))
     if floor is not None:
         panel = panel.where(F.col("pb") > floor)
-    panel = panel.withColumns({f"_burst{k}": (F.col("burst") == k).cast("double") for k in range(1, shortest)})
+    panel = cut(panel).withColumns({f"_burst{k}": (F.col("burst") == k).cast("double") for k in range(1, shortest)})
     return ols(panel, "dt", ["dp", *[f"_burst{k}" for k in range(1, shortest)]])
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probanda.functions import arrays, columns, effects, special
-from probanda.operators import discovery, frames, paired, ranks, regression, strata
+from probanda.operators import bursts, discovery, frames, paired, ranks, regression, strata
 from probanda.plans import bridge, evidence, panel, queries  # noqa: F401  registers the analyses
 from probanda.plans.contrast import Contrast
 from probanda.sources import runs
@@ -200,3 +200,14 @@ def test_moderation_and_audit(spark):
     assert found["interaction"] == pytest.approx(2, abs=0.1) and found["p"] < 1e-6
     audit = regression.tautology_audit(df, {"y": {"x", "z"}, "o": {"x"}}, "y", "o", ["x"])
     assert audit["reads_jaccard"] == 0.5 and audit["r2"]["x"] > 0.5
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e6])
+def test_links_whatever_the_scale(spark, scale):
+    rng = np.random.default_rng(6)
+    rows = [("e", i, arm, [float(scale * (i * k + rng.normal()))], [float(scale * (-i * k + rng.normal()))]) for i in range(40) for arm, k in (("treatment", 2), ("baseline", 1))]
+    cells = spark.createDataFrame(rows, "env string, seed long, arm_key string, p array<double>, t array<double>")
+    link = bursts.link_per_burst(cells, "p", "t", "env", ["seed"]).first()
+    assert link.n_pairs == 40 and link.r == pytest.approx(0.99, abs=0.02) and link.slope == pytest.approx(1, abs=0.1)
+    flat = cells.withColumn("p", F.array(F.lit(0.1 * scale)))
+    assert bursts.link_per_burst(flat, "p", "t", "env", ["seed"]).first().r is None

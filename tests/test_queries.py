@@ -36,7 +36,7 @@ def test_matches_sql(spark, duck, name):
         assert got[c].astype(float).tolist() == pytest.approx(want[c].astype(float).tolist(), abs=2e-3, nan_ok=True), c
 
 
-@pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.ORACLE) - {"meta_regression_folds", "paired_directional"}))
+@pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.ORACLE)))
 def test_runs(spark, name):
     df = q.QUERIES[name](spark, SF)
     assert df.columns
