@@ -670,7 +670,7 @@ def cross_env_probability_of_improvement(spark, d):
     SELECT (SELECT strata FROM m WHERE r = 0) AS strata, (SELECT round(mean, 10) FROM m WHERE r = 0) AS mean, round(quantile_cont(mean, 0.025), 10) AS lower, round(quantile_cont(mean, 0.975), 10) AS upper,
         (SELECT avg((s >= (SELECT sum(d) FROM d) - 1e-12)::INT) FROM f) AS p, 2000::BIGINT AS flips, false AS exact FROM m WHERE r > 0""")
 def improvement_interval(spark, d):
-    out = improvement.mean_improvement(order_cells(spark, d), "source", ["env_name", "seed"], "id", count=60, draws=2000)
+    out = improvement.mean_improvement(order_cells(spark, d), "source", ["env_name", "seed"], "id", count=60, most=0, draws=2000)
     return out.withColumns({c: F.round(c, 10) for c in ("mean", "lower", "upper")})
 
 
@@ -880,10 +880,10 @@ def _graph(spark, d):
     return _read(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
 
 
-@query(f"WITH RECURSIVE {GRAPH} SELECT node, depth, parent FROM lv")
+@query(f"WITH RECURSIVE {GRAPH} SELECT node, depth, coalesce(parent, -1) AS parent FROM lv")
 def graph_levels(spark, d):
     edges = _graph(spark, d)
-    return multigraph.levels(edges, edges.agg(F.max("source").alias("node")))
+    return multigraph.levels(edges, edges.agg(F.max("source").alias("node"))).withColumn("parent", F.coalesce("parent", F.lit(-1)))
 
 
 @query(f"""WITH RECURSIVE {GRAPH}, last AS (SELECT node FROM lv ORDER BY depth DESC, node LIMIT 1), w(node, parent, depth) AS (SELECT lv.node, parent, depth FROM lv JOIN last USING (node) UNION ALL SELECT lv.node, lv.parent, lv.depth FROM w JOIN lv ON lv.node = w.parent)
