@@ -61,6 +61,14 @@ def dl_pool(effects: DataFrame, effect: str, se: str, by: list[str] | None = Non
     return out.withColumn("i2", i2)
 
 
+def pool_flags(k: Column, tau2: Column) -> Column:
+    """What makes a DerSimonian-Laird pool unreliable, as an array: fewer than 5 strata (small_k), and a heterogeneity above 0 but under 0.02 from
+    fewer than 10 (clipped_tau2), which the estimator gives without any."""
+    small = F.when(k < 5, F.lit("small_k"))
+    clipped = F.when((tau2 > 0) & (tau2 < 0.02) & (k < 10), F.lit("clipped_tau2"))
+    return F.array_compact(F.array(small, clipped))
+
+
 def prediction_interval(pooled: float, se: float, tau2: float, k: int, alpha: float = 0.05) -> tuple[float, float]:
     """Interval for the effect of a new stratum, t(k - 2); NaN under three."""
     if k < 3:

@@ -85,6 +85,16 @@ def sign_alignment(x: DataFrame, y: DataFrame, by: list[str], floor_x: float = 0
     return both.agg(F.count_if((F.col("dx") > 0) == (F.col("dy") > 0)).alias("same"), F.count(F.lit(1)).alias("strata"))
 
 
+def alignment_test(x: DataFrame, y: DataFrame, by: list[str], alignment: str = "opposite", floor_x: float = 0.0, floor_y: float = 0.0) -> DataFrame:
+    """One row (aligned, strata, p): strata whose two effects have the predicted signs (the same or opposite ones; an effect of exactly 0 counts as
+    not positive), and the one-tailed sign-test p of so many; null without a stratum."""
+    if alignment not in ("same", "opposite"):
+        raise ValueError(f"{alignment} is neither same nor opposite")
+    out = sign_alignment(x, y, by, floor_x, floor_y)
+    aligned = F.col("same") if alignment == "same" else F.col("strata") - F.col("same")
+    return out.select(aligned.alias("aligned"), "strata").withColumn("p", F.when(F.col("strata") > 0, special.binomial_tail_column(F.col("aligned"), F.col("strata"), 0.5)))
+
+
 def probability_of_improvement(cells: DataFrame, source: str, by: list[str], arm: str = "arm_key", treatment: str = "treatment", baseline: str = "baseline") -> DataFrame:
     """P(treatment > baseline), ties half, per stratum, from rank sums. Ranks need one stratum's rows in order; equal values are
     counted first, so that what is ordered is one row per distinct value."""

@@ -905,3 +905,14 @@ def graph_difference(spark, d):
 @query("SELECT l_partkey AS source, l_suppkey AS target, count(*) FILTER (WHERE l_returnflag = 'A') AS first, count(*) FILTER (WHERE l_returnflag = 'R') AS second FROM lineitem GROUP BY l_partkey, l_suppkey HAVING first > 0 AND second > 0")
 def conflicting_pairs(spark, d):
     return multigraph.conflicting(_graph(spark, d), "flag", ("A", "R"))
+
+
+@query(f"""WITH {CELLS}, p0 AS (SELECT env_name, seed, avg(source) FILTER (WHERE arm_key = 'treatment') - avg(source) FILTER (WHERE arm_key = 'baseline') AS dx, avg(balance) FILTER (WHERE arm_key = 'treatment') - avg(balance) FILTER (WHERE arm_key = 'baseline') AS dy
+        FROM cells GROUP BY env_name, seed), k AS (SELECT count(*) AS strata, count(*) FILTER (WHERE (dx > 0) = (dy > 0)) AS same FROM p0 WHERE dx IS NOT NULL AND dy IS NOT NULL), a AS (SELECT unnest(['same', 'opposite']) AS alignment, unnest([same, strata - same]) AS aligned, strata FROM k)
+    SELECT alignment, aligned, strata, CASE WHEN strata > 0 THEN round({_tail('aligned', 'strata', '0.5')}, 8) END AS p FROM a""")
+def alignment_p(spark, d):
+    """Differences of arm means stand in for d here, as strata of one nation are small."""
+    cells = order_cells(spark, d)
+    x, y = (strata.stratum_effects(cells, [m], ["env_name", "seed"]).withColumnRenamed(f"delta_{m}", "d") for m in ("source", "balance"))
+    tests = [strata.alignment_test(x, y, ["env_name", "seed"], a).select(F.lit(a).alias("alignment"), "aligned", "strata", F.round("p", 8).alias("p")) for a in ("same", "opposite")]
+    return tests[0].unionByName(tests[1])

@@ -211,3 +211,20 @@ def test_links_whatever_the_scale(spark, scale):
     assert link.n_pairs == 40 and link.r == pytest.approx(0.99, abs=0.02) and link.slope == pytest.approx(1, abs=0.1)
     flat = cells.withColumn("p", F.array(F.lit(0.1 * scale)))
     assert bursts.link_per_burst(flat, "p", "t", "env", ["seed"]).first().r is None
+
+
+def test_pool_flags(spark):
+    rows = spark.createDataFrame([(4, 0.0), (4, 0.01), (5, 0.0), (9, 0.019), (9, 0.02), (10, 0.01), (3, None)], "k long, tau2 double")
+    got = [r.f for r in rows.select(effects.pool_flags(F.col("k"), F.col("tau2")).alias("f")).collect()]
+    assert got == [["small_k"], ["small_k", "clipped_tau2"], [], ["clipped_tau2"], [], [], ["small_k"]]
+
+
+def test_alignment_either_way(spark):
+    x = spark.createDataFrame([("a", 1.0), ("b", -1.0), ("c", 0.0), ("d", 2.0), ("e", None)], "env string, d double")
+    y = spark.createDataFrame([("a", -1.0), ("b", 1.0), ("c", -3.0), ("d", -0.1), ("e", 1.0)], "env string, d double")
+    both = {a: strata.alignment_test(x, y, ["env"], a).first() for a in ("same", "opposite")}
+    assert [(r.aligned, r.strata) for r in both.values()] == [(1, 4), (3, 4)] and both["opposite"].p == pytest.approx(5 / 16) and both["same"].p == pytest.approx(15 / 16)
+    assert strata.alignment_test(x, y, ["env"], "opposite", floor_y=0.5).first().strata == 3
+    assert tuple(strata.alignment_test(x.limit(0), y, ["env"]).first()) == (0, 0, None)
+    with pytest.raises(ValueError):
+        strata.alignment_test(x, y, ["env"], "both")
