@@ -44,10 +44,11 @@ def usable(vector: Column) -> Column:
 
 
 def _packed(x: np.ndarray) -> list[bytes]:
-    """One float32 scale and a byte per component."""
+    """One float32 scale and a byte per component. ``x`` are doubles whose largest is about 1; scales too small for products of floats are raised: such
+    vectors are near nothing beside others, and what is near to them doesn't depend on their size."""
     scale = np.abs(x).max(1, keepdims=True) / 127
-    codes = np.rint(x / scale).astype(np.int8)
-    return [s + c for s, c in zip(map(bytes, scale.astype(np.float32)), map(bytes, codes), strict=True)]
+    codes = np.rint(x / np.maximum(scale, np.finfo(float).tiny)).astype(np.int8)
+    return [s + c for s, c in zip(map(bytes, np.maximum(scale, 1e-18).astype(np.float32)), map(bytes, codes), strict=True)]
 
 
 def _unpacked(column) -> np.ndarray:
@@ -205,9 +206,11 @@ def build(vectors: DataFrame, settled: float = SETTLED) -> tuple[DataFrame, Data
     graph (id, near, vecs), where vecs are the packed vectors of the neighbours."""
     classes = staged(vectors.groupBy("embedding").agg(F.min("vec_id").alias("id")), "nn-classes")
 
+    largest = float(classes.agg(F.max(F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double")))))).first()[0] or 1.0)
+
     def pack(batches):
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten(), np.float32).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), np.float32)
+            x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1) / largest if batch.num_rows else np.zeros((0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_packed(x) if len(x) else [], pa.binary())], names=["id", "vec"])
 
     nodes = staged(classes.select("id", "embedding").mapInArrow(pack, "id long, vec binary"), "nn-nodes")

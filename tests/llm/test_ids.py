@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probanda.llm import audio, common, html_text, queries, warc
+from probanda.llm import audio, common, html_text, nndescent, queries, warc
 
 BIG = 1 << 53
 PROSE = "<p>" + "The rain was on the hills and he had seen that it would be there for all of the day, as it is so often with them. " * 4 + "</p>"
@@ -74,3 +74,17 @@ def test_held_tones_count_as_all_pairs_would(spark):
 def test_what_an_article_keeps(page, kept):
     text = html_text.main_text(f"<html><body>{page}</body></html>")
     assert len(text) > 200 and ("MARK" in text) == kept
+
+
+@pytest.mark.parametrize("scale", [1e-60, 1e100])
+def test_nearest_of_vectors_of_any_size(spark, scale):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 12)) * scale
+    x[7] *= 1e-45  # one that is small beside the others has neighbours too
+    got = nndescent.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 7, 10)
+    near = {}
+    for r in got.collect():
+        near.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(near) == set(range(7, 400, 10))
+    hits = [len(near[q] & set([j for j in np.argsort(-(x @ x[q])) if j != q][:10])) for q in near]
+    assert np.mean(hits) >= 9
