@@ -37,16 +37,23 @@ def poisson_steps(mean: float = 1.0, bits: int = 32) -> list[int]:
 
 
 def replicate_weights(key: Column, first: int, count: int, seed: int = SEED) -> Column:
-    """Weights of the replicates ``first`` to ``first + count - 1`` (from 1) of a cell: four from each MD5 of seed, key and number."""
-    steps = F.array(*[F.lit(s) for s in poisson_steps()])
+    """Weights of the replicates ``first`` to ``first + count - 1`` (from 1) of a cell: four from each MD5 of seed, key and number.
+
+    Digests and their quarters are bound by lambdas of their own, so each is made once; eight hexadecimal digits of equal length order as
+    their numbers do, so they are compared as text."""
     text = F.coalesce(key.cast("string"), F.lit("null"))
+    steps = [f"{s:08x}" for s in poisson_steps()]
 
-    def four(c: Column) -> Column:
-        digest = F.md5(F.concat(F.lit(f"{seed}:"), text, F.lit(":"), c.cast("string")))
-        return F.transform(F.array(*[F.lit(j) for j in range(4)]), lambda j: F.size(F.filter(steps, lambda s: s <= F.conv(F.substring(digest, j * 8 + 1, F.lit(8)), 16, 10).cast("long"))).cast("byte"))
+    def weight(u: Column) -> Column:
+        out = F.when(u < steps[0], 0)
+        for k, s in enumerate(steps[1:], 1):
+            out = out.when(u < s, k)
+        return out.otherwise(len(steps)).cast("byte")
 
     low, high = (first - 1) // 4, (first + count - 2) // 4
-    return F.slice(F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), four)), (first - 1) % 4 + 1, count)
+    digests = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda c: F.md5(F.concat(F.lit(f"{seed}:"), text, F.lit(":"), c.cast("string"))))
+    quarters = F.flatten(F.transform(digests, lambda d: F.array(*[F.substring(d, j * 8 + 1, 8) for j in range(4)])))
+    return F.transform(F.slice(quarters, (first - 1) % 4 + 1, count), weight)
 
 
 def arm_codes(cells: DataFrame, by: list[str], arm: str) -> DataFrame:
