@@ -11,11 +11,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..functions.columns import col, finite, number, running
+from ..functions.columns import col, cut, finite, number, running
 from .bursts import exploded
 from .ranks import correlations, partial_from
 
@@ -86,6 +88,35 @@ def weighted_ranks(rows: DataFrame, names: list[str], by: list[str], weights: st
     return rows.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], "_w", *[f"r{k}" for k in range(len(names))])
 
 
+def _summed(ranked: DataFrame, keys: list[str], ranks: int, size: int, first: int) -> DataFrame:
+    """(keys, replicate, n, sums, products): of rows of ``weighted_ranks`` the sums of the weights, the weighted ranks and their products, for each replicate
+    from ``first`` on. Each batch is summed up for all replicates together before the shuffle."""
+    pairs = [(i, j) for i in range(ranks) for j in range(i, ranks)]
+    names = [f"_s{k}" for k in range(ranks)] + [f"_p{k}" for k in range(len(pairs))]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(*[col(k) for k in keys]).schema)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.select(range(len(keys)))
+            of = own.to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            by = np.argsort(of, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(of[by]) > 0)))
+            w, *r = (batch.column(len(keys) + k).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)[by].astype(float) for k in range(1 + ranks))
+            total = lambda v, starts=starts: np.add.reduceat(v, starts).ravel()
+            weighted = [w * v for v in r]
+            found = [total(w).astype(np.int64), *map(total, weighted), *[total(weighted[i] * r[j]) for i, j in pairs]]
+            at = np.tile(np.arange(first, first + size, dtype=np.int32), len(starts))
+            groups = own.take(pa.array(np.repeat(by[starts], size)))
+            yield pa.RecordBatch.from_arrays([*groups.columns, pa.array(at), *map(pa.array, found)], names=[*keys, "replicate", "n", *names])
+
+    schema = f"{kinds}, replicate int, n long, " + ", ".join(f"{n} double" for n in names)
+    each = ranked.mapInArrow(run, schema).where("n > 0")
+    gathered = lambda some: F.array(*[F.sum(n) for n in some])
+    return each.groupBy(*[col(k) for k in keys], "replicate").agg(F.sum("n").alias("n"), gathered(names[:ranks]).alias("sums"), gathered(names[ranks:]).alias("products"))
+
+
 def _solved(sums: DataFrame, controls: int, least: int) -> DataFrame:
     """marginal and conditional correlations of rows of sums and products: arm, outcome, then the controls."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.drop("sums", "products").schema)
@@ -113,21 +144,23 @@ def trajectories(cells: DataFrame, mediators: list[str], outcome: str, by: list[
     mediators are collinear. Rows that repeat a cell are resampled together. An empty table gives an empty one.
     """
     names = [f"m{k}" for k in range(len(mediators))]
-    held = arm_codes(cells, by, arm).withColumn("_cell", col(cell).cast("string"))
-    long = exploded(held, {**dict(zip(names, mediators, strict=True)), "o": outcome}, [*by, "_cell", "_code"])
-    for n in ("o", *names):
-        long = long.where(finite(n))
-    parts = []
+    arrays = {**dict(zip(names, mediators, strict=True)), "o": outcome}
+    held = arm_codes(cells, by, arm)
+    held = held.select(*[col(b) for b in by], col(cell).cast("string").alias("_cell"), "_code", *[col(a).alias(n) for n, a in arrays.items()])
+    # a number of its own, as few bytes of cells make many rows of bursts and weights
+    held = cut(held.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_cell"))
+    x, parts = ["_code", "o", *names], []
     for first in range(0, replicates + 1, BLOCK):
         size = min(BLOCK, replicates + 1 - first)
+        one = F.array(F.lit(1).cast("byte"))
         drawn = replicate_weights(F.col("_cell"), max(first, 1), size - (first == 0), seed) if first or size > 1 else None
-        weights = drawn if first else F.array(F.lit(1).cast("byte")) if drawn is None else F.concat(F.array(F.lit(1).cast("byte")), drawn)
-        x = ["_code", "o", *names]
-        ranked = weighted_ranks(long.withColumn("_weights", weights), x, [*by, "burst"], "_weights", size)
-        each = ranked.select(*[col(b) for b in by], "burst", F.posexplode(F.arrays_zip("_w", *[f"r{k}" for k in range(len(x))])).alias("_at", "_x")).where("_x._w > 0")
-        w, r = F.col("_x._w").cast("double"), [F.col(f"_x.r{k}") for k in range(len(x))]
-        products = [F.sum(w * r[i] * r[j]) for i in range(len(x)) for j in range(i, len(x))]
-        parts.append(each.groupBy(*[col(b) for b in by], "burst", (F.col("_at") + first).alias("replicate")).agg(F.sum("_x._w").alias("n"), F.array(*[F.sum(w * v) for v in r]).alias("sums"), F.array(*products).alias("products")))
+        # drawn before the arrays are taken apart, once a cell
+        long = exploded(held.withColumn("_w", drawn if first else one if drawn is None else F.concat(one, drawn)), dict(zip(arrays, arrays, strict=True)), [*by, "_code", "_w"])
+        for n in ("o", *names):
+            long = long.where(finite(n)).withColumn(n, number(n) + 0.0)
+        keys = [*by, "burst"]
+        tuples = long.groupBy(*[col(b) for b in keys], *x).agg(F.array(*[F.sum(F.get("_w", F.lit(i))) for i in range(size)]).alias("_weights"))
+        parts.append(_summed(weighted_ranks(cut(tuples), x, keys, "_weights", size), keys, len(x), size, first))
     return _solved(reduce(DataFrame.unionByName, parts), len(mediators), min_n)
 
 

@@ -21,3 +21,18 @@ def test_each_digest_is_made_once_and_the_weights_are_those_by_hand(spark):
     plan = drawn._jdf.queryExecution().optimizedPlan().toString()
     # the comparisons with the steps stand in no lambda around the digest, where each made it again
     assert "filter(" not in plan and "conv(" not in plan
+
+
+def test_equal_rows_are_summed_up_before_they_are_ranked(spark, monkeypatch):
+    cells = spark.createDataFrame([("e", "ab"[c % 2], str(c), [float(c % 3), 1.0], [float(c % 2), 0.5]) for c in range(60)], "env_name string, arm_key string, cell string, o array<double>, m array<double>")
+    seen, ranks = [], mediation.weighted_ranks
+
+    def counted(rows, names, by, weights, size):
+        seen.append(rows.count())
+        return ranks(rows, names, by, weights, size)
+
+    monkeypatch.setattr(mediation, "weighted_ranks", counted)
+    rows = mediation.trajectories(cells, ["m"], "o", ["env_name"], "cell", replicates=3).collect()
+    assert seen == [6 + 2]  # of burst 0 the pairs of (arm, outcome), the mediator following from the arm; of burst 1 the arms
+    for r in rows:
+        assert r.n == (60 if not r.replicate else sum(_by_hand(str(c), r.replicate) for c in range(60)))
