@@ -107,3 +107,31 @@ def with_aggregates(df: DataFrame, by: list[str], **aggregates: Column) -> DataF
     for b, n in zip(by, names, strict=True):
         same = same & col(b).eqNullSafe(F.col(n))
     return (df.join(small, same) if by else df.crossJoin(F.broadcast(small))).drop(*names)
+
+
+def steady_sums(df: DataFrame, by: list[str], **values: Column) -> DataFrame:
+    """(by, <name>, <name>_n): sum (null without any) and count of the finite numbers of each value per stratum (null is one).
+
+    Equal numbers give equal sums in whatever order and tasks they come, so sums of strata with equal rows tie, as ranks of them need.
+    Numbers are cut into three whole ones, in units of their stratum's largest, down to 2^-89 of it; whole ones are summed up exactly.
+    """
+    keys = [f"_y{k}" for k in range(len(by))]
+    rows = df.select(*[col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[number(v).alias(n) for n, v in values.items()])
+    rows = with_aggregates(rows, keys, **{f"_top_{n}": F.max(F.abs(col(n))) for n in values})
+    sums = []
+    for n in values:
+        top = F.col(f"_top_{n}")
+        unit = F.when(top > 0, F.pow(F.lit(2.0), F.floor(F.log2(top)))).otherwise(1.0)
+        rest, parts = col(n) / unit * 2.0**29, []
+        for _ in range(3):
+            parts.append(rest.cast("long"))
+            rest = (rest - parts[-1]) * 2.0**30
+        sums += [F.count(col(n)).alias(f"{n}_n"), F.max(unit).alias(f"_unit_{n}"), *[F.sum(q).alias(f"_{k}_{n}") for k, q in enumerate(parts)]]
+    out = rows.groupBy(*keys).agg(*sums)
+    for n in values:
+        high, middle, low = (F.col(f"_{k}_{n}") for k in range(3))
+        carried = lambda c: (F.shiftright(c, 30), c.bitwiseAND(F.lit((1 << 30) - 1)))
+        more, low = carried(low)
+        more, middle = carried(middle + more)
+        out = out.withColumn(n, (high + more + (middle + low * 2.0**-30) * 2.0**-30) * 2.0**-29 * F.col(f"_unit_{n}"))
+    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], *[col(c) for n in values for c in (n, f"{n}_n")])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import effects, special
-from ..functions.columns import col, finite, number, running
+from ..functions.columns import col, finite, number, running, steady_sums
 
 
 def ranked(cells: DataFrame, names: list[str], by: list[str]) -> DataFrame:
@@ -140,16 +140,24 @@ def with_fisher_p(rows: DataFrame, rho: str = "rho", n: str = "n", given: int =
     return rows.withColumn("z", z).withColumn("p", special.normal_p_column(F.col("z")))
 
 
+def arm_differences(cells: DataFrame, metrics: list[str], by: list[str], arm: str, treatment: str, baseline: str, least: int) -> DataFrame:
+    """(by, difference0, baseline0, difference1, ...): per stratum the difference of the arms' means of each metric and the baseline's mean, from sums
+    that don't depend on the order of rows, so that equal strata tie in ranks. Strata with fewer finite values than ``least`` anywhere are left out."""
+    sides = {f"{s}{k}": F.when(col(arm) == a, number(m)) for k, m in enumerate(metrics) for s, a in (("t", treatment), ("b", baseline))}
+    sums = steady_sums(cells, by, **sides).where(F.least(*[F.col(f"{n}_n") for n in sides]) >= least)
+    mean = lambda n: F.try_divide(F.col(n), F.col(f"{n}_n").cast("double"))
+    return sums.select(*[col(b) for b in by], *[c for k in range(len(metrics)) for c in ((mean(f"t{k}") - mean(f"b{k}")).alias(f"difference{k}"), mean(f"b{k}").alias(f"baseline{k}"))])
+
+
 def jci_panel(cells: DataFrame, predictor: str, target: str, env: str, by: list[str], arm: str = "arm_key", treatment: str = "treatment", baseline: str = "baseline", min_cells: int = 3) -> DataFrame:
     """(kind, rho, n): over strata (keys ``by``, env among them) the rank correlation of the arms' differences of two metrics: marginal,
     pooled over environments, and the latter given the target's baseline mean. Strata with a null key, or with fewer cells or finite
     values of either arm than ``min_cells``, are left out."""
-    side = lambda f, m, a: f(F.when(col(arm) == a, number(m)))
     rows = cells.where(col(arm).isin(treatment, baseline))
     for b in by:
         rows = rows.where(col(b).isNotNull())
-    enough = F.least(*[side(F.count, m, a) for m in (predictor, target) for a in (treatment, baseline)])
-    panel = rows.groupBy(*[col(b) for b in by]).agg(*[(side(F.avg, m, treatment) - side(F.avg, m, baseline)).alias(n) for m, n in ((predictor, "_x"), (target, "_y"))], side(F.avg, target, baseline).alias("_z"), enough.alias("_n")).where(F.col("_n") >= min_cells)
+    found = arm_differences(rows, [predictor, target], by, arm, treatment, baseline, min_cells)
+    panel = found.select(*[col(b) for b in by], F.col("difference0").alias("_x"), F.col("difference1").alias("_y"), F.col("baseline1").alias("_z"))
     marginal = spearman(panel, "_x", "_y", []).select(F.lit("marginal").alias("kind"), "rho", "n")
     within = stratified_spearman(panel, "_x", "_y", [env]).select(F.lit("stratified").alias("kind"), "rho", "n")
     given = stratified_spearman(panel, "_x", "_y", [env], "_z").select(F.lit("stratified_partial").alias("kind"), "rho", "n")
@@ -170,7 +178,6 @@ def stratified_spearman(cells: DataFrame, x: str, y: str, by: list[str], z: str
 def cross_stratum_slope(cells: DataFrame, predictor: str, target: str, by: list[str], arm: str = "arm_key", treatment: str = "treatment", baseline: str = "baseline", confound: str | None = None, min_seeds: int = 3) -> DataFrame:
     """Rank correlation over strata of the arm differences of two metrics, given a third's if asked for: (n, rho)."""
     names = [predictor, target, *([confound] if confound else [])]
-    side = lambda m, a: F.when(col(arm) == a, number(m))
-    diffs = cells.groupBy(*[col(b) for b in by]).agg(*[(F.avg(side(m, treatment)) - F.avg(side(m, baseline))).alias(f"_d{k}") for k, m in enumerate(names)], F.least(*[F.count(side(m, a)) for m in names for a in (treatment, baseline)]).alias("_n")).where(F.col("_n") >= min_seeds).withColumn("_all", F.lit(1))
+    diffs = arm_differences(cells, names, by, arm, treatment, baseline, min_seeds).select(*[F.col(f"difference{k}").alias(f"_d{k}") for k in range(len(names))], F.lit(1).alias("_all"))
     found = spearman(diffs, "_d0", "_d1", ["_all"]) if confound is None else partial_spearman(diffs, "_d0", "_d1", "_d2", ["_all"])
     return found.select("n", "rho")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import effects, special
-from ..functions.columns import AGGREGATES, col, finite, number, running, with_aggregates
+from ..functions.columns import AGGREGATES, col, finite, number, running, steady_sums, with_aggregates
 
 
 def per_stratum_aggregate(cells: DataFrame, source: str, by: list[str], op: str, cell_filter: Column | None = None, min_n: int | None = None) -> DataFrame:
@@ -55,6 +55,24 @@ def stratum_panel(cells: DataFrame, source: str, by: list[str], arm: str = "arm_
     return panel.withColumn("d_se", effects.cohen_se(F.col("d"), F.col("finite_t"), F.col("finite_b")))
 
 
+def steady_panel(cells: DataFrame, source: str, by: list[str], arm: str = "arm_key", treatment: str = "treatment", baseline: str = "baseline", min_seeds: int = 3) -> DataFrame:
+    """(by, n, mean, sd of both arms, d, d_se) as ``stratum_panel`` has them, over finite values alone, from sums that don't depend on the order of rows: strata
+    of equal rows tie, as ranks over strata need. Squares are those of the deviations from the stratum's means."""
+    sides = {"t": treatment, "b": baseline}
+    mine = {s: F.when(col(arm) == a, number(source)) for s, a in sides.items()}
+    names = [f"_p{k}" for k in range(len(by))]
+    same = F.lit(True)
+    for b, n in zip(by, names, strict=True):
+        same &= col(b).eqNullSafe(F.col(n))
+    rows = cells.where(col(arm).isin(treatment, baseline))
+    means = steady_sums(rows, by, **mine).where(F.least("t_n", "b_n") >= min_seeds)
+    means = means.select(*[col(b).alias(n) for b, n in zip(by, names, strict=True)], *[c for s in sides for c in (F.col(f"{s}_n").alias(f"n_{s}"), (F.col(s) / F.col(f"{s}_n")).alias(f"mean_{s}"))])
+    squares = steady_sums(rows.join(means, same), by, **{s: F.pow(v - F.col(f"mean_{s}"), 2) for s, v in mine.items()})
+    panel = means.join(squares, same).select(*[col(b) for b in by], *[c for s in sides for c in (f"n_{s}", f"mean_{s}", F.sqrt(F.try_divide(F.col(s), (F.col(f"n_{s}") - 1).cast("double"))).alias(f"sd_{s}"))])
+    panel = panel.withColumn("d", effects.cohen_d(F.col("mean_t"), F.col("mean_b"), F.col("sd_t"), F.col("sd_b")))
+    return panel.withColumn("d_se", effects.cohen_se(F.col("d"), F.col("n_t"), F.col("n_b")))
+
+
 def stratum_effects(cells: DataFrame, metrics: list[str], by: list[str], arm: str = "arm_key", treatment: str = "treatment", baseline: str = "baseline", aggregator: str = "mean") -> DataFrame:
     """Difference of the arms' centres per stratum for several metrics at once."""
     side = lambda m, name: AGGREGATES[aggregator](F.when(col(arm) == name, number(m)))

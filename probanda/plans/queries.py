@@ -707,7 +707,10 @@ def stratum_panel_jci_spearman(spark, d):
 
 @query(f"WITH {EFFECTS}, r AS (SELECT {_average_rank('', 'z')} AS x, {_average_rank('', 'y')} AS y FROM effects) SELECT count(*) AS n, corr(x, y) AS rho, atanh(corr(x, y)) * sqrt(count(*) - 3) AS z FROM r")
 def cross_stratum_property_slope(spark, d):
-    return ranks.property_slope(_effects(spark, d), "d", "z").select("n", "rho", "z")
+    cells = order_cells(spark, d)
+    panel = strata.steady_panel(cells, "source", ["env_name", "seed"]).where("d_se > 0")
+    levels = columns.steady_sums(cells, ["env_name", "seed"], z=F.col("balance") / 1000).select("env_name", "seed", (F.col("z") / F.col("z_n")).alias("z"))
+    return ranks.property_slope(panel.join(levels, ["env_name", "seed"]), "d", "z").select("n", "rho", "z")
 
 
 @query(f"""WITH {CELLS}, p AS (SELECT seed, avg(source) FILTER (WHERE arm_key = 'treatment') - avg(source) FILTER (WHERE arm_key = 'baseline') AS x, avg(balance) FILTER (WHERE arm_key = 'treatment') - avg(balance) FILTER (WHERE arm_key = 'baseline') AS y, avg(customer) FILTER (WHERE arm_key = 'treatment') - avg(customer) FILTER (WHERE arm_key = 'baseline') AS z
