@@ -36,6 +36,8 @@ ROWS = 2500
 #: Documents of one prefix token up to which all its pairs are made at once; of larger ones a forest at first, and then so many
 #: pairs of a document in a round as join it to other components.
 FEW, EACH = 24, 128
+#: Such pairs of a document in the first of these rounds, eight times as many in each next one: what these link needs no more pairs.
+FIRST = 4
 #: Documents of one prefix token and size class that are compared in one block.
 BLOCK = 1024
 #: Of so many of its smallest tokens of many each document tells the others, so that a pair is made for its smallest common token alone.
@@ -181,9 +183,9 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def _forest(group: pd.DataFrame, percent: int, later: bool = False) -> list[tuple[int, int]]:
-    """Candidate pairs among the rows of one token that are in different components, best first: a spanning forest, or later up
-    to EACH of each row."""
+def _forest(group: pd.DataFrame, percent: int, later: int = 0) -> list[tuple[int, int]]:
+    """Candidate pairs among the rows of one token that are in different components, best first: a spanning forest, or up to
+    ``later`` of each row."""
     group = group.sort_values(["n", "id"], kind="stable")
     ids, n, label = group["id"].to_numpy(np.int64), group["n"].to_numpy(np.int64), group["component"].to_numpy(np.int64).copy()
     if (label == label[0]).all():
@@ -228,7 +230,7 @@ def _forest(group: pd.DataFrame, percent: int, later: bool = False) -> list[tupl
         if i in failed:
             js = js[~np.isin(ids[js], list(failed[i]))]
         if later:
-            out += [(int(ids[i]), int(ids[j])) for j in js[:EACH]]
+            out += [(int(ids[i]), int(ids[j])) for j in js[:later]]
             continue
         while len(js):
             j = js[0]
@@ -274,7 +276,7 @@ def _filtered(pairs: DataFrame, about: DataFrame, percent: int, orders: int) ->
     return kept(passed, [f"short{k}" for k in range(1, orders)], meet).distinct()
 
 
-def _candidates(dealt: DataFrame, percent: int, later: bool) -> DataFrame:
+def _candidates(dealt: DataFrame, percent: int, later: int) -> DataFrame:
     """(a, b) from rows (token, b1, b2, own, id, n, bits, low, component, failed) of tokens of many documents."""
 
     def pair(batches):
@@ -430,7 +432,7 @@ def _linked(docs: DataFrame, key: str, text: str, width: int, percent: int, orde
     labels = failures = state = None
     turn = 0
     while True:
-        pairs = _candidates(facing(state, turn), percent, turn > FULL).withColumn("many", F.lit(True))
+        pairs = _candidates(facing(state, turn), percent, min(EACH, FIRST * 8 ** (turn - FULL - 1)) if turn > FULL else 0).withColumn("many", F.lit(True))
         if not turn:
             pairs = pairs.unionByName(few.withColumn("many", F.lit(False))).groupBy("a", "b").agg(F.max("many").alias("many"))
         pairs = staged(pairs, "jaccard-pairs")

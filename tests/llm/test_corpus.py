@@ -313,3 +313,13 @@ def test_audio_columns(spark):
     assert len(got) == 6 and got[101].class_id == 100 and got[104].n_codes == 0 and got[105].class_id == 105
     assert got[102].query_class == 100 and got[102].offset == -10 and got[102].bit_error < 0.05
     assert got[103].query_class is None
+
+
+def test_jaccard_rounds_start_with_few_pairs_of_a_document():
+    import pandas as pd
+
+    n, one = 40, np.packbits(np.ones(256, np.uint8)).tobytes()
+    group = pd.DataFrame({"token": 9, "b1": "0", "b2": "0", "own": 0, "id": range(1, n + 1), "n": 50, "bits": [one] * n, "low": [np.array([9])] * n, "component": range(1, n + 1), "failed": [None] * n})
+    pairs = jaccard._forest(group, 80, jaccard.FIRST)
+    assert len(pairs) == sum(min(jaccard.FIRST, n - 1 - i) for i in range(n))
+    assert len(jaccard._forest(group, 80)) == n - 1
