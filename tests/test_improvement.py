@@ -57,3 +57,29 @@ def test_no_strata(spark):
     one = [("a", None, arm, 1.0) for arm in ("treatment", "baseline") for _ in range(6)]
     row = improvement.mean_improvement(spark.createDataFrame(one, KINDS), "v", ["env"], "id", count=3).first()
     assert row.strata == 1 and row["mean"] == 0.5 and row.p == 1.0
+
+
+def test_distinct_values_leave_few_rows_and_split_ties_meet(spark, monkeypatch):
+    monkeypatch.setattr(improvement, "BLOCK", 4)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = []
+    tallied = improvement._tallied
+
+    def counted(rows, keys, size):
+        kept.append((tallied(rows, keys, size).count(), size))
+        return tallied(rows, keys, size)
+
+    monkeypatch.setattr(improvement, "_tallied", counted)
+    rng = np.random.default_rng(8)
+    values = [*rng.normal(0, 1, 300).tolist(), *[0.25] * 60, *rng.integers(0, 3, 40).astype(float).tolist()]
+    rows = [(env, f"{env}{i}", ("treatment", "baseline")[i % 2], v) for env in ("a", None) for i, v in enumerate(values)]
+    cells = spark.createDataFrame(rows, KINDS)
+    try:
+        for most in (7, 200):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            got = {(r.env, r.replicate): r.p for r in improvement.replicates(cells, "v", ["env"], "id", count=5).collect()}
+            assert got == {(env, k): pytest.approx(pairs(rows, env, k), rel=1e-12) for env in ("a", None) for k in range(6)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    # 800 cells in 4 partitions are 8 batches of 200 at most, each leaving its ends and a run or two between, not a row per value
+    assert all(n <= 8 * 4 * size for n, size in kept[-2:])
