@@ -1,9 +1,9 @@
 """Mediation along bursts with intervals from a cluster bootstrap over cells.
 
 A cell keeps its bursts together, so a replicate gives each cell one weight for all of them: a Poisson(1) number drawn by its inverse
-distribution from a hash of seed, cell and replicate. Ranks, correlations and edges of all replicates come from one pass: equal values are
-counted with one weighted count per replicate, distinct values get prefix sums over range partitions, and replicate 0, whose weights
-are all 1, is the sample itself. No stratum is brought to one task.
+distribution from a hash of seed, cell and replicate. Ranks, correlations and edges of all replicates come from one pass: rows sorted by outcome
+are summed up by batch to one row for each mix of arm and mediators, whose values are counted and get prefix sums over range partitions.
+Replicate 0, whose weights are all 1, is the sample itself. No stratum is brought to one task.
 """
 
 from __future__ import annotations
@@ -70,22 +70,76 @@ def arm_codes(cells: DataFrame, by: list[str], arm: str) -> DataFrame:
     return cells.join(coded, reduce(Column.__and__, same, col(arm).cast("string") == F.col("_arm"))).withColumn("_code", F.col("_one_before").cast("double")).drop(*keys, "_arm", "_one_before")
 
 
+def _changes(*values: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any of the values."""
+    return np.flatnonzero(np.concatenate(([True], reduce(np.logical_or, [np.diff(v) != 0 for v in values]))))
+
+
+def _without_outcome(rows: DataFrame, keys: list[str], others: list[str], size: int) -> DataFrame:
+    """(keys, _v, others, _n, _s, _q, _alone) of rows (keys, _v, others, _w) sorted by keys and _v: for each mix of the others in a run of values of one stratum in one
+    batch, arrays of the sums of the weights, the weighted ranks of _v inside the run and their squares; _v is the run's first. A run ``_alone`` is the first
+    or last value of a batch, which other batches may hold too; its ranks are 0."""
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keys, "_v", *others).schema)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.select(range(len(keys) + 1 + len(others)))
+            frame = own.to_pandas()
+            stratum, v = frame.groupby(keys, dropna=False, sort=False).ngroup().to_numpy(), frame["_v"].to_numpy()
+            w = batch.column(own.num_columns).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(float)
+            starts = _changes(stratum, v)
+            alone = np.zeros(len(starts), dtype=int)
+            alone[0], alone[-1] = 1, 2
+            heads = _changes(stratum[starts], alone)
+            each = np.add.reduceat(w, starts)
+            before = np.cumsum(each, axis=0) - each
+            before -= np.repeat(before[heads], np.diff(np.append(heads, len(starts))), axis=0)
+            rank = np.where(alone[:, None] > 0, 0.0, before + (each + 1) / 2.0).repeat(np.diff(np.append(starts, len(v))), axis=0)
+            head = np.repeat(starts[heads], np.diff(np.append(starts[heads], len(v))))
+            of = frame[others].assign(_head=head).groupby(["_head", *others], sort=False).ngroup().to_numpy()
+            by = np.argsort(of, kind="stable")
+            firsts = _changes(of[by])
+            sums = [np.add.reduceat(x[by], firsts).ravel() for x in (w, w * rank, w * rank * rank)]
+            at = by[firsts]
+            groups = own.take(pa.array(at)).columns
+            groups[len(keys)] = pa.array(v[head[at]])
+            ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * size)
+            ends_only = np.isin(head[at], starts[alone > 0])
+            yield pa.RecordBatch.from_arrays([*groups, *[pa.ListArray.from_arrays(ends, pa.array(x)) for x in sums], pa.array(ends_only)], names=[*keys, "_v", *others, "_n", "_s", "_q", "_alone"])
+
+    return rows.select(*keys, "_v", *others, "_w").mapInArrow(run, f"{kinds}_n array<double>, _s array<double>, _q array<double>, _alone boolean")
+
+
 def weighted_ranks(rows: DataFrame, names: list[str], by: list[str], weights: str, size: int) -> DataFrame:
-    """(by, weights, r0, r1, ...): for each name an array of average ranks, one for each of the ``size`` weights; all values must be finite.
+    """(by, _n, _s, _q, _off, r0, r2, ...): arrays with a number for each of the ``size`` weights, of rows summed up over the second name, whose values may be many:
+    sums of the weights, of its weighted ranks and of their squares, to all of which ranks ``_off`` is still to be added, and the average ranks of
+    each other name. All values must be finite, rows unique.
 
     Of ``w`` copies each, a value's rank is the weights before it plus half of one more than its own."""
-    keys = [f"_k{k}" for k in range(len(by))]
-    rows = rows.select(*[col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[(number(n) + 0.0).alias(f"_v{k}") for k, n in enumerate(names)], col(weights).alias("_w"))
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.col(f"_v{k}").alias("v")) for k in range(len(names))])).alias("_x")
-    sums = [F.sum(F.get("_w", F.lit(i))).alias(f"_n{i}") for i in range(size)]
-    counts = rows.select(*keys, "_w", values).groupBy(*keys, F.col("_x.at").alias("_at"), F.col("_x.v").alias("_v")).agg(*sums)
-    found = running(counts, [*keys, "_at"], "_v", [f"_n{i}" for i in range(size)])
-    found = found.select(*keys, "_at", "_v", F.array(*[F.col(f"_n{i}_before") + (F.col(f"_n{i}") + 1) / 2.0 for i in range(size)]).alias("_ranks"))
-    for k in range(len(names)):
-        mine = found.where(F.col("_at") == k).select(*[F.col(b).alias(f"{b}_") for b in keys], F.col("_v").alias("_u"), F.col("_ranks").alias(f"r{k}"))
-        same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"{b}_")) for b in keys], F.col(f"_v{k}") == F.col("_u"))
-        rows = rows.join(mine, same).drop("_u", *[f"{b}_" for b in keys])
-    return rows.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], "_w", *[f"r{k}" for k in range(len(names))])
+    keys, others = [f"_k{k}" for k in range(len(by))], [f"_v{k}" for k in range(len(names)) if k != 1]
+    rows = rows.select(*[col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[(number(n) + 0.0).alias("_v" if k == 1 else f"_v{k}") for k, n in enumerate(names)], col(weights).alias("_w"))
+    # the others too, so that a frequent value is dealt over tasks
+    placed = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_v", *others).sortWithinPartitions(*keys, "_v")
+    rows = cut(_without_outcome(placed, keys, others, size))
+    sums = [F.sum(F.get("_n", F.lit(i))).alias(f"_n{i}") for i in range(size)]
+
+    def joined(rows: DataFrame, table: DataFrame, value: str) -> DataFrame:
+        table = table.withColumnsRenamed({k: f"{k}_" for k in keys})
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], F.col(value) == F.col("_u"))
+        return rows.join(table, same).drop("_u", *[f"{k}_" for k in keys])
+
+    runs = running(rows.groupBy(*keys, "_v").agg(F.max("_alone").alias("_alone"), *sums), keys, "_v", [f"_n{i}" for i in range(size)])
+    offset = F.array(*[F.col(f"_n{i}_before") + F.when(F.col("_alone"), (F.col(f"_n{i}") + 1) / 2.0).otherwise(0.0) for i in range(size)])
+    out = joined(rows, runs.select(*keys, F.col("_v").alias("_u"), offset.alias("_off")), "_v")
+    values = F.explode(F.array(*[F.struct(F.lit(v).alias("at"), F.col(v).alias("v")) for v in others])).alias("_x")
+    counts = rows.select(*keys, "_n", values).groupBy(*keys, F.col("_x.at").alias("_at"), F.col("_x.v").alias("_u")).agg(*sums)
+    found = running(counts, [*keys, "_at"], "_u", [f"_n{i}" for i in range(size)])
+    found = found.select(*keys, "_at", "_u", F.array(*[F.col(f"_n{i}_before") + (F.col(f"_n{i}") + 1) / 2.0 for i in range(size)]).alias("_ranks"))
+    for v in others:
+        out = joined(out, found.where(F.col("_at") == v).select(*keys, "_u", F.col("_ranks").alias(f"r{v[2:]}")), v)
+    return out.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], "_n", "_s", "_q", "_off", *[f"r{v[2:]}" for v in others])
 
 
 def _summed(ranked: DataFrame, keys: list[str], ranks: int, size: int, first: int) -> DataFrame:
@@ -102,11 +156,13 @@ def _summed(ranked: DataFrame, keys: list[str], ranks: int, size: int, first: in
             own = batch.select(range(len(keys)))
             of = own.to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
             by = np.argsort(of, kind="stable")
-            starts = np.flatnonzero(np.concatenate(([True], np.diff(of[by]) > 0)))
-            w, *r = (batch.column(len(keys) + k).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)[by].astype(float) for k in range(1 + ranks))
+            starts = _changes(of[by])
+            n, s, q, off, *r = (batch.column(len(keys) + k).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)[by] for k in range(3 + ranks))
             total = lambda v, starts=starts: np.add.reduceat(v, starts).ravel()
-            weighted = [w * v for v in r]
-            found = [total(w).astype(np.int64), *map(total, weighted), *[total(weighted[i] * r[j]) for i, j in pairs]]
+            r.insert(1, None)  # of the second name there are sums only
+            weighted = [s + off * n if x is None else n * x for x in r]
+            product = lambda i, j, r=r, w=weighted, q=q, s=s, off=off, n=n: q + off * (2 * s + off * n) if i == j == 1 else w[i] * r[j] if j != 1 else w[1] * r[i]
+            found = [total(n).astype(np.int64), *map(total, weighted), *[total(product(i, j)) for i, j in pairs]]
             at = np.tile(np.arange(first, first + size, dtype=np.int32), len(starts))
             groups = own.take(pa.array(np.repeat(by[starts], size)))
             yield pa.RecordBatch.from_arrays([*groups.columns, pa.array(at), *map(pa.array, found)], names=[*keys, "replicate", "n", *names])

@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from probanda.operators import mediation
@@ -36,3 +38,31 @@ def test_equal_rows_are_summed_up_before_they_are_ranked(spark, monkeypatch):
     assert seen == [6 + 2]  # of burst 0 the pairs of (arm, outcome), the mediator following from the arm; of burst 1 the arms
     for r in rows:
         assert r.n == (60 if not r.replicate else sum(_by_hand(str(c), r.replicate) for c in range(60)))
+
+
+def test_distinct_outcomes_leave_few_rows_and_split_ties_meet(spark, monkeypatch):
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    outcomes = [(c * 37 % 400) / 7.0 if c % 3 else 20.0 for c in range(400)]
+    rows = [("ab"[c % 2] if v != 20.0 else "abab"[c // 3 % 4], str(c), [v], [float(v > 25)]) for c, v in enumerate(outcomes)]
+    cells = spark.createDataFrame([("e", *r) for r in rows], "env_name string, arm_key string, cell string, o array<double>, m array<double>")
+    kept, summed = [], mediation._summed
+
+    def counted(ranked, *rest):
+        kept.append(ranked.count())
+        return summed(ranked, *rest)
+
+    monkeypatch.setattr(mediation, "_summed", counted)
+    try:
+        for most in (7, 200):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            for r in mediation.trajectories(cells, ["m"], "o", ["env_name"], "cell", replicates=3).collect():
+                weights = [_by_hand(str(c), r.replicate) if r.replicate else 1 for c in range(400)]
+                drawn = pd.DataFrame([(a, o[0], m[0]) for (a, _, o, m), w in zip(rows, weights, strict=True) for _ in range(w)], columns=["a", "o", "m"])
+                corr = drawn.assign(a=(drawn.a == "b").astype(float)).rank().corr()
+                ao, am, om = corr.loc["a", "o"], corr.loc["a", "m"], corr.loc["o", "m"]
+                assert r.n == len(drawn) and r.marginal == pytest.approx(ao, abs=1e-10)
+                assert r.conditional == pytest.approx((ao - am * om) / ((1 - am**2) * (1 - om**2)) ** 0.5, abs=1e-10)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    # of some 270 distinct rows, each batch (at most two in each of four partitions) leaves its ends and four mixes of arm and mediator
+    assert kept[-1] <= 8 * 8 < 200
